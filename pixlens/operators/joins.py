@@ -1,0 +1,37 @@
+"""Join helpers for the few non-equi joins (query x image scans, ILIKE terms).
+
+Equi-joins are left to Catalyst + AQE, which broadcast a side only after
+measuring it at runtime. A theta join has no shuffle form, so the small side is
+broadcast only after its row count is checked; beyond the bound it is split into
+blocks of bounded size and each block is broadcast against the big side.
+"""
+
+from __future__ import annotations
+
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 20000
+
+
+def bounded_theta_join(big: DataFrame, small: DataFrame, on: Column | None, key: str,
+                       max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+    """Join ``big`` with a checked-size ``small`` on a non-equi condition.
+
+    ``key`` is a column of ``small`` used to split it into blocks when it is
+    larger than ``max_rows``; every block is broadcast once and the big side is
+    scanned once per block (no row of either side is ever dropped or capped).
+    """
+    n = small.count()
+    blocks = max(1, math.ceil(n / max_rows))
+    if blocks == 1:
+        return big.join(F.broadcast(small), on, how) if on is not None else big.crossJoin(F.broadcast(small))
+    parts = []
+    for b in range(blocks):
+        piece = small.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)) == b)
+        parts.append(big.join(F.broadcast(piece), on, how) if on is not None
+                     else big.crossJoin(F.broadcast(piece)))
+    return reduce(DataFrame.unionByName, parts)
