@@ -1 +1,267 @@
-"""Registered queries."""
+"""Registered queries: requests, filters and the four search modes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import TEST_SETTINGS
+from ..operators import filters as flt
+from ..operators import search as se
+from ..operators import textindex
+from ..operators.joins import bounded_theta_join
+from ..operators.requests import filter_rows, parse_requests, request_modes, validate_requests
+from ..sources.testforum import TestForum
+from .catalog import register
+from .search_sql import LIMIT, TEXT_T, _arg_case, search_sql
+
+# FIXTURES: the test vectors pass 0.4 rarely, so text-to-image search runs at 0.1.
+CFG = TEST_SETTINGS.with_(text_similarity_threshold=TEXT_T)
+
+
+def _f(spark, sf_dir):
+    return TestForum(spark, sf_dir)
+
+
+def _prepared(spark, sf_dir):
+    return se.prepare_requests(_f(spark, sf_dir).search_requests, LIMIT)
+
+
+def _search(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    return se.search(f.search_requests, f.tables(), CFG, f.request_embeddings, limit=LIMIT)
+
+
+@register("validate_requests", search_sql(
+    "SELECT request_id, error FROM parsed", parts=()))
+def validate(spark, sf_dir):
+    return validate_requests(_f(spark, sf_dir).search_requests).select("request_id", "error")
+
+
+@register("request_modes", search_sql(
+    "SELECT request_id, search_by_image, search_ocr, search_embeddings, CAST(page_no AS BIGINT) AS page_no "
+    "FROM parsed", parts=()))
+def modes(spark, sf_dir):
+    return request_modes(_f(spark, sf_dir).search_requests).select(
+        "request_id", "search_by_image", "search_ocr", "search_embeddings", "page_no")
+
+
+@register("tokenize_terms", search_sql(
+    "SELECT request_id, CAST(wpos AS BIGINT) AS word_no, word FROM words", parts=()))
+def tokenize_terms(spark, sf_dir):
+    from ..functions.text import is_blank, query_tokens
+    r = _f(spark, sf_dir).search_requests
+    toks = F.when(is_blank(F.col("term")), F.array().cast("array<string>")).otherwise(query_tokens(F.col("term")))
+    return r.select("request_id", F.posexplode(toks).alias("p", "word")).select(
+        "request_id", (F.col("p") + 1).cast("long").alias("word_no"), "word")
+
+
+@register("parse_requests", search_sql(f"""
+  SELECT p.request_id, p.processed_term, f.filter_no, f.kind, f.arg
+  FROM parsed p LEFT JOIN (
+    SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY wpos) AS INTEGER) AS filter_no,
+           kind, {_arg_case('cleaned', 'kind')} AS arg FROM kinded WHERE kind IS NOT NULL) f
+  ON f.request_id = p.request_id""", parts=()))
+def parse(spark, sf_dir):
+    p = parse_requests(_f(spark, sf_dir).search_requests)
+    return p.select("request_id", "processed_term", F.explode_outer("filters").alias("f")).select(
+        "request_id", "processed_term", "f.filter_no", "f.kind", "f.arg")
+
+
+@register("ocr_query_terms", search_sql("""
+  SELECT q.request_id, q.lexeme, n.n_terms FROM qterms q JOIN nterms n ON n.request_id = q.request_id""",
+                                        parts=("ocr",)))
+def ocr_query_terms(spark, sf_dir):
+    r = _prepared(spark, sf_dir).filter(F.col("error").isNull() & F.col("search_ocr"))
+    t = textindex.request_terms(r)
+    return t.select("request_id", "lexeme", F.col("n_terms").cast("long").alias("n_terms"))
+
+
+@register("search_images_ocr", search_sql("SELECT request_id, upload_id FROM ocr_hits", parts=("ocr",)))
+def search_images_ocr(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull() & F.col("search_ocr"))
+    return textindex.search_images_ocr(r, textindex.postings(f.index))
+
+
+@register("apply_filters", search_sql("SELECT request_id, post_id, upload_id FROM ocr_pairs", parts=("ocr",)))
+def apply_filters(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    t = f.tables()
+    r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull() & F.col("search_ocr"))
+    hits = textindex.search_images_ocr(r, textindex.postings(f.index))
+    pairs = se.post_pairs(hits, t)
+    out = flt.apply_filters(pairs, filter_rows(r.filter(F.size("filters") > 0)), t)
+    return out.select("request_id", "post_id", "upload_id")
+
+
+@register("search_ocr_page", search_sql("""
+  SELECT v.request_id, CAST(count(p.post_id) AS BIGINT) AS n_pairs
+  FROM valid v LEFT JOIN ocr_pairs p ON p.request_id = v.request_id WHERE v.search_ocr GROUP BY v.request_id""",
+                                        parts=("ocr",)))
+def search_ocr_page(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    t = f.tables()
+    r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull() & F.col("search_ocr"))
+    hits = textindex.search_images_ocr(r, textindex.postings(f.index))
+    out = flt.apply_filters(se.post_pairs(hits, t), filter_rows(r.filter(F.size("filters") > 0)), t)
+    n = out.groupBy("request_id").agg(F.count("*").alias("n_pairs"))
+    return r.select("request_id").join(n, "request_id", "left").select(
+        "request_id", F.coalesce("n_pairs", F.lit(0)).cast("long").alias("n_pairs"))
+
+
+@register("search_ocr", search_sql("SELECT request_id, post_id, upload_id, side_rank FROM ocr_side",
+                                   parts=("ocr",)))
+def search_ocr(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull())
+    out = se.ocr_side(r, f.tables(), textindex.postings(f.index), CFG, max_rank=LIMIT * 2)
+    return out.select("request_id", "post_id", "upload_id", F.col("side_rank").cast("long").alias("side_rank"))
+
+
+@register("knn_hybrid_stage", search_sql("SELECT request_id, upload_id, CAST(img_rank AS BIGINT) AS img_rank "
+                                         "FROM emb_imgs", parts=("emb",)))
+def knn_hybrid_stage(spark, sf_dir):
+    from ..operators import knn
+    f = _f(spark, sf_dir)
+    r = se.prepare_requests(f.search_requests, LIMIT).filter(
+        F.col("error").isNull() & (F.col("search_embeddings") | F.col("search_by_image")))
+    thr = F.when(F.col("search_by_image"), F.lit(CFG.image_similarity_threshold)).otherwise(
+        F.lit(CFG.text_similarity_threshold))
+    q = r.select("request_id", thr.alias("threshold"), F.col("side_limit").alias("limit"),
+                 F.col("side_offset").alias("offset")).join(f.request_embeddings, "request_id")
+    out = knn.search_images_embedding(q, f.index, CFG.embedding_dim)
+    return out.select("request_id", "upload_id", F.col("rank").alias("img_rank"))
+
+
+@register("search_embedding", search_sql("SELECT request_id, post_id, upload_id, side_rank FROM emb_side",
+                                         parts=("emb",)))
+def search_embedding(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull())
+    return se.embedding_side(r, f.tables(), f.request_embeddings, CFG)
+
+
+@register("search_batch", search_sql("SELECT request_id, rank, post_id, upload_id FROM results"))
+def search_batch(spark, sf_dir):
+    return _search(spark, sf_dir).results
+
+
+_MODE = ("SELECT r.request_id, r.rank, r.post_id, r.upload_id FROM results r JOIN valid v "
+         "ON v.request_id = r.request_id WHERE {cond}")
+
+
+@register("search_combined", search_sql(_MODE.format(cond="v.search_ocr AND v.search_embeddings")))
+def search_combined(spark, sf_dir):
+    r = _prepared(spark, sf_dir).filter(F.col("search_ocr") & F.col("search_embeddings")).select("request_id")
+    return _search(spark, sf_dir).results.join(r, "request_id", "left_semi")
+
+
+@register("search_by_image", search_sql(_MODE.format(cond="v.search_by_image")))
+def search_by_image(spark, sf_dir):
+    r = _prepared(spark, sf_dir).filter(F.col("search_by_image")).select("request_id")
+    return _search(spark, sf_dir).results.join(r, "request_id", "left_semi")
+
+
+@register("search_envelope", search_sql("SELECT * FROM envelope"))
+def search_envelope(spark, sf_dir):
+    return _search(spark, sf_dir).envelope
+
+
+@register("has_more", search_sql("SELECT request_id, has_more FROM envelope"))
+def has_more(spark, sf_dir):
+    return _search(spark, sf_dir).envelope.select("request_id", "has_more")
+
+
+# ------------------------------------------------------------ filters on posts
+def _filters(spark, sf_dir, kind):
+    r = _prepared(spark, sf_dir).filter(F.col("error").isNull())
+    return filter_rows(r).filter(F.col("kind") == kind)
+
+
+def _posts(f):
+    return f.posts.select(F.col("id").alias("post_id"), "topic_id", "user_id", "created_at")
+
+
+_FILTER_POSTS = "SELECT f.request_id, p.id AS post_id FROM filt f JOIN posts p ON {on} WHERE f.kind = '{kind}'"
+
+
+@register("filter_topic", search_sql(_FILTER_POSTS.format(on="p.topic_id = TRY_CAST(f.arg AS BIGINT)", kind="topic"),
+                                     parts=()))
+def filter_topic(spark, sf_dir):
+    fl = _filters(spark, sf_dir, "topic").select("request_id", F.expr("try_cast(arg AS BIGINT)").alias("topic_id"))
+    return fl.join(_posts(_f(spark, sf_dir)), "topic_id").select("request_id", "post_id")
+
+
+def _date_posts(spark, sf_dir, kind, op):
+    f = _f(spark, sf_dir)
+    fl = _filters(spark, sf_dir, kind).select("request_id", flt.word_to_date(F.col("arg")).alias("bound"))
+    cmp = (F.col("created_at") < F.col("bound")) if op == "<" else (F.col("created_at") > F.col("bound"))
+    j = bounded_theta_join(_posts(f), fl, F.col("bound").isNull() | cmp, key="request_id")
+    return j.select("request_id", "post_id")
+
+
+@register("filter_before", search_sql(_FILTER_POSTS.format(on="f.dt IS NULL OR p.created_at < f.dt", kind="before"),
+                                      parts=()))
+def filter_before(spark, sf_dir):
+    return _date_posts(spark, sf_dir, "before", "<")
+
+
+@register("filter_after", search_sql(_FILTER_POSTS.format(on="f.dt IS NULL OR p.created_at > f.dt", kind="after"),
+                                     parts=()))
+def filter_after(spark, sf_dir):
+    return _date_posts(spark, sf_dir, "after", ">")
+
+
+@register("filter_user", search_sql(_FILTER_POSTS.format(on="p.user_id = f.user_id", kind="user"), parts=()))
+def filter_user(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    u = flt.resolve_users(_filters(spark, sf_dir, "user"), f.tables())
+    return u.join(_posts(f), "user_id").select("request_id", "post_id")
+
+
+@register("filter_tags_any", search_sql(_FILTER_POSTS.format(
+    on="EXISTS (SELECT 1 FROM topic_tags tt JOIN tags g ON g.id = tt.tag_id WHERE tt.topic_id = p.topic_id "
+       "AND list_contains(string_split(f.arg, ','), g.name))", kind="tags"), parts=()))
+def filter_tags_any(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    tp = flt.resolve_tags(_filters(spark, sf_dir, "tags"), f.tables())
+    return tp.join(_posts(f), "topic_id").select("request_id", "post_id")
+
+
+_CAT_POSTS = """
+  SELECT DISTINCT f.request_id, p.id AS post_id FROM filt f
+  JOIN cat_ids ci ON ci.request_id = f.request_id AND ci.filter_no = f.filter_no
+  JOIN topics t ON t.category_id = ci.category_id JOIN posts p ON p.topic_id = t.id
+  WHERE f.kind = '{kind}'"""
+
+
+@register("filter_category", search_sql(_CAT_POSTS.format(kind="category"), parts=()))
+def filter_category(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    t = f.tables()
+    ids = flt.resolve_categories(_filters(spark, sf_dir, "category"), t)
+    topics = t.topics.select(F.col("id").alias("topic_id"), "category_id")
+    return ids.join(topics, "category_id").join(_posts(f), "topic_id").select("request_id", "post_id").distinct()
+
+
+@register("filter_category_slug", search_sql(_CAT_POSTS.format(kind="category_slug"), parts=()))
+def filter_category_slug(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    t = f.tables()
+    targets = flt.slug_targets(_filters(spark, sf_dir, "category_slug"), t)
+    ids = flt._expand(targets.filter(~F.col("noop")), F.col("exact"), t)
+    topics = t.topics.select(F.col("id").alias("topic_id"), "category_id")
+    return ids.join(topics, "category_id").join(_posts(f), "topic_id").select("request_id", "post_id").distinct()
+
+
+@register("category_terms", search_sql(
+    "SELECT request_id, filter_no, cid, exact FROM cat_found", parts=()))
+def category_terms(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    return flt.category_terms(_filters(spark, sf_dir, "category"), f.tables()).select(
+        "request_id", "filter_no", "cid", "exact")
+
+
+@register("category_closure", "SELECT root, id FROM category_closure")
+def category_closure(spark, sf_dir):
+    return flt.category_closure(_f(spark, sf_dir).categories)
