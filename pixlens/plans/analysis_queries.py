@@ -1 +1,194 @@
-"""Registered queries."""
+"""Registered queries: analysis planning, the analysis service wire format and the
+stub model (SRC2-SRC5, U1, P1, P5, J13, J14, S2, WR2, C4, C5, X2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import TEST_SETTINGS
+from ..functions.text import join_lines
+from ..operators import analysis as an
+from ..operators import eligibility as el
+from ..sources.testforum import BASE_URL, TestForum
+from .catalog import register
+
+CFG = TEST_SETTINGS.with_(base_url=BASE_URL)
+DIM = CFG.embedding_dim
+
+
+def _f(spark, sf_dir):
+    return TestForum(spark, sf_dir)
+
+
+def _targets(f):
+    return el.uploads_needing_analysis(f.tables(), CFG)
+
+
+def _info(f, with_content=False):
+    info = an.image_info(_targets(f), CFG)
+    if with_content:
+        info = info.join(f.upload_files.select(F.col("upload_id").alias("id"), "content"), "id", "left")
+    return info
+
+
+def _results(f):
+    return an.run_analyzer(_info(f, True), an.stub_analyzer(DIM))
+
+
+@register("image_info", f"""
+  SELECT id, content_key AS sha1, '{BASE_URL}' || url AS url FROM needing_uploads""")
+def image_info(spark, sf_dir):
+    return _info(_f(spark, sf_dir))
+
+
+@register("image_refs", f"SELECT id, '{BASE_URL}' || url AS url FROM uploads")
+def image_refs(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    return an.image_info(f.uploads, CFG).select("id", "url")
+
+
+@register("data_uri", """
+  SELECT u.id, md5(uri) AS uri_md5, CAST(length(uri) AS BIGINT) AS uri_len FROM (
+    SELECT u.id, 'data:image/' || u.extension || ';base64,' || to_base64(f.content) AS uri
+    FROM uploads u JOIN upload_files f ON f.upload_id = u.id) u""")
+def data_uri(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    info = an.image_info(f.uploads, CFG.with_(analyze_image_base64_encoded=True), files=f.upload_files)
+    return info.select("id", F.md5("url").alias("uri_md5"), F.length("url").cast("long").alias("uri_len"))
+
+
+@register("analysis_requests", f"""
+  SELECT batch_no, count(*) AS n_images,
+         CAST(to_json({{'images': list({{'id': id, 'sha1': content_key, 'url': '{BASE_URL}' || url}} ORDER BY id),
+                        'ocr': true, 'embedding': true}}) AS VARCHAR) AS payload
+  FROM (SELECT *, CAST((row_number() OVER (ORDER BY id) - 1) // 100 AS BIGINT) AS batch_no FROM needing_uploads) x
+  GROUP BY batch_no""")
+def analysis_requests(spark, sf_dir):
+    return an.analysis_requests(_info(_f(spark, sf_dir)), CFG, batch_size=100)
+
+
+@register("parse_analysis", """
+  SELECT sha1, success, md5(array_to_string(ocr_result, chr(10))) AS ocr_md5,
+         CAST(len(ocr_result) AS BIGINT) AS n_lines, CAST(len(embedding) AS BIGINT) AS dim,
+         round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS emb_sum
+  FROM analysis_results""")
+def parse_analysis(spark, sf_dir):
+    res = _f(spark, sf_dir).analysis_results
+    bodies = res.groupBy(F.floor(F.col("upload_id") / 100).alias("batch_no")).agg(
+        F.to_json(F.struct(F.collect_list(F.struct("sha1", "ocr_result", "embedding", "success")).alias("images")))
+        .alias("body"))
+    p = an.parse_analysis(bodies)
+    emb = F.col("embedding")
+    return p.select(
+        "sha1", "success", F.md5(join_lines(F.col("ocr_result"))).alias("ocr_md5"),
+        F.size("ocr_result").cast("long").alias("n_lines"),
+        F.when(emb.isNotNull(), F.size(emb)).cast("long").alias("dim"),
+        F.round(F.aggregate(emb.cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6).alias("emb_sum"))
+
+
+@register("ocr_text_join", """
+  SELECT upload_id, md5(array_to_string(ocr_result, chr(10))) AS ocr_md5 FROM analysis_results""")
+def ocr_text_join(spark, sf_dir):
+    res = _f(spark, sf_dir).analysis_results
+    return res.select("upload_id", F.md5(join_lines(F.col("ocr_result"))).alias("ocr_md5"))
+
+
+_STUB = """
+  SELECT DISTINCT n.content_key AS sha1, NOT starts_with(n.content_key, '0') AS success,
+         md5(d.text) AS ocr_md5, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines,
+         CAST(64 AS BIGINT) AS dim, FALSE AS transport_error
+  FROM needing_uploads n JOIN documents d ON d.doc_id = n.id"""
+
+
+@register("analysis_stub", _STUB)
+def analysis_stub(spark, sf_dir):
+    r = _results(_f(spark, sf_dir))
+    return r.select("sha1", "success", F.md5(join_lines(F.col("ocr_result"))).alias("ocr_md5"),
+                    F.size("ocr_result").cast("long").alias("n_lines"),
+                    F.size("embedding").cast("long").alias("dim"), "transport_error")
+
+
+@register("match_results", """
+  SELECT id AS upload_id, content_key AS sha1, NOT starts_with(content_key, '0') AS success FROM needing_uploads""")
+def match_results(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    return an.match_results(_results(f), _info(f)).select("upload_id", "sha1", "success")
+
+
+_STORABLE = """
+  SELECT n.id AS upload_id, n.content_key AS sha1, md5(d.text) AS ocr_md5, TRUE AS has_embedding
+  FROM needing_uploads n JOIN documents d ON d.doc_id = n.id WHERE NOT starts_with(n.content_key, '0')"""
+
+
+def _storable(f):
+    return an.storable_results(an.match_results(_results(f), _info(f)), f.uploads, CFG)
+
+
+@register("storable_results", _STORABLE)
+def storable_results(spark, sf_dir):
+    s = _storable(_f(spark, sf_dir))
+    return s.select("upload_id", "sha1", F.md5("ocr_text").alias("ocr_md5"),
+                    F.col("embeddings").isNotNull().alias("has_embedding"))
+
+
+@register("failed_images", "SELECT id, content_key AS sha1 FROM needing_uploads WHERE starts_with(content_key, '0')")
+def failed_images(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    return an.failed_images(_info(f), _results(f)).select("id", "sha1")
+
+
+@register("analysis_plan", r"""
+  SELECT n.id, (i.ocr_text IS NULL OR len(regexp_extract_all(lower(i.ocr_text), '[\p{L}\p{N}]+')) = 0) AS run_ocr,
+         i.embeddings IS NULL AS run_embed
+  FROM needing_uploads n LEFT JOIN image_search_data i ON i.upload_id = n.id""")
+def analysis_plan(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    tg = _targets(f).select("id")
+    return an.analysis_plan(tg, f.index, CFG).select("id", "run_ocr", "run_embed")
+
+
+_DONOR = """
+  (SELECT min(i.upload_id) FROM image_search_data i WHERE i.sha1 = n.content_key AND i.upload_id <> n.id
+     AND i.ocr_text IS NOT NULL AND i.embeddings IS NOT NULL)"""
+
+
+@register("reuse_by_content", f"""
+  SELECT upload_id, donor_id FROM (SELECT n.id AS upload_id, {_DONOR} AS donor_id FROM needing_uploads n) x
+  WHERE donor_id IS NOT NULL""")
+def reuse_by_content(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    tg = _targets(f).select("id", an.content_key().alias("sha1"))
+    return an.reuse_donors(tg, f.index)
+
+
+@register("process_images", rf"""
+  SELECT upload_id, CASE WHEN donor_id IS NOT NULL THEN 'reused'
+                         WHEN NOT (run_ocr OR run_embed) THEN 'skipped'
+                         WHEN starts_with(content_key, '0') THEN 'failed' ELSE 'analyzed' END AS outcome
+  FROM (SELECT n.id AS upload_id, n.content_key, {_DONOR} AS donor_id,
+               (i.ocr_text IS NULL OR len(regexp_extract_all(lower(i.ocr_text), '[\p{{L}}\p{{N}}]+')) = 0) AS run_ocr,
+               i.embeddings IS NULL AS run_embed
+        FROM needing_uploads n LEFT JOIN image_search_data i ON i.upload_id = n.id) x""")
+def process_images(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    outcomes, _, _ = an.process_images(_targets(f), f.tables(), CFG, an.stub_analyzer(DIM), files=f.upload_files)
+    return outcomes
+
+
+@register("process_posts", """
+  WITH pimg AS (
+    SELECT pu.post_id, u.id, coalesce(u.original_sha1, u.sha1) AS content_key
+    FROM post_uploads pu JOIN eligible_posts p ON p.id = pu.post_id
+    JOIN size_type_ok u ON u.id = pu.upload_id LEFT JOIN image_search_data i ON i.upload_id = u.id
+    WHERE (i.upload_id IS NULL OR i.ocr_text IS NULL OR i.embeddings IS NULL)
+      AND (i.retry_times IS NULL OR i.retry_times < 3)),
+  ok AS (SELECT post_id FROM pimg GROUP BY post_id HAVING count(*) <= 5)
+  SELECT post_id, count(*) AS n_images,
+         count(*) FILTER (WHERE NOT starts_with(content_key, '0')) AS n_analyzed,
+         count(*) FILTER (WHERE starts_with(content_key, '0')) AS n_failed
+  FROM pimg WHERE post_id IN (SELECT post_id FROM ok) GROUP BY post_id""")
+def process_posts(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    post_ids = f.post_uploads.select("post_id").distinct()
+    out, _, _ = an.process_posts(post_ids, f.tables(), CFG, an.stub_analyzer(DIM), files=f.upload_files)
+    return out

@@ -141,6 +141,15 @@ _v("category_closure", """
       SELECT cc.root, c.id FROM cc JOIN categories c ON c.parent_category_id = cc.id)
     SELECT DISTINCT root, id FROM cc) x""", ["categories"])
 
+_v("needing_uploads", """
+  SELECT DISTINCT u.id, coalesce(u.original_sha1, u.sha1) AS content_key, u.url, u.extension
+  FROM size_type_ok u LEFT JOIN image_search_data i ON i.upload_id = u.id
+  JOIN post_uploads pu ON pu.upload_id = u.id JOIN eligible_posts p ON p.id = pu.post_id
+  WHERE (i.upload_id IS NULL OR i.ocr_text IS NULL OR i.embeddings IS NULL)
+    AND (i.retry_times IS NULL OR i.retry_times < 3)
+    AND (i.ocr_text IS NULL OR i.embeddings IS NULL)""",
+   ["size_type_ok", "image_search_data", "post_uploads", "eligible_posts"])
+
 
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
