@@ -14,6 +14,7 @@ created_at and category_id (any extra column such as upload_id is kept).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,20 +23,6 @@ from ..sources.tables import ForumTables
 from .joins import bounded_theta_join
 from .requests import register_pattern
 
-Matcher = Callable[[DataFrame, DataFrame, ForumTables], DataFrame]
-MATCHERS: dict[str, Matcher] = {}
-
-
-def register_filter(kind: str, pattern: str | None = None):
-    """Register a filter kind; ``fn(filters, cands, tables)`` returns the passing cands."""
-    def deco(fn: Matcher) -> Matcher:
-        MATCHERS[kind] = fn
-        if pattern is not None:
-            register_pattern(kind, pattern)
-        return fn
-    return deco
-
-
 # ----------------------------------------------------------------- resolvers
 def word_to_date(arg: Column) -> Column:
     """``yyyy``, ``yyyy-m`` or ``yyyy-m-d`` -> timestamp; anything else -> NULL."""
@@ -62,9 +49,9 @@ def category_closure(categories: DataFrame) -> DataFrame:
         cats=categories.select("id", "parent_category_id"))
 
 
-def _expand(ids: DataFrame, exact: Column, t: ForumTables) -> DataFrame:
+def _expand(ids: DataFrame, exact: Column, t: ForumTables, closure: DataFrame | None = None) -> DataFrame:
     """ids(request_id, filter_no, cid, exact) -> (request_id, filter_no, category_id)."""
-    closure = category_closure(t.categories)
+    closure = closure if closure is not None else category_closure(t.categories)
     sub = ids.filter(~exact).join(closure, ids.cid == closure.root).select(
         "request_id", "filter_no", F.col("id").alias("category_id"))
     own = ids.select("request_id", "filter_no", F.col("cid").alias("category_id"))
@@ -116,91 +103,134 @@ def slug_targets(filters: DataFrame, t: ForumTables) -> DataFrame:
     return found.unionByName(noop.withColumn("noop", F.lit(True)))
 
 
-def _by_request(filters: DataFrame, cands: DataFrame, keys: list[str]) -> DataFrame:
-    return cands.join(filters, ["request_id"] + keys)
+# ------------------------------------------------------------------ kinds
+@dataclass
+class FilterKind:
+    """How one filter kind decides a candidate.
+
+    Either ``resolve(filters, tables) -> (request_id, filter_no, value)`` gives
+    the allowed values of candidate column ``probe`` (an equi-join), or
+    ``check(arg) -> Column`` is a predicate on the candidate row (NULL = pass).
+    """
+
+    probe: str | None = None
+    resolve: Callable[[DataFrame, ForumTables], DataFrame] | None = None
+    check: Callable[[Column], Column] | None = None
 
 
-# ------------------------------------------------------------------ matchers
-@register_filter("topic")
-def _topic(filters, cands, t):
-    f = filters.select("request_id", "filter_no", F.expr("try_cast(arg AS BIGINT)").alias("topic_id"))
-    return _by_request(f, cands, ["topic_id"])
+KINDS: dict[str, FilterKind] = {}
 
 
-def _date_filter(op: str):
-    def m(filters, cands, t):
-        f = filters.select("request_id", "filter_no", word_to_date(F.col("arg")).alias("bound"))
-        joined = cands.join(f, "request_id")
-        cmp = F.col("created_at") < F.col("bound") if op == "<" else F.col("created_at") > F.col("bound")
-        return joined.filter(F.col("bound").isNull() | cmp).drop("bound")
-    return m
+def register_filter(kind: str, pattern: str | None = None, probe: str | None = None,
+                    resolve=None, check=None) -> None:
+    """Register a filter kind (and its matcher pattern)."""
+    KINDS[kind] = FilterKind(probe, resolve, check)
+    if pattern is not None:
+        register_pattern(kind, pattern)
 
 
-MATCHERS["before"] = _date_filter("<")
-MATCHERS["after"] = _date_filter(">")
+def resolve_topic(filters: DataFrame, t: ForumTables) -> DataFrame:
+    return filters.select("request_id", "filter_no", F.expr("try_cast(arg AS BIGINT)").alias("value"))
 
 
 def resolve_users(filters: DataFrame, t: ForumTables) -> DataFrame:
-    """(request_id, filter_no, user_id): non-staged user by lower-cased name, ``me`` = caller."""
+    """non-staged user by lower-cased name; ``me`` is the caller; unknown -> nothing."""
     f = filters.select("request_id", "filter_no", "current_user_id", F.lower("arg").alias("uname"))
     users = t.users.filter(~F.coalesce(F.col("staged"), F.lit(False))).groupBy("username_lower").agg(
         F.min("id").alias("uid"))
     j = f.join(users, F.col("uname") == F.col("username_lower"), "left")
     uid = F.coalesce(F.col("uid"), F.when(F.col("uname") == "me", F.col("current_user_id")))
-    return j.select("request_id", "filter_no", uid.alias("user_id")).filter(F.col("user_id").isNotNull())
-
-
-@register_filter("user")
-def _user(filters, cands, t):
-    return _by_request(resolve_users(filters, t), cands, ["user_id"])
+    return j.select("request_id", "filter_no", uid.alias("value")).filter(F.col("value").isNotNull())
 
 
 def resolve_tags(filters: DataFrame, t: ForumTables) -> DataFrame:
-    """(request_id, filter_no, topic_id) of topics with any listed tag."""
+    """Topics carrying any of the listed tags."""
     names = filters.select("request_id", "filter_no", F.explode(F.split("arg", ",")).alias("name"))
     tag_ids = names.join(t.tags, "name").select("request_id", "filter_no", F.col("id").alias("tag_id"))
-    return tag_ids.join(t.topic_tags, "tag_id").select("request_id", "filter_no", "topic_id").distinct()
+    return tag_ids.join(t.topic_tags, "tag_id").select("request_id", "filter_no",
+                                                       F.col("topic_id").alias("value")).distinct()
+
 
+def resolve_categories(filters: DataFrame, t: ForumTables, closure: DataFrame | None = None) -> DataFrame:
+    """matched categories, with their subcategories unless ``=``."""
+    ids = _expand(category_terms(filters, t), F.col("exact"), t, closure)
+    return ids.select("request_id", "filter_no", F.col("category_id").alias("value"))
 
-@register_filter("tags")
-def _tags(filters, cands, t):
-    return _by_request(resolve_tags(filters, t), cands, ["topic_id"])
 
+def resolve_slugs(filters: DataFrame, t: ForumTables, closure: DataFrame | None = None) -> DataFrame:
+    """F16: the slug target, with subcategories unless ``=``."""
+    targets = slug_targets(filters, t)
+    ids = _expand(targets.filter(~F.col("noop")), F.col("exact"), t, closure)
+    return ids.select("request_id", "filter_no", F.col("category_id").alias("value"))
 
-def resolve_categories(filters: DataFrame, t: ForumTables) -> DataFrame:
-    """(request_id, filter_no, category_id), subcategories unless ``=``."""
-    found = category_terms(filters, t)
-    return _expand(found, F.col("exact"), t)
 
+register_filter("topic", probe="topic_id", resolve=resolve_topic)
+def _date_check(op: str):
+    def check(arg: Column) -> Column:
+        bound = word_to_date(arg)
+        cmp = F.col("created_at") < bound if op == "<" else F.col("created_at") > bound
+        return F.when(bound.isNull(), F.lit(True)).otherwise(F.coalesce(cmp, F.lit(False)))
+    return check
 
-@register_filter("category")
-def _category(filters, cands, t):
-    return _by_request(resolve_categories(filters, t), cands, ["category_id"])
 
+register_filter("before", check=_date_check("<"))
+register_filter("after", check=_date_check(">"))
+register_filter("user", probe="user_id", resolve=resolve_users)
+register_filter("tags", probe="topic_id", resolve=resolve_tags)
+register_filter("category", probe="category_id", resolve=resolve_categories)
+register_filter("category_slug", probe="category_id", resolve=resolve_slugs)
 
-@register_filter("category_slug")
-def _category_slug(filters, cands, t):
-    targets = slug_targets(filters, t)
-    ids = _expand(targets.filter(~F.col("noop")), F.col("exact"), t)
-    hit = _by_request(ids, cands, ["category_id"])
-    noop = targets.filter(F.col("noop")).select("request_id", "filter_no")
-    return hit.unionByName(cands.join(noop, "request_id"))
+
+def _slug_noop(arg: Column) -> Column:
+    return F.regexp_replace(arg, ":+$", "") == ""
 
 
 # --------------------------------------------------------------------- apply
-def apply_filters(cands: DataFrame, filters: DataFrame, t: ForumTables) -> DataFrame:
+def apply_filters(cands: DataFrame, filters: DataFrame, t: ForumTables,
+                  closure: DataFrame | None = None) -> DataFrame:
     """TX7: keep the candidates that pass every filter of their request (AND).
 
-    ``filters``: (request_id, filter_no, kind, arg, current_user_id). Requests
-    without filters keep all their candidates; an unknown kind passes nothing.
+    One pass over the candidates: each candidate meets its request's few
+    filter rows (broadcast-size), probes the resolved key sets with one
+    equi-join on (request_id, filter_no, value), and survives when every
+    filter row passed. Requests without filters keep all candidates.
     """
     cols = cands.columns
-    n = filters.groupBy("request_id").agg(F.countDistinct("filter_no").alias("_n_filters"))
-    passing = None
-    for kind, fn in MATCHERS.items():
-        part = fn(filters.filter(F.col("kind") == kind), cands, t).select(*cols, "filter_no")
-        passing = part if passing is None else passing.unionByName(part)
-    counted = passing.groupBy(*cols).agg(F.countDistinct("filter_no").alias("_n_pass"))
-    filtered = counted.join(n, "request_id").filter(F.col("_n_pass") == F.col("_n_filters")).select(*cols)
-    unfiltered = cands.join(n.select("request_id"), "request_id", "left_anti")
-    return unfiltered.unionByName(filtered)
+    closure = closure if closure is not None else category_closure(t.categories)
+    allowed = None
+    for kind, k in KINDS.items():
+        if k.resolve is None:
+            continue
+        fk = filters.filter(F.col("kind") == kind)
+        if kind in ("category", "category_slug"):
+            part = k.resolve(fk, t, closure)
+        else:
+            part = k.resolve(fk, t)
+        part = part.select("request_id", "filter_no", F.col("value").cast("long").alias("value"))
+        allowed = part if allowed is None else allowed.unionByName(part)
+    allowed = allowed.distinct().withColumn("_ok", F.lit(True))
+
+    probe = F.lit(None).cast("long")
+    direct = F.lit(None).cast("boolean")
+    for kind, k in KINDS.items():
+        is_kind = F.col("kind") == kind
+        if k.probe is not None:
+            probe = F.when(is_kind, F.col(k.probe).cast("long")).otherwise(probe)
+        if k.check is not None:
+            c = k.check(F.col("arg"))
+            direct = F.when(is_kind, F.coalesce(c, F.lit(True))).otherwise(direct)
+    slug_noop = (F.col("kind") == "category_slug") & _slug_noop(F.col("arg"))
+    direct = F.when(slug_noop, F.lit(True)).otherwise(direct)
+    # An unknown kind (no probe, no check) passes nothing.
+    known = F.col("kind").isin(*KINDS.keys())
+
+    meta = filters.select("request_id", "filter_no", "kind", "arg")
+    x = cands.join(meta, "request_id", "left").withColumn("_probe", probe).withColumn("_direct", direct)
+    a = allowed.select(F.col("request_id").alias("_a_req"), F.col("filter_no").alias("_a_no"),
+                       F.col("value").alias("_a_val"), "_ok")
+    x = x.join(a, (F.col("request_id") == F.col("_a_req")) & (F.col("filter_no") == F.col("_a_no"))
+               & (F.col("_probe") == F.col("_a_val")), "left")
+    passed = (F.col("filter_no").isNull()
+              | (known & F.coalesce(F.col("_direct"), F.col("_ok").isNotNull())))
+    g = x.groupBy(*cols).agg(F.bool_and(passed).alias("_pass"))
+    return g.filter("_pass").select(*cols)

@@ -105,14 +105,17 @@ def hamming_candidates(vindex: DataFrame, queries: DataFrame, dim: int,
     hamming, cand_rank (1-based, ties by upload_id).
     """
     spark = vindex.sparkSession
-    n = queries.count()
-    blocks = max(1, math.ceil(n / max_queries_per_block))
-    parts = []
     codes = vindex.select("upload_id", "code")
-    for b in range(blocks):
-        blk = queries if blocks == 1 else queries.filter(
-            F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == b)
-        rows = _collect_block(blk, max_queries_per_block)
+    # One job when the batch fits one block (the common case); else split by hash.
+    first = queries.select("request_id", "qcode", "k").limit(max_queries_per_block + 1).collect()
+    if len(first) <= max_queries_per_block:
+        blocks = [first]
+    else:
+        n_blocks = math.ceil(queries.count() / max_queries_per_block)
+        blocks = [_collect_block(queries.filter(F.pmod(F.xxhash64("request_id"), F.lit(n_blocks)) == b),
+                                 max_queries_per_block) for b in range(n_blocks)]
+    parts = []
+    for rows in blocks:
         if not rows:
             continue
         qids = np.array([r.request_id for r in rows], dtype=np.int64)

@@ -28,6 +28,12 @@ from .requests import filter_rows, parse_requests, request_modes, validate_reque
 class SearchOutput:
     results: DataFrame  # request_id, rank, post_id, upload_id
     envelope: DataFrame  # one row per request
+    cached: tuple = ()
+
+    def release(self) -> None:
+        """Drop the cached per-batch intermediates."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def prepare_requests(requests: DataFrame, limit: int = PAGE_SIZE) -> DataFrame:
@@ -53,16 +59,20 @@ def post_pairs(hits: DataFrame, t: ForumTables, cfg: Settings | None = None,
     return hits.join(links, "upload_id")
 
 
-def _filtered(pairs: DataFrame, reqs: DataFrame, t: ForumTables) -> DataFrame:
-    return flt.apply_filters(pairs, filter_rows(reqs.filter(F.size("filters") > 0)), t)
+def _filtered(pairs: DataFrame, reqs: DataFrame, t: ForumTables, closure: DataFrame | None = None) -> DataFrame:
+    return flt.apply_filters(pairs, filter_rows(reqs.filter(F.size("filters") > 0)), t, closure)
 
 
-def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame, cfg: Settings | None, max_rank: int,
-             paging: str = "linear", strict_visibility: bool = False) -> DataFrame:
+def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: Settings | None, max_rank: int,
+             paging: str = "linear", strict_visibility: bool = False,
+             closure: DataFrame | None = None) -> DataFrame:
     """OCR matches, filters before the limit, newest post first."""
     r = reqs.filter(F.col("search_ocr"))
-    hits = textindex.search_images_ocr(r.select("request_id", "processed_term"), postings)
-    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t)
+    if postings is None:
+        hits = textindex.search_images_ocr_scan(r.select("request_id", "processed_term"), t.index)
+    else:
+        hits = textindex.search_images_ocr(r.select("request_id", "processed_term"), postings)
+    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure)
     w = Window.partitionBy("request_id").orderBy(F.col("post_id").desc(), F.col("upload_id").desc())
     ranked = pairs.select("request_id", "post_id", "upload_id").withColumn("pos", F.row_number().over(w))
     ranked = ranked.filter(F.col("pos") <= max_rank)
@@ -75,7 +85,7 @@ def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame, cfg: Settings
 
 def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cfg: Settings,
                    vindex: DataFrame | None = None, oversample: int = 2,
-                   strict_visibility: bool = False) -> DataFrame:
+                   strict_visibility: bool = False, closure: DataFrame | None = None) -> DataFrame:
     """V4 + T4: image top-k first (limit applies to images), then posts by image rank."""
     r = reqs.filter(F.col("search_embeddings") | F.col("search_by_image"))
     thr = F.when(F.col("search_by_image"), F.lit(cfg.image_similarity_threshold)).otherwise(
@@ -84,7 +94,7 @@ def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cf
                  F.col("side_offset").alias("offset")).join(query_vectors.select("request_id", "qvec"), "request_id")
     imgs = knn.search_images_embedding(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample)
     hits = imgs.select("request_id", "upload_id", F.col("rank").alias("img_rank"))
-    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t)
+    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure)
     w = Window.partitionBy("request_id").orderBy("img_rank", F.col("post_id").desc())
     return pairs.select("request_id", "post_id", "upload_id",
                         F.row_number().over(w).cast("long").alias("side_rank"))
@@ -98,13 +108,16 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
     ``query_vectors`` (request_id, qvec) comes from the user's embedder (text
     for embedding mode, image for by-image mode), see ``embed_queries``.
     """
-    reqs = prepare_requests(requests, limit).filter(F.col("error").isNull())
+    # The request batch, the category closure and the two paged sides are
+    # small and read several times below: cache them once per batch.
+    reqs = prepare_requests(requests, limit).filter(F.col("error").isNull()).cache()
     if max_page is None:
         max_page = reqs.agg(F.max("page_no")).first()[0] or 0
     max_rank = int(limit * (max_page + 1) * (max_page + 1 if paging != "linear" else 1))
-    postings = postings if postings is not None else textindex.postings(t.index)
-    ocr = ocr_side(reqs, t, postings, cfg, max_rank, paging, strict_visibility)
-    emb = embedding_side(reqs, t, query_vectors, cfg, vindex, strict_visibility=strict_visibility)
+    closure = flt.category_closure(t.categories).cache()
+    ocr = ocr_side(reqs, t, postings, cfg, max_rank, paging, strict_visibility, closure).cache()
+    emb = embedding_side(reqs, t, query_vectors, cfg, vindex, strict_visibility=strict_visibility,
+                         closure=closure).cache()
 
     ocr_n = ocr.groupBy("request_id").agg(F.count("*").alias("n_ocr"))
     emb_n = emb.groupBy("request_id").agg(F.count("*").alias("n_emb"))
@@ -139,4 +152,4 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
         "request_id", "term", "processed_term", "search_ocr", "search_embeddings", "search_by_image",
         "page_no", "error", F.coalesce("has_more", F.lit(False)).alias("has_more"),
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"))
-    return SearchOutput(results=results, envelope=envelope)
+    return SearchOutput(results=results, envelope=envelope, cached=(reqs, closure, ocr, emb))

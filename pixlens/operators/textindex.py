@@ -65,6 +65,21 @@ def search_images_ocr(requests: DataFrame, post: DataFrame, term_col: str = "pro
     return counted.filter(F.col("n_hit") == F.col("n_terms")).select("request_id", "upload_id")
 
 
+def search_images_ocr_scan(requests: DataFrame, index: DataFrame, term_col: str = "processed_term",
+                           cjk_bigrams: bool = False) -> DataFrame:
+    """TX4 without a posting table: the stored lexeme arrays of the index are
+    de-duplicated per image and probed against the (broadcast) request terms.
+    No shuffle of the index; one hash aggregate on (request, image) matches.
+    """
+    terms = request_terms(requests, term_col, cjk_bigrams).drop("bucket")
+    lex = index.filter(F.col("ocr_lexemes").isNotNull()).select(
+        "upload_id", F.explode(F.array_distinct("ocr_lexemes")).alias("lexeme"))
+    hits = lex.join(terms, "lexeme")
+    counted = hits.groupBy("request_id", "upload_id").agg(
+        F.count("lexeme").alias("n_hit"), F.first("n_terms").alias("n_terms"))
+    return counted.filter(F.col("n_hit") == F.col("n_terms")).select("request_id", "upload_id")
+
+
 def index_lexemes(ocr_text_col: str = "ocr_text", cjk_bigrams: bool = False):
     """The lexeme column written with every index row (NULL iff text is NULL)."""
     return lexemes(F.col(ocr_text_col), cjk_bigrams)

@@ -88,7 +88,7 @@ def apply_filters(spark, sf_dir):
     f = _f(spark, sf_dir)
     t = f.tables()
     r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull() & F.col("search_ocr"))
-    hits = textindex.search_images_ocr(r, textindex.postings(f.index))
+    hits = textindex.search_images_ocr_scan(r, f.index)
     pairs = se.post_pairs(hits, t)
     out = flt.apply_filters(pairs, filter_rows(r.filter(F.size("filters") > 0)), t)
     return out.select("request_id", "post_id", "upload_id")
@@ -102,7 +102,7 @@ def search_ocr_page(spark, sf_dir):
     f = _f(spark, sf_dir)
     t = f.tables()
     r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull() & F.col("search_ocr"))
-    hits = textindex.search_images_ocr(r, textindex.postings(f.index))
+    hits = textindex.search_images_ocr_scan(r, f.index)
     out = flt.apply_filters(se.post_pairs(hits, t), filter_rows(r.filter(F.size("filters") > 0)), t)
     n = out.groupBy("request_id").agg(F.count("*").alias("n_pairs"))
     return r.select("request_id").join(n, "request_id", "left").select(
@@ -114,7 +114,7 @@ def search_ocr_page(spark, sf_dir):
 def search_ocr(spark, sf_dir):
     f = _f(spark, sf_dir)
     r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull())
-    out = se.ocr_side(r, f.tables(), textindex.postings(f.index), CFG, max_rank=LIMIT * 2)
+    out = se.ocr_side(r, f.tables(), None, CFG, max_rank=LIMIT * 2)
     return out.select("request_id", "post_id", "upload_id", F.col("side_rank").cast("long").alias("side_rank"))
 
 
@@ -215,7 +215,7 @@ def filter_after(spark, sf_dir):
 @register("filter_user", search_sql(_FILTER_POSTS.format(on="p.user_id = f.user_id", kind="user"), parts=()))
 def filter_user(spark, sf_dir):
     f = _f(spark, sf_dir)
-    u = flt.resolve_users(_filters(spark, sf_dir, "user"), f.tables())
+    u = flt.resolve_users(_filters(spark, sf_dir, "user"), f.tables()).withColumnRenamed("value", "user_id")
     return u.join(_posts(f), "user_id").select("request_id", "post_id")
 
 
@@ -224,7 +224,7 @@ def filter_user(spark, sf_dir):
        "AND list_contains(string_split(f.arg, ','), g.name))", kind="tags"), parts=()))
 def filter_tags_any(spark, sf_dir):
     f = _f(spark, sf_dir)
-    tp = flt.resolve_tags(_filters(spark, sf_dir, "tags"), f.tables())
+    tp = flt.resolve_tags(_filters(spark, sf_dir, "tags"), f.tables()).withColumnRenamed("value", "topic_id")
     return tp.join(_posts(f), "topic_id").select("request_id", "post_id")
 
 
@@ -239,7 +239,7 @@ _CAT_POSTS = """
 def filter_category(spark, sf_dir):
     f = _f(spark, sf_dir)
     t = f.tables()
-    ids = flt.resolve_categories(_filters(spark, sf_dir, "category"), t)
+    ids = flt.resolve_categories(_filters(spark, sf_dir, "category"), t).withColumnRenamed("value", "category_id")
     topics = t.topics.select(F.col("id").alias("topic_id"), "category_id")
     return ids.join(topics, "category_id").join(_posts(f), "topic_id").select("request_id", "post_id").distinct()
 
@@ -248,8 +248,7 @@ def filter_category(spark, sf_dir):
 def filter_category_slug(spark, sf_dir):
     f = _f(spark, sf_dir)
     t = f.tables()
-    targets = flt.slug_targets(_filters(spark, sf_dir, "category_slug"), t)
-    ids = flt._expand(targets.filter(~F.col("noop")), F.col("exact"), t)
+    ids = flt.resolve_slugs(_filters(spark, sf_dir, "category_slug"), t).withColumnRenamed("value", "category_id")
     topics = t.topics.select(F.col("id").alias("topic_id"), "category_id")
     return ids.join(topics, "category_id").join(_posts(f), "topic_id").select("request_id", "post_id").distinct()
 

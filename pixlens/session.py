@@ -57,3 +57,32 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for materialized tables."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/tables/" + name
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pixlens`` importable in Python workers (``addPyFile`` of a zip).
+
+    Python-side operators (vector scan, analyzer, excerpt) pickle functions by
+    reference; on a cluster the executors need the package. Done once per
+    SparkContext.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="pixlens-pkg-", dir=os.environ.get("PIXLENS_SCRATCH", "/tmp"))
+    path = os.path.join(out_dir, "pixlens.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
