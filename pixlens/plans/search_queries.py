@@ -264,3 +264,32 @@ def category_terms(spark, sf_dir):
 @register("category_closure", "SELECT root, id FROM category_closure")
 def category_closure(spark, sf_dir):
     return flt.category_closure(_f(spark, sf_dir).categories)
+
+
+_PAGED_REQS = ("(SELECT s.request_id * 1000 + sp AS request_id, s.method, s.term, s.image_ref, s.image_content_type, "
+               "s.ocr, s.embed, CAST(sp AS BIGINT) AS page, s.current_user_id, s.request_id AS orig_id, "
+               "CAST(sp AS BIGINT) AS shown_page "
+               "FROM search_requests s, range(0, coalesce(s.page, 0) + 1) t(sp)) r")
+
+
+def _paged_sql() -> str:
+    sql = search_sql("""
+      SELECT v.orig_id AS request_id, v.shown_page AS page_no, r.rank, r.post_id, r.upload_id
+      FROM results r JOIN valid v ON v.request_id = r.request_id""")
+    sql = sql.replace("FROM search_requests r", f"FROM {_PAGED_REQS}")
+    return sql.replace("JOIN request_embeddings e ON e.request_id = v.request_id",
+                       "JOIN request_embeddings e ON e.request_id = v.orig_id")
+
+
+@register("pages_cumulative", _paged_sql())
+def pages_cumulative(spark, sf_dir):
+    from ..operators.results import cumulative_pages
+    f = _f(spark, sf_dir)
+    t = f.tables()
+
+    def run(expanded):
+        keys = expanded.select("request_id", (F.col("request_id") / 1000).cast("long").alias("orig"))
+        qv = keys.join(f.request_embeddings.withColumnRenamed("request_id", "orig"), "orig").drop("orig")
+        return se.search(expanded, t, CFG, qv, limit=LIMIT).results
+
+    return cumulative_pages(run, f.search_requests)
