@@ -187,20 +187,25 @@ def _slug_noop(arg: Column) -> Column:
 
 # --------------------------------------------------------------------- apply
 def apply_filters(cands: DataFrame, filters: DataFrame, t: ForumTables,
-                  closure: DataFrame | None = None) -> DataFrame:
+                  closure: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
     """TX7: keep the candidates that pass every filter of their request (AND).
 
     One pass over the candidates: each candidate meets its request's few
     filter rows (broadcast-size), probes the resolved key sets with one
     equi-join on (request_id, filter_no, value), and survives when every
     filter row passed. Requests without filters keep all candidates.
+    ``kinds`` (when known) limits the resolvers to the kinds in the batch;
+    an empty list skips the filter stage.
     """
+    if kinds is not None and not kinds:
+        return cands
     cols = cands.columns
-    closure = closure if closure is not None else category_closure(t.categories)
     allowed = None
     for kind, k in KINDS.items():
-        if k.resolve is None:
+        if k.resolve is None or (kinds is not None and kind not in kinds):
             continue
+        if closure is None and kind in ("category", "category_slug"):
+            closure = category_closure(t.categories)
         fk = filters.filter(F.col("kind") == kind)
         if kind in ("category", "category_slug"):
             part = k.resolve(fk, t, closure)
@@ -208,6 +213,8 @@ def apply_filters(cands: DataFrame, filters: DataFrame, t: ForumTables,
             part = k.resolve(fk, t)
         part = part.select("request_id", "filter_no", F.col("value").cast("long").alias("value"))
         allowed = part if allowed is None else allowed.unionByName(part)
+    if allowed is None:
+        allowed = cands.sparkSession.createDataFrame([], "request_id long, filter_no int, value long")
     allowed = allowed.distinct().withColumn("_ok", F.lit(True))
 
     probe = F.lit(None).cast("long")

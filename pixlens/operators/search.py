@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PAGE_SIZE, Settings
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import ForumTables
 from . import eligibility as el
 from . import filters as flt
@@ -28,12 +29,9 @@ from .requests import filter_rows, parse_requests, request_modes, validate_reque
 class SearchOutput:
     results: DataFrame  # request_id, rank, post_id, upload_id
     envelope: DataFrame  # one row per request
-    cached: tuple = ()
 
     def release(self) -> None:
-        """Drop the cached per-batch intermediates."""
-        for df in self.cached:
-            df.unpersist()
+        """Nothing is cached; kept for callers that release per batch."""
 
 
 def prepare_requests(requests: DataFrame, limit: int = PAGE_SIZE) -> DataFrame:
@@ -59,20 +57,21 @@ def post_pairs(hits: DataFrame, t: ForumTables, cfg: Settings | None = None,
     return hits.join(links, "upload_id")
 
 
-def _filtered(pairs: DataFrame, reqs: DataFrame, t: ForumTables, closure: DataFrame | None = None) -> DataFrame:
-    return flt.apply_filters(pairs, filter_rows(reqs.filter(F.size("filters") > 0)), t, closure)
+def _filtered(pairs: DataFrame, reqs: DataFrame, t: ForumTables, closure: DataFrame | None = None,
+              kinds: list[str] | None = None) -> DataFrame:
+    return flt.apply_filters(pairs, filter_rows(reqs.filter(F.size("filters") > 0)), t, closure, kinds)
 
 
 def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: Settings | None, max_rank: int,
              paging: str = "linear", strict_visibility: bool = False,
-             closure: DataFrame | None = None) -> DataFrame:
+             closure: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
     """OCR matches, filters before the limit, newest post first."""
     r = reqs.filter(F.col("search_ocr"))
     if postings is None:
         hits = textindex.search_images_ocr_scan(r.select("request_id", "processed_term"), t.index)
     else:
         hits = textindex.search_images_ocr(r.select("request_id", "processed_term"), postings)
-    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure)
+    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure, kinds)
     w = Window.partitionBy("request_id").orderBy(F.col("post_id").desc(), F.col("upload_id").desc())
     ranked = pairs.select("request_id", "post_id", "upload_id").withColumn("pos", F.row_number().over(w))
     ranked = ranked.filter(F.col("pos") <= max_rank)
@@ -85,7 +84,8 @@ def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: S
 
 def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cfg: Settings,
                    vindex: DataFrame | None = None, oversample: int = 2,
-                   strict_visibility: bool = False, closure: DataFrame | None = None) -> DataFrame:
+                   strict_visibility: bool = False, closure: DataFrame | None = None,
+                   kinds: list[str] | None = None) -> DataFrame:
     """V4 + T4: image top-k first (limit applies to images), then posts by image rank."""
     r = reqs.filter(F.col("search_embeddings") | F.col("search_by_image"))
     thr = F.when(F.col("search_by_image"), F.lit(cfg.image_similarity_threshold)).otherwise(
@@ -94,7 +94,7 @@ def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cf
                  F.col("side_offset").alias("offset")).join(query_vectors.select("request_id", "qvec"), "request_id")
     imgs = knn.search_images_embedding(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample)
     hits = imgs.select("request_id", "upload_id", F.col("rank").alias("img_rank"))
-    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure)
+    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure, kinds)
     w = Window.partitionBy("request_id").orderBy("img_rank", F.col("post_id").desc())
     return pairs.select("request_id", "post_id", "upload_id",
                         F.row_number().over(w).cast("long").alias("side_rank"))
@@ -108,21 +108,37 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
     ``query_vectors`` (request_id, qvec) comes from the user's embedder (text
     for embedding mode, image for by-image mode), see ``embed_queries``.
     """
-    # The request batch, the category closure and the two paged sides are
-    # small and read several times below: cache them once per batch.
-    reqs = prepare_requests(requests, limit).filter(F.col("error").isNull()).cache()
+    # The parsed request batch is small and feeds every branch: checkpoint it
+    # once (reliable storage in spark.checkpoint.dir) so each branch reads a
+    # short plan. One tiny job then tells which branches the batch needs.
+    ensure_checkpoint_dir(requests.sparkSession)
+    prepared = prepare_requests(requests, limit).checkpoint(eager=True)
+    reqs = prepared.filter(F.col("error").isNull())
+    need = reqs.agg(F.max(F.col("search_ocr").cast("int")).alias("ocr"),
+                    F.max((F.col("search_embeddings") | F.col("search_by_image")).cast("int")).alias("emb"),
+                    F.max("page_no").alias("page")).first()
     if max_page is None:
-        max_page = reqs.agg(F.max("page_no")).first()[0] or 0
+        max_page = need["page"] or 0
     max_rank = int(limit * (max_page + 1) * (max_page + 1 if paging != "linear" else 1))
-    closure = flt.category_closure(t.categories).cache()
-    ocr = ocr_side(reqs, t, postings, cfg, max_rank, paging, strict_visibility, closure).cache()
-    emb = embedding_side(reqs, t, query_vectors, cfg, vindex, strict_visibility=strict_visibility,
-                         closure=closure).cache()
-
-    ocr_n = ocr.groupBy("request_id").agg(F.count("*").alias("n_ocr"))
-    emb_n = emb.groupBy("request_id").agg(F.count("*").alias("n_emb"))
-    both = ocr.select("request_id", "post_id", "upload_id", F.lit(1).alias("src"), "side_rank").unionByName(
-        emb.select("request_id", "post_id", "upload_id", F.lit(0).alias("src"), "side_rank"))
+    kinds = [r.kind for r in filter_rows(reqs.filter(F.size("filters") > 0)).select("kind").distinct().collect()]
+    closure = None
+    if "category" in kinds or "category_slug" in kinds:
+        closure = flt.category_closure(t.categories).checkpoint(eager=True)
+
+    sides = []
+    if need["ocr"]:
+        ocr = ocr_side(reqs, t, postings, cfg, max_rank, paging, strict_visibility, closure, kinds)
+        sides.append(ocr.select("request_id", "post_id", "upload_id", F.lit(1).alias("src"), "side_rank"))
+    if need["emb"]:
+        emb = embedding_side(reqs, t, query_vectors, cfg, vindex, strict_visibility=strict_visibility,
+                             closure=closure, kinds=kinds)
+        sides.append(emb.select("request_id", "post_id", "upload_id", F.lit(0).alias("src"), "side_rank"))
+    if sides:
+        both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+    else:
+        both = reqs.sparkSession.createDataFrame(
+            [], "request_id long, post_id long, upload_id long, src int, side_rank long")
+
     modes = reqs.select("request_id", "search_ocr", "search_embeddings")
     uniq = both.groupBy("request_id", "post_id", "upload_id").agg(
         F.min(F.struct("src", "side_rank")).alias("first"))
@@ -134,9 +150,12 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
     results = uniq.select("request_id", "post_id", "upload_id",
                           F.row_number().over(w).cast("long").alias("rank"))
 
+    # has_more counts the (post, image) rows of each side before de-duplication.
+    side_n = both.groupBy("request_id").agg(F.count_if(F.col("src") == 1).alias("n_ocr"),
+                                            F.count_if(F.col("src") == 0).alias("n_emb"))
+    res_n = uniq.groupBy("request_id").agg(F.count("*").alias("n_results"))
     counts = reqs.select("request_id", "side_limit", "search_ocr", "search_embeddings", "search_by_image") \
-        .join(ocr_n, "request_id", "left").join(emb_n, "request_id", "left") \
-        .join(results.groupBy("request_id").agg(F.count("*").alias("n_results")), "request_id", "left")
+        .join(side_n, "request_id", "left").join(res_n, "request_id", "left")
     n_ocr, n_emb = F.coalesce("n_ocr", F.lit(0)), F.coalesce("n_emb", F.lit(0))
     has_more = (F.when(F.col("search_ocr") & F.col("search_embeddings"),
                        (n_emb >= F.col("side_limit")) | (n_ocr >= F.col("side_limit")))
@@ -145,11 +164,10 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
                 .otherwise(F.lit(False)))
     env = counts.select("request_id", has_more.alias("has_more"),
                         F.coalesce("n_results", F.lit(0)).alias("n_results"))
-    all_reqs = prepare_requests(requests, limit).select(
+    envelope = prepared.select(
         "request_id", "term", "processed_term", "search_ocr", "search_embeddings", "search_by_image",
-        "page_no", "error")
-    envelope = all_reqs.join(env, "request_id", "left").select(
+        "page_no", "error").join(env, "request_id", "left").select(
         "request_id", "term", "processed_term", "search_ocr", "search_embeddings", "search_by_image",
         "page_no", "error", F.coalesce("has_more", F.lit(False)).alias("has_more"),
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"))
-    return SearchOutput(results=results, envelope=envelope, cached=(reqs, closure, ocr, emb))
+    return SearchOutput(results=results, envelope=envelope)
