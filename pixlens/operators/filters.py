@@ -186,20 +186,9 @@ def _slug_noop(arg: Column) -> Column:
 
 
 # --------------------------------------------------------------------- apply
-def apply_filters(cands: DataFrame, filters: DataFrame, t: ForumTables,
-                  closure: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
-    """TX7: keep the candidates that pass every filter of their request (AND).
-
-    One pass over the candidates: each candidate meets its request's few
-    filter rows (broadcast-size), probes the resolved key sets with one
-    equi-join on (request_id, filter_no, value), and survives when every
-    filter row passed. Requests without filters keep all candidates.
-    ``kinds`` (when known) limits the resolvers to the kinds in the batch;
-    an empty list skips the filter stage.
-    """
-    if kinds is not None and not kinds:
-        return cands
-    cols = cands.columns
+def resolve_filters(filters: DataFrame, t: ForumTables, closure: DataFrame | None = None,
+                    kinds: list[str] | None = None) -> DataFrame:
+    """(request_id, filter_no, value, _ok): the allowed key values of every keyed filter."""
     allowed = None
     for kind, k in KINDS.items():
         if k.resolve is None or (kinds is not None and kind not in kinds):
@@ -214,8 +203,28 @@ def apply_filters(cands: DataFrame, filters: DataFrame, t: ForumTables,
         part = part.select("request_id", "filter_no", F.col("value").cast("long").alias("value"))
         allowed = part if allowed is None else allowed.unionByName(part)
     if allowed is None:
-        allowed = cands.sparkSession.createDataFrame([], "request_id long, filter_no int, value long")
-    allowed = allowed.distinct().withColumn("_ok", F.lit(True))
+        allowed = filters.sparkSession.createDataFrame([], "request_id long, filter_no int, value long")
+    return allowed.distinct().withColumn("_ok", F.lit(True))
+
+
+def apply_filters(cands: DataFrame, filters: DataFrame, t: ForumTables,
+                  closure: DataFrame | None = None, kinds: list[str] | None = None,
+                  allowed: DataFrame | None = None) -> DataFrame:
+    """TX7: keep the candidates that pass every filter of their request (AND).
+
+    One pass over the candidates: each candidate meets its request's few
+    filter rows (broadcast-size), probes the resolved key sets (``allowed``,
+    from ``resolve_filters``; resolved here when not given) with one equi-join
+    on (request_id, filter_no, value), and survives when every filter row
+    passed. Requests without filters keep all candidates. ``kinds`` (when
+    known) limits the resolvers to the kinds in the batch; an empty list skips
+    the filter stage.
+    """
+    if kinds is not None and not kinds:
+        return cands
+    cols = cands.columns
+    if allowed is None:
+        allowed = resolve_filters(filters, t, closure, kinds)
 
     probe = F.lit(None).cast("long")
     direct = F.lit(None).cast("boolean")

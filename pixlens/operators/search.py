@@ -50,28 +50,31 @@ def prepare_requests(requests: DataFrame, limit: int = PAGE_SIZE) -> DataFrame:
 def post_pairs(hits: DataFrame, t: ForumTables, cfg: Settings | None = None,
                strict_visibility: bool = False) -> DataFrame:
     """(request_id, upload_id, ...) hits -> rows per (post, upload) on searchable posts."""
+    # Join order starts from the hits: hits -> links -> posts -> topics, so the
+    # host tables are probed by the hit set (broadcast when small, AQE) and
+    # every post is never joined with every link.
     posts = el.searchable_posts(t.posts, t, cfg, strict_visibility).select(
         F.col("id").alias("post_id"), "topic_id", "user_id", "created_at")
     topics = t.topics.select(F.col("id").alias("topic_id"), "category_id")
-    links = t.post_uploads.join(posts, "post_id").join(topics, "topic_id", "left")
-    return hits.join(links, "upload_id")
+    return hits.join(t.post_uploads, "upload_id").join(posts, "post_id").join(topics, "topic_id", "left")
 
 
 def _filtered(pairs: DataFrame, reqs: DataFrame, t: ForumTables, closure: DataFrame | None = None,
-              kinds: list[str] | None = None) -> DataFrame:
-    return flt.apply_filters(pairs, filter_rows(reqs.filter(F.size("filters") > 0)), t, closure, kinds)
+              kinds: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    return flt.apply_filters(pairs, filter_rows(reqs.filter(F.size("filters") > 0)), t, closure, kinds, allowed)
 
 
 def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: Settings | None, max_rank: int,
              paging: str = "linear", strict_visibility: bool = False,
-             closure: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
+             closure: DataFrame | None = None, kinds: list[str] | None = None,
+             allowed: DataFrame | None = None) -> DataFrame:
     """OCR matches, filters before the limit, newest post first."""
     r = reqs.filter(F.col("search_ocr"))
     if postings is None:
         hits = textindex.search_images_ocr_scan(r.select("request_id", "processed_term"), t.index)
     else:
         hits = textindex.search_images_ocr(r.select("request_id", "processed_term"), postings)
-    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure, kinds)
+    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure, kinds, allowed)
     w = Window.partitionBy("request_id").orderBy(F.col("post_id").desc(), F.col("upload_id").desc())
     ranked = pairs.select("request_id", "post_id", "upload_id").withColumn("pos", F.row_number().over(w))
     ranked = ranked.filter(F.col("pos") <= max_rank)
@@ -85,7 +88,7 @@ def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: S
 def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cfg: Settings,
                    vindex: DataFrame | None = None, oversample: int = 2,
                    strict_visibility: bool = False, closure: DataFrame | None = None,
-                   kinds: list[str] | None = None) -> DataFrame:
+                   kinds: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """V4 + T4: image top-k first (limit applies to images), then posts by image rank."""
     r = reqs.filter(F.col("search_embeddings") | F.col("search_by_image"))
     thr = F.when(F.col("search_by_image"), F.lit(cfg.image_similarity_threshold)).otherwise(
@@ -94,7 +97,7 @@ def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cf
                  F.col("side_offset").alias("offset")).join(query_vectors.select("request_id", "qvec"), "request_id")
     imgs = knn.search_images_embedding(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample)
     hits = imgs.select("request_id", "upload_id", F.col("rank").alias("img_rank"))
-    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure, kinds)
+    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure, kinds, allowed)
     w = Window.partitionBy("request_id").orderBy("img_rank", F.col("post_id").desc())
     return pairs.select("request_id", "post_id", "upload_id",
                         F.row_number().over(w).cast("long").alias("side_rank"))
@@ -121,17 +124,21 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
         max_page = need["page"] or 0
     max_rank = int(limit * (max_page + 1) * (max_page + 1 if paging != "linear" else 1))
     kinds = [r.kind for r in filter_rows(reqs.filter(F.size("filters") > 0)).select("kind").distinct().collect()]
-    closure = None
+    closure = allowed = None
     if "category" in kinds or "category_slug" in kinds:
         closure = flt.category_closure(t.categories).checkpoint(eager=True)
+    if kinds:
+        # Resolve every filter of the batch once; both sides probe the same table.
+        allowed = flt.resolve_filters(filter_rows(reqs.filter(F.size("filters") > 0)), t, closure,
+                                      kinds).checkpoint(eager=True)
 
     sides = []
     if need["ocr"]:
-        ocr = ocr_side(reqs, t, postings, cfg, max_rank, paging, strict_visibility, closure, kinds)
+        ocr = ocr_side(reqs, t, postings, cfg, max_rank, paging, strict_visibility, closure, kinds, allowed)
         sides.append(ocr.select("request_id", "post_id", "upload_id", F.lit(1).alias("src"), "side_rank"))
     if need["emb"]:
         emb = embedding_side(reqs, t, query_vectors, cfg, vindex, strict_visibility=strict_visibility,
-                             closure=closure, kinds=kinds)
+                             closure=closure, kinds=kinds, allowed=allowed)
         sides.append(emb.select("request_id", "post_id", "upload_id", F.lit(0).alias("src"), "side_rank"))
     if sides:
         both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])

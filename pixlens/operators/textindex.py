@@ -28,10 +28,18 @@ def with_bucket(df: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
 
 
 def postings(index: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """TX2: (bucket, lexeme, upload_id, positions) - partial aggregation map-side."""
-    rows = lexeme_rows(index)
-    grouped = rows.groupBy("lexeme", "upload_id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    return with_bucket(grouped, n_buckets)
+    """TX2: (bucket, lexeme, upload_id, positions).
+
+    The compact lexeme arrays are hash-partitioned by upload_id (a no-op when
+    the index is already bucketed that way); exploding and grouping by
+    (upload_id, lexeme) then runs inside each partition, so the exploded rows
+    are never shuffled.
+    """
+    docs = index.filter(F.col("ocr_lexemes").isNotNull()).select("upload_id", "ocr_lexemes").repartition("upload_id")
+    rows = docs.select("upload_id", F.posexplode("ocr_lexemes").alias("pos", "lexeme"))
+    grouped = rows.groupBy("upload_id", "lexeme").agg(
+        F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    return with_bucket(grouped, n_buckets).select("bucket", "lexeme", "upload_id", "positions")
 
 
 def write_postings(post: DataFrame, path: str) -> None:

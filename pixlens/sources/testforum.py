@@ -52,8 +52,13 @@ class TestForum:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    _BASE: dict = {}
+
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        key = (id(self.spark._jsparkSession), self.sf_dir, name)
+        if key not in TestForum._BASE:
+            TestForum._BASE[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return TestForum._BASE[key]
 
     # -- dimension-like tables ------------------------------------------------
     @cached_property
