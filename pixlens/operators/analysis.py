@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from ..config import BACKFILL_BATCH, Settings
 from ..functions.text import join_lines, lexemes
 from ..schemas import ANALYSIS_RESPONSE_DDL
-from ..session import ensure_checkpoint_dir
 from ..sources.tables import ForumTables
 from . import eligibility as el
+from .ordering import dense_index
 
 Analyzer = Callable[[pd.DataFrame], pd.DataFrame]
 RESULT_DDL = ("sha1 string, ocr_result array<string>, embedding array<float>, success boolean, "
@@ -56,25 +56,6 @@ def image_info(uploads: DataFrame, cfg: Settings, files: DataFrame | None = None
     return base.select("id", "sha1", F.concat(F.lit(cfg.base_url), F.col("url")).alias("url"))
 
 
-def dense_index(df: DataFrame, order_col: str, descending: bool = False, name: str = "idx") -> DataFrame:
-    """0-based dense position in a global order, without a single-partition window.
-
-    Range-partition and sort, take per-partition row counts (one small row per
-    partition), turn them into offsets, add them back. The sorted data is
-    checkpointed first so the counts and the rows come from the same run.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    s = df.repartitionByRange(o).sortWithinPartitions(o).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.checkpoint(eager=True)
-    s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
-        "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = s.groupBy("_pid").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    return s.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_pos")).drop(
-        "_pid", "_pos", "_mid", "_off")
-
-
 def analysis_requests(images: DataFrame, cfg: Settings, batch_size: int = BACKFILL_BATCH,
                       analyze_ocr: bool | None = None, analyze_embedding: bool | None = None) -> DataFrame:
     """SRC5: one JSON payload per batch of ``batch_size`` images, in id order."""

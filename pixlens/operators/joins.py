@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 20000
 
 
-def bounded_theta_join(big: DataFrame, small: DataFrame, on: Column | None, key: str,
+def bounded_theta_join(big: DataFrame, small: DataFrame, on: Column, key: str,
                        max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, how: str = "inner") -> DataFrame:
     """Join ``big`` with a checked-size ``small`` on a non-equi condition.
 
@@ -28,10 +28,9 @@ def bounded_theta_join(big: DataFrame, small: DataFrame, on: Column | None, key:
     n = small.count()
     blocks = max(1, math.ceil(n / max_rows))
     if blocks == 1:
-        return big.join(F.broadcast(small), on, how) if on is not None else big.crossJoin(F.broadcast(small))
+        return big.join(F.broadcast(small), on, how)
     parts = []
     for b in range(blocks):
         piece = small.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)) == b)
-        parts.append(big.join(F.broadcast(piece), on, how) if on is not None
-                     else big.crossJoin(F.broadcast(piece)))
+        parts.append(big.join(F.broadcast(piece), on, how))
     return reduce(DataFrame.unionByName, parts)

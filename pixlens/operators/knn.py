@@ -208,6 +208,10 @@ def knn_lsh(queries: DataFrame, index: DataFrame, dim: int, band_bits: int = 8,
     scored = (pairs.join(vindex.select("upload_id", "code"), "upload_id")
               .join(q.select("request_id", "qcode", "k"), "request_id")
               .withColumn("hamming", V.hamming("code", "qcode", dim)))
+    # A literal bound first (partial top-k before the shuffle, even for a request
+    # whose bands match a third of the index), then each request's own k.
+    kmax = int(q.agg(F.max("k")).first()[0] or 0)
     w = Window.partitionBy("request_id").orderBy("hamming", "upload_id")
-    cands = scored.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= F.col("k"))
+    cands = scored.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= kmax) \
+        .filter(F.col("cand_rank") <= F.col("k"))
     return rerank(cands.select("request_id", "upload_id", "hamming", "cand_rank"), vindex, q)

@@ -22,6 +22,7 @@ from ..sources.tables import ForumTables
 from . import eligibility as el
 from . import filters as flt
 from . import knn, textindex
+from .ordering import rank_in_groups
 from .requests import filter_rows, parse_requests, request_modes, validate_requests
 
 
@@ -98,9 +99,15 @@ def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cf
     imgs = knn.search_images_embedding(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample)
     hits = imgs.select("request_id", "upload_id", F.col("rank").alias("img_rank"))
     pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure, kinds, allowed)
-    w = Window.partitionBy("request_id").orderBy("img_rank", F.col("post_id").desc())
-    return pairs.select("request_id", "post_id", "upload_id",
-                        F.row_number().over(w).cast("long").alias("side_rank"))
+    # Every post holding a top image is returned (no limit on posts), so one
+    # image may bring a third of all posts: no per-request window here.
+    return pairs.select("request_id", "post_id", "upload_id", "img_rank")
+
+
+def rank_embedding_side(pairs: DataFrame) -> DataFrame:
+    """T4: posts ordered by their image's rank, then newest post (skew-safe rank)."""
+    return rank_in_groups(pairs, "request_id", [F.col("img_rank"), F.col("post_id").desc()], "side_rank") \
+        .select("request_id", "post_id", "upload_id", "side_rank")
 
 
 def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: DataFrame,
@@ -139,7 +146,9 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
     if need["emb"]:
         emb = embedding_side(reqs, t, query_vectors, cfg, vindex, strict_visibility=strict_visibility,
                              closure=closure, kinds=kinds, allowed=allowed)
-        sides.append(emb.select("request_id", "post_id", "upload_id", F.lit(0).alias("src"), "side_rank"))
+        # img_rank orders the side; post_id desc breaks ties in the final rank.
+        sides.append(emb.select("request_id", "post_id", "upload_id", F.lit(0).alias("src"),
+                                F.col("img_rank").cast("long").alias("side_rank")))
     if sides:
         both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     else:
@@ -153,9 +162,9 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
     combined = F.col("search_ocr") & F.col("search_embeddings")
     # Combined: newest post first. Single mode: that side's own order.
     order_key = F.when(combined, F.lit(0)).otherwise(F.col("first.side_rank"))
-    w = Window.partitionBy("request_id").orderBy(order_key, F.col("post_id").desc(), F.col("upload_id").desc())
-    results = uniq.select("request_id", "post_id", "upload_id",
-                          F.row_number().over(w).cast("long").alias("rank"))
+    results = rank_in_groups(uniq.select("request_id", "post_id", "upload_id", order_key.alias("_k")),
+                             "request_id", [F.col("_k"), F.col("post_id").desc(), F.col("upload_id").desc()]) \
+        .select("request_id", "post_id", "upload_id", "rank")
 
     # has_more counts the (post, image) rows of each side before de-duplication.
     side_n = both.groupBy("request_id").agg(F.count_if(F.col("src") == 1).alias("n_ocr"),

@@ -138,7 +138,7 @@ def knn_hybrid_stage(spark, sf_dir):
 def search_embedding(spark, sf_dir):
     f = _f(spark, sf_dir)
     r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull())
-    return se.embedding_side(r, f.tables(), f.request_embeddings, CFG)
+    return se.rank_embedding_side(se.embedding_side(r, f.tables(), f.request_embeddings, CFG))
 
 
 @register("search_batch", search_sql("SELECT request_id, rank, post_id, upload_id FROM results"))

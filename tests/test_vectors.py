@@ -22,7 +22,8 @@ def _data(spark, n=300, q=5, seed=3):
 
 def test_quantize_and_hamming_match_numpy(spark):
     x, qs, idx, qdf = _data(spark, n=50, q=1)
-    v = knn.vector_index(idx, DIM).crossJoin(knn.prepare_queries(qdf, DIM).select("qcode")) \
+    q = knn.prepare_queries(qdf, DIM).select(F.lit(1).alias("j"), "qcode")
+    v = knn.vector_index(idx, DIM).withColumn("j", F.lit(1)).join(q, "j") \
         .select("upload_id", V.hamming("code", "qcode", DIM).alias("h")).collect()
     want = ((x > 0) != (qs[0] > 0)).sum(axis=1)
     assert all(r.h == want[r.upload_id] for r in v)
