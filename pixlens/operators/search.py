@@ -162,9 +162,17 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
     combined = F.col("search_ocr") & F.col("search_embeddings")
     # Combined: newest post first. Single mode: that side's own order.
     order_key = F.when(combined, F.lit(0)).otherwise(F.col("first.side_rank"))
-    results = rank_in_groups(uniq.select("request_id", "post_id", "upload_id", order_key.alias("_k")),
-                             "request_id", [F.col("_k"), F.col("post_id").desc(), F.col("upload_id").desc()]) \
-        .select("request_id", "post_id", "upload_id", "rank")
+    keyed = uniq.select("request_id", "post_id", "upload_id", order_key.alias("_k"))
+    order = [F.col("_k"), F.col("post_id").desc(), F.col("upload_id").desc()]
+    if need["emb"]:
+        # Embedding results keep every post of a top image: a request's result
+        # set is unbounded, so rank through a range-partitioned global order.
+        results = rank_in_groups(keyed, "request_id", order).select("request_id", "post_id", "upload_id", "rank")
+    else:
+        # OCR pages are bounded by (page + 1) * limit rows per request.
+        w = Window.partitionBy("request_id").orderBy(*order)
+        results = keyed.select("request_id", "post_id", "upload_id", F.row_number().over(w).cast("long")
+                               .alias("rank")).filter(F.col("rank") <= max_rank)
 
     # has_more counts the (post, image) rows of each side before de-duplication.
     side_n = both.groupBy("request_id").agg(F.count_if(F.col("src") == 1).alias("n_ocr"),

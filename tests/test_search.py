@@ -115,3 +115,15 @@ def test_similarity_threshold_and_paging(spark):
     # only the image itself passes 0.99
     out = se.search(r, t, CFG.with_(image_similarity_threshold=0.99), qv)
     assert [(x.post_id, x.upload_id) for x in out.results.collect()] == [(10, 2)]
+
+
+def test_ocr_only_batch_pages(spark):
+    t = _search_forum(spark, _vecs())
+    r = requests(spark, [(1, "GET", "car", None, None, "true", "false", 0, None),
+                         (2, "GET", "car", None, None, "true", "false", 1, None)])
+    qv = spark.createDataFrame([], "request_id long, qvec array<float>")
+    out = se.search(r, t, CFG, qv, limit=1)
+    got = sorted((x.request_id, x.rank, x.post_id, x.upload_id) for x in out.results.collect())
+    assert got == [(1, 1, 11, 3), (2, 1, 10, 1)]
+    env = {x.request_id: x.has_more for x in out.envelope.collect()}
+    assert env == {1: True, 2: True}
