@@ -74,6 +74,9 @@ def main() -> None:
     knn.band_table(vindex50, DIM, 8).write.parquet(f"{scratch}/bands50")
     bands50 = spark.read.parquet(f"{scratch}/bands50")
     t = base.replace(**stored_tables)
+    # the inverted index (posting table partitioned by lexeme bucket) is part of the stored index
+    textindex.write_postings(textindex.postings(index), f"{scratch}/postings")
+    postings = textindex.read_postings(spark, f"{scratch}/postings")
 
     def ocr_requests(n: int):
         docs = f.base("documents").filter(F.col("doc_id") < n)
@@ -105,12 +108,15 @@ def main() -> None:
     q["postings"] = timed(lambda: textindex.postings(index))
     for n in (1, 100):
         q[f"search_ocr_{n}"] = timed(lambda n=n: search.search(
-            ocr_requests(n), t, CFG, f.request_embeddings.limit(0), vindex=vindex, max_page=0).results)
+            ocr_requests(n), t, CFG, f.request_embeddings.limit(0), postings=postings, vindex=vindex,
+            max_page=0).results)
     for n in (1, 100, 1000):
         q[f"knn_rerank_{n}"] = timed(lambda n=n: knn.search_images_embedding(knn_queries(n), index, DIM, vindex=vindex))
     q["knn_rerank_100_x50"] = timed(lambda: knn.search_images_embedding(
         knn_queries(100), index, DIM, vindex=vindex50))
     q["knn_lsh_100_x50"] = timed(lambda: knn.knn_lsh(knn_queries(100), index, DIM, vindex=vindex50, bands=bands50))
+    q["search_mixed_15"] = timed(lambda: search.search(f.search_requests, t, CFG, f.request_embeddings,
+                                                         postings=postings, vindex=vindex).results)
     q["merge_results"] = timed(lambda: ix.merge_results(index, stored_rows))
     q["flag_posts"] = timed(lambda: moderation.flag_posts(t.post_uploads.select("post_id").distinct(), t))
 

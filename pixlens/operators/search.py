@@ -49,15 +49,18 @@ def prepare_requests(requests: DataFrame, limit: int = PAGE_SIZE) -> DataFrame:
 
 
 def post_pairs(hits: DataFrame, t: ForumTables, cfg: Settings | None = None,
-               strict_visibility: bool = False) -> DataFrame:
+               strict_visibility: bool = False, with_category: bool = True) -> DataFrame:
     """(request_id, upload_id, ...) hits -> rows per (post, upload) on searchable posts."""
     # Join order starts from the hits: hits -> links -> posts -> topics, so the
     # host tables are probed by the hit set (broadcast when small, AQE) and
     # every post is never joined with every link.
     posts = el.searchable_posts(t.posts, t, cfg, strict_visibility).select(
         F.col("id").alias("post_id"), "topic_id", "user_id", "created_at")
+    pairs = hits.join(t.post_uploads, "upload_id").join(posts, "post_id")
+    if not with_category:  # only category filters read it
+        return pairs.withColumn("category_id", F.lit(None).cast("long"))
     topics = t.topics.select(F.col("id").alias("topic_id"), "category_id")
-    return hits.join(t.post_uploads, "upload_id").join(posts, "post_id").join(topics, "topic_id", "left")
+    return pairs.join(topics, "topic_id", "left")
 
 
 def _filtered(pairs: DataFrame, reqs: DataFrame, t: ForumTables, closure: DataFrame | None = None,
@@ -75,7 +78,8 @@ def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: S
         hits = textindex.search_images_ocr_scan(r.select("request_id", "processed_term"), t.index)
     else:
         hits = textindex.search_images_ocr(r.select("request_id", "processed_term"), postings)
-    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure, kinds, allowed)
+    with_cat = kinds is None or any(k in ("category", "category_slug") for k in kinds)
+    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility, with_cat), r, t, closure, kinds, allowed)
     w = Window.partitionBy("request_id").orderBy(F.col("post_id").desc(), F.col("upload_id").desc())
     ranked = pairs.select("request_id", "post_id", "upload_id").withColumn("pos", F.row_number().over(w))
     ranked = ranked.filter(F.col("pos") <= max_rank)
@@ -98,7 +102,8 @@ def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cf
                  F.col("side_offset").alias("offset")).join(query_vectors.select("request_id", "qvec"), "request_id")
     imgs = knn.search_images_embedding(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample)
     hits = imgs.select("request_id", "upload_id", F.col("rank").alias("img_rank"))
-    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility), r, t, closure, kinds, allowed)
+    with_cat = kinds is None or any(k in ("category", "category_slug") for k in kinds)
+    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility, with_cat), r, t, closure, kinds, allowed)
     # Every post holding a top image is returned (no limit on posts), so one
     # image may bring a third of all posts: no per-request window here.
     return pairs.select("request_id", "post_id", "upload_id", "img_rank")
@@ -156,12 +161,14 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
             [], "request_id long, post_id long, upload_id long, src int, side_rank long")
 
     modes = reqs.select("request_id", "search_ocr", "search_embeddings")
-    uniq = both.groupBy("request_id", "post_id", "upload_id").agg(
-        F.min(F.struct("src", "side_rank")).alias("first"))
+    # First occurrence of a pair: smallest (src, side_rank), packed into one long
+    # so the de-duplication stays a hash aggregate (a struct min would sort).
+    packed = F.col("src").cast("long") * F.lit(1 << 40) + F.col("side_rank").cast("long")
+    uniq = both.groupBy("request_id", "post_id", "upload_id").agg(F.min(packed).alias("_first"))
     uniq = uniq.join(modes, "request_id")
     combined = F.col("search_ocr") & F.col("search_embeddings")
     # Combined: newest post first. Single mode: that side's own order.
-    order_key = F.when(combined, F.lit(0)).otherwise(F.col("first.side_rank"))
+    order_key = F.when(combined, F.lit(0)).otherwise(F.col("_first").bitwiseAND(F.lit((1 << 40) - 1)))
     keyed = uniq.select("request_id", "post_id", "upload_id", order_key.alias("_k"))
     order = [F.col("_k"), F.col("post_id").desc(), F.col("upload_id").desc()]
     if need["emb"]:

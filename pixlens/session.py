@@ -25,7 +25,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("PIXLENS_DRIVER_MEMORY", "8g"))
     )
     for k, v in (extra or {}).items():
         b = b.config(k, v)
