@@ -31,6 +31,9 @@ def dense_index(df: DataFrame, order: str | Column | list, descending: bool = Fa
     o = [(F.col(c) if isinstance(c, str) else c) for c in cols]
     if descending:
         o = [c.desc() for c in o]
+    # Materialize the input once: range partitioning samples its input in a
+    # separate job, which would otherwise recompute the whole upstream plan.
+    df = df.checkpoint(eager=True)
     s = df.repartitionByRange(*o).sortWithinPartitions(*o).withColumn("_mid", F.monotonically_increasing_id())
     s = s.checkpoint(eager=True)
     s = s.withColumn("_pid", F.shiftright("_mid", _POS_BITS)).withColumn(
