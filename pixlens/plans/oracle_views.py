@@ -99,7 +99,11 @@ _v("search_requests", """
     (13, 'GET', 'and', NULL, NULL, 'true', 'true', 1),
     (14, 'GET', 'and category:%ia', NULL, NULL, 'true', 'false', 0),
     (15, 'GET', 'and after:notadate', NULL, NULL, 'true', 'false', 0)
-  ) t(request_id, method, term, image_vec_id, image_content_type, ocr, embed, page)""")
+  ) t(request_id, method, term, image_vec_id, image_content_type, ocr, embed, page)
+  UNION ALL
+  SELECT CAST(1000000 + conv_id * 100 + turn AS BIGINT), 'GET', text, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+         'true', CASE WHEN conv_id % 2 = 0 THEN 'true' ELSE 'false' END, CAST(0 AS BIGINT), CAST(11 AS BIGINT)
+  FROM conversations WHERE role = 'user'""")
 _v("request_embeddings", """
   SELECT r.request_id, e.embedding AS qvec
   FROM search_requests r

@@ -198,12 +198,26 @@ class TestForum:
     # -- requests, events -----------------------------------------------------
     @cached_property
     def search_requests(self) -> DataFrame:
+        """The 15 hand-written requests plus one request per user turn of ``conversations``.
+
+        The derived requests (term = the user's message; text+image search on
+        even conversations, text only on odd ones) make the batch grow with the data.
+        """
         r = self.spark.createDataFrame(REQUEST_ROWS, REQUEST_DDL)
-        return r.select(
+        fixed = r.select(
             "request_id", "method", "term",
             F.col("image_vec_id").cast("string").alias("image_ref"),
             "image_content_type", "ocr", "embed", "page",
             F.lit(CURRENT_USER_ID).cast("long").alias("current_user_id"))
+        conv = self.base("conversations").filter(F.col("role") == "user")
+        derived = conv.select(
+            (F.lit(1_000_000) + F.col("conv_id") * 100 + F.col("turn")).cast("long").alias("request_id"),
+            F.lit("GET").alias("method"), F.col("text").alias("term"),
+            F.lit(None).cast("string").alias("image_ref"), F.lit(None).cast("string").alias("image_content_type"),
+            F.lit("true").alias("ocr"),
+            F.when(F.col("conv_id") % 2 == 0, "true").otherwise("false").alias("embed"),
+            F.lit(0).cast("long").alias("page"), F.lit(CURRENT_USER_ID).cast("long").alias("current_user_id"))
+        return fixed.unionByName(derived)
 
     @cached_property
     def request_embeddings(self) -> DataFrame:
