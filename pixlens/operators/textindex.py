@@ -64,11 +64,26 @@ def search_images_ocr(requests: DataFrame, post: DataFrame, term_col: str = "pro
                       cjk_bigrams: bool = False, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """TX4: (request_id, upload_id) where the image text holds every query lexeme.
 
-    Blank terms and NULL or empty lexeme sets never match.
+    Posting lists are intersected rarest term first: each request's candidates
+    are the images of its least frequent lexeme, and only those candidates are
+    checked against the other lexemes (equi-join on (bucket, lexeme, upload_id)).
+    The intermediate size is candidates x terms, not the sum of all posting
+    lists, so a common word in a long query costs nothing extra. Blank terms and
+    NULL or empty lexeme sets never match.
     """
     terms = request_terms(requests, term_col, cjk_bigrams, n_buckets)
-    hits = post.select("bucket", "lexeme", "upload_id").join(terms, ["bucket", "lexeme"])
-    counted = hits.groupBy("request_id", "upload_id").agg(
+    p = post.select("bucket", "lexeme", "upload_id")
+    # Document frequency of the batch's lexemes (reads only their buckets).
+    df = p.join(terms.select("bucket", "lexeme").distinct(), ["bucket", "lexeme"]).groupBy("bucket", "lexeme") \
+        .agg(F.count("*").alias("df"))
+    scored = terms.join(df, ["bucket", "lexeme"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = scored.groupBy("request_id").agg(
+        F.min_by(F.struct("bucket", "lexeme"), F.struct("df", "lexeme")).alias("r"),
+        F.first("n_terms").alias("n_terms")).select("request_id", "r.bucket", "r.lexeme", "n_terms")
+    cands = p.join(rarest, ["bucket", "lexeme"]).select("request_id", "upload_id", "n_terms")
+    check = cands.join(terms.select("request_id", "bucket", "lexeme"), "request_id").join(
+        p, ["bucket", "lexeme", "upload_id"])
+    counted = check.groupBy("request_id", "upload_id").agg(
         F.count("lexeme").alias("n_hit"), F.first("n_terms").alias("n_terms"))
     return counted.filter(F.col("n_hit") == F.col("n_terms")).select("request_id", "upload_id")
 

@@ -127,3 +127,15 @@ def test_ocr_only_batch_pages(spark):
     assert got == [(1, 1, 11, 3), (2, 1, 10, 1)]
     env = {x.request_id: x.has_more for x in out.envelope.collect()}
     assert env == {1: True, 2: True}
+
+
+def test_posting_path_equals_scan_path(spark):
+    from pixlens.operators import textindex
+    t = _search_forum(spark, _vecs())
+    r = requests(spark, [(1, "GET", "a car", None, None, "true", "false", 0, None),
+                         (2, "GET", "car", None, None, "true", "false", 0, None),
+                         (3, "GET", "a zebra", None, None, "true", "false", 0, None)])
+    p = se.prepare_requests(r)
+    scan = sorted(map(tuple, textindex.search_images_ocr_scan(p, t.index).collect()))
+    post = sorted(map(tuple, textindex.search_images_ocr(p, textindex.postings(t.index, 4)).collect()))
+    assert scan == post == [(1, 1), (2, 1), (2, 3)]
