@@ -69,7 +69,8 @@ def search_images_ocr(requests: DataFrame, post: DataFrame, term_col: str = "pro
     checked against the other lexemes (equi-join on (bucket, lexeme, upload_id)).
     The intermediate size is candidates x terms, not the sum of all posting
     lists, so a common word in a long query costs nothing extra. Blank terms and
-    NULL or empty lexeme sets never match.
+    NULL or empty lexeme sets never match. ``n_buckets`` must be the value the
+    posting table was built with.
     """
     terms = request_terms(requests, term_col, cjk_bigrams, n_buckets)
     p = post.select("bucket", "lexeme", "upload_id")

@@ -137,5 +137,6 @@ def test_posting_path_equals_scan_path(spark):
                          (3, "GET", "a zebra", None, None, "true", "false", 0, None)])
     p = se.prepare_requests(r)
     scan = sorted(map(tuple, textindex.search_images_ocr_scan(p, t.index).collect()))
-    post = sorted(map(tuple, textindex.search_images_ocr(p, textindex.postings(t.index, 4)).collect()))
+    post = sorted(map(tuple, textindex.search_images_ocr(p, textindex.postings(t.index, 4), n_buckets=4)
+                      .collect()))
     assert scan == post == [(1, 1), (2, 1), (2, 3)]
