@@ -39,7 +39,8 @@ def postings(index: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     rows = docs.select("upload_id", F.posexplode("ocr_lexemes").alias("pos", "lexeme"))
     grouped = rows.groupBy("upload_id", "lexeme").agg(
         F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
-    return with_bucket(grouped, n_buckets).select("bucket", "lexeme", "upload_id", "positions")
+    return with_bucket(grouped, n_buckets).select(
+        "bucket", "lexeme", "upload_id", "positions", F.lit(n_buckets).cast("int").alias("n_buckets"))
 
 
 def write_postings(post: DataFrame, path: str) -> None:
@@ -61,7 +62,7 @@ def request_terms(requests: DataFrame, term_col: str = "processed_term", cjk_big
 
 
 def search_images_ocr(requests: DataFrame, post: DataFrame, term_col: str = "processed_term",
-                      cjk_bigrams: bool = False, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      cjk_bigrams: bool = False, n_buckets: int | None = None) -> DataFrame:
     """TX4: (request_id, upload_id) where the image text holds every query lexeme.
 
     Posting lists are intersected rarest term first: each request's candidates
@@ -69,9 +70,12 @@ def search_images_ocr(requests: DataFrame, post: DataFrame, term_col: str = "pro
     checked against the other lexemes (equi-join on (bucket, lexeme, upload_id)).
     The intermediate size is candidates x terms, not the sum of all posting
     lists, so a common word in a long query costs nothing extra. Blank terms and
-    NULL or empty lexeme sets never match. ``n_buckets`` must be the value the
-    posting table was built with.
+    NULL or empty lexeme sets never match. The bucket count is read from the
+    posting table (one row) unless given.
     """
+    if n_buckets is None:
+        first = post.select("n_buckets").limit(1).collect() if "n_buckets" in post.columns else []
+        n_buckets = int(first[0][0]) if first else DEFAULT_BUCKETS
     terms = request_terms(requests, term_col, cjk_bigrams, n_buckets)
     p = post.select("bucket", "lexeme", "upload_id")
     # Document frequency of the batch's lexemes (reads only their buckets).
