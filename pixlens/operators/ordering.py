@@ -20,7 +20,7 @@ _POS_BITS = 33  # monotonically_increasing_id: partition id above bit 33, row be
 
 
 def dense_index(df: DataFrame, order: str | Column | list, descending: bool = False,
-                name: str = "idx") -> DataFrame:
+                name: str = "idx", materialized: bool = False) -> DataFrame:
     """0-based dense position in a global order, without a single-partition window.
 
     The sorted rows are checkpointed (to ``spark.checkpoint.dir``) so the counts
@@ -31,9 +31,10 @@ def dense_index(df: DataFrame, order: str | Column | list, descending: bool = Fa
     o = [(F.col(c) if isinstance(c, str) else c) for c in cols]
     if descending:
         o = [c.desc() for c in o]
-    # Materialize the input once: range partitioning samples its input in a
-    # separate job, which would otherwise recompute the whole upstream plan.
-    df = df.checkpoint(eager=True)
+    if not materialized:
+        # Range partitioning samples its input in a separate job, which would
+        # otherwise recompute the whole upstream plan.
+        df = df.checkpoint(eager=True)
     s = df.repartitionByRange(*o).sortWithinPartitions(*o).withColumn("_mid", F.monotonically_increasing_id())
     s = s.checkpoint(eager=True)
     s = s.withColumn("_pid", F.shiftright("_mid", _POS_BITS)).withColumn(
@@ -45,9 +46,25 @@ def dense_index(df: DataFrame, order: str | Column | list, descending: bool = Fa
         "_pid", "_pos", "_mid", "_off")
 
 
-def rank_in_groups(df: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
-    """1-based ``row_number`` within ``group`` by ``order``, skew-safe (no group in one task)."""
-    idx = dense_index(df, [F.col(group)] + order, name="_gidx")
+MAX_WINDOW_GROUP = 2_000_000
+
+
+def rank_in_groups(df: DataFrame, group: str, order: list[Column], name: str = "rank",
+                   max_window_group: int = MAX_WINDOW_GROUP) -> DataFrame:
+    """1-based ``row_number`` within ``group`` by ``order``; no unbounded group in one task.
+
+    The input is materialized once and its largest group measured: groups that
+    fit ``max_window_group`` rows are ranked by a plain window (one task per
+    group is then bounded); beyond that, ranks come from the global
+    range-partitioned order, which spreads a hot group over many tasks.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
+    biggest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= max_window_group:
+        w = Window.partitionBy(group).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
+    idx = dense_index(df, [F.col(group)] + order, name="_gidx", materialized=True)
     first = idx.groupBy(group).agg(F.min("_gidx").alias("_first"))
     return idx.join(first, group).withColumn(name, (F.col("_gidx") - F.col("_first") + 1).cast("long")) \
         .drop("_gidx", "_first")

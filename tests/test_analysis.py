@@ -105,3 +105,12 @@ def test_dense_index_is_global_order(spark):
     df = spark.range(0, 1000, 7).repartition(5).withColumnRenamed("id", "k")
     got = sorted((r.k, r.idx) for r in an.dense_index(df, "k").collect())
     assert [i for _, i in got] == list(range(len(got)))
+
+
+def test_rank_in_groups_both_paths(spark):
+    from pixlens.operators.ordering import rank_in_groups
+    df = spark.range(0, 300).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+    want = sorted((r.g, r.v, r.v // 3 + 1) for r in df.collect())
+    for cap in (1000, 10):  # window path, then the global-order path
+        got = sorted((r.g, r.v, r.rank) for r in rank_in_groups(df, "g", [F.col("v")], max_window_group=cap).collect())
+        assert got == want
