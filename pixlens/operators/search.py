@@ -23,7 +23,7 @@ from . import eligibility as el
 from . import filters as flt
 from . import knn, textindex
 from .ordering import rank_in_groups
-from .requests import filter_rows, parse_requests, request_modes, validate_requests
+from .requests import FILTER_PATTERNS, filter_rows, parse_requests, request_modes, validate_requests
 
 
 @dataclass
@@ -129,13 +129,20 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
     ensure_checkpoint_dir(requests.sparkSession)
     prepared = prepare_requests(requests, limit).checkpoint(eager=True)
     reqs = prepared.filter(F.col("error").isNull())
+    # One one-row job: which sides, the largest page, the filter kinds present.
+    # Fixed-width aggregates (one flag per known filter kind): bounded whatever the batch size.
+    known = [k for k, _ in FILTER_PATTERNS]
+    def is_kind(k):
+        return lambda x: x["kind"] == k
+
+    flags = [F.max(F.exists("filters", is_kind(k)).cast("int")).alias(f"k{i}") for i, k in enumerate(known)]
     need = reqs.agg(F.max(F.col("search_ocr").cast("int")).alias("ocr"),
                     F.max((F.col("search_embeddings") | F.col("search_by_image")).cast("int")).alias("emb"),
-                    F.max("page_no").alias("page")).first()
+                    F.max("page_no").alias("page"), *flags).first()
     if max_page is None:
         max_page = need["page"] or 0
     max_rank = int(limit * (max_page + 1) * (max_page + 1 if paging != "linear" else 1))
-    kinds = [r.kind for r in filter_rows(reqs.filter(F.size("filters") > 0)).select("kind").distinct().collect()]
+    kinds = [k for i, k in enumerate(known) if need[f"k{i}"]]
     closure = allowed = None
     if "category" in kinds or "category_slug" in kinds:
         closure = flt.category_closure(t.categories).checkpoint(eager=True)
