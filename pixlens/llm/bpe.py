@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices
 
-CHUNK_CACHE = 600_000
-SLICE_BYTES = 8 << 20
+MEMO_SIZE = 150_000
+SLICE_BYTES = 3 << 20
 
 
 @lru_cache(maxsize=4)
@@ -185,6 +185,26 @@ def merge_pieces(pieces: list[bytes], pairs: PairRanks) -> list[bytes]:
     return [flat[i:j] for i, j in zip([0, *stop], stop, strict=False)]
 
 
+class Memo:
+    """A bounded memo in two generations: what is asked for again outlives the older generation."""
+
+    def __init__(self, size: int = MEMO_SIZE):
+        self.size, self.new, self.old = size, {}, {}
+
+    def turn(self) -> None:
+        """Called between slices: drops the older generation once the newer one is full."""
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+
+    def missing(self, keys: set) -> set:
+        """The keys that neither generation holds; those in the older one become new again."""
+        rest = keys.difference(self.new)
+        again = rest.intersection(self.old)
+        for k in again:
+            self.new[k] = self.old[k]
+        return rest.difference(again)
+
+
 class Encoder:
     """Encodes texts with bounded memos of chunks and pieces; one per Python worker and vocabulary."""
 
@@ -194,8 +214,7 @@ class Encoder:
         import regex
 
         self.ranks, self.pairs, self.pieces = ranks, PairRanks(ranks), regex.compile(pattern)
-        self.chunks: dict[str, bytes] = {}  # ids of a blank and this chunk
-        self.known: dict[bytes, bytes] = {}
+        self.chunks, self.known = Memo(), Memo()  # ids of a blank and this chunk; ids of a piece
         # A blank between two characters that are white space under no definition.
         self.cut = re.compile(r"(?<=[^\s\x00-\x20\x7f-\xa0]) (?=[^\s\x00-\x20\x7f-\xa0])")
 
@@ -207,35 +226,29 @@ class Encoder:
         for p in pieces:
             whole = self.ranks.get(p)
             if whole is not None:
-                self.known[p] = whole.to_bytes(4, "little")
+                self.known.new[p] = whole.to_bytes(4, "little")
             elif len(p) > 256:
-                self.known[p] = np.array(merge_piece(p, self.ranks), dtype="<u4").tobytes()
+                self.known.new[p] = np.array(merge_piece(p, self.ranks), dtype="<u4").tobytes()
             else:
                 by_size.setdefault(len(p).bit_length(), []).append(p)
         for own in by_size.values():
             step = max(16, (1 << 17) >> len(own[0]).bit_length())
             for at in range(0, len(own), step):
-                self.known.update(zip(own[at:at + step], merge_pieces(own[at:at + step], self.pairs), strict=True))
+                self.known.new.update(zip(own[at:at + step], merge_pieces(own[at:at + step], self.pairs), strict=True))
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        if len(self.chunks) > CHUNK_CACHE:
-            self.chunks.clear()
-        if len(self.known) > CHUNK_CACHE:
-            self.known.clear()
+        self.chunks.turn()
+        self.known.turn()
         cut = [self.cut.split(t) for t in texts]
-        firsts = {c[0] for c in cut}
-        rest = set().union(*[c[1:] for c in cut]).difference(self.chunks)
         find = self.pieces.findall
-        split = {c: [p.encode() for p in find(c)] for c in firsts}
-        spaced = {c: [p.encode() for p in find(" " + c)] for c in rest}
-        unknown = {p for d in (split, spaced) for ps in d.values() for p in ps if p not in self.known}
-        self.learn(unknown)
-        known = self.known.__getitem__
+        split = {c: [p.encode() for p in find(c)] for c in {c[0] for c in cut}}
+        spaced = {c: [p.encode() for p in find(" " + c)] for c in self.chunks.missing(set().union(*[c[1:] for c in cut]))}
+        self.learn(self.known.missing({p for d in (split, spaced) for ps in d.values() for p in ps}))
+        known = self.known.new.__getitem__
         starts = {c: b"".join(map(known, ps)) for c, ps in split.items()}
-        for c, ps in spaced.items():
-            self.chunks[c] = b"".join(map(known, ps))
-        chunk = self.chunks.__getitem__
+        self.chunks.new.update((c, b"".join(map(known, ps))) for c, ps in spaced.items())
+        chunk = self.chunks.new.__getitem__
         return [starts[c[0]] + b"".join(map(chunk, c[1:])) for c in cut]
 
     def text(self, text: str) -> bytes:

@@ -92,12 +92,16 @@ def fit_arrays(rows: list, y, l1: float = L1, steps: int = STEPS, rate: float =
 
     y = np.asarray(y)
     flat = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    hashes, col, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    kept = seen >= min_docs
-    number = np.cumsum(kept) - 1
-    mine = kept[col]
-    row, col, hashes = row[mine], number[col[mine]], hashes[kept]
+    flat.sort()
+    hashes = flat[np.flatnonzero(np.diff(flat, prepend=-1))]
+    hashes = hashes[np.diff(np.searchsorted(flat, hashes), append=len(flat)) >= min_docs]
+    del flat
+    found = [np.searchsorted(hashes, r) for r in rows]
+    found = [i[(i < len(hashes)) & (hashes[np.minimum(i, len(hashes) - 1)] == r)].astype(np.int32) if len(hashes) else i[:0]
+             for i, r in zip(found, rows)]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i in found])
+    col = np.concatenate(found).astype(np.int32)
+    del found
     n, top = len(y), N_GRADES - 1
     share = np.clip(np.cumsum(np.bincount(y, minlength=N_GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
