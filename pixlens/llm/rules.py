@@ -3,8 +3,8 @@
 Two histograms describe a text: characters by class (lower and upper case, digits, blanks, sentence
 marks, symbols, letters beyond ASCII, others) and words (one bin for each of the language's ``n_words``
 commonest words, one for all other words). The references of a language are computed from all its
-documents by grouped aggregation: the mean of the documents' class histograms (every document counts
-alike) and the counts of its words. A document is compared with the references of its declared
+documents by grouped aggregation: the sums of the documents' class histograms and of their words' shares,
+so that every document counts alike, however long. A document is compared with the references of its declared
 language, or with every language when that one has no reference, and the smallest Jensen-Shannon
 distance (square root of the divergence in bits, 0 to 1) counts.
 
@@ -39,6 +39,7 @@ MIN_WORDS = 50
 MAX_CLASS_DISTANCE = 0.24
 MAX_WORD_DISTANCE = 0.43
 MAX_LANGUAGES = 1000
+UNIT = 1_000_000
 
 CLASSES = ("lower", "upper", "digit", "blank", "sentence", "symbol", "letter_beyond_ascii", "other")
 
@@ -116,7 +117,7 @@ def js_distance(p, q) -> float:
 
 
 def _corpus_counts(batches):
-    """Per task: word counts and summed class histograms by language (each batch sends its own sums)."""
+    """Per task: summed word shares and class histograms by language (each batch sends its own sums)."""
     import numpy as np
     import pyarrow as pa
 
@@ -128,10 +129,13 @@ def _corpus_counts(batches):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if lang is None or not text:
                     continue
-                counts.setdefault(lang, Counter()).update(map(_key, text.split()))
-                h = np.array(class_counts(text, table), dtype=np.float64)
                 # Whole millionths: sums do not depend on the order of the rows.
-                shares[lang] = shares.get(lang, 0) + np.rint(h / h.sum() * 1e6).astype(np.int64)
+                sums, own = counts.setdefault(lang, {}), Counter(map(_key, text.split()))
+                unit = UNIT / max(1, own.total())
+                for w, n in own.items():
+                    sums[w] = sums.get(w, 0) + int(n * unit + 0.5)
+                h = np.array(class_counts(text, table), dtype=np.float64)
+                shares[lang] = shares.get(lang, 0) + np.rint(h / h.sum() * UNIT).astype(np.int64)
             rows = [(lang, "w:" + w, n) for lang, c in counts.items() for w, n in c.items()]
             rows += [(lang, "t", sum(c.values())) for lang, c in counts.items()]
             rows += [(lang, f"c:{k}", int(v)) for lang, h in shares.items() for k, v in enumerate(h)]
@@ -141,7 +145,7 @@ def _corpus_counts(batches):
 
 
 def references(documents: DataFrame, n_words: int = N_WORDS) -> DataFrame:
-    """(lang, item, n): commonest words ('w:...'), all words together ('t') and class shares ('c:i')."""
+    """(lang, item, n): the words of largest share ('w:...'), all words together ('t') and classes ('c:i')."""
     counted = (documents.select("lang", "text").mapInArrow(_corpus_counts, "lang string, item string, n long")
                .groupBy("lang", "item").agg(F.sum("n").alias("n"))
                .withColumn("kind", F.substring("item", 1, 1)))
