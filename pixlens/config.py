@@ -6,7 +6,7 @@ re-implements; callers override them per job.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Fixed values that must equal the reference for identical results.
 SUPPORTED_IMAGE_TYPES = ("jpg", "jpeg", "png", "webp")
@@ -40,7 +40,6 @@ class Settings:
     image_similarity_threshold: float = 0.8
     base_url: str = ""
     embedding_dim: int = 512
-    extra: dict = field(default_factory=dict, compare=False)
 
     def with_(self, **kw) -> "Settings":
         return replace(self, **kw)

@@ -2,17 +2,16 @@
 
 The model is user-supplied: a function from a pandas batch of images
 (id, sha1, url, and optionally content bytes) to a pandas batch of results
-(sha1, ocr_result, embedding, success). It runs inside ``mapInPandas`` on
-executor batches; each distinct content key is analyzed once and its result is
-fanned back out to every upload that shares it.
+(sha1, ocr_result, embedding, success), run inside ``mapInPandas``; or a
+DataFrame of answers that a service has already given, keyed by content key.
+A run calls the model once per distinct content key, writes the results to the
+shared folder, and derives outcomes, index rows and failures from that table.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,13 +19,23 @@ from pyspark.sql import functions as F
 from ..config import BACKFILL_BATCH, Settings
 from ..functions.text import join_lines, lexemes
 from ..schemas import ANALYSIS_RESPONSE_DDL
+from ..session import materialize
 from ..sources.tables import ForumTables
 from . import eligibility as el
+from . import moderation as md
 from .ordering import dense_index
 
-Analyzer = Callable[[pd.DataFrame], pd.DataFrame]
+Analyzer = Callable[[pd.DataFrame], pd.DataFrame] | DataFrame
 RESULT_DDL = ("sha1 string, ocr_result array<string>, embedding array<float>, success boolean, "
-              "transport_error boolean")
+              "transport_error boolean, error string")
+
+
+class AnalyzerCallError(Exception):
+    """Raised by a model whose call failed as a whole (service down, bad status)."""
+
+
+#: What counts as a failed call; anything else is a bug in the model and fails the job.
+CALL_ERRORS = (AnalyzerCallError, ConnectionError, TimeoutError)
 
 
 # ---------------------------------------------------------------- P1, SRC2, SRC3
@@ -77,49 +86,47 @@ def parse_analysis(responses: DataFrame, body_col: str = "body") -> DataFrame:
 
 
 # ------------------------------------------------------------------------ U1
-def run_analyzer(images: DataFrame, analyzer: Analyzer, batch_size: int = BACKFILL_BATCH,
-                 n_partitions: int | None = None) -> DataFrame:
-    """Call the model on each distinct content key once, in executor batches.
+def per_content(images: DataFrame) -> DataFrame:
+    """One work item per content key: (sha1, id = smallest image with it, what any of its images needs)."""
+    flags = [F.bool_or(c).alias(c) for c in ("run_ocr", "run_embed") if c in images.columns]
+    return images.groupBy("sha1").agg(F.min("id").alias("id"), *flags)
+
 
-    A batch whose call raises becomes rows with ``transport_error = true`` (the
-    whole call failed: no retry is counted for them).
+def run_analyzer(images: DataFrame, analyzer: Analyzer, batch_size: int = BACKFILL_BATCH,
+                 files: DataFrame | None = None) -> DataFrame:
+    """Results of the model, called on each distinct content key once, in executor batches.
+
+    Keys are de-duplicated before url and bytes (``files``: upload_id, content)
+    are joined, so wide values are neither sorted nor shuffled for it. A call
+    that fails with one of ``CALL_ERRORS`` becomes rows with
+    ``transport_error = true`` and the message (no retry is counted for them);
+    any other exception fails the job. With a DataFrame of answers
+    (sha1, ocr_result, embedding, success) they are joined instead.
     """
-    cols = [c for c in ("sha1", "url", "content", "run_ocr", "run_embed") if c in images.columns]
-    distinct = images.select(*cols).dropDuplicates(["sha1"])
-    distinct = distinct.repartition(n_partitions, "sha1") if n_partitions else distinct.repartition("sha1")
+    work = per_content(images)
+    if isinstance(analyzer, DataFrame):
+        answers = analyzer.select("sha1", "ocr_result", "embedding", "success")
+        return work.select("sha1").join(answers, "sha1").select(
+            "sha1", "ocr_result", F.col("embedding").cast("array<float>").alias("embedding"), "success",
+            F.lit(False).alias("transport_error"), F.lit(None).cast("string").alias("error"))
+    wide = [c for c in ("url", "content") if c in images.columns]
+    todo = work.join(images.select("id", *wide).dropDuplicates(["id"]) if "content" not in wide
+                     else images.select("id", *wide), "id")
+    if files is not None:
+        todo = todo.join(files.select(F.col("upload_id").alias("id"), "content"), "id", "left")
 
     def call(batches):
         for pdf in batches:
             for i in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[i:i + batch_size]
+                chunk = pdf.iloc[i:i + batch_size].reset_index(drop=True)
                 try:
-                    out = analyzer(chunk.reset_index(drop=True))
-                    out = out.assign(transport_error=False)
-                except Exception:  # noqa: BLE001 - a failed call is data, not a job failure
+                    out = analyzer(chunk).assign(transport_error=False, error=None)
+                except CALL_ERRORS as e:
                     out = pd.DataFrame({"sha1": chunk["sha1"].to_numpy(), "ocr_result": None, "embedding": None,
-                                        "success": False, "transport_error": True})
-                yield out[["sha1", "ocr_result", "embedding", "success", "transport_error"]]
-
-    return distinct.mapInPandas(call, RESULT_DDL)
-
-
-def stub_analyzer(dim: int = 64) -> Analyzer:
-    """A deterministic test model: OCR lines from the bytes, a unit vector from the key.
+                                        "success": False, "transport_error": True, "error": str(e)})
+                yield out[["sha1", "ocr_result", "embedding", "success", "transport_error", "error"]]
 
-    Fails every image whose content key starts with ``0``.
-    """
-    def analyze(pdf: pd.DataFrame) -> pd.DataFrame:
-        ocr, emb, ok = [], [], []
-        for _, r in pdf.iterrows():
-            content = r.get("content")
-            text = bytes(content).decode("utf-8", "replace") if content is not None else ""
-            ocr.append(text.split("\n"))
-            rng = np.random.default_rng(zlib.crc32(str(r["sha1"]).encode()))
-            v = rng.standard_normal(dim).astype(np.float32)
-            emb.append((v / np.linalg.norm(v)).tolist())
-            ok.append(not str(r["sha1"]).startswith("0"))
-        return pd.DataFrame({"sha1": pdf["sha1"].to_numpy(), "ocr_result": ocr, "embedding": emb, "success": ok})
-    return analyze
+    return todo.mapInPandas(call, RESULT_DDL)
 
 
 # ------------------------------------------------------------ J14, WR2, S2, WR3
@@ -197,38 +204,56 @@ def analysis_plan(targets: DataFrame, index: DataFrame, cfg: Settings) -> DataFr
 
 
 # ----------------------------------------------------------------- C4, C5
+def _analyze(todo: DataFrame, t: ForumTables, cfg: Settings, analyzer: Analyzer, files: DataFrame | None,
+             batch_size: int, record_failed: bool):
+    """Work items (id, sha1, run_ocr, run_embed) -> (index rows, failures); the model runs once, here."""
+    todo = materialize(todo, "analysis-todo")
+    reps = t.uploads.join(per_content(todo).select("id"), "id", "left_semi")
+    info = image_info(reps, cfg, files).select("id", "url").join(todo, "id")
+    # What any image of a content needs is asked for, not what its smallest image needs.
+    asked = per_content(todo).select("sha1", "run_ocr", "run_embed")
+    info = info.drop("run_ocr", "run_embed").join(asked, "sha1")
+    results = materialize(run_analyzer(info, analyzer, batch_size, files), "analysis-results")
+    matched = match_results(results, todo).join(
+        todo.select(F.col("id").alias("upload_id"), "run_ocr", "run_embed"), "upload_id")
+    stored = storable_results(matched, t.uploads, cfg, run_ocr=F.col("run_ocr"), run_embed=F.col("run_embed"))
+    failed = failed_images(todo, results).groupBy(F.col("id").alias("upload_id"), "sha1").agg(F.count("*").alias("n"))
+    return stored, failed if record_failed else failed.limit(0)
+
+
+def _parts(cfg: Settings, analyze_ocr: bool | None, analyze_embedding: bool | None) -> Settings:
+    """Settings with a run's own choice of parts."""
+    over = {"analyze_ocr_enabled": analyze_ocr, "analyze_embedding_enabled": analyze_embedding}
+    return cfg.with_(**{k: v for k, v in over.items() if v is not None})
+
+
 def process_images(targets: DataFrame, t: ForumTables, cfg: Settings, analyzer: Analyzer,
-                   files: DataFrame | None = None, force: bool = False, batch_size: int = BACKFILL_BATCH):
+                   files: DataFrame | None = None, force: bool = False, batch_size: int = BACKFILL_BATCH,
+                   record_failed: bool = True, analyze_ocr: bool | None = None, analyze_embedding: bool | None = None):
     """Reuse by content, else analyze what is missing, for a set of uploads.
 
     ``targets``: uploads rows. Returns (outcomes, upserts, failures):
     outcomes (upload_id, outcome in reused/analyzed/failed/skipped),
-    upserts (index rows for ``merge_results``), failures (upload_id, n) for
-    ``record_failures``.
+    upserts (index rows for ``merge_results``; ``reused`` rows keep their retry
+    count), failures (upload_id, sha1, n) for ``record_failures`` (none with
+    ``record_failed=False``).
     """
+    cfg = _parts(cfg, analyze_ocr, analyze_embedding)
     tg = targets.select("id", content_key().alias("sha1"))
     if force:
         donors = tg.limit(0).select(F.col("id").alias("upload_id"), F.lit(None).cast("long").alias("donor_id"))
         planned = tg.select("*", F.lit(cfg.analyze_ocr_enabled).alias("run_ocr"),
                             F.lit(cfg.analyze_embedding_enabled).alias("run_embed"))
     else:
-        donors = reuse_donors(tg, t.index)
+        donors = materialize(reuse_donors(tg, t.index), "analysis-donors")
         rest = tg.join(donors.select(F.col("upload_id").alias("id")), "id", "left_anti")
         planned = analysis_plan(rest, t.index, cfg)
     todo = planned.filter(F.col("run_ocr") | F.col("run_embed"))
-    info = image_info(t.uploads.join(todo.select("id"), "id", "left_semi"), cfg)
-    info = info.join(todo.select("id", "run_ocr", "run_embed"), "id")
-    if files is not None:
-        info = info.join(files.select(F.col("upload_id").alias("id"), "content"), "id", "left")
-    results = run_analyzer(info, analyzer, batch_size)
-    matched = match_results(results, info).join(info.select(F.col("id").alias("upload_id"), "run_ocr", "run_embed"),
-                                                "upload_id")
-    stored = storable_results(matched, t.uploads, cfg, run_ocr=F.col("run_ocr"), run_embed=F.col("run_embed"))
-    upserts = stored.unionByName(reuse_rows(donors, t.index)) if not force else stored
-    failed = failed_images(info, results).groupBy(F.col("id").alias("upload_id")).agg(F.count("*").alias("n"))
-    analyzed = stored.select("upload_id", F.lit("analyzed").alias("outcome"))
+    stored, failed = _analyze(todo, t, cfg, analyzer, files, batch_size, record_failed)
+    upserts = stored.withColumn("reused", F.lit(False)).unionByName(
+        reuse_rows(donors, t.index).withColumn("reused", F.lit(True)))
     outcomes = (donors.select("upload_id", F.lit("reused").alias("outcome"))
-                .unionByName(analyzed)
+                .unionByName(stored.select("upload_id", F.lit("analyzed").alias("outcome")))
                 .unionByName(failed.select("upload_id", F.lit("failed").alias("outcome"))))
     skipped = tg.select(F.col("id").alias("upload_id")).join(outcomes.select("upload_id"), "upload_id", "left_anti")
     outcomes = outcomes.unionByName(skipped.select("upload_id", F.lit("skipped").alias("outcome")))
@@ -236,12 +261,17 @@ def process_images(targets: DataFrame, t: ForumTables, cfg: Settings, analyzer:
 
 
 def process_posts(post_ids: DataFrame, t: ForumTables, cfg: Settings, analyzer: Analyzer,
-                  files: DataFrame | None = None, force: bool = False, batch_size: int = BACKFILL_BATCH):
-    """C4: analyze the eligible images of each post (at most the cap per post).
-
-    Returns (post_outcomes, upserts, failures). A post over the cap, or with no
-    eligible image, is skipped; ``force`` skips only the post check.
+                  files: DataFrame | None = None, force: bool = False, batch_size: int = BACKFILL_BATCH,
+                  record_failed: bool = True, analyze_ocr: bool | None = None, analyze_embedding: bool | None = None,
+                  auto_flag_ocr: bool | None = None):
+    """C4: analyze the eligible images of each post (at most the cap per post), then check for flags.
+
+    Returns (post_outcomes, upserts, failures, flags). A post over the cap, or
+    with no eligible image, is skipped and not flagged; ``force`` skips only the
+    post check. Flags (C6) look at all indexed images of a processed post, with
+    the texts of this run merged in.
     """
+    cfg = _parts(cfg, analyze_ocr, analyze_embedding)
     posts = post_ids.select(F.col("post_id").alias("id"))
     if not force:
         posts = el.filter_posts(t.posts.join(posts, "id", "left_semi"), t, cfg).select("id")
@@ -250,21 +280,23 @@ def process_posts(post_ids: DataFrame, t: ForumTables, cfg: Settings, analyzer:
         ups, "upload_id", "left_semi")
     counts = pairs.groupBy("post_id").agg(F.count("*").alias("n_images"))
     ok = counts.filter(F.col("n_images") <= cfg.max_images_per_post)
-    imgs = pairs.join(ok.select("post_id"), "post_id", "left_semi").select(F.col("upload_id").alias("id")).distinct()
-    info = image_info(t.uploads.join(imgs, "id", "left_semi"), cfg).select(
-        "id", "sha1", "url", F.lit(cfg.analyze_ocr_enabled).alias("run_ocr"),
-        F.lit(cfg.analyze_embedding_enabled).alias("run_embed"))
-    if files is not None:
-        info = info.join(files.select(F.col("upload_id").alias("id"), "content"), "id", "left")
-    if not (cfg.analyze_ocr_enabled or cfg.analyze_embedding_enabled):
-        info = info.limit(0)
-    results = run_analyzer(info, analyzer, batch_size)
-    matched = match_results(results, info)
-    stored = storable_results(matched, t.uploads, cfg)
-    failed = failed_images(info, results).groupBy(F.col("id").alias("upload_id")).agg(F.count("*").alias("n"))
-    per_post = pairs.join(ok.select("post_id"), "post_id", "left_semi")
+    per_post = materialize(pairs.join(ok.select("post_id"), "post_id", "left_semi"), "analysis-pairs")
+    imgs = per_post.select(F.col("upload_id").alias("id")).distinct()
+    todo = t.uploads.join(imgs, "id", "left_semi").select(
+        "id", content_key().alias("sha1"), F.lit(cfg.analyze_ocr_enabled).alias("run_ocr"),
+        F.lit(cfg.analyze_embedding_enabled).alias("run_embed")).filter(F.col("run_ocr") | F.col("run_embed"))
+    stored, failed = _analyze(todo, t, cfg, analyzer, files, batch_size, record_failed)
     st = stored.select("upload_id", F.lit(1).alias("_ok"))
     fl = failed.select("upload_id", F.lit(1).alias("_failed"))
     post_out = per_post.join(st, "upload_id", "left").join(fl, "upload_id", "left").groupBy("post_id").agg(
         F.count("*").alias("n_images"), F.count("_ok").alias("n_analyzed"), F.count("_failed").alias("n_failed"))
-    return post_out, stored, failed
+    done = per_post.select("post_id").distinct()
+    if cfg.auto_flag_ocr if auto_flag_ocr is None else auto_flag_ocr:
+        held = t.post_uploads.join(done, "post_id", "left_semi").select("upload_id").distinct()
+        new = stored.select("upload_id", F.col("ocr_text").alias("new_text"))
+        texts = (held.join(t.index.select("upload_id", "ocr_text"), "upload_id", "left").join(new, "upload_id", "left")
+                 .select("upload_id", F.coalesce("new_text", "ocr_text").alias("ocr_text")))
+        flags = md.flag_posts(done, t.replace(index=texts))
+    else:
+        flags = md.flag_posts(done.limit(0), t)
+    return post_out, stored, failed, flags

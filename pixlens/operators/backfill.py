@@ -47,7 +47,12 @@ def batch_bounds(batches: DataFrame) -> DataFrame:
 
 def backfill(t: ForumTables, cfg: Settings, analyzer: Analyzer, files: DataFrame | None = None,
              limit: int | None = None, batch_size: int = BACKFILL_BATCH):
-    """Plan the backlog (or the next ``limit`` by priority) and process it in one job."""
+    """Plan the backlog (or the next ``limit`` by priority) and process it in one job.
+
+    Nothing is planned when analysis or search is switched off.
+    """
+    if not (cfg.enabled and cfg.search_enabled):
+        return process_images(t.uploads.limit(0), t, cfg, analyzer, files=files, batch_size=batch_size)
     if limit is not None:
         ids = backfill_priority(t, cfg, limit).select(F.col("upload_id").alias("id"))
     else:

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import ForumTables
-from .joins import bounded_theta_join
 from .requests import register_pattern
 
 # ----------------------------------------------------------------- resolvers
@@ -71,11 +70,17 @@ def category_terms(filters: DataFrame, t: ForumTables) -> DataFrame:
                          .alias("term"), F.col("raw").startswith("=").alias("exact"))
     # Hash-like semantics: one entry per term, the last occurrence decides exactness.
     last = terms.groupBy("request_id", "filter_no", "term").agg(F.max_by("exact", "pos").alias("exact"))
+    # Each distinct term is solved once: by equi-joins, or by ILIKE when it has a wildcard.
+    asked = last.select("term").distinct()
     cats = t.categories.select("id", "slug", "name")
-    cond = (F.expr("slug ILIKE term") | F.expr("name ILIKE term")
-            | (F.col("term").rlike("^[0-9]{1,10}$") & (F.col("id") == F.expr("try_cast(term AS BIGINT)"))))
-    found = bounded_theta_join(cats, last, cond, key="request_id")
-    return found.select("request_id", "filter_no", F.col("id").alias("cid"), "term", "exact")
+    wild = F.col("term").rlike(r"[%_\\\\]")
+    low = asked.filter(~wild).withColumn("low", F.lower("term"))
+    by_name = [cats.withColumn("low", F.lower(c)).join(low, "low").select("term", "id") for c in ("slug", "name")]
+    number = asked.filter(F.col("term").rlike("^[0-9]{1,10}$")).withColumn("id", F.expr("try_cast(term AS BIGINT)"))
+    by_id = cats.select("id").join(number, "id").select("term", "id")
+    like = cats.join(asked.filter(wild), F.expr("slug ILIKE term") | F.expr("name ILIKE term")).select("term", "id")
+    found = by_name[0].unionByName(by_name[1]).unionByName(by_id).unionByName(like).distinct()
+    return last.join(found, "term").select("request_id", "filter_no", F.col("id").alias("cid"), "term", "exact")
 
 
 def slug_targets(filters: DataFrame, t: ForumTables) -> DataFrame:
@@ -109,22 +114,25 @@ class FilterKind:
     """How one filter kind decides a candidate.
 
     Either ``resolve(filters, tables) -> (request_id, filter_no, value)`` gives
-    the allowed values of candidate column ``probe`` (an equi-join), or
-    ``check(arg) -> Column`` is a predicate on the candidate row (NULL = pass).
+    the allowed values of candidate column ``probe`` (an equi-join on the values
+    as text), or ``check(arg) -> Column`` is a predicate on the candidate row
+    (NULL = pass). ``extend(cands, tables)`` adds candidate columns that the check
+    needs; it runs only when the batch has filters of the kind.
     """
 
     probe: str | None = None
     resolve: Callable[[DataFrame, ForumTables], DataFrame] | None = None
     check: Callable[[Column], Column] | None = None
+    extend: Callable[[DataFrame, ForumTables], DataFrame] | None = None
 
 
 KINDS: dict[str, FilterKind] = {}
 
 
 def register_filter(kind: str, pattern: str | None = None, probe: str | None = None,
-                    resolve=None, check=None) -> None:
+                    resolve=None, check=None, extend=None) -> None:
     """Register a filter kind (and its matcher pattern)."""
-    KINDS[kind] = FilterKind(probe, resolve, check)
+    KINDS[kind] = FilterKind(probe, resolve, check, extend)
     if pattern is not None:
         register_pattern(kind, pattern)
 
@@ -143,12 +151,16 @@ def resolve_users(filters: DataFrame, t: ForumTables) -> DataFrame:
     return j.select("request_id", "filter_no", uid.alias("value")).filter(F.col("value").isNotNull())
 
 
-def resolve_tags(filters: DataFrame, t: ForumTables) -> DataFrame:
-    """Topics carrying any of the listed tags."""
-    names = filters.select("request_id", "filter_no", F.explode(F.split("arg", ",")).alias("name"))
-    tag_ids = names.join(t.tags, "name").select("request_id", "filter_no", F.col("id").alias("tag_id"))
-    return tag_ids.join(t.topic_tags, "tag_id").select("request_id", "filter_no",
-                                                       F.col("topic_id").alias("value")).distinct()
+def with_topic_tags(cands: DataFrame, t: ForumTables) -> DataFrame:
+    """Candidates with the tag names of their topic (J8): the candidates' topics are probed, never requests x topics."""
+    names = (t.topic_tags.join(t.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
+             .groupBy("topic_id").agg(F.collect_set("name").alias("topic_tag_names")))
+    return cands.join(names, "topic_id", "left")
+
+
+def any_tag(arg: Column) -> Column:
+    """the topic carries any of the listed tags."""
+    return F.coalesce(F.arrays_overlap(F.split(arg, ","), F.col("topic_tag_names")), F.lit(False))
 
 
 def resolve_categories(filters: DataFrame, t: ForumTables, closure: DataFrame | None = None) -> DataFrame:
@@ -176,7 +188,7 @@ def _date_check(op: str):
 register_filter("before", check=_date_check("<"))
 register_filter("after", check=_date_check(">"))
 register_filter("user", probe="user_id", resolve=resolve_users)
-register_filter("tags", probe="topic_id", resolve=resolve_tags)
+register_filter("tags", check=any_tag, extend=with_topic_tags)
 register_filter("category", probe="category_id", resolve=resolve_categories)
 register_filter("category_slug", probe="category_id", resolve=resolve_slugs)
 
@@ -200,10 +212,10 @@ def resolve_filters(filters: DataFrame, t: ForumTables, closure: DataFrame | Non
             part = k.resolve(fk, t, closure)
         else:
             part = k.resolve(fk, t)
-        part = part.select("request_id", "filter_no", F.col("value").cast("long").alias("value"))
+        part = part.select("request_id", "filter_no", F.col("value").cast("string").alias("value"))
         allowed = part if allowed is None else allowed.unionByName(part)
     if allowed is None:
-        allowed = filters.sparkSession.createDataFrame([], "request_id long, filter_no int, value long")
+        allowed = filters.sparkSession.createDataFrame([], "request_id long, filter_no int, value string")
     return allowed.distinct().withColumn("_ok", F.lit(True))
 
 
@@ -226,12 +238,16 @@ def apply_filters(cands: DataFrame, filters: DataFrame, t: ForumTables,
     if allowed is None:
         allowed = resolve_filters(filters, t, closure, kinds)
 
-    probe = F.lit(None).cast("long")
+    probe = F.lit(None).cast("string")
     direct = F.lit(None).cast("boolean")
     for kind, k in KINDS.items():
+        if kinds is not None and kind not in kinds:
+            continue
         is_kind = F.col("kind") == kind
+        if k.extend is not None:
+            cands = k.extend(cands, t)
         if k.probe is not None:
-            probe = F.when(is_kind, F.col(k.probe).cast("long")).otherwise(probe)
+            probe = F.when(is_kind, F.col(k.probe).cast("string")).otherwise(probe)
         if k.check is not None:
             c = k.check(F.col("arg"))
             direct = F.when(is_kind, F.coalesce(c, F.lit(True))).otherwise(direct)

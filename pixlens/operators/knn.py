@@ -1,33 +1,33 @@
 """Two-stage vector search over the image index.
 
 Stage 1 ranks every indexed image by the Hamming distance between binary
-(sign-bit) codes and keeps ``k = 2*limit + offset`` candidates per request.
-Spark has no vector-scan operator, so stage 1 is a ``mapInPandas`` over the
-index partitions: the request batch (size-checked, split into blocks when large)
-travels as a broadcast variable, each Arrow batch of codes is unpacked to +-1
-and scored with one matrix product, and only the per-batch top-k leaves the
-task. A window with a literal limit (planned as ``WindowGroupLimit``) merges the
-per-batch lists per request. Stage 2 joins the few candidates back to their
-vectors, computes cosine in double precision on the JVM, applies the
-similarity threshold and pages by rank.
-
-``knn_lsh`` is the approximate alternative: equi-joins on banded code words,
-no full scan, exact rerank of the candidates it finds.
+(sign-bit) codes and keeps ``k = oversample*limit + offset`` candidates per
+request. Spark has no vector-scan operator, so images and requests are both cut
+into blocks of bounded size; each pair of blocks is one group of a cogroup,
+scored by one +-1 matrix product, and gives each request's best ``k`` of the
+block. Requests stay a DataFrame of any length: nothing is collected and nothing
+is broadcast. A window merges the blocks' lists. Stage 2 joins the few candidates
+back to their vectors, computes cosine in double precision on the JVM, applies
+the similarity threshold and pages by rank.
+
+``knn_lsh`` is the approximate alternative: equi-joins on banded code words that
+also probe the neighbouring words of each band, exact rerank of what they find.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import ANN_DEFAULT_SEARCH_WIDTH
 from ..functions import vectors as V
 
-DEFAULT_MAX_QUERIES_PER_BLOCK = 4096
+BLOCK_CELLS = 1 << 22  # sign values of one image block (rows x dimensions)
+QUERIES_PER_BLOCK = 512
 SCORE_CHUNK = 4_000_000  # elements of one query x image score block
 
 
@@ -56,86 +56,63 @@ def _unpack(codes: np.ndarray, dim: int) -> np.ndarray:
     return out
 
 
-def _scan_fn(qids: np.ndarray, qsigns: np.ndarray, k: int, dim: int):
-    """Per-partition top-k by (hamming, upload_id) for every query of the block."""
-
-    def scan(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.sort_values("upload_id", kind="stable")
-            ids = pdf["upload_id"].to_numpy(np.int64)
-            codes = np.stack(pdf["code"].to_numpy()).astype(np.int64)
-            signs = _unpack(codes, dim)
-            n = len(ids)
-            kk = min(k, n)
-            step = max(1, SCORE_CHUNK // max(n, 1))
-            for q0 in range(0, len(qids), step):
-                qs = qsigns[q0:q0 + step]
-                # +-1 dot product -> Hamming distance, exact in float32 for dim < 2**24.
-                ham = np.rint((dim - qs @ signs.T) / 2.0).astype(np.int64)
-                key = ham * n + np.arange(n, dtype=np.int64)  # (hamming, upload_id) order
-                if kk < n:
-                    part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
-                else:
-                    part = np.broadcast_to(np.arange(n), key.shape)
-                rows = np.repeat(np.arange(len(qs)), kk)
-                cols = part.reshape(-1)
-                yield pd.DataFrame({
-                    "request_id": qids[q0:q0 + step][rows],
-                    "upload_id": ids[cols],
-                    "hamming": ham[rows, cols].astype(np.int32),
-                })
-
-    return scan
-
-
-def _collect_block(block: DataFrame, max_rows: int):
-    rows = block.select("request_id", "qcode", "k").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError("query block larger than its checked bound")
-    return rows
+def _block_top(dim: int):
+    """One (image block, request block): each request's k best by (hamming, upload_id)."""
+
+    def run(images, requests):
+        if images.empty or requests.empty:
+            return pd.DataFrame({"request_id": pd.Series(dtype="int64"), "upload_id": pd.Series(dtype="int64"),
+                                 "hamming": pd.Series(dtype="int32"), "k": pd.Series(dtype="int64")})
+        images = images.sort_values("upload_id", kind="stable")
+        ids = images["upload_id"].to_numpy(np.int64)
+        signs = _unpack(np.stack(images["code"].to_numpy()).astype(np.int64), dim)
+        qids, qk = requests["request_id"].to_numpy(np.int64), requests["k"].to_numpy(np.int64)
+        qsigns = _unpack(np.stack(requests["qcode"].to_numpy()).astype(np.int64), dim)
+        n, out = len(ids), []
+        step = max(1, SCORE_CHUNK // n)
+        for q0 in range(0, len(qids), step):
+            qs, k = qsigns[q0:q0 + step], np.minimum(qk[q0:q0 + step], n)
+            # +-1 dot product -> Hamming distance, exact in float32 for dim < 2**24.
+            ham = np.rint((dim - qs @ signs.T) / 2.0).astype(np.int64)
+            key = np.sort(ham * n + np.arange(n, dtype=np.int64), axis=1) if k.max() * 4 > n else None
+            if key is None:
+                most = int(k.max())
+                key = np.partition(ham * n + np.arange(n, dtype=np.int64), most - 1, axis=1)[:, :most]
+                key.sort(axis=1)
+            rows, cols = np.nonzero(np.arange(key.shape[1])[None, :] < k[:, None])
+            found = key[rows, cols]
+            out.append(pd.DataFrame({"request_id": qids[q0:q0 + step][rows], "upload_id": ids[found % n],
+                                     "hamming": (found // n).astype(np.int32), "k": qk[q0:q0 + step][rows]}))
+        return pd.concat(out)
+
+    return run
 
 
 def hamming_candidates(vindex: DataFrame, queries: DataFrame, dim: int,
-                       max_queries_per_block: int = DEFAULT_MAX_QUERIES_PER_BLOCK) -> DataFrame:
+                       queries_per_block: int = QUERIES_PER_BLOCK, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """Per request, the ``k`` images with the smallest Hamming distance.
 
     ``queries`` has (request_id, qcode, k). Output: request_id, upload_id,
-    hamming, cand_rank (1-based, ties by upload_id).
+    hamming, cand_rank (1-based, ties by upload_id). The two counts below only
+    choose how many blocks there are.
     """
-    spark = vindex.sparkSession
-    codes = vindex.select("upload_id", "code")
-    # One job when the batch fits one block (the common case); else split by hash.
-    first = queries.select("request_id", "qcode", "k").limit(max_queries_per_block + 1).collect()
-    if len(first) <= max_queries_per_block:
-        blocks = [first]
-    else:
-        n_blocks = math.ceil(queries.count() / max_queries_per_block)
-        blocks = [_collect_block(queries.filter(F.pmod(F.xxhash64("request_id"), F.lit(n_blocks)) == b),
-                                 max_queries_per_block) for b in range(n_blocks)]
-    parts = []
-    for rows in blocks:
-        if not rows:
-            continue
-        qids = np.array([r.request_id for r in rows], dtype=np.int64)
-        qsigns = _unpack(np.array([r.qcode for r in rows], dtype=np.int64), dim)
-        kmax = max(int(r.k) for r in rows)
-        bq = spark.sparkContext.broadcast((qids, qsigns))
-
-        def fn(batches, bq=bq, kmax=kmax):
-            ids, signs = bq.value
-            yield from _scan_fn(ids, signs, kmax, dim)(batches)
-
-        parts.append((codes.mapInPandas(fn, "request_id long, upload_id long, hamming int"), kmax))
-    if not parts:
-        return spark.createDataFrame([], "request_id long, upload_id long, hamming int, cand_rank int")
-    kmax = max(k for _, k in parts)
-    cands = reduce(DataFrame.unionByName, [p for p, _ in parts])
+    n_images, n_queries = vindex.count(), queries.count()
+    ib = max(1, math.ceil(n_images * dim / block_cells))
+    qb = max(1, math.ceil(n_queries / queries_per_block))
+
+    def block(name, n):
+        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+    def spread(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    images = vindex.select("upload_id", "code", block("upload_id", ib).alias("ib"), spread(qb).alias("qb"))
+    asked = queries.filter(F.col("k") > 0).select("request_id", "qcode", F.col("k").cast("long").alias("k"),
+                                                  block("request_id", qb).alias("qb"), spread(ib).alias("ib"))
+    cands = images.groupBy("ib", "qb").cogroup(asked.groupBy("ib", "qb")).applyInPandas(
+        _block_top(dim), "request_id long, upload_id long, hamming int, k long")
     w = Window.partitionBy("request_id").orderBy("hamming", "upload_id")
-    ranked = cands.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= kmax)
-    ranked = ranked.join(queries.select("request_id", "k"), "request_id")
-    return ranked.filter(F.col("cand_rank") <= F.col("k")).drop("k")
+    return cands.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= F.col("k")).drop("k")
 
 
 # ------------------------------------------------------------------ stage 2
@@ -159,29 +136,46 @@ def rerank(cands: DataFrame, vindex: DataFrame, queries: DataFrame) -> DataFrame
                        "similarity")
 
 
+def _with_k(queries: DataFrame, dim: int, oversample: float) -> DataFrame:
+    k = F.ceil(F.lit(float(oversample)) * F.col("limit")).cast("long") + F.col("offset").cast("long")
+    return prepare_queries(queries, dim).withColumn("k", k)
+
+
+def search_width(ef_search: int = ANN_DEFAULT_SEARCH_WIDTH, limit: int = 20) -> float:
+    """V5: the oversampling that gives a page the search width of ``ef_search`` candidates."""
+    return max(1.0, ef_search / limit)
+
+
 def search_images_embedding(queries: DataFrame, index: DataFrame, dim: int, vindex: DataFrame | None = None,
-                            oversample: int = 2,
-                            max_queries_per_block: int = DEFAULT_MAX_QUERIES_PER_BLOCK) -> DataFrame:
-    """V4: two-stage kNN for a batch of requests.
+                            oversample: float = 2, method: str = "exact", bands: DataFrame | None = None,
+                            queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
+    """V4: two-stage kNN for a batch of requests; ``method`` is ``exact`` or ``lsh``.
 
     ``queries``: request_id, qvec, threshold, limit, offset. Candidates per
-    request = ``oversample * limit + offset``.
+    request = ``oversample * limit + offset``. A request whose offset lies beyond
+    the index has no result and is not scored.
     """
+    if method == "lsh":
+        return knn_lsh(queries, index, dim, oversample=oversample, vindex=vindex, bands=bands)
+    if method != "exact":
+        raise ValueError(f"unknown method {method}")
     vindex = vindex if vindex is not None else vector_index(index, dim)
-    q = prepare_queries(queries, dim).withColumn(
-        "k", (F.lit(oversample) * F.col("limit") + F.col("offset")).cast("int"))
-    cands = hamming_candidates(vindex, q, dim, max_queries_per_block)
-    return rerank(cands, vindex, q)
+    q = _with_k(queries.filter(F.col("offset") < F.lit(vindex.count())), dim, oversample)
+    return rerank(hamming_candidates(vindex, q, dim, queries_per_block), vindex, q)
 
 
 # ------------------------------------------------------------------ V6 (approximate)
-def band_table(vindex: DataFrame, dim: int, band_bits: int = 8) -> DataFrame:
+BAND_BITS = 12
+PROBE_BITS = 3
+
+
+def band_table(vindex: DataFrame, dim: int, band_bits: int = BAND_BITS) -> DataFrame:
     """(band, value, upload_id): the sign bits cut into bands of ``band_bits``."""
     return _bands(vindex, "embeddings", "upload_id", dim, band_bits)
 
 
 def _bands(df: DataFrame, vec: str, key: str, dim: int, band_bits: int) -> DataFrame:
-    n_bands = math.ceil(dim / band_bits)
+    n_bands = max(1, dim // band_bits)  # bits that fill no band are left to the exact rank
     vals = []
     for b in range(n_bands):
         sl = F.slice(F.col(vec), b * band_bits + 1, band_bits)
@@ -191,27 +185,31 @@ def _bands(df: DataFrame, vec: str, key: str, dim: int, band_bits: int) -> DataF
     return df.select(key, F.inline(arr))
 
 
-def knn_lsh(queries: DataFrame, index: DataFrame, dim: int, band_bits: int = 8, oversample: int = 2,
-            vindex: DataFrame | None = None, bands: DataFrame | None = None) -> DataFrame:
-    """Approximate V4: candidates share at least one band with the query.
+def _probes(value: Column, band_bits: int, probe_bits: int) -> Column:
+    """The band value and all values within ``probe_bits`` flipped bits of it."""
+    from itertools import combinations
+
+    masks = [sum(1 << b for b in c) for r in range(probe_bits + 1) for c in combinations(range(band_bits), r)]
+    return F.transform(F.array(*map(F.lit, masks)), lambda m: value.bitwiseXOR(m.cast("long")))
+
+
+def knn_lsh(queries: DataFrame, index: DataFrame, dim: int, band_bits: int = BAND_BITS, oversample: float = 2,
+            vindex: DataFrame | None = None, bands: DataFrame | None = None, probe_bits: int = PROBE_BITS) -> DataFrame:
+    """Approximate V4: candidates differ from the query by at most ``probe_bits`` bits in some band.
 
-    Equi-joins only (AQE picks broadcast or shuffle); the candidate pairs are
-    de-duplicated, then ranked exactly by (Hamming, upload_id) and reranked by
-    cosine like the exact path.
+    Equi-joins only (AQE picks broadcast or shuffle and splits hot band values);
+    the candidate pairs are de-duplicated, then ranked exactly by
+    (Hamming, upload_id) and reranked by cosine like the exact path.
     """
     vindex = vindex if vindex is not None else vector_index(index, dim)
     bands = bands if bands is not None else band_table(vindex, dim, band_bits)
-    q = prepare_queries(queries, dim).withColumn(
-        "k", (F.lit(oversample) * F.col("limit") + F.col("offset")).cast("int"))
-    qb = _bands(q, "qvec", "request_id", dim, band_bits)
+    q = _with_k(queries, dim, oversample)
+    qb = _bands(q, "qvec", "request_id", dim, band_bits).select(
+        "request_id", "band", F.explode(_probes(F.col("value"), band_bits, probe_bits)).alias("value"))
     pairs = qb.join(bands, ["band", "value"]).select("request_id", "upload_id").distinct()
     scored = (pairs.join(vindex.select("upload_id", "code"), "upload_id")
               .join(q.select("request_id", "qcode", "k"), "request_id")
               .withColumn("hamming", V.hamming("code", "qcode", dim)))
-    # A literal bound first (partial top-k before the shuffle, even for a request
-    # whose bands match a third of the index), then each request's own k.
-    kmax = int(q.agg(F.max("k")).first()[0] or 0)
     w = Window.partitionBy("request_id").orderBy("hamming", "upload_id")
-    cands = scored.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= kmax) \
-        .filter(F.col("cand_rank") <= F.col("k"))
+    cands = scored.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= F.col("k"))
     return rerank(cands.select("request_id", "upload_id", "hamming", "cand_rank"), vindex, q)

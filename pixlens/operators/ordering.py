@@ -2,11 +2,10 @@
 
 ``row_number`` over ``partitionBy(g)`` sends a whole group to one task; with a
 top-k literal Spark plans a partial ``WindowGroupLimit`` and that is fine. When
-the whole group must be ranked (no limit), these helpers rank by a global
-range-partitioned sort instead: a hot group is spread over many partitions by
-its secondary sort keys, per-partition row counts (one small row per
-partition) become offsets, and a group's rank is its global position minus the
-group's first position.
+the whole group must be ranked (no limit), it is cut into blocks of its order key
+whose counts become offsets, so a hot group is spread over many tasks.
+``dense_index`` numbers a whole table by a range-partitioned sort and
+per-partition counts.
 """
 
 from __future__ import annotations
@@ -46,25 +45,24 @@ def dense_index(df: DataFrame, order: str | Column | list, descending: bool = Fa
         "_pid", "_pos", "_mid", "_off")
 
 
-MAX_WINDOW_GROUP = 2_000_000
+RANK_BUCKET = 1 << 16
 
 
-def rank_in_groups(df: DataFrame, group: str, order: list[Column], name: str = "rank",
-                   max_window_group: int = MAX_WINDOW_GROUP) -> DataFrame:
-    """1-based ``row_number`` within ``group`` by ``order``; no unbounded group in one task.
+def rank_in_groups(df: DataFrame, group: str, lead: Column, by: str, ties: list[Column] | None = None,
+                   name: str = "rank") -> DataFrame:
+    """1-based rank within ``group`` by (``lead`` ascending, ``by`` descending, ``ties``) as a long.
 
-    The input is materialized once and its largest group measured: groups that
-    fit ``max_window_group`` rows are ranked by a plain window (one task per
-    group is then bounded); beyond that, ranks come from the global
-    range-partitioned order, which spreads a hot group over many tasks.
+    A group may hold any share of the rows. Rows are counted per (group, lead,
+    block of ``RANK_BUCKET`` consecutive ``by`` values); the running sum over these
+    counts is where a block's ranks begin, and only a block is ranked by one
+    window. ``df`` is read twice and should be a materialized table.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
-    biggest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= max_window_group:
-        w = Window.partitionBy(group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
-    idx = dense_index(df, [F.col(group)] + order, name="_gidx", materialized=True)
-    first = idx.groupBy(group).agg(F.min("_gidx").alias("_first"))
-    return idx.join(first, group).withColumn(name, (F.col("_gidx") - F.col("_first") + 1).cast("long")) \
-        .drop("_gidx", "_first")
+    b = df.withColumn("_lead", lead).withColumn("_block", -F.floor(F.col(by) / RANK_BUCKET))
+    keys = [group, "_lead", "_block"]
+    before = Window.partitionBy(group).orderBy("_lead", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    start = b.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn(
+        "_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*keys).orderBy(F.col(by).desc(), *(ties or []))
+    return (b.withColumn("_rn", F.row_number().over(inside)).join(start, keys)
+            .withColumn(name, (F.col("_start") + F.col("_rn")).cast("long"))
+            .drop("_lead", "_block", "_rn", "_start"))

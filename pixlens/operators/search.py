@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PAGE_SIZE, Settings
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources.tables import ForumTables
 from . import eligibility as el
 from . import filters as flt
@@ -26,14 +26,16 @@ from .ordering import rank_in_groups
 from .requests import FILTER_PATTERNS, filter_rows, parse_requests, request_modes, validate_requests
 
 
+#: Requests whose page ends within this many rows are cut by a window with this literal bound (a partial
+#: top-k before the shuffle); deeper pages are ranked in blocks. Both give the same rows.
+SHALLOW = 1024
+
+
 @dataclass
 class SearchOutput:
     results: DataFrame  # request_id, rank, post_id, upload_id
     envelope: DataFrame  # one row per request
 
-    def release(self) -> None:
-        """Nothing is cached; kept for callers that release per batch."""
-
 
 def prepare_requests(requests: DataFrame, limit: int = PAGE_SIZE) -> DataFrame:
     """Validated, moded, parsed requests with per-side limits and offsets.
@@ -45,7 +47,7 @@ def prepare_requests(requests: DataFrame, limit: int = PAGE_SIZE) -> DataFrame:
     both = F.col("search_ocr") & F.col("search_embeddings")
     side = F.when(both, F.lit(limit // 2)).otherwise(F.lit(limit))
     return r.select("*", side.cast("int").alias("side_limit"),
-                    (F.col("page_no") * side).cast("int").alias("side_offset"))
+                    (F.col("page_no") * side).cast("long").alias("side_offset"))
 
 
 def post_pairs(hits: DataFrame, t: ForumTables, cfg: Settings | None = None,
@@ -56,6 +58,8 @@ def post_pairs(hits: DataFrame, t: ForumTables, cfg: Settings | None = None,
     # every post is never joined with every link.
     posts = el.searchable_posts(t.posts, t, cfg, strict_visibility).select(
         F.col("id").alias("post_id"), "topic_id", "user_id", "created_at")
+    # An index row whose upload is gone is no result.
+    hits = hits.join(t.uploads.select(F.col("id").alias("upload_id")), "upload_id", "left_semi")
     pairs = hits.join(t.post_uploads, "upload_id").join(posts, "post_id")
     if not with_category:  # only category filters read it
         return pairs.withColumn("category_id", F.lit(None).cast("long"))
@@ -68,30 +72,50 @@ def _filtered(pairs: DataFrame, reqs: DataFrame, t: ForumTables, closure: DataFr
     return flt.apply_filters(pairs, filter_rows(reqs.filter(F.size("filters") > 0)), t, closure, kinds, allowed)
 
 
-def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: Settings | None, max_rank: int,
+def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: Settings | None,
              paging: str = "linear", strict_visibility: bool = False,
              closure: DataFrame | None = None, kinds: list[str] | None = None,
-             allowed: DataFrame | None = None) -> DataFrame:
-    """OCR matches, filters before the limit, newest post first."""
-    r = reqs.filter(F.col("search_ocr"))
-    if postings is None:
-        hits = textindex.search_images_ocr_scan(r.select("request_id", "processed_term"), t.index)
-    else:
-        hits = textindex.search_images_ocr(r.select("request_id", "processed_term"), postings)
+             allowed: DataFrame | None = None, deep: bool = True) -> DataFrame:
+    """OCR matches, filters before the limit, newest post first.
+
+    ``deep=False`` tells that no request's page ends beyond ``SHALLOW`` rows.
+    """
+    off = F.col("side_offset") if paging == "linear" else F.col("page_no") * F.col("side_offset")
+    r = reqs.filter(F.col("search_ocr")).withColumn("off", off)
     with_cat = kinds is None or any(k in ("category", "category_slug") for k in kinds)
-    pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility, with_cat), r, t, closure, kinds, allowed)
+    is_deep = F.col("off") + F.col("side_limit") > SHALLOW
+
+    def matches(asked):
+        terms = asked.select("request_id", "processed_term")
+        if postings is None:
+            hits = textindex.search_images_ocr_scan(terms, t.index)
+        else:
+            hits = textindex.search_images_ocr(terms, postings)
+        return post_pairs(hits, t, cfg, strict_visibility, with_cat)
+
+    def kept(asked):
+        """Requests without filters bypass the filter stage."""
+        cols = ("request_id", "post_id", "upload_id")
+        plain = matches(asked.filter(F.size("filters") == 0)).select(*cols)
+        if kinds is not None and not kinds:
+            return plain
+        some = asked.filter(F.size("filters") > 0)
+        return plain.unionByName(_filtered(matches(some), some, t, closure, kinds, allowed).select(*cols))
+
     w = Window.partitionBy("request_id").orderBy(F.col("post_id").desc(), F.col("upload_id").desc())
-    ranked = pairs.select("request_id", "post_id", "upload_id").withColumn("pos", F.row_number().over(w))
-    ranked = ranked.filter(F.col("pos") <= max_rank)
-    off = F.col("side_offset") if paging == "linear" else F.col("page_no") * F.col("side_offset")
-    p = r.select("request_id", "side_limit", off.alias("off"))
+    ranked = kept(r.filter(~is_deep)).withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= SHALLOW)
+    if deep:
+        found = materialize(kept(r.filter(is_deep)), "search-deep")
+        ranked = ranked.unionByName(rank_in_groups(found, "request_id", F.lit(0), "post_id",
+                                                   [F.col("upload_id").desc()], "pos"))
+    p = r.select("request_id", "side_limit", "off")
     page = ranked.join(p, "request_id").filter(
         (F.col("pos") > F.col("off")) & (F.col("pos") <= F.col("off") + F.col("side_limit")))
     return page.select("request_id", "post_id", "upload_id", (F.col("pos") - F.col("off")).alias("side_rank"))
 
 
 def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cfg: Settings,
-                   vindex: DataFrame | None = None, oversample: int = 2,
+                   vindex: DataFrame | None = None, oversample: float = 2, method: str = "exact",
                    strict_visibility: bool = False, closure: DataFrame | None = None,
                    kinds: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """V4 + T4: image top-k first (limit applies to images), then posts by image rank."""
@@ -100,7 +124,8 @@ def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cf
         F.lit(cfg.text_similarity_threshold))
     q = r.select("request_id", thr.alias("threshold"), F.col("side_limit").alias("limit"),
                  F.col("side_offset").alias("offset")).join(query_vectors.select("request_id", "qvec"), "request_id")
-    imgs = knn.search_images_embedding(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample)
+    imgs = knn.search_images_embedding(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample,
+                                       method=method)
     hits = imgs.select("request_id", "upload_id", F.col("rank").alias("img_rank"))
     with_cat = kinds is None or any(k in ("category", "category_slug") for k in kinds)
     pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility, with_cat), r, t, closure, kinds, allowed)
@@ -110,18 +135,22 @@ def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cf
 
 
 def rank_embedding_side(pairs: DataFrame) -> DataFrame:
-    """T4: posts ordered by their image's rank, then newest post (skew-safe rank)."""
-    return rank_in_groups(pairs, "request_id", [F.col("img_rank"), F.col("post_id").desc()], "side_rank") \
+    """T4: posts ordered by their image's rank, then newest post."""
+    held = materialize(pairs, "search-embedding")
+    return rank_in_groups(held, "request_id", F.col("img_rank"), "post_id", [F.col("upload_id").desc()], "side_rank") \
         .select("request_id", "post_id", "upload_id", "side_rank")
 
 
 def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: DataFrame,
            postings: DataFrame | None = None, vindex: DataFrame | None = None, limit: int = PAGE_SIZE,
-           paging: str = "linear", strict_visibility: bool = False, max_page: int | None = None) -> SearchOutput:
+           paging: str = "linear", strict_visibility: bool = False, method: str = "exact",
+           oversample: float = 2) -> SearchOutput:
     """All four modes for a batch of requests.
 
     ``query_vectors`` (request_id, qvec) comes from the user's embedder (text
     for embedding mode, image for by-image mode), see ``embed_queries``.
+    ``method`` and ``oversample`` choose the vector search (see ``knn``). The
+    matches of both sides are written once; results and envelope read them.
     """
     # The parsed request batch is small and feeds every branch: checkpoint it
     # once (reliable storage in spark.checkpoint.dir) so each branch reads a
@@ -129,19 +158,17 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
     ensure_checkpoint_dir(requests.sparkSession)
     prepared = prepare_requests(requests, limit).checkpoint(eager=True)
     reqs = prepared.filter(F.col("error").isNull())
-    # One one-row job: which sides, the largest page, the filter kinds present.
+    # One one-row job: which sides, whether pages are deep, the filter kinds present.
     # Fixed-width aggregates (one flag per known filter kind): bounded whatever the batch size.
     known = [k for k, _ in FILTER_PATTERNS]
     def is_kind(k):
         return lambda x: x["kind"] == k
 
     flags = [F.max(F.exists("filters", is_kind(k)).cast("int")).alias(f"k{i}") for i, k in enumerate(known)]
+    ends = F.col("side_offset") * (F.col("page_no") if paging != "linear" else F.lit(1)) + F.col("side_limit")
     need = reqs.agg(F.max(F.col("search_ocr").cast("int")).alias("ocr"),
                     F.max((F.col("search_embeddings") | F.col("search_by_image")).cast("int")).alias("emb"),
-                    F.max("page_no").alias("page"), *flags).first()
-    if max_page is None:
-        max_page = need["page"] or 0
-    max_rank = int(limit * (max_page + 1) * (max_page + 1 if paging != "linear" else 1))
+                    F.max(F.when(F.col("search_ocr"), ends)).alias("ends"), *flags).first()
     kinds = [k for i, k in enumerate(known) if need[f"k{i}"]]
     closure = allowed = None
     if "category" in kinds or "category_slug" in kinds:
@@ -153,16 +180,17 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
 
     sides = []
     if need["ocr"]:
-        ocr = ocr_side(reqs, t, postings, cfg, max_rank, paging, strict_visibility, closure, kinds, allowed)
+        ocr = ocr_side(reqs, t, postings, cfg, paging, strict_visibility, closure, kinds, allowed,
+                       deep=(need["ends"] or 0) > SHALLOW)
         sides.append(ocr.select("request_id", "post_id", "upload_id", F.lit(1).alias("src"), "side_rank"))
     if need["emb"]:
-        emb = embedding_side(reqs, t, query_vectors, cfg, vindex, strict_visibility=strict_visibility,
+        emb = embedding_side(reqs, t, query_vectors, cfg, vindex, oversample, method, strict_visibility,
                              closure=closure, kinds=kinds, allowed=allowed)
         # img_rank orders the side; post_id desc breaks ties in the final rank.
         sides.append(emb.select("request_id", "post_id", "upload_id", F.lit(0).alias("src"),
                                 F.col("img_rank").cast("long").alias("side_rank")))
     if sides:
-        both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+        both = materialize(sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]), "search-sides")
     else:
         both = reqs.sparkSession.createDataFrame(
             [], "request_id long, post_id long, upload_id long, src int, side_rank long")
@@ -177,16 +205,9 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
     # Combined: newest post first. Single mode: that side's own order.
     order_key = F.when(combined, F.lit(0)).otherwise(F.col("_first").bitwiseAND(F.lit((1 << 40) - 1)))
     keyed = uniq.select("request_id", "post_id", "upload_id", order_key.alias("_k"))
-    order = [F.col("_k"), F.col("post_id").desc(), F.col("upload_id").desc()]
-    if need["emb"]:
-        # Embedding results keep every post of a top image: a request's result
-        # set is unbounded, so rank through a range-partitioned global order.
-        results = rank_in_groups(keyed, "request_id", order).select("request_id", "post_id", "upload_id", "rank")
-    else:
-        # OCR pages are bounded by (page + 1) * limit rows per request.
-        w = Window.partitionBy("request_id").orderBy(*order)
-        results = keyed.select("request_id", "post_id", "upload_id", F.row_number().over(w).cast("long")
-                               .alias("rank")).filter(F.col("rank") <= max_rank)
+    # Embedding results keep every post of a top image, so a request's result set is unbounded: ranked in blocks.
+    results = rank_in_groups(keyed, "request_id", F.col("_k"), "post_id", [F.col("upload_id").desc()]).select(
+        "request_id", "post_id", "upload_id", "rank")
 
     # has_more counts the (post, image) rows of each side before de-duplication.
     side_n = both.groupBy("request_id").agg(F.count_if(F.col("src") == 1).alias("n_ocr"),

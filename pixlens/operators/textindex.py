@@ -43,9 +43,14 @@ def postings(index: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
         "bucket", "lexeme", "upload_id", "positions", F.lit(n_buckets).cast("int").alias("n_buckets"))
 
 
-def write_postings(post: DataFrame, path: str) -> None:
-    """Persist the posting table partitioned by lexeme bucket."""
-    post.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_postings(post: DataFrame, path: str, salt: int = 8) -> None:
+    """Persist the posting table partitioned by lexeme bucket.
+
+    A bucket is written by ``salt`` tasks that share it by upload id, so a lexeme
+    that a third of all images hold is not in one task.
+    """
+    part = F.pmod(F.xxhash64("upload_id"), F.lit(salt))
+    post.repartition("bucket", part).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:

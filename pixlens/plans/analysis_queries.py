@@ -3,12 +3,15 @@ stub model (SRC2-SRC5, U1, P1, P5, J13, J14, S2, WR2, C4, C5, X2)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..config import TEST_SETTINGS
 from ..functions.text import join_lines
 from ..operators import analysis as an
 from ..operators import eligibility as el
+from ..operators import index_store as ix
 from ..sources.testforum import BASE_URL, TestForum
 from .catalog import register
 
@@ -32,7 +35,19 @@ def _info(f, with_content=False):
 
 
 def _results(f):
-    return an.run_analyzer(_info(f, True), an.stub_analyzer(DIM))
+    return an.run_analyzer(_info(f), f.answers)
+
+
+def histogram(data: bytes) -> list[float]:
+    h = np.bincount(np.frombuffer(data, np.uint8) & (DIM - 1), minlength=DIM).astype(np.float32)
+    return (h / max(np.linalg.norm(h), 1e-9)).tolist()
+
+
+def histogram_model(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A small real model for the hook: the text lines of the bytes and their byte histogram as vector."""
+    raw = [bytes(c) for c in pdf["content"]]
+    return pd.DataFrame({"sha1": pdf["sha1"].to_numpy(), "ocr_result": [c.decode("utf-8", "replace").split("\n") for c in raw],
+                         "embedding": [histogram(c) for c in raw], "success": [True] * len(raw)})
 
 
 @register("image_info", f"""
@@ -93,31 +108,41 @@ def ocr_text_join(spark, sf_dir):
     return res.select("upload_id", F.md5(join_lines(F.col("ocr_result"))).alias("ocr_md5"))
 
 
-_STUB = """
-  SELECT DISTINCT n.content_key AS sha1, NOT starts_with(n.content_key, '0') AS success,
+_MODEL = """
+  SELECT DISTINCT n.content_key AS sha1, TRUE AS success,
          md5(d.text) AS ocr_md5, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines,
          CAST(64 AS BIGINT) AS dim, FALSE AS transport_error
   FROM needing_uploads n JOIN documents d ON d.doc_id = n.id"""
 
 
-@register("analysis_stub", _STUB)
-def analysis_stub(spark, sf_dir):
-    r = _results(_f(spark, sf_dir))
+@register("analysis_stub", _MODEL)
+def analysis_model(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    r = an.run_analyzer(_info(f), histogram_model, files=f.upload_files)
     return r.select("sha1", "success", F.md5(join_lines(F.col("ocr_result"))).alias("ocr_md5"),
                     F.size("ocr_result").cast("long").alias("n_lines"),
                     F.size("embedding").cast("long").alias("dim"), "transport_error")
 
 
 @register("match_results", """
-  SELECT id AS upload_id, content_key AS sha1, NOT starts_with(content_key, '0') AS success FROM needing_uploads""")
+  SELECT n.id AS upload_id, n.content_key AS sha1, a.success FROM needing_uploads n JOIN answers a ON a.sha1 = n.content_key""")
 def match_results(spark, sf_dir):
     f = _f(spark, sf_dir)
     return an.match_results(_results(f), _info(f)).select("upload_id", "sha1", "success")
 
 
+@register("match_results_reference_dedup", """
+  SELECT max(n.id) AS upload_id, n.content_key AS sha1, any_value(a.success) AS success
+  FROM needing_uploads n JOIN answers a ON a.sha1 = n.content_key GROUP BY n.content_key""")
+def match_results_reference_dedup(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    return an.match_results(_results(f), _info(f), reference_dedup=True).select("upload_id", "sha1", "success")
+
+
 _STORABLE = """
-  SELECT n.id AS upload_id, n.content_key AS sha1, md5(d.text) AS ocr_md5, TRUE AS has_embedding
-  FROM needing_uploads n JOIN documents d ON d.doc_id = n.id WHERE NOT starts_with(n.content_key, '0')"""
+  SELECT n.id AS upload_id, n.content_key AS sha1, md5(array_to_string(a.ocr_result, chr(10))) AS ocr_md5,
+         a.embedding IS NOT NULL AS has_embedding
+  FROM needing_uploads n JOIN answers a ON a.sha1 = n.content_key WHERE a.success"""
 
 
 def _storable(f):
@@ -131,7 +156,8 @@ def storable_results(spark, sf_dir):
                     F.col("embeddings").isNotNull().alias("has_embedding"))
 
 
-@register("failed_images", "SELECT id, content_key AS sha1 FROM needing_uploads WHERE starts_with(content_key, '0')")
+@register("failed_images", """
+  SELECT n.id, n.content_key AS sha1 FROM needing_uploads n JOIN answers a ON a.sha1 = n.content_key WHERE NOT a.success""")
 def failed_images(spark, sf_dir):
     f = _f(spark, sf_dir)
     return an.failed_images(_info(f), _results(f)).select("id", "sha1")
@@ -161,34 +187,99 @@ def reuse_by_content(spark, sf_dir):
     return an.reuse_donors(tg, f.index)
 
 
-@register("process_images", rf"""
+#: The images of one run: their donor, what they still need, and the service's answer for their content.
+RUN = rf"""
+  SELECT n.id AS upload_id, n.content_key AS sha1, {_DONOR} AS donor_id, i.retry_times AS old_retry,
+         (i.ocr_text IS NULL OR len(regexp_extract_all(lower(i.ocr_text), '[\p{{L}}\p{{N}}]+')) = 0) AS run_ocr,
+         i.embeddings IS NULL AS run_embed, a.success, a.embedding, array_to_string(a.ocr_result, chr(10)) AS text
+  FROM needing_uploads n JOIN answers a ON a.sha1 = n.content_key LEFT JOIN image_search_data i ON i.upload_id = n.id"""
+_KEPT = "(success AND (run_ocr OR (run_embed AND embedding IS NOT NULL)))"
+
+
+def _processed(f, **more):
+    return an.process_images(_targets(f), f.tables(), CFG, f.answers, **more)
+
+
+@register("process_images", f"""
   SELECT upload_id, CASE WHEN donor_id IS NOT NULL THEN 'reused'
                          WHEN NOT (run_ocr OR run_embed) THEN 'skipped'
-                         WHEN starts_with(content_key, '0') THEN 'failed' ELSE 'analyzed' END AS outcome
-  FROM (SELECT n.id AS upload_id, n.content_key, {_DONOR} AS donor_id,
-               (i.ocr_text IS NULL OR len(regexp_extract_all(lower(i.ocr_text), '[\p{{L}}\p{{N}}]+')) = 0) AS run_ocr,
-               i.embeddings IS NULL AS run_embed
-        FROM needing_uploads n LEFT JOIN image_search_data i ON i.upload_id = n.id) x""")
+                         WHEN NOT success THEN 'failed' WHEN {_KEPT} THEN 'analyzed' ELSE 'skipped' END AS outcome
+  FROM ({RUN}) x""")
 def process_images(spark, sf_dir):
+    return _processed(_f(spark, sf_dir))[0]
+
+
+@register("process_images_upserts", f"""
+  SELECT x.upload_id, x.sha1, md5(CASE WHEN x.donor_id IS NOT NULL THEN d.ocr_text WHEN x.run_ocr THEN x.text END) AS ocr_md5,
+         CASE WHEN x.donor_id IS NOT NULL THEN d.embeddings IS NOT NULL
+              ELSE x.run_embed AND x.embedding IS NOT NULL END AS has_embedding, x.donor_id IS NOT NULL AS reused
+  FROM ({RUN}) x LEFT JOIN image_search_data d ON d.upload_id = x.donor_id
+  WHERE x.donor_id IS NOT NULL OR {_KEPT.replace('success', 'x.success').replace('embedding IS', 'x.embedding IS')}""")
+def process_images_upserts(spark, sf_dir):
+    _, upserts, _ = _processed(_f(spark, sf_dir))
+    return upserts.select("upload_id", "sha1", F.md5("ocr_text").alias("ocr_md5"),
+                          F.col("embeddings").isNotNull().alias("has_embedding"), "reused")
+
+
+@register("process_images_failures", f"""
+  SELECT upload_id, sha1, CAST(1 AS BIGINT) AS n FROM ({RUN}) x
+  WHERE donor_id IS NULL AND (run_ocr OR run_embed) AND NOT success""")
+def process_images_failures(spark, sf_dir):
+    return _processed(_f(spark, sf_dir))[2]
+
+
+@register("process_images_ocr_only", f"""
+  SELECT upload_id, md5(text) AS ocr_md5 FROM ({RUN}) x WHERE donor_id IS NULL AND run_ocr AND success""")
+def process_images_ocr_only(spark, sf_dir):
+    outcomes, upserts, failures = _processed(_f(spark, sf_dir), record_failed=False, analyze_embedding=False)
+    return upserts.filter(~F.col("reused")).join(failures.select("upload_id"), "upload_id", "left_anti").select(
+        "upload_id", F.md5("ocr_text").alias("ocr_md5"))
+
+
+@register("reuse_rows", f"""
+  SELECT upload_id, sha1, CAST(coalesce(old_retry, 0) AS INTEGER) AS retry_times FROM ({RUN}) x WHERE donor_id IS NOT NULL""")
+def reuse_rows(spark, sf_dir):
     f = _f(spark, sf_dir)
-    outcomes, _, _ = an.process_images(_targets(f), f.tables(), CFG, an.stub_analyzer(DIM), files=f.upload_files)
-    return outcomes
+    _, upserts, _ = _processed(f)
+    merged = ix.merge_results(f.index, upserts)
+    return merged.join(upserts.filter("reused").select("upload_id"), "upload_id", "left_semi").select(
+        "upload_id", "sha1", "retry_times")
 
 
-@register("process_posts", """
+_POSTS = """
   WITH pimg AS (
-    SELECT pu.post_id, u.id, coalesce(u.original_sha1, u.sha1) AS content_key
+    SELECT pu.post_id, u.id, a.success, array_to_string(a.ocr_result, chr(10)) AS text
     FROM post_uploads pu JOIN eligible_posts p ON p.id = pu.post_id
     JOIN size_type_ok u ON u.id = pu.upload_id LEFT JOIN image_search_data i ON i.upload_id = u.id
+    JOIN answers a ON a.sha1 = coalesce(u.original_sha1, u.sha1)
     WHERE (i.upload_id IS NULL OR i.ocr_text IS NULL OR i.embeddings IS NULL)
       AND (i.retry_times IS NULL OR i.retry_times < 3)),
-  ok AS (SELECT post_id FROM pimg GROUP BY post_id HAVING count(*) <= 5)
+  ok AS (SELECT post_id FROM pimg GROUP BY post_id HAVING count(*) <= 5)"""
+
+
+def _processed_posts(f):
+    return an.process_posts(f.post_uploads.select("post_id").distinct(), f.tables(), CFG, f.answers)
+
+
+@register("process_posts", _POSTS + """
   SELECT post_id, count(*) AS n_images,
-         count(*) FILTER (WHERE NOT starts_with(content_key, '0')) AS n_analyzed,
-         count(*) FILTER (WHERE starts_with(content_key, '0')) AS n_failed
+         count(*) FILTER (WHERE success) AS n_analyzed,
+         count(*) FILTER (WHERE NOT success) AS n_failed
   FROM pimg WHERE post_id IN (SELECT post_id FROM ok) GROUP BY post_id""")
 def process_posts(spark, sf_dir):
-    f = _f(spark, sf_dir)
-    post_ids = f.post_uploads.select("post_id").distinct()
-    out, _, _ = an.process_posts(post_ids, f.tables(), CFG, an.stub_analyzer(DIM), files=f.upload_files)
-    return out
+    return _processed_posts(_f(spark, sf_dir))[0]
+
+
+WATCHED = r"(?i)(^|[^\p{L}\p{N}_])(erenes|leaux|the it|qu[\p{L}\p{N}_]*nz|!!!)($|[^\p{L}\p{N}_])"
+
+
+@register("process_posts_flags", _POSTS + f""",
+  texts AS (
+    SELECT pu.post_id, coalesce(n.text, i.ocr_text) AS text FROM post_uploads pu
+    LEFT JOIN image_search_data i ON i.upload_id = pu.upload_id
+    LEFT JOIN (SELECT DISTINCT id, text FROM pimg WHERE success AND post_id IN (SELECT post_id FROM ok)) n ON n.id = pu.upload_id
+    WHERE pu.post_id IN (SELECT post_id FROM ok))
+  SELECT DISTINCT post_id, 'inappropriate' AS flag_type, 'watched_word' AS reason, 'system' AS actor
+  FROM texts WHERE regexp_matches(text, '{WATCHED}')""")
+def process_posts_flags(spark, sf_dir):
+    return _processed_posts(_f(spark, sf_dir))[3]

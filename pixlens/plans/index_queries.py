@@ -13,6 +13,7 @@ from ..operators import moderation as md
 from ..operators import results as rs
 from ..operators import search as se
 from ..sources.testforum import BASE_URL, TestForum
+from .analysis_queries import RUN, WATCHED
 from .catalog import register
 from .search_sql import LIMIT, TEXT_T, search_sql
 
@@ -38,15 +39,14 @@ _INDEX_OUT = ("SELECT upload_id, sha1, md5(ocr_text) AS ocr_md5, embeddings IS N
          coalesce(s.ocr_text, i.ocr_text) AS ocr_text, coalesce(s.emb, i.embeddings) AS embeddings,
          CAST(CASE WHEN s.upload_id IS NOT NULL THEN 0 ELSE i.retry_times END AS INTEGER) AS retry_times
   FROM image_search_data i FULL OUTER JOIN (
-    SELECT n.id AS upload_id, n.content_key AS sha1, d.text AS ocr_text, [1.0] AS emb
-    FROM needing_uploads n JOIN documents d ON d.doc_id = n.id WHERE NOT starts_with(n.content_key, '0')) s
+    SELECT n.id AS upload_id, n.content_key AS sha1, array_to_string(a.ocr_result, chr(10)) AS ocr_text, a.embedding AS emb
+    FROM needing_uploads n JOIN answers a ON a.sha1 = n.content_key WHERE a.success) s
   ON s.upload_id = i.upload_id"""))
 def merge_results(spark, sf_dir):
     f = _f(spark, sf_dir)
     t = f.tables()
     info = an.image_info(an.el.uploads_needing_analysis(t, CFG), CFG)
-    content = f.upload_files.select(F.col("upload_id").alias("id"), "content")
-    res = an.run_analyzer(info.join(content, "id", "left"), an.stub_analyzer(DIM))
+    res = an.run_analyzer(info, f.answers)
     stored = an.storable_results(an.match_results(res, info), f.uploads, CFG)
     return _index_out(ix.merge_results(f.index, stored))
 
@@ -55,14 +55,13 @@ def merge_results(spark, sf_dir):
   SELECT coalesce(i.upload_id, x.id) AS upload_id, coalesce(i.sha1, x.content_key) AS sha1,
          CAST(coalesce(i.retry_times, 0) + coalesce(x.n, 0) AS INTEGER) AS retry_times
   FROM image_search_data i FULL OUTER JOIN (
-    SELECT id, content_key, count(*) AS n FROM needing_uploads WHERE starts_with(content_key, '0')
-    GROUP BY id, content_key) x ON x.id = i.upload_id""")
+    SELECT n.id, n.content_key, count(*) AS n FROM needing_uploads n JOIN answers a ON a.sha1 = n.content_key
+    WHERE NOT a.success GROUP BY n.id, n.content_key) x ON x.id = i.upload_id""")
 def record_failures(spark, sf_dir):
     f = _f(spark, sf_dir)
     t = f.tables()
     info = an.image_info(an.el.uploads_needing_analysis(t, CFG), CFG)
-    content = f.upload_files.select(F.col("upload_id").alias("id"), "content")
-    res = an.run_analyzer(info.join(content, "id", "left"), an.stub_analyzer(DIM))
+    res = an.run_analyzer(info, f.answers)
     failed = an.failed_images(info, res).groupBy(F.col("id").alias("upload_id"), "sha1").agg(F.count("*").alias("n"))
     return ix.record_failures(f.index, failed).select("upload_id", "sha1", "retry_times")
 
@@ -79,9 +78,8 @@ def one_per_content(spark, sf_dir):
     ON c.sha1 = coalesce(u.original_sha1, u.sha1)""")
 def migrate_index(spark, sf_dir):
     f = _f(spark, sf_dir)
-    collapsed = ix.one_per_content(f.index).withColumnRenamed("upload_id", "src_upload_id")
-    fanned = ix.fan_out_by_content(collapsed.withColumn("upload_id", F.col("src_upload_id")), f.uploads)
-    return fanned.select("upload_id", "sha1", "src_upload_id")
+    old = f.index.withColumn("src_upload_id", F.col("upload_id")).withColumn("description", F.lit("retired"))
+    return ix.migrate(old, f.uploads).select("upload_id", "sha1", "src_upload_id")
 
 
 @register("cleanup_index", """
@@ -106,7 +104,7 @@ def post_ocr_text(spark, sf_dir):
 @register("flag_posts", r"""
   SELECT DISTINCT pu.post_id, 'inappropriate' AS flag_type, 'watched_word' AS reason, 'system' AS actor
   FROM post_uploads pu JOIN image_search_data i ON i.upload_id = pu.upload_id
-  WHERE regexp_matches(i.ocr_text, '(?i)(^|[^\p{L}\p{N}_])(erenes|leaux)($|[^\p{L}\p{N}_])')""")
+  WHERE regexp_matches(i.ocr_text, '""" + WATCHED + """')""")
 def flag_posts(spark, sf_dir):
     f = _f(spark, sf_dir)
     return md.flag_posts(f.post_uploads.select("post_id").distinct(), f.tables())
@@ -152,21 +150,63 @@ def _search_results(f):
     return se.search(f.search_requests, f.tables(), CFG, f.request_embeddings, limit=LIMIT).results
 
 
-@register("hydrate_results", search_sql("""
+_OPTIMIZED = """coalesce((SELECT string_agg(o.id || ':' || o.url || ':' || o.width || ':' || o.height, '|' ORDER BY o.id)
+                   FROM optimized_images o WHERE o.upload_id = r.upload_id), '')"""
+_HYDRATED = f"""
   SELECT r.request_id, r.rank, r.post_id, r.upload_id, p.topic_id, p.user_id, p.post_number, us.username,
          t.title AS topic_title, t.category_id,
          coalesce((SELECT string_agg(DISTINCT g.name, ',' ORDER BY g.name) FROM topic_tags tt JOIN tags g
                    ON g.id = tt.tag_id WHERE tt.topic_id = p.topic_id), '') AS tags,
-         u.url AS image_url, u.width AS image_width, u.height AS image_height,
-         (SELECT count(*) FROM optimized_images o WHERE o.upload_id = r.upload_id) AS n_optimized,
+         u.url AS image_url, u.width AS image_width, u.height AS image_height, {_OPTIMIZED} AS optimized,
          coalesce((SELECT arg_min(o.url, (o.height * o.width, -o.id)) FROM optimized_images o
                    WHERE o.upload_id = r.upload_id AND o.height > 300 AND o.width > 150), u.url) AS thumbnail_url,
          p.url AS link_target
   FROM results r LEFT JOIN posts p ON p.id = r.post_id LEFT JOIN users us ON us.id = p.user_id
-  LEFT JOIN topics t ON t.id = p.topic_id LEFT JOIN uploads u ON u.id = r.upload_id"""))
+  LEFT JOIN topics t ON t.id = p.topic_id LEFT JOIN uploads u ON u.id = r.upload_id"""
+
+
+def _optimized(images):
+    return F.array_join(F.transform(images, lambda x: F.concat_ws(":", x["id"], x["url"], x["width"], x["height"])), "|")
+
+
+@register("hydrate_results", search_sql(_HYDRATED))
 def hydrate_results(spark, sf_dir):
     f = _f(spark, sf_dir)
-    return rs.hydrate(_search_results(f), f.tables())
+    h = rs.hydrate(_search_results(f), f.tables())
+    return h.withColumn("tags", F.array_join("tags", ",")).withColumn(
+        "optimized", _optimized(F.col("optimized_images"))).drop("optimized_images")
+
+
+@register("search_response", search_sql(f"""
+  SELECT e.request_id, e.term, e.processed_term, e.search_ocr, e.search_embeddings, e.search_by_image, e.has_more, e.error,
+         CAST(e.n_results AS BIGINT) AS n_results, h.rank, h.post_id, h.post_number, h.user_id, h.username, h.topic_id,
+         h.topic_title, h.category_id, h.tags, h.upload_id, h.image_url, h.image_width, h.image_height, h.optimized,
+         h.thumbnail_url, h.link_target
+  FROM envelope e LEFT JOIN ({_HYDRATED}) h ON h.request_id = e.request_id"""))
+def search_response(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    out = se.search(f.search_requests, f.tables(), CFG, f.request_embeddings, limit=LIMIT)
+    r = rs.envelope(out.envelope, rs.hydrate(out.results, f.tables()))
+    x = r.select("request_id", "term", "processed_term", "search_ocr", "search_embeddings", "search_by_image", "has_more",
+                 "error", "n_results", F.explode_outer("grouped_results").alias("i"))
+    return x.select(
+        "request_id", "term", "processed_term", "search_ocr", "search_embeddings", "search_by_image", "has_more", "error",
+        "n_results", "i.rank", F.col("i.post.id").alias("post_id"), "i.post.post_number", F.col("i.user.id").alias("user_id"),
+        "i.user.username", F.col("i.topic.id").alias("topic_id"), F.col("i.topic.title").alias("topic_title"),
+        "i.topic.category_id", F.array_join("i.topic.tags", ",").alias("tags"), F.col("i.image.id").alias("upload_id"),
+        F.col("i.image.url").alias("image_url"), F.col("i.image.width").alias("image_width"),
+        F.col("i.image.height").alias("image_height"), _optimized(F.col("i.optimized_images")).alias("optimized"),
+        "i.thumbnail_url", "i.link_target")
+
+
+@register("backfill", """
+  SELECT upload_id, CASE WHEN donor_id IS NOT NULL THEN 'reused' WHEN NOT (run_ocr OR run_embed) THEN 'skipped'
+         WHEN NOT success THEN 'failed'
+         WHEN run_ocr OR (run_embed AND embedding IS NOT NULL) THEN 'analyzed' ELSE 'skipped' END AS outcome
+  FROM (""" + RUN + """) x""")
+def backfill(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    return bf.backfill(f.tables(), CFG, f.answers)[0]
 
 
 @register("post_excerpt")

@@ -22,7 +22,8 @@ _v("categories", """
          CAST(NULL AS BIGINT) AS parent_category_id, r_regionkey = 4 AS read_restricted FROM region
   UNION ALL
   SELECT CAST(n_nationkey AS BIGINT), lower(n_name), n_name, CAST(100 + n_regionkey AS BIGINT),
-         n_nationkey % 10 = 9 FROM nation""")
+         n_nationkey % 10 = 9 FROM nation
+  UNION ALL SELECT CAST(300 AS BIGINT), 'asia', 'Asia in Europe', CAST(103 AS BIGINT), FALSE""")
 _v("users", """
   SELECT c_custkey AS id, c_name AS username, lower(c_name) AS username_lower, c_custkey % 30 = 7 AS staged
   FROM customer""")
@@ -40,9 +41,10 @@ _v("topic_tags", """
   FROM customer
   UNION ALL SELECT c_custkey, CAST(6 AS BIGINT) FROM customer WHERE c_acctbal > 5000""")
 _v("watched_words", """
-  SELECT * FROM (VALUES ('erenes', 'flag'), ('leaux', 'flag'), ('and', 'block')) t(word, action)""")
+  SELECT * FROM (VALUES ('erenes', 'flag'), ('leaux', 'flag'), ('and', 'block'), ('the it', 'flag'), ('qu*nz', 'flag'),
+                        ('!!!', 'flag')) t(word, action)""")
 _v("posts", """
-  SELECT o_orderkey AS id, o_custkey AS topic_id, (o_orderkey * 7) % 150 AS user_id,
+  SELECT o_orderkey AS id, o_custkey AS topic_id, (o_orderkey * 7) % (SELECT count(*) FROM customer) AS user_id,
          CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS post_number,
          o_orderdate AS created_at, CASE WHEN o_orderkey % 17 = 0 THEN o_orderdate END AS deleted_at,
          '/t/' || CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) AS url
@@ -59,7 +61,7 @@ _v("uploads", """
              (['.jpg', '.JPEG', '.png', '.WebP', '.gif', '.png.txt'])[CAST(doc_id % 6 AS INTEGER) + 1] AS fname,
            n_chars * 600 AS filesize, 60 + (doc_id * 37) % 400 AS width,
            CASE WHEN doc_id % 31 = 0 THEN NULL ELSE 60 + (doc_id * 53) % 400 END AS height
-    FROM documents) u""")
+    FROM documents WHERE doc_id % 41 <> 40) u""")
 _v("upload_files", "SELECT doc_id AS upload_id, encode(text) AS content FROM documents")
 _v("post_uploads", "SELECT DISTINCT l_orderkey AS post_id, l_partkey AS upload_id FROM lineitem")
 _v("image_search_data", """
@@ -80,6 +82,10 @@ _v("analysis_results", """
   SELECT d.doc_id AS upload_id, md5(d.text) AS sha1, string_split(d.text, chr(10)) AS ocr_result,
          e.embedding AS embedding, d.doc_id % 9 <> 0 AS success
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
+_v("answers", """
+  SELECT r.* FROM analysis_results r
+  JOIN (SELECT sha1, min(upload_id) AS upload_id FROM analysis_results GROUP BY sha1) f ON f.upload_id = r.upload_id""",
+   ["analysis_results"])
 _v("search_requests", """
   SELECT request_id::BIGINT AS request_id, method, term, CAST(image_vec_id AS VARCHAR) AS image_ref,
          image_content_type, ocr, embed, page::BIGINT AS page, 11::BIGINT AS current_user_id
@@ -98,7 +104,16 @@ _v("search_requests", """
     (12, 'POST', 'x', 3, 'text/plain', NULL, NULL, 0),
     (13, 'GET', 'and', NULL, NULL, 'true', 'true', 1),
     (14, 'GET', 'and category:%ia', NULL, NULL, 'true', 'false', 0),
-    (15, 'GET', 'and after:notadate', NULL, NULL, 'true', 'false', 0)
+    (15, 'GET', 'and after:notadate', NULL, NULL, 'true', 'false', 0),
+    (16, 'GET', 'the #asia', NULL, NULL, 'true', 'false', 0),
+    (17, 'GET', 'the #asia:china', NULL, NULL, 'true', 'false', 0),
+    (18, 'GET', 'the @me', NULL, NULL, 'true', 'false', 0),
+    (19, 'GET', 'the', NULL, NULL, 'true', 'false', 2),
+    (20, 'GET', 'and', NULL, NULL, 'true', 'true', 60),
+    (21, 'GET', 'and', NULL, NULL, 'true', 'true', 200000000),
+    (22, 'GET', 'the topic:16', NULL, NULL, 'true', 'false', 0),
+    (23, 'GET', 'the minpost:300', NULL, NULL, 'true', 'false', 0),
+    (24, 'GET', 'and after:1997 tags:vip', NULL, NULL, 'true', 'true', 0)
   ) t(request_id, method, term, image_vec_id, image_content_type, ocr, embed, page)
   UNION ALL
   SELECT CAST(1000000 + conv_id * 100 + turn AS BIGINT), 'GET', text, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
@@ -107,15 +122,15 @@ _v("search_requests", """
 _v("request_embeddings", """
   SELECT r.request_id, e.embedding AS qvec
   FROM search_requests r
-  JOIN embeddings e ON e.vec_id = coalesce(CAST(r.image_ref AS BIGINT), (r.request_id * 17) % 500)""",
+  JOIN embeddings e ON e.vec_id = coalesce(CAST(r.image_ref AS BIGINT), (r.request_id * 17) % (SELECT count(*) FROM embeddings))""",
    ["search_requests"])
 _v("post_events", """
-  SELECT event_id, ts, (event_id * 13) % 1500 AS post_id,
+  SELECT event_id, ts, (event_id * 13) % (SELECT count(*) FROM orders) AS post_id,
          CASE WHEN event_type IN ('view', 'click') THEN 'rebake' ELSE 'create' END AS kind
   FROM events""")
 _v("post_cooked", """
   SELECT o.o_orderkey AS post_id, p.html AS cooked
-  FROM orders o JOIN pages p ON p.page_id = o.o_orderkey % 50""")
+  FROM orders o JOIN pages p ON p.page_id = o.o_orderkey % (SELECT count(*) FROM pages)""")
 
 # Shared derived relations used by many oracles (the test settings applied).
 _v("eligible_posts", """

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import TEST_SETTINGS
 from ..operators import filters as flt
 from ..operators import search as se
 from ..operators import textindex
-from ..operators.joins import bounded_theta_join
 from ..operators.requests import filter_rows, parse_requests, request_modes, validate_requests
+from ..session import scratch_table_dir
 from ..sources.testforum import TestForum
 from .catalog import register
 from .search_sql import LIMIT, TEXT_T, _arg_case, search_sql
@@ -94,28 +96,26 @@ def apply_filters(spark, sf_dir):
     return out.select("request_id", "post_id", "upload_id")
 
 
-@register("search_ocr_page", search_sql("""
-  SELECT v.request_id, CAST(count(p.post_id) AS BIGINT) AS n_pairs
-  FROM valid v LEFT JOIN ocr_pairs p ON p.request_id = v.request_id WHERE v.search_ocr GROUP BY v.request_id""",
-                                        parts=("ocr",)))
-def search_ocr_page(spark, sf_dir):
+def _ocr_page(spark, sf_dir, postings=None):
     f = _f(spark, sf_dir)
-    t = f.tables()
-    r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull() & F.col("search_ocr"))
-    hits = textindex.search_images_ocr_scan(r, f.index)
-    out = flt.apply_filters(se.post_pairs(hits, t), filter_rows(r.filter(F.size("filters") > 0)), t)
-    n = out.groupBy("request_id").agg(F.count("*").alias("n_pairs"))
-    return r.select("request_id").join(n, "request_id", "left").select(
-        "request_id", F.coalesce("n_pairs", F.lit(0)).cast("long").alias("n_pairs"))
+    r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull())
+    out = se.ocr_side(r, f.tables(), postings, CFG)
+    return out.select("request_id", "post_id", "upload_id", F.col("side_rank").cast("long").alias("side_rank"))
+
 
+_OCR_SIDE = search_sql("SELECT request_id, post_id, upload_id, side_rank FROM ocr_side", parts=("ocr",))
 
-@register("search_ocr", search_sql("SELECT request_id, post_id, upload_id, side_rank FROM ocr_side",
-                                   parts=("ocr",)))
+
+@register("search_ocr_page", _OCR_SIDE)
+def search_ocr_page(spark, sf_dir):
+    return _ocr_page(spark, sf_dir)
+
+
+@register("search_ocr", _OCR_SIDE)
 def search_ocr(spark, sf_dir):
-    f = _f(spark, sf_dir)
-    r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull())
-    out = se.ocr_side(r, f.tables(), None, CFG, max_rank=LIMIT * 2)
-    return out.select("request_id", "post_id", "upload_id", F.col("side_rank").cast("long").alias("side_rank"))
+    path = scratch_table_dir(spark, f"postings-{uuid.uuid4().hex[:12]}")
+    textindex.write_postings(textindex.postings(_f(spark, sf_dir).index), path)
+    return _ocr_page(spark, sf_dir, textindex.read_postings(spark, path))
 
 
 @register("knn_hybrid_stage", search_sql("SELECT request_id, upload_id, CAST(img_rank AS BIGINT) AS img_rank "
@@ -183,33 +183,50 @@ def _posts(f):
 
 
 _FILTER_POSTS = "SELECT f.request_id, p.id AS post_id FROM filt f JOIN posts p ON {on} WHERE f.kind = '{kind}'"
+_FILTER_HITS = """
+  SELECT h.request_id, h.post_id, h.upload_id
+  FROM (SELECT o.request_id, b.* FROM ocr_hits o JOIN pair_base b ON b.upload_id = o.upload_id) h
+  JOIN filt f ON f.request_id = h.request_id AND f.kind = '{kind}' GROUP BY ALL HAVING bool_and({on})"""
 
 
-@register("filter_topic", search_sql(_FILTER_POSTS.format(on="p.topic_id = TRY_CAST(f.arg AS BIGINT)", kind="topic"),
-                                     parts=()))
-def filter_topic(spark, sf_dir):
-    fl = _filters(spark, sf_dir, "topic").select("request_id", F.expr("try_cast(arg AS BIGINT)").alias("topic_id"))
-    return fl.join(_posts(_f(spark, sf_dir)), "topic_id").select("request_id", "post_id")
+def _filter_hits(spark, sf_dir, kind):
+    """``apply_filters`` with the filters of one kind, over the text matches of the requests that have any."""
+    f = _f(spark, sf_dir)
+    t = f.tables()
+    r = _prepared(spark, sf_dir).filter(F.col("error").isNull() & F.col("search_ocr"))
+    filters = filter_rows(r).filter(F.col("kind") == kind)
+    r = r.join(filters.select("request_id").distinct(), "request_id", "left_semi")
+    pairs = se.post_pairs(textindex.search_images_ocr_scan(r, f.index), t)
+    return flt.apply_filters(pairs, filters, t, kinds=[kind]).select("request_id", "post_id", "upload_id")
 
 
-def _date_posts(spark, sf_dir, kind, op):
-    f = _f(spark, sf_dir)
-    fl = _filters(spark, sf_dir, kind).select("request_id", flt.word_to_date(F.col("arg")).alias("bound"))
-    cmp = (F.col("created_at") < F.col("bound")) if op == "<" else (F.col("created_at") > F.col("bound"))
-    j = bounded_theta_join(_posts(f), fl, F.col("bound").isNull() | cmp, key="request_id")
-    return j.select("request_id", "post_id")
+@register("filter_topic", search_sql(_FILTER_HITS.format(on="h.topic_id = TRY_CAST(f.arg AS BIGINT)", kind="topic"),
+                                     parts=("ocr",)))
+def filter_topic(spark, sf_dir):
+    return _filter_hits(spark, sf_dir, "topic")
 
 
-@register("filter_before", search_sql(_FILTER_POSTS.format(on="f.dt IS NULL OR p.created_at < f.dt", kind="before"),
-                                      parts=()))
+@register("filter_before", search_sql(_FILTER_HITS.format(on="f.dt IS NULL OR h.created_at < f.dt", kind="before"),
+                                      parts=("ocr",)))
 def filter_before(spark, sf_dir):
-    return _date_posts(spark, sf_dir, "before", "<")
+    return _filter_hits(spark, sf_dir, "before")
 
 
-@register("filter_after", search_sql(_FILTER_POSTS.format(on="f.dt IS NULL OR p.created_at > f.dt", kind="after"),
-                                     parts=()))
+@register("filter_after", search_sql(_FILTER_HITS.format(on="f.dt IS NULL OR h.created_at > f.dt", kind="after"),
+                                     parts=("ocr",)))
 def filter_after(spark, sf_dir):
-    return _date_posts(spark, sf_dir, "after", ">")
+    return _filter_hits(spark, sf_dir, "after")
+
+
+# A kind of the forum's own, on a predicate of the candidate.
+flt.register_filter("min_post", r"(?i)\Aminpost:(\d+)\z",
+                    check=lambda arg: F.col("post_id") >= F.expr("try_cast(arg AS BIGINT)"))
+
+
+@register("filter_custom", search_sql(_FILTER_HITS.format(on="h.post_id >= TRY_CAST(f.arg AS BIGINT)", kind="min_post"),
+                                      parts=("ocr",)))
+def filter_custom(spark, sf_dir):
+    return _filter_hits(spark, sf_dir, "min_post")
 
 
 @register("filter_user", search_sql(_FILTER_POSTS.format(on="p.user_id = f.user_id", kind="user"), parts=()))
@@ -219,13 +236,11 @@ def filter_user(spark, sf_dir):
     return u.join(_posts(f), "user_id").select("request_id", "post_id")
 
 
-@register("filter_tags_any", search_sql(_FILTER_POSTS.format(
-    on="EXISTS (SELECT 1 FROM topic_tags tt JOIN tags g ON g.id = tt.tag_id WHERE tt.topic_id = p.topic_id "
-       "AND list_contains(string_split(f.arg, ','), g.name))", kind="tags"), parts=()))
+@register("filter_tags_any", search_sql(_FILTER_HITS.format(
+    on="EXISTS (SELECT 1 FROM topic_tags tt JOIN tags g ON g.id = tt.tag_id WHERE tt.topic_id = h.topic_id "
+       "AND list_contains(string_split(f.arg, ','), g.name))", kind="tags"), parts=("ocr",)))
 def filter_tags_any(spark, sf_dir):
-    f = _f(spark, sf_dir)
-    tp = flt.resolve_tags(_filters(spark, sf_dir, "tags"), f.tables()).withColumnRenamed("value", "topic_id")
-    return tp.join(_posts(f), "topic_id").select("request_id", "post_id")
+    return _filter_hits(spark, sf_dir, "tags")
 
 
 _CAT_POSTS = """
@@ -266,17 +281,17 @@ def category_closure(spark, sf_dir):
     return flt.category_closure(_f(spark, sf_dir).categories)
 
 
-_PAGED_REQS = ("(SELECT s.request_id * 1000 + sp AS request_id, s.method, s.term, s.image_ref, s.image_content_type, "
-               "s.ocr, s.embed, CAST(sp AS BIGINT) AS page, s.current_user_id, s.request_id AS orig_id, "
-               "CAST(sp AS BIGINT) AS shown_page "
-               "FROM search_requests s, range(0, coalesce(s.page, 0) + 1) t(sp)) r")
+_PAGED = ("(SELECT s.request_id * 1000000007 + sp AS request_id, s.method, s.term, s.image_ref, s.image_content_type, "
+          "s.ocr, s.embed, CAST(sp AS BIGINT) AS page, s.current_user_id, s.request_id AS orig_id, "
+          "CAST(sp AS BIGINT) AS shown_page "
+          "FROM search_requests s, range(0, least(coalesce(s.page, 0), 100) + 1) t(sp) WHERE coalesce(s.page, 0) <= 100) r")
 
 
 def _paged_sql() -> str:
     sql = search_sql("""
       SELECT v.orig_id AS request_id, v.shown_page AS page_no, r.rank, r.post_id, r.upload_id
       FROM results r JOIN valid v ON v.request_id = r.request_id""")
-    sql = sql.replace("FROM search_requests r", f"FROM {_PAGED_REQS}")
+    sql = sql.replace("FROM search_requests r", f"FROM {_PAGED}")
     return sql.replace("JOIN request_embeddings e ON e.request_id = v.request_id",
                        "JOIN request_embeddings e ON e.request_id = v.orig_id")
 
@@ -288,8 +303,9 @@ def pages_cumulative(spark, sf_dir):
     t = f.tables()
 
     def run(expanded):
-        keys = expanded.select("request_id", (F.col("request_id") / 1000).cast("long").alias("orig"))
-        qv = keys.join(f.request_embeddings.withColumnRenamed("request_id", "orig"), "orig").drop("orig")
-        return se.search(expanded, t, CFG, qv, limit=LIMIT).results
+        qv = expanded.select("request_id", "orig_request_id").join(
+            f.request_embeddings.withColumnRenamed("request_id", "orig_request_id"), "orig_request_id")
+        return se.search(expanded.drop("orig_request_id"), t, CFG, qv, limit=LIMIT).results
 
-    return cumulative_pages(run, f.search_requests)
+    # A user pages forward from 0; the request that jumps to a page beyond all results is none of these.
+    return cumulative_pages(run, f.search_requests.filter("coalesce(page, 0) <= 100"))

@@ -11,6 +11,7 @@ TEXT_T = 0.1
 IMAGE_T = 0.8
 
 TOKEN_RE = '([^" \\t\\n\\x0B\\f\\r]+)?("[^"]+")?'
+# The filter patterns, and the custom kind of the test forum.
 KINDS = [
     ("topic", r"(?i)\Atopic:(\d+)\z"),
     ("before", r"(?i)\Abefore:(.*)\z"),
@@ -19,6 +20,7 @@ KINDS = [
     ("tags", r"(?i)\Atags:(\S+)\z"),
     ("category", r"(?i)\Acategor(?:y|ies):(.+)\z"),
     ("category_slug", r"(?i)\A#([\p{L}\p{M}0-9\-:=]+)\z"),
+    ("min_post", r"(?i)\Aminpost:(\d+)\z"),
 ]
 DATE_RE = r"^([12][0-9]{3})(-([0-1]?[0-9]))?(-([0-3]?[0-9]))?$"
 
@@ -113,7 +115,7 @@ cat_ids AS (
   JOIN category_closure cc ON cc.root = x.cid AND (NOT x.exact OR cc.id = x.cid)),
 pair_base AS (
   SELECT pu.upload_id, pu.post_id, p.topic_id, p.user_id, p.created_at, t.category_id
-  FROM post_uploads pu JOIN searchable_posts p ON p.id = pu.post_id LEFT JOIN topics t ON t.id = p.topic_id)"""
+  FROM post_uploads pu JOIN uploads u ON u.id = pu.upload_id JOIN searchable_posts p ON p.id = pu.post_id LEFT JOIN topics t ON t.id = p.topic_id)"""
 
 PASS = """
   NOT EXISTS (SELECT 1 FROM filt f WHERE f.request_id = h.request_id AND NOT coalesce(CASE f.kind
@@ -121,6 +123,7 @@ PASS = """
     WHEN 'before' THEN f.dt IS NULL OR h.created_at < f.dt
     WHEN 'after' THEN f.dt IS NULL OR h.created_at > f.dt
     WHEN 'user' THEN h.user_id = f.user_id
+    WHEN 'min_post' THEN h.post_id >= TRY_CAST(f.arg AS BIGINT)
     WHEN 'tags' THEN EXISTS (SELECT 1 FROM topic_tags tt JOIN tags g ON g.id = tt.tag_id
                              WHERE tt.topic_id = h.topic_id AND list_contains(string_split(f.arg, ','), g.name))
     WHEN 'category' THEN EXISTS (SELECT 1 FROM cat_ids ci WHERE ci.request_id = f.request_id

@@ -40,14 +40,14 @@ def quantize(spark, sf_dir):
 def _pairs(spark, sf_dir):
     """Each indexed vector paired with another test vector by a data rule (equi-join)."""
     f = _f(spark, sf_dir)
-    vi = knn.vector_index(f.index, DIM).withColumn("vec_id", (F.col("upload_id") * 7) % 500)
+    vi = knn.vector_index(f.index, DIM).withColumn("vec_id", (F.col("upload_id") * 7) % f.n("embeddings"))
     other = f.base("embeddings").select("vec_id", F.col("embedding").alias("other"))
     return vi.join(other, "vec_id")
 
 
 _PAIRS = """
   SELECT i.upload_id, e.vec_id, i.embeddings, e.embedding AS other
-  FROM image_search_data i JOIN embeddings e ON e.vec_id = (i.upload_id * 7) % 500
+  FROM image_search_data i JOIN embeddings e ON e.vec_id = (i.upload_id * 7) % (SELECT count(*) FROM embeddings)
   WHERE i.embeddings IS NOT NULL"""
 
 
@@ -85,7 +85,7 @@ def _knn_queries(spark, sf_dir, per_request_page: bool = False):
     else:
         off = F.lit(0)
     return q.select("request_id", "qvec", F.lit(KNN_THRESHOLD).alias("threshold"),
-                    F.lit(LIMIT).alias("limit"), off.cast("int").alias("offset"))
+                    F.lit(LIMIT).alias("limit"), off.cast("long").alias("offset"))
 
 
 _CANDS = f"""
@@ -132,10 +132,21 @@ def search_images_embedding(spark, sf_dir):
     return r.select("request_id", "upload_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@register("knn_lsh")
+@register("knn_search_width", _rerank_sql("0").replace(f"<= 2 * {LIMIT} + 0", "<= 40"))
+def knn_search_width(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    r = knn.search_images_embedding(_knn_queries(spark, sf_dir), f.index, DIM, oversample=knn.search_width(40, LIMIT))
+    return r.select("request_id", "upload_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+_NEAR = ("len([b FOR b IN range(0, 5) IF list_sum([CASE WHEN (i.embeddings[b * 12 + j] > 0) <> (q.qvec[b * 12 + j] > 0) "
+         "THEN 1 ELSE 0 END FOR j IN range(1, 13)]) <= 3]) > 0")
+
+
+@register("knn_lsh", _rerank_sql("0").replace("WHERE i.embeddings IS NOT NULL", f"WHERE i.embeddings IS NOT NULL AND {_NEAR}"))
 def knn_lsh(spark, sf_dir):
     f = _f(spark, sf_dir)
-    r = knn.knn_lsh(_knn_queries(spark, sf_dir), f.index, DIM, band_bits=8)
+    r = knn.search_images_embedding(_knn_queries(spark, sf_dir), f.index, DIM, method="lsh")
     return r.select("request_id", "upload_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
@@ -161,7 +172,10 @@ def postings(spark, sf_dir):
 
 
 @register("content_key", """
-  SELECT id, coalesce(original_sha1, sha1) AS content_key, md5(url) AS url_key FROM uploads""")
+  SELECT u.id, coalesce(u.original_sha1, u.sha1) AS content_key, md5(d.text) AS bytes_md5, sha1(d.text) AS bytes_sha1
+  FROM uploads u JOIN documents d ON d.doc_id = u.id""")
 def content_key(spark, sf_dir):
-    u = _f(spark, sf_dir).uploads
-    return u.select("id", F.coalesce("original_sha1", "sha1").alias("content_key"), F.md5("url").alias("url_key"))
+    f = _f(spark, sf_dir)
+    keys = f.upload_files.select(F.col("upload_id").alias("id"), F.md5("content").alias("bytes_md5"),
+                                 F.sha1("content").alias("bytes_sha1"))
+    return f.uploads.select("id", F.coalesce("original_sha1", "sha1").alias("content_key")).join(keys, "id")

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "pixlens",
@@ -38,8 +39,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local tests) a scratch folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session. In a single local process
+    (``local[...]``, as in tests) an unset folder becomes a scratch folder; on a
+    cluster it is an error, since executors share no machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="pixlens-ckpt-", dir=os.environ.get("PIXLENS_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf)
     sc.setCheckpointDir(conf)
@@ -59,7 +63,14 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/tables/" + name
 
 
-_SHIPPED: set[int] = set()
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back (lineage cut, computed once)."""
+    path = scratch_table_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -70,7 +81,7 @@ def ship_package(spark: SparkSession) -> None:
     SparkContext.
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     import zipfile

@@ -20,7 +20,8 @@ TAG_ROWS = [(1, "automobile"), (2, "building"), (3, "furniture"), (4, "household
             (5, "machinery"), (6, "vip")]
 SEGMENT_TAG = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4, "MACHINERY": 5}
 FILE_EXTENSIONS = [".jpg", ".JPEG", ".png", ".WebP", ".gif", ".png.txt"]
-WATCHED_WORD_ROWS = [("erenes", "flag"), ("leaux", "flag"), ("and", "block")]
+WATCHED_WORD_ROWS = [("erenes", "flag"), ("leaux", "flag"), ("and", "block"), ("the it", "flag"), ("qu*nz", "flag"),
+                     ("!!!", "flag")]
 BASE_URL = "http://forum.test"
 # (request_id, method, term, image_vec_id, content type, ocr, embed, page)
 REQUEST_ROWS = [
@@ -39,6 +40,15 @@ REQUEST_ROWS = [
     (13, "GET", "and", None, None, "true", "true", 1),
     (14, "GET", "and category:%ia", None, None, "true", "false", 0),
     (15, "GET", "and after:notadate", None, None, "true", "false", 0),
+    (16, "GET", "the #asia", None, None, "true", "false", 0),
+    (17, "GET", "the #asia:china", None, None, "true", "false", 0),
+    (18, "GET", "the @me", None, None, "true", "false", 0),
+    (19, "GET", "the", None, None, "true", "false", 2),
+    (20, "GET", "and", None, None, "true", "true", 60),
+    (21, "GET", "and", None, None, "true", "true", 200000000),
+    (22, "GET", "the topic:16", None, None, "true", "false", 0),
+    (23, "GET", "the minpost:300", None, None, "true", "false", 0),
+    (24, "GET", "and after:1997 tags:vip", None, None, "true", "true", 0),
 ]
 REQUEST_DDL = ("request_id long, method string, term string, image_vec_id long, "
                "image_content_type string, ocr string, embed string, page long")
@@ -55,11 +65,15 @@ class TestForum:
     _BASE: dict = {}
 
     def base(self, name: str) -> DataFrame:
-        key = (id(self.spark._jsparkSession), self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.spark._jsparkSession.sessionUUID(), self.sf_dir, name)
         if key not in TestForum._BASE:
             TestForum._BASE[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return TestForum._BASE[key]
 
+    def n(self, name: str):
+        """Row count of a table (its ids are 0..n-1): keys are spread over all of them."""
+        return F.lit(self.base(name).count())
+
     # -- dimension-like tables ------------------------------------------------
     @cached_property
     def categories(self) -> DataFrame:
@@ -77,7 +91,10 @@ class TestForum:
             (F.lit(100) + F.col("n_regionkey")).cast("long").alias("parent_category_id"),
             (F.col("n_nationkey") % 10 == 9).alias("read_restricted"),
         )
-        return top.unionByName(sub)
+        # A subcategory with a top-level category's slug.
+        twin = self.spark.createDataFrame([(300, "asia", "Asia in Europe", 103, False)],
+                                          "id long, slug string, name string, parent_category_id long, read_restricted boolean")
+        return top.unionByName(sub).unionByName(twin)
 
     @cached_property
     def users(self) -> DataFrame:
@@ -121,7 +138,7 @@ class TestForum:
         k = F.col("o_orderkey")
         w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
         return self.base("orders").select(
-            k.alias("id"), F.col("o_custkey").alias("topic_id"), ((k * 7) % 150).alias("user_id"),
+            k.alias("id"), F.col("o_custkey").alias("topic_id"), ((k * 7) % self.n("customer")).alias("user_id"),
             F.row_number().over(w).cast("long").alias("post_number"),
             F.col("o_orderdate").alias("created_at"),
             F.when(k % 17 == 0, F.col("o_orderdate")).alias("deleted_at"),
@@ -133,7 +150,8 @@ class TestForum:
         d = F.col("doc_id")
         ext = F.element_at(F.array(*[F.lit(e) for e in FILE_EXTENSIONS]), (d % 6 + 1).cast("int"))
         fname = F.concat(F.lit("img"), d.cast("string"), ext)
-        return self.base("documents").select(
+        # Uploads that are gone leave their links and index rows behind.
+        return self.base("documents").filter(d % 41 != 40).select(
             d.alias("id"),
             F.when(d % 2 == 0, F.md5(d.cast("string"))).otherwise(F.md5("text")).alias("sha1"),
             F.when(d % 2 == 0, F.md5("text")).alias("original_sha1"),
@@ -187,7 +205,7 @@ class TestForum:
 
     @cached_property
     def analysis_results(self) -> DataFrame:
-        """What the stub analysis service answers, one row per upload."""
+        """What the analysis service answered, one row per upload."""
         d = F.col("d.doc_id")
         return (self.base("documents").alias("d")
                 .join(self.base("embeddings").alias("e"), F.col("e.vec_id") == d, "left")
@@ -195,6 +213,13 @@ class TestForum:
                         F.split(F.col("d.text"), "\n").alias("ocr_result"),
                         F.col("e.embedding").alias("embedding"), (d % 9 != 0).alias("success")))
 
+    @cached_property
+    def answers(self) -> DataFrame:
+        """The service's answer per content key: that of the smallest upload with it."""
+        r = self.analysis_results
+        return r.join(r.groupBy("sha1").agg(F.min("upload_id").alias("upload_id")).select("upload_id"),
+                      "upload_id", "left_semi")
+
     # -- requests, events -----------------------------------------------------
     @cached_property
     def search_requests(self) -> DataFrame:
@@ -224,7 +249,7 @@ class TestForum:
         """The stub embedder's answers: a vector per request (text or image)."""
         r = self.search_requests.select(
             "request_id",
-            F.coalesce(F.col("image_ref").cast("long"), (F.col("request_id") * 17) % 500).alias("vec_id"))
+            F.coalesce(F.col("image_ref").cast("long"), (F.col("request_id") * 17) % self.n("embeddings")).alias("vec_id"))
         return r.join(self.base("embeddings"), "vec_id").select("request_id", F.col("embedding").alias("qvec"))
 
     @cached_property
@@ -232,14 +257,14 @@ class TestForum:
         e = self.base("events")
         return e.select(
             "event_id", F.col("ts").cast("timestamp").alias("ts"),
-            ((F.col("event_id") * 13) % 1500).alias("post_id"),
+            ((F.col("event_id") * 13) % self.n("orders")).alias("post_id"),
             F.when(F.col("event_type").isin("view", "click"), "rebake").otherwise("create").alias("kind"))
 
     @cached_property
     def post_cooked(self) -> DataFrame:
         o = self.base("orders").select("o_orderkey")
         p = self.base("pages").select("page_id", "html")
-        return o.join(p, p.page_id == o.o_orderkey % 50).select(
+        return o.join(p, p.page_id == o.o_orderkey % self.n("pages")).select(
             F.col("o_orderkey").alias("post_id"), F.col("html").alias("cooked"))
 
     def tables(self) -> ForumTables:

@@ -48,10 +48,11 @@ def test_transport_error_is_not_a_retry(spark):
     info = an.image_info(t.uploads, CFG)
 
     def boom(pdf):
-        raise RuntimeError("service down")
+        raise an.AnalyzerCallError("service down")
 
     res = an.run_analyzer(info, boom)
     assert an.failed_images(info, res).count() == 0
+    assert {(r.transport_error, r.error) for r in res.collect()} == {(True, "service down")}
     res2 = an.run_analyzer(info, analyzer_from({"sha1": (None, None, False), "sha2": (["x"], None, True)}))
     assert [r.id for r in an.failed_images(info, res2).collect()] == [1]
 
@@ -107,10 +108,101 @@ def test_dense_index_is_global_order(spark):
     assert [i for _, i in got] == list(range(len(got)))
 
 
-def test_rank_in_groups_both_paths(spark):
-    from pixlens.operators.ordering import rank_in_groups
-    df = spark.range(0, 300).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
-    want = sorted((r.g, r.v, r.v // 3 + 1) for r in df.collect())
-    for cap in (1000, 10):  # window path, then the global-order path
-        got = sorted((r.g, r.v, r.rank) for r in rank_in_groups(df, "g", [F.col("v")], max_window_group=cap).collect())
-        assert got == want
+def test_rank_in_groups_over_blocks(spark):
+    from pixlens.operators.ordering import RANK_BUCKET, rank_in_groups
+    df = spark.range(0, 3000).select((F.col("id") % 3).alias("g"), (F.col("id") % 2).alias("k"),
+                                     (F.col("id") * (RANK_BUCKET // 7)).alias("v"))
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.g, []).append((r.k, -r.v))
+    want = {(g, -v): i + 1 for g, own in want.items() for i, (_, v) in enumerate(sorted(own))}
+    got = {(r.g, r.v): r.rank for r in rank_in_groups(df, "g", F.col("k"), "v").collect()}
+    assert got == want
+
+
+def test_a_bug_in_the_model_fails_the_job(spark):
+    import pytest
+    t = forum(spark, uploads=[upload(1)])
+
+    def bug(pdf):
+        raise KeyError("typo")
+
+    with pytest.raises(Exception, match="typo"):
+        an.run_analyzer(an.image_info(t.uploads, CFG), bug).collect()
+
+
+def _counting_model(folder):
+    """Writes one file per image it is called for: content key, and what was asked of it."""
+    def analyze(pdf):
+        import uuid
+        for r in pdf.itertuples():
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{r.sha1} {r.run_ocr} {r.run_embed} {bytes(r.content).decode()}")
+        return pd.DataFrame({"sha1": pdf["sha1"].to_numpy(), "ocr_result": [["x"]] * len(pdf),
+                             "embedding": [[0.5] * 4] * len(pdf), "success": [s != "bad" for s in pdf["sha1"]]})
+    return analyze
+
+
+def _calls(folder):
+    import os
+    return sorted(open(f"{folder}/{n}").read() for n in os.listdir(folder))
+
+
+def test_model_runs_once_per_content_with_the_union_of_needs(spark, tmp_path):
+    t = forum(spark, uploads=[upload(1, sha1="s"), upload(2, sha1="s"), upload(3, sha1="bad"), upload(4, sha1="r"),
+                              upload(5, sha1="r")],
+              index=[index_row(1, sha1="s", ocr_text=None), index_row(2, sha1="s", embeddings=None),
+                     index_row(4, sha1="r"), index_row(5, sha1="r", ocr_text=None, embeddings=None, retry=2)])
+    files = spark.createDataFrame([(i, bytearray(f"bytes{i}".encode())) for i in range(1, 6)], "upload_id long, content binary")
+    outcomes, upserts, failures = an.process_images(t.uploads.filter("id <> 4"), t, CFG, _counting_model(str(tmp_path)),
+                                                    files=files)
+    assert {r.upload_id: r.outcome for r in outcomes.collect()} == {1: "analyzed", 2: "analyzed", 3: "failed", 5: "reused"}
+    rows = {r.upload_id: r for r in upserts.collect()}
+    # Each upload stores only what it needed itself.
+    assert (rows[1].ocr_text, rows[1].embeddings) == ("x", None) and (rows[2].ocr_text, rows[2].embeddings) == (None, [0.5] * 4)
+    assert [(r.upload_id, r.sha1, r.n) for r in failures.collect()] == [(3, "bad", 1)]
+    assert _calls(str(tmp_path)) == ["bad True True bytes3", "s True True bytes1"]
+    merged = {r.upload_id: r.retry_times for r in ix.merge_results(t.index, upserts).collect()}
+    assert merged[5] == 2 and merged[1] == 0  # reuse keeps the count, analysis resets it
+
+
+def test_overrides_and_unrecorded_failures(spark, tmp_path):
+    t = forum(spark, uploads=[upload(1), upload(2, sha1="bad")])
+    files = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"b"))], "upload_id long, content binary")
+    outcomes, upserts, failures = an.process_images(t.uploads, t, CFG, _counting_model(str(tmp_path)), files=files,
+                                                    record_failed=False, analyze_embedding=False)
+    assert [(r.upload_id, r.embeddings) for r in upserts.collect()] == [(1, None)] and failures.count() == 0
+    assert all(" True False " in c for c in _calls(str(tmp_path)))
+    none, _, _ = an.process_images(t.uploads, t, CFG, _counting_model(str(tmp_path)), files=files, analyze_ocr=False,
+                                   analyze_embedding=False)
+    assert {r.outcome for r in none.collect()} == {"skipped"} and len(_calls(str(tmp_path))) == 2
+
+
+def test_process_posts_flags_only_processed_posts(spark, tmp_path):
+    t = forum(spark, categories=[category(1), category(2, "secret", restricted=True)], topics=[topic(1, 1), topic(2, 2)],
+              posts=[post(1, 1), post(2, 2), post(3, 1)], uploads=[upload(1), upload(2), upload(3)],
+              post_uploads=[(1, 1), (2, 2), (3, 3)], index=[index_row(2, ocr_text="x"), index_row(3, ocr_text="x")],
+              watched_words=[("X", "flag")])
+    files = spark.createDataFrame([(1, bytearray(b"a"))], "upload_id long, content binary")
+    posts = spark.createDataFrame([(1,), (2,), (3,)], "post_id long")
+    out, stored, _, flags = an.process_posts(posts, t, CFG, _counting_model(str(tmp_path)), files=files, auto_flag_ocr=True)
+    assert [r.post_id for r in out.collect()] == [1] and [r.post_id for r in flags.collect()] == [1]
+    assert an.process_posts(posts, t, CFG, _counting_model(str(tmp_path)), files=files)[3].count() == 0
+    assert stored.count() == 1
+
+
+def test_watched_words_of_every_form(spark):
+    texts = [(1, "A Car, parked"), (2, "scar"), (3, "foo-bar baz"), (4, "foo bar"), (5, "catalogue"), (6, "wow !!! yes"),
+             (7, None), (8, "a.b"), (9, "axb"), (10, "under_score"), (11, "ÉCOLE")]
+    df = spark.createDataFrame(texts, "upload_id long, ocr_text string")
+
+    def hits(*words):
+        w = md.flag_words(spark.createDataFrame([(x, "flag") for x in words], "word string, action string"))
+        return sorted(r.upload_id for r in md.matching_images(df, w).collect())
+
+    assert hits("car") == [1] and hits(" Foo Bar ") == [4] and hits("foo-bar") == [3]
+    assert hits("cat*") == [5] and hits("*log*") == [5] and hits("!!!") == [6] and hits("a.b") == [8]
+    assert hits("score") == [] and hits("under_score") == [10] and hits("école") == [11]
+    assert hits("car", "cat*", "foo bar", "zzz") == [1, 4, 5] and hits() == [] and hits("  ") == []
+    many = [f"word{i}*" for i in range(1300)] + ["cat*"]
+    assert hits(*many) == [5]

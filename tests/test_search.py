@@ -139,3 +139,86 @@ def test_posting_path_equals_scan_path(spark):
     scan = sorted(map(tuple, textindex.search_images_ocr_scan(p, t.index).collect()))
     post = sorted(map(tuple, textindex.search_images_ocr(p, textindex.postings(t.index, 4)).collect()))
     assert scan == post == [(1, 1), (2, 1), (2, 3)]
+
+
+def test_deep_and_huge_pages(spark):
+    vecs = _vecs()
+    t = _search_forum(spark, vecs)
+    r = requests(spark, [(1, "GET", "car", None, None, "true", "false", 1, None),
+                         (2, "GET", "car", None, None, "true", "false", 200_000_000, None),
+                         (4, "GET", "car", None, None, "true", "false", 0, None)])
+    qv = spark.createDataFrame([(3, vecs[0])], "request_id long, qvec array<float>")
+    out = se.search(r, t, CFG, qv, limit=1)
+    assert sorted((x.request_id, x.rank, x.post_id) for x in out.results.collect()) == [(1, 1, 10), (4, 1, 11)]
+    assert {x.request_id: x.has_more for x in out.envelope.collect()} == {1: True, 2: False, 4: True}
+    r = requests(spark, [(3, "GET", "car", None, None, "true", "true", 200_000_000, None)])
+    out = se.search(r, t, CFG, qv)
+    assert out.results.count() == 0 and not out.envelope.first().has_more
+
+
+def test_deep_branch_gives_the_same_pages(spark, monkeypatch):
+    t = _search_forum(spark, _vecs())
+    r = requests(spark, [(i, "GET", "car", None, None, "true", "false", i, None) for i in range(3)])
+    qv = spark.createDataFrame([], "request_id long, qvec array<float>")
+    rows = [sorted(map(tuple, se.search(r, t, CFG, qv, limit=1).results.collect()))]
+    monkeypatch.setattr(se, "SHALLOW", 1)  # pages 1 and 2 now end beyond it
+    rows.append(sorted(map(tuple, se.search(r, t, CFG, qv, limit=1).results.collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == 2
+
+
+def test_images_without_upload_are_no_results(spark):
+    vecs = _vecs()
+    t = _search_forum(spark, vecs)
+    t = t.replace(uploads=t.uploads.filter("id <> 3"))
+    r = requests(spark, [(1, "GET", "car", None, None, "true", "true", 0, None)])
+    qv = spark.createDataFrame([(1, vecs[2])], "request_id long, qvec array<float>")
+    out = se.search(r, t, CFG.with_(text_similarity_threshold=-1.0), qv)
+    assert {x.upload_id for x in out.results.collect()} == {1, 2}
+
+
+def test_knn_blocks_keep_every_request(spark):
+    from pyspark.sql import functions as F
+    from pixlens.operators import knn
+    rng = np.random.default_rng(1)
+    imgs = spark.createDataFrame([(i, rng.standard_normal(8).astype(np.float32).tolist()) for i in range(60)],
+                                 "upload_id long, embeddings array<float>")
+    vi = knn.vector_index(imgs, 8)
+    q = spark.range(0, 9000).select((F.lit(1_000_000) + F.col("id") * 100).alias("request_id"), (F.col("id") % 60).alias("upload_id"))
+    q = knn.prepare_queries(q.join(imgs.withColumnRenamed("embeddings", "qvec"), "upload_id").drop("upload_id"), 8)
+    q = q.withColumn("k", (F.col("request_id") % 3 + 1).cast("long"))
+    one = knn.hamming_candidates(vi, q, 8, queries_per_block=100_000, block_cells=1 << 30)
+    many = knn.hamming_candidates(vi, q, 8, queries_per_block=512, block_cells=160)
+    assert one.count() == many.count() == q.agg(F.sum("k")).first()[0]
+    assert one.exceptAll(many).count() == 0
+    best = many.filter("cand_rank = 1").agg(F.max("hamming")).first()[0]
+    assert best == 0  # every request finds its own vector's code
+
+
+def test_lsh_recall_is_measured_against_exact(spark):
+    from pyspark.sql import functions as F
+    from pixlens.operators import knn
+    rng = np.random.default_rng(2)
+    imgs = spark.createDataFrame([(i, rng.standard_normal(64).astype(np.float32).tolist()) for i in range(800)],
+                                 "upload_id long, embeddings array<float>")
+    q = imgs.filter("upload_id < 40").select(F.col("upload_id").alias("request_id"), F.col("embeddings").alias("qvec"),
+                                             F.lit(-1.0).alias("threshold"), F.lit(20).alias("limit"), F.lit(0).alias("offset"))
+    pairs = {m: {(r.request_id, r.upload_id) for r in knn.search_images_embedding(q, imgs, 64, method=m).collect()}
+             for m in ("exact", "lsh")}
+    assert len(pairs["exact"] & pairs["lsh"]) / len(pairs["exact"]) >= 0.9
+
+
+def test_custom_filter_on_text_values(spark):
+    from pyspark.sql import functions as F
+    from pixlens.operators import filters as flt
+    from pixlens.operators.requests import FILTER_PATTERNS
+    flt.register_filter("title_is", r"(?i)\Atitle:(\S+)\z", probe="title",
+                        resolve=lambda f, t: f.select("request_id", "filter_no", F.col("arg").alias("value")))
+    try:
+        cands = spark.createDataFrame([(1, 10, "cars"), (1, 11, "boats"), (2, 10, "cars")],
+                                      "request_id long, post_id long, title string")
+        rows = spark.createDataFrame([(1, 1, "title_is", "boats")], "request_id long, filter_no int, kind string, arg string")
+        got = flt.apply_filters(cands, rows, None, kinds=["title_is"])
+        assert sorted((r.request_id, r.post_id) for r in got.collect()) == [(1, 11), (2, 10)]
+    finally:
+        flt.KINDS.pop("title_is")
+        FILTER_PATTERNS[:] = [x for x in FILTER_PATTERNS if x[0] != "title_is"]

@@ -50,7 +50,7 @@ def test_query_blocks_give_same_answer(spark):
                    F.lit(0).alias("offset"))
     one = sorted(tuple(r) for r in knn.search_images_embedding(q, idx, DIM).select("request_id", "upload_id",
                                                                                     "rank").collect())
-    many = sorted(tuple(r) for r in knn.search_images_embedding(q, idx, DIM, max_queries_per_block=2)
+    many = sorted(tuple(r) for r in knn.search_images_embedding(q, idx, DIM, queries_per_block=2)
                   .select("request_id", "upload_id", "rank").collect())
     assert one == many
 
