@@ -198,8 +198,9 @@ def test_lsh_recall_is_measured_against_exact(spark):
     from pyspark.sql import functions as F
     from pixlens.operators import knn
     rng = np.random.default_rng(2)
-    imgs = spark.createDataFrame([(i, rng.standard_normal(64).astype(np.float32).tolist()) for i in range(800)],
-                                 "upload_id long, embeddings array<float>")
+    centres = rng.standard_normal((40, 64))
+    imgs = spark.createDataFrame([(i, (centres[i % 40] + 0.7 * rng.standard_normal(64)).astype(np.float32).tolist())
+                                  for i in range(800)], "upload_id long, embeddings array<float>")
     q = imgs.filter("upload_id < 40").select(F.col("upload_id").alias("request_id"), F.col("embeddings").alias("qvec"),
                                              F.lit(-1.0).alias("threshold"), F.lit(20).alias("limit"), F.lit(0).alias("offset"))
     pairs = {m: {(r.request_id, r.upload_id) for r in knn.search_images_embedding(q, imgs, 64, method=m).collect()}
