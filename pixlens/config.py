@@ -6,8 +6,11 @@ re-implements; callers override them per job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.sql import Column
+
 # Fixed values that must equal the reference for identical results.
 SUPPORTED_IMAGE_TYPES = ("jpg", "jpeg", "png", "webp")
 PAGE_SIZE = 20
@@ -40,6 +43,10 @@ class Settings:
     image_similarity_threshold: float = 0.8
     base_url: str = ""
     embedding_dim: int = 512
+    # Index and query lexemes: Han runs as bigrams, and a hook for stop words or stemming
+    # (a function from the lexeme array column to the array to keep).
+    cjk_bigrams: bool = False
+    lexeme_filter: Callable[[Column], Column] | None = None
 
     def with_(self, **kw) -> "Settings":
         return replace(self, **kw)

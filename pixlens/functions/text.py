@@ -5,6 +5,8 @@ All are built-in Spark expressions (JVM side, no Python per row).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,13 +18,17 @@ HAN_RUN = r"\p{IsHan}+"
 QUERY_TOKEN_PATTERN = '([^" \\t\\n\\x0B\\f\\r]+)?("[^"]+")?'
 
 
-def lexemes(text: Column | str, cjk_bigrams: bool = False) -> Column:
+def lexemes(text: Column | str, cjk_bigrams: bool = False,
+            lexeme_filter: Callable[[Column], Column] | None = None) -> Column:
     """Searchable lexemes of a text, in order, duplicates kept (positions matter).
 
     NULL text gives NULL; empty text gives an empty array (OCR ran, no text).
     With ``cjk_bigrams`` a run of Han characters is indexed as overlapping
     bigrams (a single Han character stays a unigram) instead of one token.
+    ``lexeme_filter`` maps the array to the lexemes to keep (stop words, stems).
     """
+    if lexeme_filter is not None:
+        return lexeme_filter(lexemes(text, cjk_bigrams))
     t = F.lower(F.col(text) if isinstance(text, str) else text)
     if not cjk_bigrams:
         return F.regexp_extract_all(t, F.lit(WORD_PATTERN), 0)
@@ -34,9 +40,10 @@ def lexemes(text: Column | str, cjk_bigrams: bool = False) -> Column:
     return F.concat(non_han, bigrams, singles)
 
 
-def query_terms(term: Column, cjk_bigrams: bool = False) -> Column:
+def query_terms(term: Column, cjk_bigrams: bool = False,
+                lexeme_filter: Callable[[Column], Column] | None = None) -> Column:
     """Distinct lexemes of a query: AND of all of them is the match rule."""
-    return F.array_distinct(lexemes(term, cjk_bigrams))
+    return F.array_distinct(lexemes(term, cjk_bigrams, lexeme_filter))
 
 
 def query_tokens(term: Column) -> Column:

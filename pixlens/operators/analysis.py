@@ -101,7 +101,8 @@ def run_analyzer(images: DataFrame, analyzer: Analyzer, batch_size: int = BACKFI
     that fails with one of ``CALL_ERRORS`` becomes rows with
     ``transport_error = true`` and the message (no retry is counted for them);
     any other exception fails the job. With a DataFrame of answers
-    (sha1, ocr_result, embedding, success) they are joined instead.
+    (sha1, ocr_result, embedding, success) they are joined instead. Image ids
+    are unique.
     """
     work = per_content(images)
     if isinstance(analyzer, DataFrame):
@@ -110,8 +111,7 @@ def run_analyzer(images: DataFrame, analyzer: Analyzer, batch_size: int = BACKFI
             "sha1", "ocr_result", F.col("embedding").cast("array<float>").alias("embedding"), "success",
             F.lit(False).alias("transport_error"), F.lit(None).cast("string").alias("error"))
     wide = [c for c in ("url", "content") if c in images.columns]
-    todo = work.join(images.select("id", *wide).dropDuplicates(["id"]) if "content" not in wide
-                     else images.select("id", *wide), "id")
+    todo = work.join(images.select("id", *wide), "id")
     if files is not None:
         todo = todo.join(files.select(F.col("upload_id").alias("id"), "content"), "id", "left")
 
@@ -142,7 +142,7 @@ def match_results(results: DataFrame, images: DataFrame, reference_dedup: bool =
     return results.join(imgs, "sha1")
 
 
-def storable_results(matched: DataFrame, uploads: DataFrame, cfg: Settings, cjk_bigrams: bool = False,
+def storable_results(matched: DataFrame, uploads: DataFrame, cfg: Settings, cjk_bigrams: bool | None = None,
                      run_ocr: Column | None = None, run_embed: Column | None = None) -> DataFrame:
     """WR2: the index rows to upsert from successful, matching results.
 
@@ -157,7 +157,8 @@ def storable_results(matched: DataFrame, uploads: DataFrame, cfg: Settings, cjk_
     vec = F.when(emb_on & F.col("embedding").isNotNull(), F.col("embedding"))
     rows = m.select("upload_id", "sha1", text.alias("ocr_text"), vec.alias("embeddings"))
     rows = rows.filter(F.col("ocr_text").isNotNull() | F.col("embeddings").isNotNull())
-    return rows.withColumn("ocr_lexemes", lexemes(F.col("ocr_text"), cjk_bigrams))
+    cjk = cfg.cjk_bigrams if cjk_bigrams is None else cjk_bigrams
+    return rows.withColumn("ocr_lexemes", lexemes(F.col("ocr_text"), cjk, cfg.lexeme_filter))
 
 
 def failed_images(images: DataFrame, results: DataFrame) -> DataFrame:

@@ -87,10 +87,11 @@ def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: S
 
     def matches(asked):
         terms = asked.select("request_id", "processed_term")
+        how = {} if cfg is None else {"cjk_bigrams": cfg.cjk_bigrams, "lexeme_filter": cfg.lexeme_filter}
         if postings is None:
-            hits = textindex.search_images_ocr_scan(terms, t.index)
+            hits = textindex.search_images_ocr_scan(terms, t.index, **how)
         else:
-            hits = textindex.search_images_ocr(terms, postings)
+            hits = textindex.search_images_ocr(terms, postings, **how)
         return post_pairs(hits, t, cfg, strict_visibility, with_cat)
 
     def kept(asked):

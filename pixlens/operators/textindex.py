@@ -58,16 +58,16 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def request_terms(requests: DataFrame, term_col: str = "processed_term", cjk_bigrams: bool = False,
-                  n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  n_buckets: int = DEFAULT_BUCKETS, lexeme_filter=None) -> DataFrame:
     """TX3: (request_id, lexeme, n_terms, bucket) for every request with terms."""
-    t = requests.select("request_id", query_terms(F.col(term_col), cjk_bigrams).alias("terms"))
+    t = requests.select("request_id", query_terms(F.col(term_col), cjk_bigrams, lexeme_filter).alias("terms"))
     t = t.filter(F.size("terms") > 0).select(
         "request_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("lexeme"))
     return with_bucket(t, n_buckets)
 
 
 def search_images_ocr(requests: DataFrame, post: DataFrame, term_col: str = "processed_term",
-                      cjk_bigrams: bool = False, n_buckets: int | None = None) -> DataFrame:
+                      cjk_bigrams: bool = False, n_buckets: int | None = None, lexeme_filter=None) -> DataFrame:
     """TX4: (request_id, upload_id) where the image text holds every query lexeme.
 
     Posting lists are intersected rarest term first: each request's candidates
@@ -81,7 +81,7 @@ def search_images_ocr(requests: DataFrame, post: DataFrame, term_col: str = "pro
     if n_buckets is None:
         first = post.select("n_buckets").limit(1).collect() if "n_buckets" in post.columns else []
         n_buckets = int(first[0][0]) if first else DEFAULT_BUCKETS
-    terms = request_terms(requests, term_col, cjk_bigrams, n_buckets)
+    terms = request_terms(requests, term_col, cjk_bigrams, n_buckets, lexeme_filter)
     p = post.select("bucket", "lexeme", "upload_id")
     # Document frequency of the batch's lexemes (reads only their buckets).
     df = p.join(terms.select("bucket", "lexeme").distinct(), ["bucket", "lexeme"]).groupBy("bucket", "lexeme") \
@@ -99,12 +99,12 @@ def search_images_ocr(requests: DataFrame, post: DataFrame, term_col: str = "pro
 
 
 def search_images_ocr_scan(requests: DataFrame, index: DataFrame, term_col: str = "processed_term",
-                           cjk_bigrams: bool = False) -> DataFrame:
+                           cjk_bigrams: bool = False, lexeme_filter=None) -> DataFrame:
     """TX4 without a posting table: the stored lexeme arrays of the index are
     de-duplicated per image and probed against the (broadcast) request terms.
     No shuffle of the index; one hash aggregate on (request, image) matches.
     """
-    terms = request_terms(requests, term_col, cjk_bigrams).drop("bucket")
+    terms = request_terms(requests, term_col, cjk_bigrams, lexeme_filter=lexeme_filter).drop("bucket")
     lex = index.filter(F.col("ocr_lexemes").isNotNull()).select(
         "upload_id", F.explode(F.array_distinct("ocr_lexemes")).alias("lexeme"))
     hits = lex.join(terms, "lexeme")
@@ -113,6 +113,6 @@ def search_images_ocr_scan(requests: DataFrame, index: DataFrame, term_col: str
     return counted.filter(F.col("n_hit") == F.col("n_terms")).select("request_id", "upload_id")
 
 
-def index_lexemes(ocr_text_col: str = "ocr_text", cjk_bigrams: bool = False):
+def index_lexemes(ocr_text_col: str = "ocr_text", cjk_bigrams: bool = False, lexeme_filter=None):
     """The lexeme column written with every index row (NULL iff text is NULL)."""
-    return lexemes(F.col(ocr_text_col), cjk_bigrams)
+    return lexemes(F.col(ocr_text_col), cjk_bigrams, lexeme_filter)

@@ -206,3 +206,38 @@ def test_watched_words_of_every_form(spark):
     assert hits("car", "cat*", "foo bar", "zzz") == [1, 4, 5] and hits() == [] and hits("  ") == []
     many = [f"word{i}*" for i in range(1300)] + ["cat*"]
     assert hits(*many) == [5]
+
+
+def test_image_bytes_are_read_and_key_the_query(spark, tmp_path):
+    from pixlens.sources.files import read_upload_files
+    from pixlens.streaming import memo
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "img1.png").write_bytes(b"one")
+    (tmp_path / "img2.png").write_bytes(b"two")
+    t = forum(spark, uploads=[upload(1), upload(2), upload(3)])
+    files = read_upload_files(spark, str(tmp_path), t.uploads)
+    assert {r.upload_id: bytes(r.content) for r in files.collect()} == {1: b"one", 2: b"two"}
+    uri = an.image_info(t.uploads.filter("id = 1"), CFG.with_(analyze_image_base64_encoded=True), files).first().url
+    assert uri == "data:image/png;base64,b25l"
+    reqs = spark.createDataFrame([(1, None, False, True, "x", "ref1"), (2, None, False, True, "x", "ref2"),
+                                  (3, None, True, False, "ref1", None)],
+                                 "request_id long, error string, search_embeddings boolean, search_by_image boolean, "
+                                 "processed_term string, image_ref string")
+    images = spark.createDataFrame([(1, bytearray(b"same")), (2, bytearray(b"same"))], "request_id long, content binary")
+    rows = memo.embedding_inputs(reqs, F.current_timestamp(), images)
+    keys = {r.request_id: r.key for r in rows.select("request_id", memo.cache_key(F.col("kind"), F.col("content")).alias("key"))
+            .collect()}
+    assert keys[1] == keys[2] and keys[3] != keys[1] and keys[3].startswith("text_embedding_")
+
+
+def test_lexeme_hook_and_bigrams_reach_index_and_search(spark):
+    from pixlens.operators import textindex
+    cfg = CFG.with_(cjk_bigrams=True, lexeme_filter=lambda c: F.array_except(c, F.array(F.lit("the"), F.lit("a"))))
+    t = forum(spark, uploads=[upload(1)])
+    res = an.run_analyzer(an.image_info(t.uploads, cfg), analyzer_from({"sha1": (["the car 北京市"], None, True)}))
+    row = an.storable_results(an.match_results(res, an.image_info(t.uploads, cfg)), t.uploads, cfg).first()
+    assert row.ocr_lexemes == ["car", "北京", "京市"]
+    idx = spark.createDataFrame([(1, row.ocr_lexemes)], "upload_id long, ocr_lexemes array<string>")
+    reqs = spark.createDataFrame([(1, "the 北京"), (2, "the car a"), (3, "北市")], "request_id long, processed_term string")
+    hits = textindex.search_images_ocr_scan(reqs, idx, cjk_bigrams=True, lexeme_filter=cfg.lexeme_filter)
+    assert sorted(r.request_id for r in hits.collect()) == [1, 2]
