@@ -85,14 +85,17 @@ def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: S
     with_cat = kinds is None or any(k in ("category", "category_slug") for k in kinds)
     is_deep = F.col("off") + F.col("side_limit") > SHALLOW
 
+    how = {} if cfg is None else {"cjk_bigrams": cfg.cjk_bigrams, "lexeme_filter": cfg.lexeme_filter}
+    terms = r.select("request_id", "processed_term")
+    if postings is None:
+        hits = textindex.search_images_ocr_scan(terms, t.index, **how)
+    else:
+        hits = textindex.search_images_ocr(terms, postings, **how)
+    hits = materialize(hits, "search-hits")  # (request, image) pairs, read by the branches below
+
     def matches(asked):
-        terms = asked.select("request_id", "processed_term")
-        how = {} if cfg is None else {"cjk_bigrams": cfg.cjk_bigrams, "lexeme_filter": cfg.lexeme_filter}
-        if postings is None:
-            hits = textindex.search_images_ocr_scan(terms, t.index, **how)
-        else:
-            hits = textindex.search_images_ocr(terms, postings, **how)
-        return post_pairs(hits, t, cfg, strict_visibility, with_cat)
+        own = hits.join(asked.select("request_id"), "request_id", "left_semi")
+        return post_pairs(own, t, cfg, strict_visibility, with_cat)
 
     def kept(asked):
         """Requests without filters bypass the filter stage."""
