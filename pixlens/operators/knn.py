@@ -164,6 +164,65 @@ def search_images_embedding(queries: DataFrame, index: DataFrame, dim: int, vind
     return rerank(hamming_candidates(vindex, q, dim, queries_per_block), vindex, q)
 
 
+PAGES_DDL = "request_id long, page_no long, upload_id long, rank long"
+
+
+def _every_page(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One request: the images of each of its pages, from its rows numbered by similarity (``pos``).
+
+    A row takes part from the first page whose candidates hold it. A page adds at most ``limit``
+    candidates and begins ``limit`` positions later, so a row before a page's begin is before the begin
+    of every later page too: it leaves the heap for good, and no page looks at all rows.
+    """
+    from heapq import heappop, heappush
+
+    pdf = pdf.sort_values("pos")
+    n, limit, pages = len(pdf), int(pdf["limit"].iloc[0]), int(pdf["pages"].iloc[0])
+    late = pdf["cand_rank"].to_numpy(np.int64) - int(pdf["first_k"].iloc[0])
+    since = np.maximum(0, -(-late // limit))
+    entry = np.argsort(since, kind="stable")
+    starts = np.searchsorted(since[entry], np.arange(min(pages, -(-n // limit)) + 1))
+    heap: list[int] = []
+    shown: list[int] = []
+    at, page_of, rank_of = [], [], []
+    for page in range(len(starts) - 1):
+        for i in (*entry[starts[page]:starts[page + 1]].tolist(), *shown):
+            heappush(heap, i)
+        if page:
+            for _ in range(min(limit, len(heap))):
+                heappop(heap)
+        if not heap:  # this page and all later ones lie beyond the rows
+            break
+        shown = [heappop(heap) for _ in range(min(limit, len(heap)))]
+        at += shown
+        page_of += [page] * len(shown)
+        rank_of += range(1, len(shown) + 1)
+    return pd.DataFrame({"request_id": pdf["request_id"].iloc[0], "page_no": np.array(page_of, np.int64),
+                         "upload_id": pdf["upload_id"].to_numpy(np.int64)[at], "rank": np.array(rank_of, np.int64)})
+
+
+def search_images_every_page(queries: DataFrame, index: DataFrame, dim: int, vindex: DataFrame | None = None,
+                             oversample: float = 2, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
+    """V4 for the pages 0..``pages`` - 1 of each request: (request_id, page_no, upload_id, rank).
+
+    Each page holds what ``search_images_embedding`` (exact) finds at its offset, whose candidates grow
+    with the page. The index is scanned once per request, whatever its number of pages; one task holds
+    the ids of the images of one request that pass the threshold.
+    """
+    vindex = vindex if vindex is not None else vector_index(index, dim)
+    q = _with_k(queries.filter((F.col("limit") > 0) & (F.col("pages") > 0))
+                .withColumn("offset", (F.col("pages") - 1) * F.col("limit")), dim, oversample)
+    vec = vindex.select("upload_id", "embeddings", "norm")
+    kept = (hamming_candidates(vindex, q, dim, queries_per_block).select("request_id", "upload_id", "cand_rank")
+            .join(vec, "upload_id").join(q.select("request_id", "qvec", "qnorm", "threshold", "limit", "pages"), "request_id")
+            .withColumn("similarity", V.cosine_similarity("embeddings", "qvec", F.col("norm"), F.col("qnorm")))
+            .filter(F.col("similarity") >= F.col("threshold")))
+    w = Window.partitionBy("request_id").orderBy(F.col("similarity").desc(), F.col("upload_id"))
+    first_k = F.ceil(F.lit(float(oversample)) * F.col("limit")).cast("long")
+    return kept.select("request_id", "upload_id", "cand_rank", F.row_number().over(w).alias("pos"), "limit", "pages",
+                       first_k.alias("first_k")).groupBy("request_id").applyInPandas(_every_page, PAGES_DDL)
+
+
 # ------------------------------------------------------------------ V6 (approximate)
 BAND_BITS = 12
 PROBE_BITS = 3

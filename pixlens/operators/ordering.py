@@ -48,7 +48,7 @@ def dense_index(df: DataFrame, order: str | Column | list, descending: bool = Fa
 RANK_BUCKET = 1 << 16
 
 
-def rank_in_groups(df: DataFrame, group: str, lead: Column, by: str, ties: list[Column] | None = None,
+def rank_in_groups(df: DataFrame, group: str | list[str], lead: Column, by: str, ties: list[Column] | None = None,
                    name: str = "rank") -> DataFrame:
     """1-based rank within ``group`` by (``lead`` ascending, ``by`` descending, ``ties``) as a long.
 
@@ -58,8 +58,9 @@ def rank_in_groups(df: DataFrame, group: str, lead: Column, by: str, ties: list[
     window. ``df`` is read twice and should be a materialized table.
     """
     b = df.withColumn("_lead", lead).withColumn("_block", -F.floor(F.col(by) / RANK_BUCKET))
-    keys = [group, "_lead", "_block"]
-    before = Window.partitionBy(group).orderBy("_lead", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    of = [group] if isinstance(group, str) else group
+    keys = [*of, "_lead", "_block"]
+    before = Window.partitionBy(*of).orderBy("_lead", "_block").rowsBetween(Window.unboundedPreceding, -1)
     start = b.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn(
         "_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*keys).orderBy(F.col(by).desc(), *(ties or []))

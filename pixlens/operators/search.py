@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..config import PAGE_SIZE, Settings
@@ -121,21 +121,30 @@ def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: S
 def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cfg: Settings,
                    vindex: DataFrame | None = None, oversample: float = 2, method: str = "exact",
                    strict_visibility: bool = False, closure: DataFrame | None = None,
-                   kinds: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """V4 + T4: image top-k first (limit applies to images), then posts by image rank."""
+                   kinds: list[str] | None = None, allowed: DataFrame | None = None,
+                   every_page: bool = False) -> DataFrame:
+    """V4 + T4: image top-k first (limit applies to images), then posts by image rank.
+
+    ``every_page`` (exact method) gives the pages 0..page_no of each request, with their ``page_no``.
+    """
     r = reqs.filter(F.col("search_embeddings") | F.col("search_by_image"))
     thr = F.when(F.col("search_by_image"), F.lit(cfg.image_similarity_threshold)).otherwise(
         F.lit(cfg.text_similarity_threshold))
     q = r.select("request_id", thr.alias("threshold"), F.col("side_limit").alias("limit"),
                  F.col("side_offset").alias("offset")).join(query_vectors.select("request_id", "qvec"), "request_id")
-    imgs = knn.search_images_embedding(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample,
-                                       method=method)
-    hits = imgs.select("request_id", "upload_id", F.col("rank").alias("img_rank"))
+    page = ["page_no"] if every_page else []
+    if every_page:
+        q = q.join(r.select("request_id", (F.col("page_no") + 1).alias("pages")), "request_id")
+        imgs = knn.search_images_every_page(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample)
+    else:
+        imgs = knn.search_images_embedding(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample,
+                                           method=method)
+    hits = imgs.select("request_id", *page, "upload_id", F.col("rank").alias("img_rank"))
     with_cat = kinds is None or any(k in ("category", "category_slug") for k in kinds)
     pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility, with_cat), r, t, closure, kinds, allowed)
     # Every post holding a top image is returned (no limit on posts), so one
     # image may bring a third of all posts: no per-request window here.
-    return pairs.select("request_id", "post_id", "upload_id", "img_rank")
+    return pairs.select("request_id", *page, "post_id", "upload_id", "img_rank")
 
 
 def rank_embedding_side(pairs: DataFrame) -> DataFrame:
@@ -145,17 +154,18 @@ def rank_embedding_side(pairs: DataFrame) -> DataFrame:
         .select("request_id", "post_id", "upload_id", "side_rank")
 
 
-def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: DataFrame,
-           postings: DataFrame | None = None, vindex: DataFrame | None = None, limit: int = PAGE_SIZE,
-           paging: str = "linear", strict_visibility: bool = False, method: str = "exact",
-           oversample: float = 2) -> SearchOutput:
-    """All four modes for a batch of requests.
+@dataclass
+class _Batch:
+    prepared: DataFrame
+    reqs: DataFrame  # the valid ones
+    need: Row  # which sides, whether pages are deep
+    kinds: list[str]
+    closure: DataFrame | None
+    allowed: DataFrame | None
 
-    ``query_vectors`` (request_id, qvec) comes from the user's embedder (text
-    for embedding mode, image for by-image mode), see ``embed_queries``.
-    ``method`` and ``oversample`` choose the vector search (see ``knn``). The
-    matches of both sides are written once; results and envelope read them.
-    """
+
+def _plan_batch(requests: DataFrame, t: ForumTables, limit: int, paging: str) -> _Batch:
+    """Parse a batch once and resolve its filters."""
     # The parsed request batch is small and feeds every branch: checkpoint it
     # once (reliable storage in spark.checkpoint.dir) so each branch reads a
     # short plan. One tiny job then tells which branches the batch needs.
@@ -181,6 +191,40 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
         # Resolve every filter of the batch once; both sides probe the same table.
         allowed = flt.resolve_filters(filter_rows(reqs.filter(F.size("filters") > 0)), t, closure,
                                       kinds).checkpoint(eager=True)
+    return _Batch(prepared, reqs, need, kinds, closure, allowed)
+
+
+def _ranked(both: DataFrame, reqs: DataFrame, page: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(distinct pairs, their ranks) of the union of both sides, per request and ``page`` columns."""
+    modes = reqs.select("request_id", "search_ocr", "search_embeddings")
+    # First occurrence of a pair: smallest (src, side_rank), packed into one long
+    # so the de-duplication stays a hash aggregate (a struct min would sort).
+    packed = F.col("src").cast("long") * F.lit(1 << 40) + F.col("side_rank").cast("long")
+    uniq = both.groupBy("request_id", *page, "post_id", "upload_id").agg(F.min(packed).alias("_first"))
+    uniq = uniq.join(modes, "request_id")
+    combined = F.col("search_ocr") & F.col("search_embeddings")
+    # Combined: newest post first. Single mode: that side's own order.
+    order_key = F.when(combined, F.lit(0)).otherwise(F.col("_first").bitwiseAND(F.lit((1 << 40) - 1)))
+    keyed = uniq.select("request_id", *page, "post_id", "upload_id", order_key.alias("_k"))
+    # Embedding results keep every post of a top image, so a request's result set is unbounded: ranked in blocks.
+    results = rank_in_groups(keyed, ["request_id", *page], F.col("_k"), "post_id", [F.col("upload_id").desc()]).select(
+        "request_id", *page, "post_id", "upload_id", "rank")
+    return uniq, results
+
+
+def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: DataFrame,
+           postings: DataFrame | None = None, vindex: DataFrame | None = None, limit: int = PAGE_SIZE,
+           paging: str = "linear", strict_visibility: bool = False, method: str = "exact",
+           oversample: float = 2) -> SearchOutput:
+    """All four modes for a batch of requests.
+
+    ``query_vectors`` (request_id, qvec) comes from the user's embedder (text
+    for embedding mode, image for by-image mode), see ``embed_queries``.
+    ``method`` and ``oversample`` choose the vector search (see ``knn``). The
+    matches of both sides are written once; results and envelope read them.
+    """
+    b = _plan_batch(requests, t, limit, paging)
+    prepared, reqs, need, kinds, closure, allowed = b.prepared, b.reqs, b.need, b.kinds, b.closure, b.allowed
 
     sides = []
     if need["ocr"]:
@@ -199,19 +243,7 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
         both = reqs.sparkSession.createDataFrame(
             [], "request_id long, post_id long, upload_id long, src int, side_rank long")
 
-    modes = reqs.select("request_id", "search_ocr", "search_embeddings")
-    # First occurrence of a pair: smallest (src, side_rank), packed into one long
-    # so the de-duplication stays a hash aggregate (a struct min would sort).
-    packed = F.col("src").cast("long") * F.lit(1 << 40) + F.col("side_rank").cast("long")
-    uniq = both.groupBy("request_id", "post_id", "upload_id").agg(F.min(packed).alias("_first"))
-    uniq = uniq.join(modes, "request_id")
-    combined = F.col("search_ocr") & F.col("search_embeddings")
-    # Combined: newest post first. Single mode: that side's own order.
-    order_key = F.when(combined, F.lit(0)).otherwise(F.col("_first").bitwiseAND(F.lit((1 << 40) - 1)))
-    keyed = uniq.select("request_id", "post_id", "upload_id", order_key.alias("_k"))
-    # Embedding results keep every post of a top image, so a request's result set is unbounded: ranked in blocks.
-    results = rank_in_groups(keyed, "request_id", F.col("_k"), "post_id", [F.col("upload_id").desc()]).select(
-        "request_id", "post_id", "upload_id", "rank")
+    uniq, results = _ranked(both, reqs, [])
 
     # has_more counts the (post, image) rows of each side before de-duplication.
     side_n = both.groupBy("request_id").agg(F.count_if(F.col("src") == 1).alias("n_ocr"),
@@ -234,3 +266,35 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
         "page_no", "error", F.coalesce("has_more", F.lit(False)).alias("has_more"),
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"))
     return SearchOutput(results=results, envelope=envelope)
+
+
+def cumulative_pages(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: DataFrame,
+                     postings: DataFrame | None = None, vindex: DataFrame | None = None, limit: int = PAGE_SIZE,
+                     strict_visibility: bool = False, oversample: float = 2) -> DataFrame:
+    """Everything shown after paging to ``page``: (request_id, page_no, rank, post_id, upload_id).
+
+    Each page 0..page is what ``search`` (linear paging, exact vectors) answers for it. Both sides are
+    searched once per request for the range of ranks up to the last page and the page number follows
+    from the rank, so the work grows with the results and not with the page number.
+    """
+    b = _plan_batch(requests, t, limit, "linear")
+    size = b.reqs.select("request_id", F.col("side_limit").alias("_size"))
+    sides = []
+    if b.need["ocr"]:
+        upto = b.reqs.withColumn("side_limit", ((F.col("page_no") + 1) * F.col("side_limit")).cast("long")) \
+            .withColumn("side_offset", F.lit(0).cast("long"))
+        ocr = ocr_side(upto, t, postings, cfg, "linear", strict_visibility, b.closure, b.kinds, b.allowed,
+                       deep=(b.need["ends"] or 0) > SHALLOW).join(size, "request_id")
+        page_no = F.floor((F.col("side_rank") - 1) / F.col("_size"))
+        sides.append(ocr.select("request_id", page_no.alias("page_no"), "post_id", "upload_id", F.lit(1).alias("src"),
+                                (F.col("side_rank") - page_no * F.col("_size")).alias("side_rank")))
+    if b.need["emb"]:
+        emb = embedding_side(b.reqs, t, query_vectors, cfg, vindex, oversample, "exact", strict_visibility,
+                             closure=b.closure, kinds=b.kinds, allowed=b.allowed, every_page=True)
+        sides.append(emb.select("request_id", "page_no", "post_id", "upload_id", F.lit(0).alias("src"),
+                                F.col("img_rank").cast("long").alias("side_rank")))
+    if not sides:
+        return requests.sparkSession.createDataFrame(
+            [], "request_id long, page_no long, rank long, post_id long, upload_id long")
+    both = materialize(sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]), "search-pages")
+    return _ranked(both, b.reqs, ["page_no"])[1].select("request_id", "page_no", "rank", "post_id", "upload_id")

@@ -298,14 +298,5 @@ def _paged_sql() -> str:
 
 @register("pages_cumulative", _paged_sql())
 def pages_cumulative(spark, sf_dir):
-    from ..operators.results import cumulative_pages
     f = _f(spark, sf_dir)
-    t = f.tables()
-
-    def run(expanded):
-        qv = expanded.select("request_id", "orig_request_id").join(
-            f.request_embeddings.withColumnRenamed("request_id", "orig_request_id"), "orig_request_id")
-        return se.search(expanded.drop("orig_request_id"), t, CFG, qv, limit=LIMIT).results
-
-    # A user pages forward from 0; the request that jumps to a page beyond all results is none of these.
-    return cumulative_pages(run, f.search_requests.filter("coalesce(page, 0) <= 100"))
+    return se.cumulative_pages(f.search_requests, f.tables(), CFG, f.request_embeddings, limit=LIMIT)
