@@ -37,15 +37,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays, once; rows without id all stay."""
+    """Of each component of near copies the row with the smallest id stays, then text; rows without id all stay."""
     ship_package(spark)
-    found = vptree.cluster(docs)
-    stay = materialize(found.filter("id = component_id").select(F.col("id").alias("__id")).distinct(), "pipeline-stay")
-    # Rows that repeat an id: the smallest text stays.
-    one = Window.partitionBy("__id").orderBy(F.col("text").asc_nulls_last())
-    known = (docs.filter("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long"))
-             .join(stay, "__id", "left_semi").withColumn("__rn", F.row_number().over(one)).filter("__rn = 1"))
-    return known.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    key = F.coalesce(F.md5("text"), F.lit(""))
+    found = vptree.members(docs, key=key).filter("id = component_id")
+    stay = materialize(found.select(F.col("id").alias("__low"), F.col("key").alias("__of"), F.col("root").alias("__root"))
+                       .distinct(), "pipeline-stay")
+    # An id may stand in several components: rows meet theirs by id and text.
+    known = (docs.filter("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", key)
+             .join(stay, (F.col("__id") == F.col("__low")) & (F.col("__key") == F.col("__of"))))
+    one = Window.partitionBy("__root").orderBy(F.col("text").asc_nulls_last())
+    kept = known.withColumn("__rn", F.row_number().over(one)).filter("__rn = 1")
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ component only when no other is there; an empty table gives an empty result; ext
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices, materialize
@@ -65,17 +65,18 @@ def _fingerprints(shingle: int):
 
         for b in batches:
             for part in byte_slices(b, 1):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], pa.int64())],
-                    names=["id", "fp"])
+                prints = pa.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), prints, *part.columns[2:]],
+                                                 names=["id", "fp", *part.schema.names[2:]])
     return run
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row."""
-    return (documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(_fingerprints(shingle), "id long, fp long"))
+                 text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """(id, fp) of every row, and the string ``key`` of the row if one is given."""
+    more = [] if key is None else [key.alias("key")]
+    return (documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
+            .mapInArrow(_fingerprints(shingle), "id long, fp long" + ", key string" * len(more)))
 
 
 def far(a, b):
@@ -268,16 +269,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def cluster(documents: DataFrame, shingle: int = SHINGLE, radius: int = MAX_BITS, shard_size: int = SHARD_SIZE,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row."""
-    prints = materialize(fingerprints(documents, shingle, id_col, text_col), "vp-prints")
+    return members(documents, shingle, radius, shard_size, id_col, text_col).select("id", "fp", "component_id")
+
+
+def members(documents: DataFrame, shingle: int = SHINGLE, radius: int = MAX_BITS, shard_size: int = SHARD_SIZE,
+            id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """``cluster`` with the ``root`` of the component (a fingerprint, unlike the id of one component only) and ``key``."""
+    prints = materialize(fingerprints(documents, shingle, id_col, text_col, key), "vp-prints")
     first = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"))
     distinct = materialize(prints.groupBy("fp").agg(F.min(first).alias("first")), "vp-distinct")
     roots = components(links(distinct, radius, shard_size))
     member = materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left")
                          .select("fp", "first", F.coalesce("root", "fp").alias("root")), "vp-members")
     lowest = materialize(member.groupBy("root").agg(F.min("first").alias("lowest")), "vp-lowest")
-    named = materialize(member.join(lowest, "root").select(F.col("fp").alias("of"), F.col("lowest.id").alias("component_id")),
-                        "vp-named")
-    return (prints.join(named, F.col("fp") == F.col("of"), "left").select("id", "fp", "component_id"))
+    named = materialize(member.join(lowest, "root").select(F.col("fp").alias("of"), F.col("lowest.id").alias("component_id"),
+                                                           "root"), "vp-named")
+    return prints.join(named, F.col("fp") == F.col("of"), "left").drop("of")
 
 
 def hex_of(column: str):
