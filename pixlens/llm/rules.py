@@ -6,7 +6,9 @@ commonest words, one for all other words). The references of a language are comp
 documents by grouped aggregation: the sums of the documents' class histograms and of their words' shares,
 so that every document counts alike, however long. A document is compared with the references of its declared
 language, or with every language when that one has no reference, and the smallest Jensen-Shannon
-distance (square root of the divergence in bits, 0 to 1) counts.
+distance (square root of the divergence in bits, 0 to 1) counts. A language label with fewer than
+``min_documents`` documents of ``MIN_WORDS`` words or more is no reference, as its documents would be
+compared with little more than themselves; when no label has as many, all are references.
 
 Verdict of the method: a document of at least ``min_chars`` characters fails when its class distance
 is above ``max_class_distance``; one of at least ``min_words`` words fails when its word distance is
@@ -38,6 +40,7 @@ MIN_CHARS = 200
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE = 0.24
 MAX_WORD_DISTANCE = 0.43
+MIN_DOCUMENTS = 20
 MAX_LANGUAGES = 1000
 UNIT = 1_000_000
 
@@ -126,11 +129,13 @@ def _corpus_counts(batches):
         for part in byte_slices(b, 1, 32 << 20):
             counts: dict = {}
             shares: dict = {}
+            long: Counter = Counter()
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if lang is None or not text:
                     continue
                 # Whole millionths: sums do not depend on the order of the rows.
                 sums, own = counts.setdefault(lang, {}), Counter(map(_key, text.split()))
+                long[lang] += own.total() >= MIN_WORDS
                 unit = UNIT / max(1, own.total())
                 for w, n in own.items():
                     sums[w] = sums.get(w, 0) + int(n * unit + 0.5)
@@ -138,6 +143,7 @@ def _corpus_counts(batches):
                 shares[lang] = shares.get(lang, 0) + np.rint(h / h.sum() * UNIT).astype(np.int64)
             rows = [(lang, "w:" + w, n) for lang, c in counts.items() for w, n in c.items()]
             rows += [(lang, "t", sum(c.values())) for lang, c in counts.items()]
+            rows += [(lang, "d", n) for lang, n in long.items()]
             rows += [(lang, f"c:{k}", int(v)) for lang, h in shares.items() for k, v in enumerate(h)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
@@ -145,7 +151,7 @@ def _corpus_counts(batches):
 
 
 def references(documents: DataFrame, n_words: int = N_WORDS) -> DataFrame:
-    """(lang, item, n): the words of largest share ('w:...'), all words together ('t') and classes ('c:i')."""
+    """(lang, item, n): words of largest share ('w:...'), all words ('t'), classes ('c:i'), long documents ('d')."""
     counted = (documents.select("lang", "text").mapInArrow(_corpus_counts, "lang string, item string, n long")
                .groupBy("lang", "item").agg(F.sum("n").alias("n"))
                .withColumn("kind", F.substring("item", 1, 1)))
@@ -155,9 +161,12 @@ def references(documents: DataFrame, n_words: int = N_WORDS) -> DataFrame:
             .filter((F.col("kind") != "w") | (F.col("rn") <= n_words)).select("lang", "item", "n"))
 
 
-def load_references(refs: DataFrame, max_languages: int = MAX_LANGUAGES) -> dict:
-    """References as a dict; n_words + 9 rows a language. More languages than the bound raise."""
+def load_references(refs: DataFrame, max_languages: int = MAX_LANGUAGES, min_documents: int = MIN_DOCUMENTS) -> dict:
+    """References with enough documents as a dict; n_words + 10 rows a language. More languages than the bound raise."""
     refs = materialize(refs, "rules-references")
+    known = refs.filter((F.col("item") == "d") & (F.col("n") >= min_documents)).select("lang")
+    if not known.isEmpty():
+        refs = refs.join(known, "lang", "left_semi")
     if refs.select("lang").distinct().count() > max_languages:
         raise ValueError(f"more than {max_languages} languages; raise max_languages")
     rows, out = refs.collect(), {}
@@ -165,6 +174,8 @@ def load_references(refs: DataFrame, max_languages: int = MAX_LANGUAGES) -> dict
         ref = out.setdefault(lang, {"words": {}, "rest": 0, "classes": [0] * len(CLASSES)})
         if item == "t":
             ref["rest"] += n
+        elif item == "d":
+            ref["documents"] = n
         elif item.startswith("c:"):
             ref["classes"][int(item[2:])] = n
         else:
