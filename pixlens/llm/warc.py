@@ -39,6 +39,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 MIN_REVISIT_BYTES = 100
 SAMPLE_BYTES = 4 << 20
+PIECE_BYTES = 128 << 10
 DICT_BYTES = 64 << 10
 LEVEL = 3
 WARC_DATE = "1970-01-01T00:00:00Z"
@@ -122,6 +123,16 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
         return b""
 
 
+def cut_samples(records: list[bytes], total: int = SAMPLE_BYTES, piece: int = PIECE_BYTES) -> list[bytes]:
+    """The first ``total`` bytes of the records, whole, in pieces that the training takes."""
+    out, left = [], total
+    for r in records:
+        r = r[:left]
+        out += [r[i:i + piece] for i in range(0, len(r), piece)]
+        left -= len(r)
+    return out
+
+
 def write_archive(out, records, sample_bytes: int = SAMPLE_BYTES) -> tuple[int, int]:
     """Write records (an iterator of bytes) to the open file; returns (records, dictionary bytes)."""
     import zstandard
@@ -132,7 +143,7 @@ def write_archive(out, records, sample_bytes: int = SAMPLE_BYTES) -> tuple[int,
         size += len(rec)
         if size >= sample_bytes:
             break
-    raw = train_dictionary([r[:128 << 10] for r in held])
+    raw = train_dictionary(cut_samples(held, sample_bytes))
     if raw:
         out.write(DICT_MAGIC.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw))
