@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, chatpack, langid, linestore, mixing, ordinal, rules, topk, vptree, warc, whiten
+from . import bpe, chatpack, langid, linestore, mixing, ordinal, phrases, rules, topk, vptree, warc, whiten
 from .sql import ORACLE
 
 
@@ -106,12 +106,16 @@ def op10_rules(spark, sf_dir):
     return rules.judge(documents, rules.load_references(rules.references(documents)))
 
 
+def op12_phrases(spark, sf_dir):
+    return phrases.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_whiten(spark, sf_dir):
     return whiten.whiten(read(spark, sf_dir, "embeddings"))
 
 
 OPERATORS = (op1_warc, op2_topk, op3_quality, op4_simhash, op5_langid, op6_bpe, op7_lines, op8_chat, op9_mix, op10_rules,
-             op13_whiten)
+             op12_phrases, op13_whiten)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -93,4 +93,23 @@ SELECT doc_id, size, source_size, target, taken,
        CASE WHEN taken > 0 THEN round(CASE rank % {len(SCHEDULES)} {_TIMES} END, 6) END AS position
 FROM k"""
 
-ORACLE = {"op1_warc": OP1, "op2_topk": OP2, "op7_lines": OP7, "op8_chat": OP8, "op9_mix": OP9}
+OP12 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS w FROM p),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, unnest([1, 2, 3]) AS k, w, i FROM o),
+c AS (SELECT lang, w[i:i + k - 1] AS p, count(*) AS f FROM g WHERE i + k - 1 <= len(w) GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE len(p) = 1 GROUP BY lang),
+d AS (SELECT lang, p, f AS a FROM c WHERE len(p) >= 2 AND f >= 10),
+h AS (SELECT lang, p[s:s + 1] AS p, max(a) AS held FROM (SELECT lang, p, a, unnest([1, 2]) AS s FROM d WHERE len(p) = 3) GROUP BY ALL),
+k AS (SELECT d.lang, d.p, d.a, unnest(range(1, len(d.p))) AS k FROM d LEFT JOIN h ON d.lang = h.lang AND d.p = h.p
+      WHERE held IS NULL OR 100 * held < 50 * d.a),
+s AS (SELECT k.lang, k.p, k.a, k.k, x.f AS l, y.f AS r,
+             CAST((1000000::HUGEINT * k.a::HUGEINT * k.a::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS BIGINT) AS score
+      FROM k JOIN c x ON x.lang = k.lang AND x.p = k.p[1:k.k] JOIN c y ON y.lang = k.lang AND y.p = k.p[k.k + 1:]),
+m AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m)
+SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN t ON t.lang = q.lang WHERE rank <= 2000"""
+
+ORACLE = {"op1_warc": OP1, "op2_topk": OP2, "op7_lines": OP7, "op8_chat": OP8, "op9_mix": OP9, "op12_phrases": OP12}
