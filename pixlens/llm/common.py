@@ -46,6 +46,35 @@ def byte_slices(batch, column: int, max_bytes: int = 8 << 20):
         yield batch.slice(start)
 
 
+def bitmap_of(hashes: DataFrame, max_bits: int) -> tuple[int, bytes]:
+    """(log2 of the size, bitmap) of the leading bits of the 64-bit hashes in column ``h``.
+
+    Sixteen bits a hash, ``max_bits`` at most whatever the number of hashes: a fuller map says yes more often
+    to hashes that are not in it, and never no to one that is.
+    """
+    bits = min(max(16, (16 * hashes.count()).bit_length()), max_bits.bit_length() - 1)
+    place = F.shiftrightunsigned("h", 64 - bits)
+    rows = (hashes.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("block"))
+            .agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect())
+    out = bytearray(1 << (bits - 3))
+    for r in rows:
+        out[r["block"] << 12:(r["block"] << 12) + 4096] = r["bits"]
+    return bits, bytes(out)
+
+
+def bitmap_test(spark: SparkSession, bits: int, bitmap: bytes):
+    """A function for tasks: which of an array of unsigned 64-bit hashes the bitmap may hold."""
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def test(h):
+        import numpy as np
+
+        p = h >> np.uint64(64 - bits)
+        known = np.frombuffer(shared.value, dtype=np.uint8)
+        return (known[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return test
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder that this library wrote and nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, byte_slices, materialize
+from .common import ascii_lower, bitmap_of, bitmap_test, byte_slices, materialize
 
 TRIGGER = 12
 MAX_CORE = 64
@@ -182,32 +182,18 @@ def frequent_bits(chunks: DataFrame, min_count: int, max_bits: int = MAX_BITS) -
 
     often = materialize(chunks.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
                         .filter(F.col("n") >= min_count).select("h"), "phrases-frequent")
-    bits = min(max(16, (16 * often.count()).bit_length()), max_bits.bit_length() - 1)
-    place = F.shiftrightunsigned("h", 64 - bits)
-    rows = (often.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("block"))
-            .agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect())
-    out = bytearray(1 << (bits - 3))
-    for r in rows:
-        out[r["block"] << 12:(r["block"] << 12) + 4096] = r["bits"]
-    return bits, bytes(out)
+    return bitmap_of(often, max_bits)
 
 
 def counts(chunks: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(lang, words, phrase, f) of all phrases of up to ``max_words`` words with ``f >= min_count``."""
-    bits, bitmap = frequent_bits(chunks, min_count, max_bits)
-    shared = chunks.sparkSession.sparkContext.broadcast(bitmap)
+    often = bitmap_test(chunks.sparkSession, *frequent_bits(chunks, min_count, max_bits))
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        known = np.frombuffer(shared.value, dtype=np.uint8)
-
-        def often(h):
-            p = h >> np.uint64(64 - bits)
-            return (known[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
         for whole in batches:
             for b in byte_slices(whole, 2, SLICE_BYTES):
                 g = Grams(b)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, chatpack, langid, linestore, mixing, ordinal, phrases, rules, topk, vptree, warc, whiten
+from . import bpe, chatpack, langid, linestore, mixing, ordinal, phrases, rules, suffixes, topk, vptree, warc, whiten
 from .sql import ORACLE
 
 
@@ -106,6 +106,11 @@ def op10_rules(spark, sf_dir):
     return rules.judge(documents, rules.load_references(rules.references(documents)))
 
 
+def op11_suffixes(spark, sf_dir):
+    kept = suffixes.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_phrases(spark, sf_dir):
     return phrases.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -115,7 +120,7 @@ def op13_whiten(spark, sf_dir):
 
 
 OPERATORS = (op1_warc, op2_topk, op3_quality, op4_simhash, op5_langid, op6_bpe, op7_lines, op8_chat, op9_mix, op10_rules,
-             op12_phrases, op13_whiten)
+             op11_suffixes, op12_phrases, op13_whiten)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -93,6 +93,21 @@ SELECT doc_id, size, source_size, target, taken,
        CASE WHEN taken > 0 THEN round(CASE rank % {len(SCHEDULES)} {_TIMES} END, 6) END AS position
 FROM k"""
 
+OP11 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, x, unnest(range(n - 99)) AS i FROM b WHERE n >= 100)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true) AS fresh FROM r),
+h AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM h GROUP BY doc_id, run),
+e AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT e.doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS last,
+             string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM e JOIN b ON e.doc_id = b.doc_id GROUP BY e.doc_id)
+SELECT b.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN k ON b.doc_id = k.doc_id"""
+
 OP12 = f"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang,
                   unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
@@ -112,4 +127,5 @@ m AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM s QUAL
 q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m)
 SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN t ON t.lang = q.lang WHERE rank <= 2000"""
 
-ORACLE = {"op1_warc": OP1, "op2_topk": OP2, "op7_lines": OP7, "op8_chat": OP8, "op9_mix": OP9, "op12_phrases": OP12}
+ORACLE = {"op1_warc": OP1, "op2_topk": OP2, "op7_lines": OP7, "op8_chat": OP8, "op9_mix": OP9, "op11_suffixes": OP11,
+          "op12_phrases": OP12}
