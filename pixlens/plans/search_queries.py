@@ -14,7 +14,7 @@ from ..operators.requests import filter_rows, parse_requests, request_modes, val
 from ..session import scratch_table_dir
 from ..sources.testforum import TestForum
 from .catalog import register
-from .search_sql import LIMIT, TEXT_T, _arg_case, search_sql
+from .search_sql import _COS, _HAM, IMAGE_T, LIMIT, PASS, TEXT_T, _arg_case, search_sql
 
 # FIXTURES: the test vectors pass 0.4 rarely, so text-to-image search runs at 0.1.
 CFG = TEST_SETTINGS.with_(text_similarity_threshold=TEXT_T)
@@ -281,19 +281,43 @@ def category_closure(spark, sf_dir):
     return flt.category_closure(_f(spark, sf_dir).categories)
 
 
-_PAGED = ("(SELECT s.request_id * 1000000007 + sp AS request_id, s.method, s.term, s.image_ref, s.image_content_type, "
-          "s.ocr, s.embed, CAST(sp AS BIGINT) AS page, s.current_user_id, s.request_id AS orig_id, "
-          "CAST(sp AS BIGINT) AS shown_page "
-          "FROM search_requests s, range(0, least(coalesce(s.page, 0), 100) + 1) t(sp) WHERE coalesce(s.page, 0) <= 100) r")
+#: Pages follow from the ranks; a page that begins beyond the last row of its side is empty.
+_PAGES = """,
+ocr_paged AS (
+  SELECT request_id, post_id, upload_id, (pos - 1) // side_limit AS page_no, pos - (pos - 1) // side_limit * side_limit AS side_rank
+  FROM (SELECT p.request_id, p.post_id, p.upload_id, v.side_limit, v.page_no AS upto,
+               row_number() OVER (PARTITION BY p.request_id ORDER BY p.post_id DESC, p.upload_id DESC) AS pos
+        FROM ocr_pairs p JOIN valid v ON v.request_id = p.request_id) x
+  WHERE (pos - 1) // side_limit <= upto),
+emb_all AS (
+  SELECT * FROM (
+    SELECT v.request_id, v.side_limit, v.page_no AS upto, i.upload_id, CASE WHEN v.search_by_image THEN {image} ELSE {text} END AS thr,
+           {cos} AS sim, row_number() OVER (PARTITION BY v.request_id ORDER BY {ham}, i.upload_id) AS cand_rank
+    FROM valid v JOIN request_embeddings q ON q.request_id = v.request_id, image_search_data i
+    WHERE (v.search_embeddings OR v.search_by_image) AND i.embeddings IS NOT NULL) x WHERE sim >= thr),
+emb_pages AS (
+  SELECT * FROM (SELECT *, unnest(range(0, least(upto, (SELECT count(*) FROM image_search_data) // side_limit) + 1)) AS page_no FROM emb_all) x
+  WHERE cand_rank <= 2 * side_limit + page_no * side_limit),
+emb_shown AS (
+  SELECT request_id, page_no, upload_id, pos - page_no * side_limit AS img_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY request_id, page_no ORDER BY sim DESC, upload_id) AS pos FROM emb_pages) x
+  WHERE pos > page_no * side_limit AND pos <= (page_no + 1) * side_limit),
+emb_paged AS (
+  SELECT h.* FROM (SELECT o.request_id, o.page_no, o.img_rank, b.* FROM emb_shown o JOIN pair_base b ON b.upload_id = o.upload_id) h
+  WHERE {passes}),
+paged AS (
+  SELECT request_id, page_no, post_id, upload_id, min(side_rank) AS first_rank FROM (
+    SELECT request_id, page_no, post_id, upload_id, side_rank FROM ocr_paged
+    UNION ALL SELECT request_id, page_no, post_id, upload_id, img_rank FROM emb_paged) x GROUP BY ALL)
+SELECT p.request_id, CAST(p.page_no AS BIGINT) AS page_no, post_id, upload_id,
+       CAST(row_number() OVER (PARTITION BY p.request_id, p.page_no ORDER BY
+            CASE WHEN v.search_ocr AND v.search_embeddings THEN 0 ELSE first_rank END, post_id DESC, upload_id DESC) AS BIGINT) AS rank
+FROM paged p JOIN valid v ON v.request_id = p.request_id"""
 
 
 def _paged_sql() -> str:
-    sql = search_sql("""
-      SELECT v.orig_id AS request_id, v.shown_page AS page_no, r.rank, r.post_id, r.upload_id
-      FROM results r JOIN valid v ON v.request_id = r.request_id""")
-    sql = sql.replace("FROM search_requests r", f"FROM {_PAGED}")
-    return sql.replace("JOIN request_embeddings e ON e.request_id = v.request_id",
-                       "JOIN request_embeddings e ON e.request_id = v.orig_id")
+    tail = _PAGES.format(image=IMAGE_T, text=TEXT_T, cos=_COS, ham=_HAM, passes=PASS)
+    return search_sql("", parts=("ocr",)).rstrip() + tail
 
 
 @register("pages_cumulative", _paged_sql())
