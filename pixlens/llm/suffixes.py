@@ -7,8 +7,9 @@ The suffix array is built in shards that hold all occurrences of a string of ``m
    one place form a context (their bytes, ``min_bytes`` to ``2 * min_bytes - GRAM``). A first pass over the
    texts counts minimizers; a bitmap (at most ``MAX_BITS`` bits) of those that occur twice lets the second
    pass drop the contexts that cannot hold a repeat. A fuller bitmap lets more through and changes no result.
-2. *Classes*: equal contexts are one class, counted before they are shuffled; all of its members but the first
-   repeat the first as a whole. Only first members of minimizers with several classes go on.
+2. *Classes*: equal contexts are one class; all of its members but the first repeat the first as a whole. The
+   members in one batch of texts are settled where they are read, so a class sends one row per batch to the
+   shuffle. Only first members of minimizers with several classes go on.
 3. *Suffix array*: the contexts of some minimizers are one text. The suffixes that start at its windows are
    sorted, neighbours give common prefix lengths, and a scan with a stack finds the intervals of the prefix
    tree of ``min_bytes`` bytes and more. An interval whose occurrences have different bytes on the left (or
@@ -32,13 +33,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import dense_index
 from .common import bitmap_of, bitmap_test, byte_slices, materialize, set_aside
 
 MIN_BYTES = 100
 GRAM = 32
 MAX_CONTEXTS = 4096
 MAX_BITS = 1 << 28  # 32 MB
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
+SLICE_BYTES = 32 << 20
 LAST_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -142,7 +145,8 @@ def anchors(data, offsets, min_bytes: int = MIN_BYTES, gram: int = GRAM, run_byt
         with np.errstate(over="ignore"):
             ctx = _mix(rolling.at(at, min_bytes) * _power(7) + rolling.at(end - 1, min_bytes)
                        + (n.astype(np.uint64) << np.uint64(32)) + (place[at] - at).astype(np.uint64))
-        out.append((text + first, at + a - offsets[text + first], n, grams[place[at]], ctx))
+            m = _mix(grams[place[at]])  # minimizers are small hashes; mixed again they spread evenly
+        out.append((text + first, at + a - offsets[text + first], n, m, ctx))
     if not out:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -159,11 +163,19 @@ def _bytes_of(texts):
     return np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tie, text): a document's place in the order and its text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"),
-                       F.xxhash64(text).alias("tie"), text.alias("text"))
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``doc``, a document's place in the order.
+
+    It is the id (a null one last); where an id stands with different texts, documents are numbered by id
+    and then by the hash of the text.
+    """
+    keyed = docs.withColumn("doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)))
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    ids = keyed.select("doc", tie.alias("tie"))
+    if ids.groupBy("doc").agg(F.min("tie").alias("a"), F.max("tie").alias("b")).filter("a <> b").isEmpty():
+        return keyed
+    order = materialize(dense_index(ids.distinct(), ["doc", "tie"], name="place"), "suffix-order")
+    return (keyed.withColumn("tie", tie).join(order, ["doc", "tie"]).drop("doc", "tie").withColumnRenamed("place", "doc"))
 
 
 def _repeated_grams(texts: DataFrame, min_bytes: int, max_bits: int) -> tuple[int, bytes]:
@@ -172,7 +184,7 @@ def _repeated_grams(texts: DataFrame, min_bytes: int, max_bits: int) -> tuple[in
         import pyarrow as pa
 
         for whole in batches:
-            for b in byte_slices(whole, 0):
+            for b in byte_slices(whole, 0, SLICE_BYTES):
                 m, n = np.unique(anchors(*_bytes_of(b.column(0)), min_bytes)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n > 1)], names=["m", "more"])
 
@@ -181,11 +193,41 @@ def _repeated_grams(texts: DataFrame, min_bytes: int, max_bits: int) -> tuple[in
     return bitmap_of(materialize(found.select(F.col("m").alias("h")), "suffix-grams"), max_bits)
 
 
-CONTEXT = "doc long, tie long, at long, n int, m long, ctx long"
+CONTEXT = "doc long, at long, n int, m long, ctx long, later boolean"
+
 
+def settle(doc, at, n, m, ctx, merge: bool):
+    """Contexts of a batch with ``later``: members of a class after the first one of the batch.
+
+    Repeated rows count once. With ``merge``, neighbouring later contexts of a document become one.
+    """
+    import numpy as np
 
-def contexts(texts: DataFrame, min_bytes: int = MIN_BYTES, max_bits: int = MAX_BITS) -> DataFrame:
-    """Contexts (doc, tie, at, n, m, ctx) of the minimizers that occur at least twice."""
+    order = np.lexsort((at, doc, ctx, m))
+    doc, at, n, m, ctx = (c[order] for c in (doc, at, n, m, ctx))
+    if not len(m):
+        return doc, at, n, m, ctx, np.zeros(0, dtype=bool)
+    new = np.append(True, (m[1:] != m[:-1]) | (ctx[1:] != ctx[:-1]))
+    same = np.append(False, (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])) & ~new
+    doc, at, n, m, ctx, later = (c[~same] for c in (doc, at, n, m, ctx, ~new))
+    if not merge:
+        return doc, at, n, m, ctx, later
+    gone = np.nonzero(later)[0]
+    gone = gone[np.lexsort((at[gone], doc[gone]))]
+    if len(gone):
+        d, a, z = doc[gone], at[gone], at[gone] + n[gone]
+        first = np.append(True, (d[1:] != d[:-1]) | (a[1:] != z[:-1]))
+        stop = np.append(np.nonzero(first)[0][1:], len(gone)) - 1
+        d, a, z = d[first], a[first], z[stop]
+    else:
+        d = a = z = gone
+    none = np.zeros(len(d), dtype=m.dtype)
+    parts = ((doc, d), (at, a), (n, z - a), (m, none), (ctx, none), (later, np.ones(len(d), dtype=bool)))
+    return tuple(np.concatenate([c[~later], x]) for c, x in parts)
+
+
+def contexts(texts: DataFrame, min_bytes: int = MIN_BYTES, max_bits: int = MAX_BITS, merge: bool = False) -> DataFrame:
+    """Contexts (doc, at, n, m, ctx, later) of the minimizers that occur at least twice."""
     test = bitmap_test(texts.sparkSession, *_repeated_grams(texts, min_bytes, max_bits))
 
     def cut(batches):
@@ -193,13 +235,13 @@ def contexts(texts: DataFrame, min_bytes: int = MIN_BYTES, max_bits: int = MAX_B
         import pyarrow as pa
 
         for whole in batches:
-            for b in byte_slices(whole, 2):
-                text, at, n, m, ctx = anchors(*_bytes_of(b.column(2)), min_bytes)
+            for b in byte_slices(whole, 1, SLICE_BYTES):
+                text, at, n, m, ctx = anchors(*_bytes_of(b.column(1)), min_bytes)
                 keep = test(m)
-                of = pa.array(text[keep])
+                doc = b.column(0).to_numpy()[text[keep]]
+                doc, at, n, m, ctx, later = settle(doc, at[keep], n[keep], m[keep].view(np.int64), ctx[keep].view(np.int64), merge)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(of), b.column(1).take(of), pa.array(at[keep]), pa.array(n[keep].astype(np.int32)),
-                     pa.array(m[keep].view(np.int64)), pa.array(ctx[keep].view(np.int64))],
+                    [pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), pa.array(m), pa.array(ctx), pa.array(later)],
                     names=[c.split()[0] for c in CONTEXT.split(", ")])
     return texts.mapInArrow(cut, CONTEXT)
 
@@ -265,33 +307,33 @@ def _join(parent: list, child: list) -> None:
 
 
 def scan(rows, min_bytes: int = MIN_BYTES):
-    """Maximal repeats of contexts ``(doc, tie, at, n, bytes)``: (lengths, group bounds, occurrences).
+    """Maximal repeats of contexts ``(doc, at, n, bytes)``, and the occurrences in the order of the suffix array.
 
-    Occurrences are (context number, window in it), in the order of the suffix array.
+    Repeats are those of ``intervals``; an occurrence is a context number, a window in it and its rank.
     """
     import numpy as np
 
-    n = np.array([r[3] for r in rows])
-    size = np.array([len(r[4]) for r in rows])
-    data = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
+    n = np.array([r[2] for r in rows])
+    size = np.array([len(r[3]) for r in rows])
+    data = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
     base = np.cumsum(size) - size
     of = np.repeat(np.arange(len(rows)), n)
     window = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     starts = base[of] + window
     order, lcp = suffix_array(data, starts, (base + size)[of])
     left = np.where(window == 0, -1 - np.arange(len(of)), data[np.maximum(starts - 1, 0)])
-    doc, tie, at = (np.array([r[k] for r in rows], dtype=np.int64)[of] for k in range(3))
+    doc, at = (np.array([r[k] for r in rows], dtype=np.int64)[of] for k in range(2))
     at = at + window
-    by = np.lexsort((at, tie, doc))
+    by = np.lexsort((at, doc))
     new = np.zeros(len(by), dtype=np.int64)
-    new[1:] = (doc[by][1:] != doc[by][:-1]) | (tie[by][1:] != tie[by][:-1]) | (at[by][1:] != at[by][:-1])
+    new[1:] = (doc[by][1:] != doc[by][:-1]) | (at[by][1:] != at[by][:-1])
     rank = np.zeros(len(by), dtype=np.int64)
     rank[by] = np.cumsum(new)  # repeated rows are one document and share their ranks
     return intervals(lcp, left[order], rank[order], min_bytes), of[order], window[order], rank[order]
 
 
 def _buckets(batches, most: int):
-    """Lists of contexts (m, doc, tie, at, n, bytes) that hold whole buckets of ``m``, about ``most`` contexts each."""
+    """Lists of contexts (m, doc, at, n, bytes) that hold whole buckets of ``m``, about ``most`` contexts each."""
     held = []
     for b in batches:
         for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -303,9 +345,9 @@ def _buckets(batches, most: int):
         yield held
 
 
-BUCKET_ROWS = "m long, doc long, tie long, at long, n int, bytes binary"
-SPAN = "doc long, tie long, at long, until long"
-GROUP = "first_doc long, first_tie long, first_at long, length long, doc long, tie long, at long"
+BUCKET_ROWS = "m long, doc long, at long, n int, bytes binary"
+SPAN = "doc long, at long, until long"
+GROUP = "first_doc long, first_at long, length long, doc long, at long"
 
 
 def _spans_of(min_bytes: int, most: int):
@@ -322,11 +364,10 @@ def _spans_of(min_bytes: int, most: int):
                 later = rank[a:b + 1] != first
                 longest[a:b + 1] = np.maximum(longest[a:b + 1], later * length)
             hit = np.nonzero(longest)[0]
-            c = of[hit]
-            at = np.array([r[2] for r in rows])[c] + window[hit]
+            at = np.array([r[1] for r in rows])[of[hit]] + window[hit]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array([r[0] for r in rows])[c], pa.int64()), pa.array(np.array([r[1] for r in rows])[c], pa.int64()),
-                 pa.array(at, pa.int64()), pa.array(at + longest[hit], pa.int64())], names=["doc", "tie", "at", "until"])
+                [pa.array(np.array([r[0] for r in rows])[of[hit]], pa.int64()), pa.array(at, pa.int64()),
+                 pa.array(at + longest[hit], pa.int64())], names=["doc", "at", "until"])
     return run
 
 
@@ -339,8 +380,7 @@ def _groups_of(min_bytes: int, most: int):
             rows = [r[1:] for r in held]
             found, of, window, rank = scan(rows, min_bytes)
             for length, a, b, first in found:
-                here = [(rows[c][0], rows[c][1], rows[c][2] + w)
-                        for c, w in zip(of[a:b + 1].tolist(), window[a:b + 1].tolist(), strict=True)]
+                here = [(rows[c][0], rows[c][1] + w) for c, w in zip(of[a:b + 1].tolist(), window[a:b + 1].tolist(), strict=True)]
                 head = here[int((rank[a:b + 1] == first).argmax())]
                 columns = [*([x] * len(here) for x in (*head, length)), *zip(*here, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns],
@@ -350,51 +390,56 @@ def _groups_of(min_bytes: int, most: int):
 
 # ------------------------------------------------------------------- tables
 class Repeats:
-    """The contexts of a corpus, their classes and the buckets of the suffix arrays; each step is written once."""
+    """The contexts of a corpus (doc, text), their classes and the buckets of the suffix arrays.
 
-    def __init__(self, texts: DataFrame, min_bytes: int = MIN_BYTES, max_contexts: int = MAX_CONTEXTS, max_bits: int = MAX_BITS):
+    ``merge`` keeps no classes of the contexts that were settled where they were read; spans need none.
+    """
+
+    def __init__(self, texts: DataFrame, min_bytes: int = MIN_BYTES, max_contexts: int = MAX_CONTEXTS, max_bits: int = MAX_BITS,
+                 merge: bool = False):
         if min_bytes < GRAM:
             raise ValueError(f"repeats have {GRAM} bytes or more")
         self.texts, self.min_bytes, self.max_contexts, self.max_bits = texts, min_bytes, max_contexts, max_bits
-        self.contexts = materialize(contexts(texts, min_bytes, max_bits), "suffix-contexts")
-        self.classes = materialize(
-            self.contexts.groupBy("m", "ctx").agg(F.min(F.struct("doc", "tie", "at")).alias("first"), F.max("n").alias("n"),
-                                                  F.count("*").alias("times")), "suffix-classes")
-        several = self.classes.groupBy("m").agg(F.count("*").alias("n_classes")).filter("n_classes > 1")
-        firsts = self.classes.join(several, "m").select("m", "first.*", "n", "n_classes")
-        self.cut = materialize(self._cut(firsts), "suffix-buckets")
+        self.contexts = materialize(contexts(texts, min_bytes, max_bits, merge), "suffix-contexts")
+        kept = self.contexts.filter("NOT later")
+        classes = kept.groupBy("m", "ctx").agg(F.min("doc").alias("first"), F.count("*").alias("times"))
+        classes = materialize(classes, "suffix-classes")
+        of = classes.groupBy("m").agg(F.count("*").alias("n_classes"))
+        several = classes.join(of, "m").filter("times > 1 OR n_classes > 1")
+        self.members = materialize(kept.join(several, ["m", "ctx"]).select("doc", "at", "n", "m", "ctx", "first", "n_classes"),
+                                   "suffix-members")
+        self.cut = materialize(self._cut(self.members.filter("doc = first AND n_classes > 1")), "suffix-buckets")
 
     def _cut(self, firsts: DataFrame) -> DataFrame:
         """First members of classes with their bytes."""
-        at = firsts.groupBy("doc", "tie").agg(F.collect_list(F.struct("m", "at", "n", "n_classes")).alias("places"))
-        at = materialize(at, "suffix-places")
-        texts = touched(self.texts, at, self.max_bits)
+        at = materialize(firsts.groupBy("doc").agg(F.collect_list(F.struct("m", "at", "n", "n_classes")).alias("places")),
+                         "suffix-places")
+        texts = self.texts.filter(_may_be_in(self.texts.sparkSession, at, self.max_bits))
         min_bytes = self.min_bytes
 
         def cut(batches):
             import pyarrow as pa
 
             for whole in batches:
-                for b in byte_slices(whole, 2):
+                for b in byte_slices(whole, 1):
                     out = []
-                    for doc, tie, text, places in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    for doc, text, places in zip(*[c.to_pylist() for c in b.columns], strict=True):
                         text = text.encode("utf-8", "surrogatepass")
-                        out += [(p["m"], doc, tie, p["at"], p["n"], text[p["at"]:p["at"] + p["n"] + min_bytes - 1], p["n_classes"])
+                        out += [(p["m"], doc, p["at"], p["n"], text[p["at"]:p["at"] + p["n"] + min_bytes - 1], p["n_classes"])
                                 for p in places]
                     if out:
-                        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+                        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                            names=["m", "doc", "tie", "at", "n", "bytes", "n_classes"])
-        return (texts.join(at, ["doc", "tie"]).select("doc", "tie", "text", "places")
-                .mapInArrow(cut, BUCKET_ROWS + ", n_classes long"))
+                            names=["m", "doc", "at", "n", "bytes", "n_classes"])
+        return texts.join(at, "doc").select("doc", "text", "places").mapInArrow(cut, BUCKET_ROWS + ", n_classes long")
 
     def _scanned(self, run, schema: str) -> DataFrame:
         rows = self.cut.filter(F.col("n_classes") <= self.max_contexts).drop("n_classes")
         return rows.repartition("m").sortWithinPartitions("m").mapInArrow(run(self.min_bytes, min(self.max_contexts, 2048)), schema)
 
-    def _windows(self) -> DataFrame:
-        """The windows of minimizers with very many classes: (m, w, doc, tie, at), w the window's hash."""
+    def _windows(self) -> tuple[DataFrame, DataFrame]:
+        """The windows of minimizers with very many classes, by hash: (m, w, doc, at), and their repeated classes."""
         min_bytes = self.min_bytes
 
         def spread(batches):
@@ -402,62 +447,59 @@ class Repeats:
             import pyarrow as pa
 
             for b in batches:
-                for m, doc, tie, at, n, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                for m, doc, at, n, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
                     with np.errstate(over="ignore"):
                         h = _mix(Rolling(np.frombuffer(text, dtype=np.uint8), min_bytes).at(np.arange(n), min_bytes))
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array([x] * n, pa.int64()) for x in (m, doc, tie)), pa.array(at + np.arange(n)), pa.array(h.view(np.int64))],
-                        names=["m", "doc", "tie", "at", "w"])
+                        [*(pa.array([x] * n, pa.int64()) for x in (m, doc)), pa.array(at + np.arange(n)), pa.array(h.view(np.int64))],
+                        names=["m", "doc", "at", "w"])
         hot = self.cut.filter(F.col("n_classes") > self.max_contexts).drop("n_classes")
-        return materialize(hot.mapInArrow(spread, "m long, doc long, tie long, at long, w long"), "suffix-windows")
+        # A document may hold a window twice: the first of them is found before the first document.
+        windows = materialize(hot.mapInArrow(spread, "m long, doc long, at long, w long"), "suffix-windows")
+        by_doc = windows.groupBy("m", "w", "doc").agg(F.min("at").alias("low"), F.countDistinct("at").alias("times"))
+        again = (by_doc.groupBy("m", "w").agg(F.min("doc").alias("first"), F.sum("times").alias("times")).filter("times > 1")
+                 .drop("times"))
+        first_at = again.join(by_doc.select("m", "w", F.col("doc").alias("first"), F.col("low").alias("first_at")), ["m", "w", "first"])
+        return windows, first_at
 
     def spans(self) -> DataFrame:
-        """(doc, tie, at, until): every byte that an earlier occurrence covers lies in one of a document's spans."""
-        here = F.struct("doc", "tie", "at")
-        several = self.classes.filter("times > 1").select("m", "ctx", "first")
-        members = (self.contexts.join(several, ["m", "ctx"]).filter(here != F.col("first"))
-                   .select("doc", "tie", "at", (F.col("at") + F.col("n") + (self.min_bytes - 1)).alias("until")))
+        """(doc, at, until): every byte that an earlier occurrence covers lies in one of a document's spans."""
+        until = (F.col("at") + F.col("n") + (self.min_bytes - 1)).alias("until")
+        here = self.contexts.filter("later").select("doc", "at", until)
+        members = self.members.filter("doc <> first").select("doc", "at", until)
         scanned = self._scanned(_spans_of, SPAN)
-        windows = self._windows()
-        again = windows.groupBy("m", "w").agg(F.min(here).alias("first"), F.count("*").alias("times")).filter("times > 1")
-        later = (windows.join(again.drop("times"), ["m", "w"]).filter(here != F.col("first"))
-                 .select("doc", "tie", "at", (F.col("at") + self.min_bytes).alias("until")))
-        return members.unionByName(scanned).unionByName(later)
+        windows, again = self._windows()
+        later = (windows.join(again, ["m", "w"]).filter("doc <> first OR at <> first_at")
+                 .select("doc", "at", (F.col("at") + self.min_bytes).alias("until")))
+        return here.unionByName(members).unionByName(scanned).unionByName(later)
 
     def groups(self) -> DataFrame:
         """Maximal repeats with all occurrences: the first occurrence, the length, and each occurrence.
 
-        Occurrences in the members of a class are those of its first member, moved; windows of minimizers with
-        very many classes and classes that are their minimizer's only one are groups of their own.
+        Needs ``merge=False``. The scan gives the groups of first members; a class with several members is a
+        group of its own, as is a window of a minimizer with very many classes.
         """
-        at = F.struct("doc", "tie", "at")
-        firsts = self._scanned(_groups_of, GROUP)
-        members = self.contexts.join(self.classes.filter("times > 1").select("m", "ctx", "first"), ["m", "ctx"])
-        whole = members.select(F.col("first.doc").alias("first_doc"), F.col("first.tie").alias("first_tie"),
-                               F.col("first.at").alias("first_at"), (F.col("n") + (self.min_bytes - 1)).cast("long").alias("length"),
-                               "doc", "tie", "at")
-        windows = self._windows()
-        again = windows.groupBy("m", "w").agg(F.min(at).alias("first"), F.count("*").alias("times")).filter("times > 1")
+        scanned = self._scanned(_groups_of, GROUP)
+        length = (F.col("n") + (self.min_bytes - 1)).cast("long").alias("length")
+        classes = self.contexts.groupBy("m", "ctx").agg(F.min(F.struct("doc", "at")).alias("one"), F.count("*").alias("times"))
+        whole = self.contexts.join(classes.filter("times > 1"), ["m", "ctx"]).select(
+            F.col("one.doc").alias("first_doc"), F.col("one.at").alias("first_at"), length, "doc", "at")
+        windows, again = self._windows()
         hot = windows.join(again, ["m", "w"]).select(
-            F.col("first.doc").alias("first_doc"), F.col("first.tie").alias("first_tie"), F.col("first.at").alias("first_at"),
-            F.lit(self.min_bytes).cast("long").alias("length"), "doc", "tie", "at")
-        return firsts.unionByName(whole).unionByName(hot).distinct()
-
-
-def touched(texts: DataFrame, places: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The texts that may be named in ``places`` (doc, tie), so that a join need not move the others."""
-    return texts.filter(_may_be_in(texts.sparkSession, places, max_bits))
+            F.col("first").alias("first_doc"), "first_at", F.lit(self.min_bytes).cast("long").alias("length"), "doc", "at")
+        return scanned.unionByName(whole).unionByName(hot).distinct()
 
 
 def _may_be_in(spark, places: DataFrame, max_bits: int) -> Column:
-    test = bitmap_test(spark, *bitmap_of(places.select(F.xxhash64("doc", "tie").alias("h")), max_bits))
+    """Whether a document may be named in ``places`` (doc), so that a join need not move the other texts."""
+    test = bitmap_test(spark, *bitmap_of(places.select(F.xxhash64("doc").alias("h")), max_bits))
 
     @F.pandas_udf("boolean")
     def known(h: pd.Series) -> pd.Series:
         import numpy as np
 
         return pd.Series(test(h.to_numpy().view(np.uint64)))
-    return known(F.xxhash64("doc", "tie"))
+    return known(F.xxhash64("doc"))
 
 
 def merged(spans, size: int) -> list[tuple[int, int]]:
@@ -481,19 +523,18 @@ def remove_repeats(documents: DataFrame, min_bytes: int = MIN_BYTES, max_context
     A column of ``documents`` named like one of these gives way; all others are kept.
     """
     documents = documents.drop(*[c for c in documents.columns if c.lower() in RESULT])
-    rows, back = set_aside(documents, ("doc", "tie", "text_bytes", "spans", "maybe"))
-    found = Repeats(keyed(documents, id_col, text_col), min_bytes, max_contexts, max_bits)
-    spans = materialize(found.spans().groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "until")).alias("spans")),
-                        "suffix-spans")
+    rows, back = set_aside(documents, ("doc", "tie", "place", "text_bytes", "spans", "maybe"))
+    names = rows.columns
+    keys = numbered(rows, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = rows.withColumn("doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn("tie", F.xxhash64(text))
+    found = Repeats(keys.select("doc", text.alias("text")), min_bytes, max_contexts, max_bits, merge=True)
+    spans = materialize(found.spans().groupBy("doc").agg(F.collect_list(F.struct("at", "until")).alias("spans")), "suffix-spans")
     keys = keys.withColumn("text_bytes", text.cast("binary")).withColumn(
         "maybe", _may_be_in(documents.sparkSession, spans, max_bits))
-    names = rows.columns
     plain = keys.filter(~F.col("maybe")).select(
         *names, F.octet_length("text_bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.col("text_bytes").alias("kept"))
-    joined = keys.filter("maybe").join(spans, ["doc", "tie"], "left").select(*names, "spans", "text_bytes")
+    joined = keys.filter("maybe").join(spans, "doc", "left").select(*names, "spans", "text_bytes")
     at = len(names)
 
     def cut(batches):
