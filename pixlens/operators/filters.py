@@ -117,22 +117,31 @@ class FilterKind:
     the allowed values of candidate column ``probe`` (an equi-join on the values
     as text), or ``check(arg) -> Column`` is a predicate on the candidate row
     (NULL = pass). ``extend(cands, tables)`` adds candidate columns that the check
-    needs; it runs only when the batch has filters of the kind.
+    needs; it runs only when the batch has filters of the kind. ``mask(posts, arg,
+    keys) -> array of bool`` decides the posts of a block for the vector search with
+    filters below its top-k (``prefilter``): ``posts`` are arrays of post attributes,
+    ``keys`` the allowed values as text.
     """
 
     probe: str | None = None
     resolve: Callable[[DataFrame, ForumTables], DataFrame] | None = None
     check: Callable[[Column], Column] | None = None
     extend: Callable[[DataFrame, ForumTables], DataFrame] | None = None
+    mask: Callable | None = None
 
 
 KINDS: dict[str, FilterKind] = {}
 
 
 def register_filter(kind: str, pattern: str | None = None, probe: str | None = None,
-                    resolve=None, check=None, extend=None) -> None:
+                    resolve=None, check=None, extend=None, mask=None) -> None:
     """Register a filter kind (and its matcher pattern)."""
-    KINDS[kind] = FilterKind(probe, resolve, check, extend)
+    if mask is None and probe is not None:
+        def mask(posts, arg, keys):
+            import numpy as np
+
+            return np.isin(posts[probe], np.array([int(k) for k in keys], dtype=np.int64))
+    KINDS[kind] = FilterKind(probe, resolve, check, extend, mask)
     if pattern is not None:
         register_pattern(kind, pattern)
 
@@ -152,8 +161,9 @@ def resolve_users(filters: DataFrame, t: ForumTables) -> DataFrame:
 
 
 def with_topic_tags(cands: DataFrame, t: ForumTables) -> DataFrame:
-    """Candidates with the tag names of their topic (J8): the candidates' topics are probed, never requests x topics."""
-    names = (t.topic_tags.join(t.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
+    """Candidates with the tag names of their topic (J8): only the tags of the candidates' topics are gathered."""
+    own = t.topic_tags.join(cands.select("topic_id").distinct(), "topic_id", "left_semi")
+    names = (own.join(t.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
              .groupBy("topic_id").agg(F.collect_set("name").alias("topic_tag_names")))
     return cands.join(names, "topic_id", "left")
 
@@ -185,10 +195,24 @@ def _date_check(op: str):
     return check
 
 
-register_filter("before", check=_date_check("<"))
-register_filter("after", check=_date_check(">"))
+def _date_mask(later: bool):
+    def mask(posts, arg, keys):
+        at = posts["created"]
+        return at > int(arg) if later else at < int(arg)
+    return mask
+
+
+def _tag_mask(posts, arg, keys):
+    import numpy as np
+
+    asked = set(arg.split(","))
+    return np.fromiter((not asked.isdisjoint(x) for x in posts["tags"]), dtype=bool, count=len(posts["tags"]))
+
+
+register_filter("before", check=_date_check("<"), mask=_date_mask(False))
+register_filter("after", check=_date_check(">"), mask=_date_mask(True))
 register_filter("user", probe="user_id", resolve=resolve_users)
-register_filter("tags", check=any_tag, extend=with_topic_tags)
+register_filter("tags", check=any_tag, extend=with_topic_tags, mask=_tag_mask)
 register_filter("category", probe="category_id", resolve=resolve_categories)
 register_filter("category_slug", probe="category_id", resolve=resolve_slugs)
 

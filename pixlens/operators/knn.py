@@ -8,7 +8,8 @@ scored by one +-1 matrix product, and gives each request's best ``k`` of the
 block. Requests stay a DataFrame of any length: nothing is collected and nothing
 is broadcast. A window merges the blocks' lists. Stage 2 joins the few candidates
 back to their vectors, computes cosine in double precision on the JVM, applies
-the similarity threshold and pages by rank.
+the similarity threshold and pages by rank. ``cells`` searches a learned partition
+instead of every block.
 
 ``knn_lsh`` is the approximate alternative: equi-joins on banded code words that
 also probe the neighbouring words of each band, exact rerank of what they find.
@@ -25,10 +26,14 @@ from pyspark.sql import functions as F
 
 from ..config import ANN_DEFAULT_SEARCH_WIDTH
 from ..functions import vectors as V
+from ..session import materialize
+from . import prefilter
+from .ordering import rank_by_score, rank_in_groups
 
 BLOCK_CELLS = 1 << 22  # sign values of one image block (rows x dimensions)
 QUERIES_PER_BLOCK = 512
 SCORE_CHUNK = 4_000_000  # elements of one query x image score block
+SHALLOW = 1024  # ranks up to here are cut by a window with a literal bound, deeper ones ranked in blocks
 
 
 def vector_index(index: DataFrame, dim: int) -> DataFrame:
@@ -56,47 +61,80 @@ def _unpack(codes: np.ndarray, dim: int) -> np.ndarray:
     return out
 
 
-def _block_top(dim: int):
-    """One (image block, request block): each request's k best by (hamming, upload_id)."""
+CANDS_DDL = "request_id long, upload_id long, hamming int, k long"
+
+
+def _smallest(ham: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: np.ndarray) -> pd.DataFrame:
+    """Each request's k images with the smallest (distance, id); ``ids`` ascend."""
+    n = len(ids)
+    most = min(int(k.max()), n)
+    key = ham * n + np.arange(n, dtype=np.int64)
+    if most * 4 <= n:
+        key = np.partition(key, most - 1, axis=1)[:, :most]
+    key.sort(axis=1)
+    rows, cols = np.nonzero(np.arange(key.shape[1])[None, :] < np.minimum(k, n)[:, None])
+    found = key[rows, cols]
+    return pd.DataFrame({"request_id": qids[rows], "upload_id": ids[found % n],
+                         "hamming": (found // n).astype(np.int32), "k": k[rows]})
+
+
+def _block_top(dim: int, masks: dict | None = None):
+    """One (image block, request block): each request's k best by (hamming, upload_id).
+
+    Images may carry ``posts`` and requests ``filters`` (see ``prefilter``): a request with filters then
+    ranks only the images that have a post which passes them all.
+    """
 
     def run(images, requests):
+        out = [pd.DataFrame({"request_id": pd.Series(dtype="int64"), "upload_id": pd.Series(dtype="int64"),
+                             "hamming": pd.Series(dtype="int32"), "k": pd.Series(dtype="int64")})]
         if images.empty or requests.empty:
-            return pd.DataFrame({"request_id": pd.Series(dtype="int64"), "upload_id": pd.Series(dtype="int64"),
-                                 "hamming": pd.Series(dtype="int32"), "k": pd.Series(dtype="int64")})
-        images = images.sort_values("upload_id", kind="stable")
+            return out[0]
+        images = images.sort_values("upload_id", kind="stable").reset_index(drop=True)
         ids = images["upload_id"].to_numpy(np.int64)
         signs = _unpack(np.stack(images["code"].to_numpy()).astype(np.int64), dim)
         qids, qk = requests["request_id"].to_numpy(np.int64), requests["k"].to_numpy(np.int64)
         qsigns = _unpack(np.stack(requests["qcode"].to_numpy()).astype(np.int64), dim)
-        n, out = len(ids), []
-        step = max(1, SCORE_CHUNK // n)
-        for q0 in range(0, len(qids), step):
-            qs, k = qsigns[q0:q0 + step], np.minimum(qk[q0:q0 + step], n)
+
+        def distances(q, at=slice(None)):
             # +-1 dot product -> Hamming distance, exact in float32 for dim < 2**24.
-            ham = np.rint((dim - qs @ signs.T) / 2.0).astype(np.int64)
-            key = np.sort(ham * n + np.arange(n, dtype=np.int64), axis=1) if k.max() * 4 > n else None
-            if key is None:
-                most = int(k.max())
-                key = np.partition(ham * n + np.arange(n, dtype=np.int64), most - 1, axis=1)[:, :most]
-                key.sort(axis=1)
-            rows, cols = np.nonzero(np.arange(key.shape[1])[None, :] < k[:, None])
-            found = key[rows, cols]
-            out.append(pd.DataFrame({"request_id": qids[q0:q0 + step][rows], "upload_id": ids[found % n],
-                                     "hamming": (found // n).astype(np.int32), "k": qk[q0:q0 + step][rows]}))
+            return np.rint((dim - q @ signs[at].T) / 2.0).astype(np.int64)
+
+        own = np.zeros(len(qids), dtype=bool)
+        if "filters" in requests.columns:
+            allowed = prefilter.Allowed(images, masks)
+            for i, f in enumerate(requests["filters"]):
+                if f is not None and len(f):
+                    own[i] = True
+                    at = allowed.rows(f)
+                    if len(at):
+                        out.append(_smallest(distances(qsigns[i:i + 1], at), ids[at], qids[i:i + 1], qk[i:i + 1]))
+            first = np.append(True, ids[1:] != ids[:-1])  # an image with very many posts stands in several rows
+            signs, ids = signs[first], ids[first]
+        rest = np.nonzero(~own)[0]
+        step = max(1, SCORE_CHUNK // len(ids))
+        for q0 in range(0, len(rest), step):
+            at = rest[q0:q0 + step]
+            out.append(_smallest(distances(qsigns[at]), ids, qids[at], qk[at]))
         return pd.concat(out)
 
     return run
 
 
 def hamming_candidates(vindex: DataFrame, queries: DataFrame, dim: int,
-                       queries_per_block: int = QUERIES_PER_BLOCK, block_cells: int = BLOCK_CELLS) -> DataFrame:
+                       queries_per_block: int = QUERIES_PER_BLOCK, block_cells: int = BLOCK_CELLS,
+                       posts: DataFrame | None = None) -> DataFrame:
     """Per request, the ``k`` images with the smallest Hamming distance.
 
     ``queries`` has (request_id, qcode, k). Output: request_id, upload_id,
-    hamming, cand_rank (1-based, ties by upload_id). The two counts below only
-    choose how many blocks there are.
+    hamming, cand_rank (1-based, ties by upload_id). With ``posts`` (from
+    ``prefilter.image_posts``) and a column ``filters`` in ``queries``, the k images
+    are taken from those that pass the request's filters.
     """
-    n_images, n_queries = vindex.count(), queries.count()
+    n_images = vindex.count()
+    asked = queries.filter(F.col("k") > 0).select("request_id", "qcode", F.col("k").cast("long").alias("k"),
+                                                  *(["filters"] if posts is not None else []))
+    n_queries, deepest = asked.agg(F.count("*"), F.max("k")).first()
     ib = max(1, math.ceil(n_images * dim / block_cells))
     qb = max(1, math.ceil(n_queries / queries_per_block))
 
@@ -106,16 +144,58 @@ def hamming_candidates(vindex: DataFrame, queries: DataFrame, dim: int,
     def spread(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    images = vindex.select("upload_id", "code", block("upload_id", ib).alias("ib"), spread(qb).alias("qb"))
-    asked = queries.filter(F.col("k") > 0).select("request_id", "qcode", F.col("k").cast("long").alias("k"),
-                                                  block("request_id", qb).alias("qb"), spread(ib).alias("ib"))
+    images = vindex.select("upload_id", "code", block("upload_id", ib).alias("ib"))
+    if posts is not None:
+        images = images.join(posts, "upload_id", "left")
+    images = images.withColumn("qb", spread(qb))
+    asked = asked.select("*", block("request_id", qb).alias("qb"), spread(ib).alias("ib"))
     cands = images.groupBy("ib", "qb").cogroup(asked.groupBy("ib", "qb")).applyInPandas(
-        _block_top(dim), "request_id long, upload_id long, hamming int, k long")
-    w = Window.partitionBy("request_id").orderBy("hamming", "upload_id")
-    return cands.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= F.col("k")).drop("k")
+        _block_top(dim, prefilter.masks() if posts is not None else None), CANDS_DDL)
+    if posts is not None:
+        cands = cands.distinct()
+    return select_candidates(cands, min(deepest or 0, n_images))
+
+
+def select_candidates(cands: DataFrame, deepest: int) -> DataFrame:
+    """The first ``k`` of each request's (request_id, upload_id, hamming, k) by (hamming, upload_id): ``cand_rank``.
+
+    Up to ``SHALLOW`` the bound is a literal, so each partition keeps that many rows of a request before the
+    shuffle. Beyond it a distance has only as many values as bits: rows are counted per (request, distance),
+    the running sum gives the distance where ``k`` is reached, and what is left is ranked in blocks of ids.
+    """
+    if deepest <= SHALLOW:
+        w = Window.partitionBy("request_id").orderBy("hamming", "upload_id")
+        ranked = cands.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= deepest)
+    else:
+        cands = materialize(cands, "knn-candidates")
+        before = Window.partitionBy("request_id").orderBy("hamming").rowsBetween(Window.unboundedPreceding, -1)
+        levels = (cands.groupBy("request_id", "hamming", "k").agg(F.count("*").alias("n"))
+                  .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+                  .filter(F.col("before") < F.col("k")).select("request_id", "hamming"))
+        near = materialize(cands.join(levels, ["request_id", "hamming"], "left_semi").withColumn("_id", -F.col("upload_id")),
+                           "knn-near")
+        ranked = rank_in_groups(near, "request_id", F.col("hamming"), "_id", name="cand_rank").drop("_id")
+    return ranked.filter(F.col("cand_rank") <= F.col("k")).drop("k")
 
 
 # ------------------------------------------------------------------ stage 2
+def _similar(cands: DataFrame, vindex: DataFrame, queries: DataFrame, *more: str) -> DataFrame:
+    """the candidates whose cosine reaches their request's threshold, with ``similarity``."""
+    vec = vindex.select("upload_id", "embeddings", "norm")
+    q = queries.select("request_id", "qvec", "qnorm", "threshold", *more)
+    scored = cands.join(vec, "upload_id").join(q, "request_id").withColumn(
+        "similarity", V.cosine_similarity("embeddings", "qvec", F.col("norm"), F.col("qnorm")))
+    return scored.filter(F.col("similarity") >= F.col("threshold")).drop("embeddings", "norm", "qvec", "qnorm", "threshold")
+
+
+def by_similarity(kept: DataFrame, deepest: int) -> DataFrame:
+    """``kept`` with ``pos``: its 1-based place by (similarity descending, upload_id) in its request."""
+    if deepest <= SHALLOW:
+        w = Window.partitionBy("request_id").orderBy(F.col("similarity").desc(), F.col("upload_id"))
+        return kept.withColumn("pos", F.row_number().over(w).cast("long"))
+    return rank_by_score(materialize(kept, "knn-similar"), "request_id", "similarity", "upload_id", "pos")
+
+
 def rerank(cands: DataFrame, vindex: DataFrame, queries: DataFrame) -> DataFrame:
     """T3 + F17: cosine on the candidates, threshold, rank, page.
 
@@ -123,14 +203,9 @@ def rerank(cands: DataFrame, vindex: DataFrame, queries: DataFrame) -> DataFrame
     Output: request_id, upload_id, rank (1-based within the page's ordering),
     similarity.
     """
-    vec = vindex.select("upload_id", "embeddings", "norm")
-    q = queries.select("request_id", "qvec", "qnorm", "threshold", "limit", "offset")
-    scored = cands.select("request_id", "upload_id").join(vec, "upload_id").join(q, "request_id")
-    scored = scored.withColumn(
-        "similarity", V.cosine_similarity("embeddings", "qvec", F.col("norm"), F.col("qnorm")))
-    kept = scored.filter(F.col("similarity") >= F.col("threshold"))
-    w = Window.partitionBy("request_id").orderBy(F.col("similarity").desc(), F.col("upload_id"))
-    ranked = kept.withColumn("pos", F.row_number().over(w))
+    deepest = queries.agg(F.max(F.col("offset") + F.col("limit"))).first()[0] or 0
+    kept = _similar(cands.select("request_id", "upload_id"), vindex, queries, "limit", "offset")
+    ranked = by_similarity(kept, deepest)
     page = ranked.filter((F.col("pos") > F.col("offset")) & (F.col("pos") <= F.col("offset") + F.col("limit")))
     return page.select("request_id", "upload_id", (F.col("pos") - F.col("offset")).cast("long").alias("rank"),
                        "similarity")
@@ -142,18 +217,19 @@ def _with_k(queries: DataFrame, dim: int, oversample: float) -> DataFrame:
 
 
 def search_width(ef_search: int = ANN_DEFAULT_SEARCH_WIDTH, limit: int = 20) -> float:
-    """V5: the oversampling that gives a page the search width of ``ef_search`` candidates."""
-    return max(1.0, ef_search / limit)
+    """V5: the oversampling that gives a page the search width of ``ef_search`` candidates, twice the page at least."""
+    return max(2.0, ef_search / limit)
 
 
 def search_images_embedding(queries: DataFrame, index: DataFrame, dim: int, vindex: DataFrame | None = None,
                             oversample: float = 2, method: str = "exact", bands: DataFrame | None = None,
-                            queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
+                            queries_per_block: int = QUERIES_PER_BLOCK, posts: DataFrame | None = None) -> DataFrame:
     """V4: two-stage kNN for a batch of requests; ``method`` is ``exact`` or ``lsh``.
 
     ``queries``: request_id, qvec, threshold, limit, offset. Candidates per
     request = ``oversample * limit + offset``. A request whose offset lies beyond
-    the index has no result and is not scored.
+    the index has no result and is not scored. ``posts`` and a column ``filters`` put
+    the filters below the top-k (exact method), see ``prefilter``.
     """
     if method == "lsh":
         return knn_lsh(queries, index, dim, oversample=oversample, vindex=vindex, bands=bands)
@@ -161,7 +237,7 @@ def search_images_embedding(queries: DataFrame, index: DataFrame, dim: int, vind
         raise ValueError(f"unknown method {method}")
     vindex = vindex if vindex is not None else vector_index(index, dim)
     q = _with_k(queries.filter(F.col("offset") < F.lit(vindex.count())), dim, oversample)
-    return rerank(hamming_candidates(vindex, q, dim, queries_per_block), vindex, q)
+    return rerank(hamming_candidates(vindex, q, dim, queries_per_block, posts=posts), vindex, q)
 
 
 PAGES_DDL = "request_id long, page_no long, upload_id long, rank long"
@@ -212,15 +288,12 @@ def search_images_every_page(queries: DataFrame, index: DataFrame, dim: int, vin
     vindex = vindex if vindex is not None else vector_index(index, dim)
     q = _with_k(queries.filter((F.col("limit") > 0) & (F.col("pages") > 0))
                 .withColumn("offset", (F.col("pages") - 1) * F.col("limit")), dim, oversample)
-    vec = vindex.select("upload_id", "embeddings", "norm")
-    kept = (hamming_candidates(vindex, q, dim, queries_per_block).select("request_id", "upload_id", "cand_rank")
-            .join(vec, "upload_id").join(q.select("request_id", "qvec", "qnorm", "threshold", "limit", "pages"), "request_id")
-            .withColumn("similarity", V.cosine_similarity("embeddings", "qvec", F.col("norm"), F.col("qnorm")))
-            .filter(F.col("similarity") >= F.col("threshold")))
-    w = Window.partitionBy("request_id").orderBy(F.col("similarity").desc(), F.col("upload_id"))
+    kept = _similar(hamming_candidates(vindex, q, dim, queries_per_block).select("request_id", "upload_id", "cand_rank"),
+                    vindex, q, "limit", "pages")
+    ranked = by_similarity(kept, SHALLOW + 1)
     first_k = F.ceil(F.lit(float(oversample)) * F.col("limit")).cast("long")
-    return kept.select("request_id", "upload_id", "cand_rank", F.row_number().over(w).alias("pos"), "limit", "pages",
-                       first_k.alias("first_k")).groupBy("request_id").applyInPandas(_every_page, PAGES_DDL)
+    return ranked.select("request_id", "upload_id", "cand_rank", "pos", "limit", "pages",
+                         first_k.alias("first_k")).groupBy("request_id").applyInPandas(_every_page, PAGES_DDL)
 
 
 # ------------------------------------------------------------------ V6 (approximate)
@@ -269,6 +342,5 @@ def knn_lsh(queries: DataFrame, index: DataFrame, dim: int, band_bits: int = BAN
     scored = (pairs.join(vindex.select("upload_id", "code"), "upload_id")
               .join(q.select("request_id", "qcode", "k"), "request_id")
               .withColumn("hamming", V.hamming("code", "qcode", dim)))
-    w = Window.partitionBy("request_id").orderBy("hamming", "upload_id")
-    cands = scored.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= F.col("k"))
-    return rerank(cands.select("request_id", "upload_id", "hamming", "cand_rank"), vindex, q)
+    cands = select_candidates(scored.select("request_id", "upload_id", "hamming", "k"), q.agg(F.max("k")).first()[0] or 0)
+    return rerank(cands, vindex, q)

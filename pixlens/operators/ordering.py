@@ -67,3 +67,21 @@ def rank_in_groups(df: DataFrame, group: str | list[str], lead: Column, by: str,
     return (b.withColumn("_rn", F.row_number().over(inside)).join(start, keys)
             .withColumn(name, (F.col("_start") + F.col("_rn")).cast("long"))
             .drop("_lead", "_block", "_rn", "_start"))
+
+
+SCORE_STEPS = 4096
+
+
+def rank_by_score(df: DataFrame, group: str, score: str, by: str, name: str = "rank") -> DataFrame:
+    """1-based rank within ``group`` by (``score`` descending, ``by`` ascending) as a long; scores lie in -1..1.
+
+    Rows are counted per step of the score, then per exact score and block of ``by`` inside a step, so that
+    no window holds a whole group. ``df`` is read several times and should be a materialized table.
+    """
+    b = df.withColumn("_step", F.floor((F.lit(1.0) - F.col(score)) * (SCORE_STEPS / 2))).withColumn("_by", -F.col(by))
+    before = Window.partitionBy(group).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    start = b.groupBy(group, "_step").agg(F.count("*").alias("_n")).select(
+        group, "_step", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    inside = rank_in_groups(b, [group, "_step"], -F.col(score), "_by", name="_in")
+    return (inside.join(start, [group, "_step"]).withColumn(name, (F.col("_from") + F.col("_in")).cast("long"))
+            .drop("_step", "_by", "_from", "_in"))

@@ -22,6 +22,7 @@ from ..sources.tables import ForumTables
 from . import eligibility as el
 from . import filters as flt
 from . import knn, textindex
+from . import prefilter as pf
 from .ordering import rank_in_groups
 from .requests import FILTER_PATTERNS, filter_rows, parse_requests, request_modes, validate_requests
 
@@ -122,9 +123,11 @@ def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cf
                    vindex: DataFrame | None = None, oversample: float = 2, method: str = "exact",
                    strict_visibility: bool = False, closure: DataFrame | None = None,
                    kinds: list[str] | None = None, allowed: DataFrame | None = None,
-                   every_page: bool = False) -> DataFrame:
+                   every_page: bool = False, prefilter: bool = False) -> DataFrame:
     """V4 + T4: image top-k first (limit applies to images), then posts by image rank.
 
+    ``prefilter`` (exact method) takes the top-k of a request with filters from the images that pass them.
+
     ``every_page`` (exact method) gives the pages 0..page_no of each request, with their ``page_no``.
     """
     r = reqs.filter(F.col("search_embeddings") | F.col("search_by_image"))
@@ -137,8 +140,17 @@ def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cf
         q = q.join(r.select("request_id", (F.col("page_no") + 1).alias("pages")), "request_id")
         imgs = knn.search_images_every_page(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample)
     else:
+        posts = None
+        if prefilter and (kinds is None or kinds):
+            asked = filter_rows(r.filter(F.size("filters") > 0))
+            bad = [k for k in kinds or [] if k not in flt.KINDS or flt.KINDS[k].mask is None]
+            if bad:
+                raise ValueError(f"filter kinds without a mask cannot go below the top-k: {bad}")
+            q = q.join(pf.request_filters(asked, t, allowed), "request_id", "left")
+            shown = post_pairs(t.index.filter(F.col("embeddings").isNotNull()).select("upload_id"), t, cfg, strict_visibility)
+            posts = pf.image_posts(shown, t, with_tags=kinds is None or "tags" in kinds)
         imgs = knn.search_images_embedding(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample,
-                                           method=method)
+                                           method=method, posts=posts)
     hits = imgs.select("request_id", *page, "upload_id", F.col("rank").alias("img_rank"))
     with_cat = kinds is None or any(k in ("category", "category_slug") for k in kinds)
     pairs = _filtered(post_pairs(hits, t, cfg, strict_visibility, with_cat), r, t, closure, kinds, allowed)
@@ -215,12 +227,13 @@ def _ranked(both: DataFrame, reqs: DataFrame, page: list[str]) -> tuple[DataFram
 def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: DataFrame,
            postings: DataFrame | None = None, vindex: DataFrame | None = None, limit: int = PAGE_SIZE,
            paging: str = "linear", strict_visibility: bool = False, method: str = "exact",
-           oversample: float = 2) -> SearchOutput:
+           oversample: float = 2, prefilter: bool = False) -> SearchOutput:
     """All four modes for a batch of requests.
 
     ``query_vectors`` (request_id, qvec) comes from the user's embedder (text
     for embedding mode, image for by-image mode), see ``embed_queries``.
-    ``method`` and ``oversample`` choose the vector search (see ``knn``). The
+    ``method`` and ``oversample`` choose the vector search (see ``knn``),
+    ``prefilter`` puts filters below its top-k (see ``prefilter``). The
     matches of both sides are written once; results and envelope read them.
     """
     b = _plan_batch(requests, t, limit, paging)
@@ -233,7 +246,7 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
         sides.append(ocr.select("request_id", "post_id", "upload_id", F.lit(1).alias("src"), "side_rank"))
     if need["emb"]:
         emb = embedding_side(reqs, t, query_vectors, cfg, vindex, oversample, method, strict_visibility,
-                             closure=closure, kinds=kinds, allowed=allowed)
+                             closure=closure, kinds=kinds, allowed=allowed, prefilter=prefilter)
         # img_rank orders the side; post_id desc breaks ties in the final rank.
         sides.append(emb.select("request_id", "post_id", "upload_id", F.lit(0).alias("src"),
                                 F.col("img_rank").cast("long").alias("side_rank")))

@@ -220,7 +220,8 @@ def filter_after(spark, sf_dir):
 
 # A kind of the forum's own, on a predicate of the candidate.
 flt.register_filter("min_post", r"(?i)\Aminpost:(\d+)\z",
-                    check=lambda arg: F.col("post_id") >= F.expr("try_cast(arg AS BIGINT)"))
+                    check=lambda arg: F.col("post_id") >= F.expr("try_cast(arg AS BIGINT)"),
+                    mask=lambda posts, arg, keys: posts["post_id"] >= int(arg))
 
 
 @register("filter_custom", search_sql(_FILTER_HITS.format(on="h.post_id >= TRY_CAST(f.arg AS BIGINT)", kind="min_post"),
@@ -324,3 +325,29 @@ def _paged_sql() -> str:
 def pages_cumulative(spark, sf_dir):
     f = _f(spark, sf_dir)
     return se.cumulative_pages(f.search_requests, f.tables(), CFG, f.request_embeddings, limit=LIMIT)
+
+
+#: The requests with filters, as text-to-image searches: the top-k is taken from the images that pass.
+_FILTERED = "(SELECT * REPLACE ('GET' AS method, 'false' AS ocr, 'true' AS embed, 0 AS page) FROM search_requests WHERE request_id < 1000 AND page < 100) r"
+
+
+def _prefilter_sql() -> str:
+    sql = search_sql("SELECT r.request_id, r.rank, r.post_id, r.upload_id FROM results r JOIN "
+                     "(SELECT DISTINCT request_id FROM filt) f ON f.request_id = r.request_id").replace(
+        "FROM search_requests r", f"FROM {_FILTERED}")
+    allowed = f"""allowed_images AS (
+  SELECT DISTINCT h.request_id, h.upload_id FROM (SELECT v.request_id, b.* FROM valid v, pair_base b) h WHERE {PASS}),
+emb_q AS ("""
+    sql = sql.replace("emb_q AS (", allowed, 1)
+    return sql.replace("WHERE i.embeddings IS NOT NULL) x", """WHERE i.embeddings IS NOT NULL AND
+      EXISTS (SELECT 1 FROM allowed_images a WHERE a.request_id = q.request_id AND a.upload_id = i.upload_id)) x""", 1)
+
+
+@register("search_prefilter", _prefilter_sql())
+def search_prefilter(spark, sf_dir):
+    f = _f(spark, sf_dir)
+    r = f.search_requests.filter((F.col("request_id") < 1000) & (F.col("page") < 100)).withColumns(
+        {"method": F.lit("GET"), "ocr": F.lit("false"), "embed": F.lit("true"), "page": F.lit(0).cast("long")})
+    found = se.search(r, f.tables(), CFG, f.request_embeddings, limit=LIMIT, prefilter=True).results
+    asked = filter_rows(se.prepare_requests(r, LIMIT).filter(F.col("error").isNull())).select("request_id").distinct()
+    return found.join(asked, "request_id", "left_semi")

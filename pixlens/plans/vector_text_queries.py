@@ -132,11 +132,23 @@ def search_images_embedding(spark, sf_dir):
     return r.select("request_id", "upload_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@register("knn_search_width", _rerank_sql("0").replace(f"<= 2 * {LIMIT} + 0", "<= 40"))
+def _width_sql(limit: int) -> str:
+    sql = _rerank_sql("0").replace(f"<= 2 * {LIMIT} + 0", f"<= {max(40, 2 * limit)}").replace(f"off + {LIMIT}", f"off + {limit}")
+    return f"SELECT CAST({limit} AS INTEGER) AS page_size, * FROM ({sql}) w"
+
+
+@register("knn_search_width", " UNION ALL ".join(_width_sql(n) for n in (5, 50)))
 def knn_search_width(spark, sf_dir):
+    """Pages of 5 look at 40 candidates, pages of 50 at 100."""
     f = _f(spark, sf_dir)
-    r = knn.search_images_embedding(_knn_queries(spark, sf_dir), f.index, DIM, oversample=knn.search_width(40, LIMIT))
-    return r.select("request_id", "upload_id", "rank", F.round("similarity", 6).alias("similarity"))
+    vindex = knn.vector_index(f.index, DIM)
+    found = []
+    for n in (5, 50):
+        r = knn.search_images_embedding(_knn_queries(spark, sf_dir).withColumn("limit", F.lit(n)), f.index, DIM, vindex,
+                                        oversample=knn.search_width(40, n))
+        found.append(r.select(F.lit(n).alias("page_size"), "request_id", "upload_id", "rank",
+                              F.round("similarity", 6).alias("similarity")))
+    return found[0].unionByName(found[1])
 
 
 _NEAR = ("len([b FOR b IN range(0, 5) IF list_sum([CASE WHEN (i.embeddings[b * 12 + j] > 0) <> (q.qvec[b * 12 + j] > 0) "
