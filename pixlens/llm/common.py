@@ -46,6 +46,22 @@ def byte_slices(batch, column: int, max_bytes: int = 8 << 20):
         yield batch.slice(start)
 
 
+def gathered(batches, column: int, max_bytes: int = 16 << 20):
+    """Successive Arrow batches joined until ``column`` holds about ``max_bytes``."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= max_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else b
+            held, size = [], 0
+    if held:
+        joined = pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield joined[0] if joined else held[0]
+
+
 def bitmap_of(hashes: DataFrame, max_bits: int) -> tuple[int, bytes]:
     """(log2 of the size, bitmap) of the leading bits of the 64-bit hashes in column ``h``.
 

@@ -22,13 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bitmap_of, bitmap_test, byte_slices, materialize
+from .common import ascii_lower, bitmap_of, bitmap_test, byte_slices, gathered, materialize
 
 TRIGGER = 12
 MAX_CORE = 64
 MAX_BITS = 1 << 28  # 32 MB
 MIN_COUNT, MAX_WORDS, TOP, HELD_SHARE = 10, 3, 2000, 50
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 
 #: Characters that end a piece ([.,;:!?\x0A-\x0D]); blanks between words are space and tab.
 PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
@@ -94,7 +94,7 @@ def dictionary(docs: DataFrame, lang: Column | None = None, max_words: int = MAX
         import pyarrow as pa
 
         for whole in batches:
-            for b in byte_slices(whole, 1, SLICE_BYTES):
+            for b in byte_slices(whole, 1):
                 row, core, chunk = parse(b.column(1), max_words)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(core, pa.int32()), chunk],
                                                  names=["lang", "core", "chunk"])
@@ -172,7 +172,8 @@ def frequent_bits(chunks: DataFrame, min_count: int, max_bits: int = MAX_BITS) -
         import numpy as np
         import pyarrow as pa
 
-        for whole in batches:
+        # Joined batches: a phrase found in many of them is handed on once per batch.
+        for whole in gathered(batches, 2, SLICE_BYTES):
             for b in byte_slices(whole, 2, SLICE_BYTES):
                 g = Grams(b)
                 one, two = g.starts(1), g.starts(2)
@@ -194,7 +195,8 @@ def counts(chunks: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_W
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for whole in batches:
+        # Joined batches: a phrase found in many of them is handed on once per batch.
+        for whole in gathered(batches, 2, SLICE_BYTES):
             for b in byte_slices(whole, 2, SLICE_BYTES):
                 g = Grams(b)
                 one, pair = often(g.one()), np.append(often(g.two()), False)
