@@ -26,7 +26,7 @@ from pixlens.config import TEST_SETTINGS  # noqa: E402
 from pixlens.operators import analysis as an  # noqa: E402
 from pixlens.operators import eligibility as el  # noqa: E402
 from pixlens.operators import index_store as ix  # noqa: E402
-from pixlens.operators import filters, knn, moderation, requests, results, search, textindex  # noqa: E402
+from pixlens.operators import cells, filters, knn, moderation, requests, results, search, textindex  # noqa: E402
 from pixlens.session import build_session, ship_package  # noqa: E402
 from pixlens.sources.testforum import BASE_URL, TestForum  # noqa: E402
 from pixlens.streaming import ingest  # noqa: E402
@@ -76,6 +76,11 @@ def main() -> None:
     bands50 = spark.read.parquet(f"{scratch}/bands50")
     knn.band_table(vindex, DIM).write.parquet(f"{scratch}/bands")
     bands = spark.read.parquet(f"{scratch}/bands")
+    celled = {}
+    for name, v in (("", vindex), ("_x50", vindex50)):
+        model = cells.fit(v, DIM)
+        cells.write_cells(cells.assign(v, model), f"{scratch}/cells{name}")
+        celled[name] = model, cells.read_cells(spark, f"{scratch}/cells{name}")
     f.answers.write.parquet(f"{scratch}/answers")
     answers = spark.read.parquet(f"{scratch}/answers")
     t = base.replace(**stored_tables)
@@ -119,6 +124,8 @@ def main() -> None:
     q["knn_lsh_100_x50"] = timed(lambda: knn.knn_lsh(knn_queries(100), index, DIM, vindex=vindex50, bands=bands50))
     q["knn_lsh_100"] = timed(lambda: knn.knn_lsh(knn_queries(100), index, DIM, vindex=vindex, bands=bands))
     fixed15 = f.search_requests.filter(F.col("request_id") <= 15)
+    for name, (model, images) in celled.items():
+        q[f"knn_cells_100{name}"] = timed(lambda m=model, i=images: cells.search(knn_queries(100), i, m, DIM))
     q["search_mixed_15"] = timed(lambda: search.search(fixed15, t, CFG, f.request_embeddings,
                                                          postings=postings, vindex=vindex).results)
     # every user turn of `conversations` as a request (text + image on half of them)
@@ -159,9 +166,18 @@ def main() -> None:
         total = a.count()
         return round(a.join(b, ["request_id", "upload_id"]).count() / total, 4) if total else None
 
+    def cell_figures(v, model, images):
+        asked = knn_queries(100)
+        a = knn.search_images_embedding(asked, index, DIM, vindex=v).select("request_id", "upload_id")
+        b = cells.search(asked, images, model, DIM).select("request_id", "upload_id")
+        return {"recall_at_20": round(a.join(b, ["request_id", "upload_id"]).count() / max(a.count(), 1), 4),
+                "share_of_pairs": round(cells.share_of_pairs(asked, images, model), 4), "cells": len(model.centres),
+                "probes": model.probes}
+
     total = round(sum(q.values()), 3)
     print(json.dumps({"metric": "sum_of_median_query_sec", "value": total, "unit": "sec", "queries": q,
                       "sf": os.path.basename(SF_DIR.rstrip("/")).replace("sf", ""), "cpus": CPUS,
+                      "cells": cell_figures(vindex, *celled[""]), "cells_x50": cell_figures(vindex50, *celled["_x50"]),
                       "lsh_recall_at_20": recall_of(1 << 60, vindex=vindex, bands=bands),
                       "lsh_recall_at_20_x50": recall_of(100, vindex=vindex50, bands=bands50)}))
     spark.stop()

@@ -224,7 +224,7 @@ def search_width(ef_search: int = ANN_DEFAULT_SEARCH_WIDTH, limit: int = 20) ->
 def search_images_embedding(queries: DataFrame, index: DataFrame, dim: int, vindex: DataFrame | None = None,
                             oversample: float = 2, method: str = "exact", bands: DataFrame | None = None,
                             queries_per_block: int = QUERIES_PER_BLOCK, posts: DataFrame | None = None) -> DataFrame:
-    """V4: two-stage kNN for a batch of requests; ``method`` is ``exact`` or ``lsh``.
+    """V4: two-stage kNN for a batch of requests; ``method`` is ``exact`` or ``lsh`` (``cells`` has a third).
 
     ``queries``: request_id, qvec, threshold, limit, offset. Candidates per
     request = ``oversample * limit + offset``. A request whose offset lies beyond

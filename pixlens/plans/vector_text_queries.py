@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..config import TEST_SETTINGS as CFG
 from ..functions import vectors as V
-from ..operators import knn, textindex
+from ..operators import cells, knn, textindex
+from ..session import materialize
 from ..sources.testforum import TestForum
 from .catalog import register
 
@@ -162,6 +163,21 @@ def knn_lsh(spark, sf_dir):
     return r.select("request_id", "upload_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+@register("knn_cells", "SELECT count(*) AS requests, TRUE AS recall_90, TRUE AS scores_exact FROM request_embeddings")
+def knn_cells(spark, sf_dir):
+    """The search over cells against the exact search: recall@20 of at least 0.9, equal scores where both find an image."""
+    f = _f(spark, sf_dir)
+    vindex = materialize(knn.vector_index(f.index, DIM), "vector-index")
+    model = cells.fit(vindex, DIM)
+    asked = materialize(_knn_queries(spark, sf_dir), "knn-queries")
+    images = materialize(cells.assign(vindex, model), "cells")
+    exact = knn.search_images_embedding(asked, f.index, DIM, vindex).select("request_id", "upload_id", F.col("similarity").alias("s"))
+    both = exact.join(cells.search(asked, images, model, DIM), ["request_id", "upload_id"], "left")
+    return both.agg((F.count("similarity") >= 0.9 * F.count("s")).alias("recall_90"),
+                    F.coalesce(F.bool_and(F.abs(F.col("similarity") - F.col("s")) < 1e-9), F.lit(True)).alias("scores_exact")) \
+        .select(F.lit(asked.count()).cast("long").alias("requests"), "recall_90", "scores_exact")
+
+
 _LEX = r"""
   SELECT upload_id, CAST(generate_subscripts(arr, 1) AS BIGINT) AS position, unnest(arr) AS lexeme
   FROM (SELECT upload_id, regexp_extract_all(lower(ocr_text), '[\p{L}\p{N}]+') AS arr
