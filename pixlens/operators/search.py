@@ -21,7 +21,7 @@ from ..session import ensure_checkpoint_dir, materialize
 from ..sources.tables import ForumTables
 from . import eligibility as el
 from . import filters as flt
-from . import knn, textindex
+from . import bitmaps, knn, textindex
 from . import prefilter as pf
 from .ordering import rank_in_groups
 from .requests import FILTER_PATTERNS, filter_rows, parse_requests, request_modes, validate_requests
@@ -90,6 +90,8 @@ def ocr_side(reqs: DataFrame, t: ForumTables, postings: DataFrame | None, cfg: S
     terms = r.select("request_id", "processed_term")
     if postings is None:
         hits = textindex.search_images_ocr_scan(terms, t.index, **how)
+    elif "bits" in postings.columns:
+        hits = bitmaps.search_bitmaps(terms, postings, **how)
     else:
         hits = textindex.search_images_ocr(terms, postings, **how)
     hits = materialize(hits, "search-hits")  # (request, image) pairs, read by the branches below
@@ -232,6 +234,7 @@ def search(requests: DataFrame, t: ForumTables, cfg: Settings, query_vectors: Da
 
     ``query_vectors`` (request_id, qvec) comes from the user's embedder (text
     for embedding mode, image for by-image mode), see ``embed_queries``.
+    ``postings`` is a table of ``bitmaps`` or of ``textindex``; without one the index is scanned.
     ``method`` and ``oversample`` choose the vector search (see ``knn``),
     ``prefilter`` puts filters below its top-k (see ``prefilter``). The
     matches of both sides are written once; results and envelope read them.

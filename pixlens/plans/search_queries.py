@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..config import TEST_SETTINGS
+from ..operators import bitmaps
 from ..operators import filters as flt
 from ..operators import search as se
 from ..operators import textindex
@@ -28,9 +29,16 @@ def _prepared(spark, sf_dir):
     return se.prepare_requests(_f(spark, sf_dir).search_requests, LIMIT)
 
 
+def _postings(spark, sf_dir):
+    """The bitmap postings of the forum's images, stored as a deployment keeps them."""
+    path = scratch_table_dir(spark, f"bitmaps-{uuid.uuid4().hex[:12]}")
+    bitmaps.write_bitmaps(bitmaps.bitmap_postings(_f(spark, sf_dir).index), path)
+    return bitmaps.read_bitmaps(spark, path)
+
+
 def _search(spark, sf_dir):
     f = _f(spark, sf_dir)
-    return se.search(f.search_requests, f.tables(), CFG, f.request_embeddings, limit=LIMIT)
+    return se.search(f.search_requests, f.tables(), CFG, f.request_embeddings, _postings(spark, sf_dir), limit=LIMIT)
 
 
 @register("validate_requests", search_sql(
@@ -90,7 +98,7 @@ def apply_filters(spark, sf_dir):
     f = _f(spark, sf_dir)
     t = f.tables()
     r = se.prepare_requests(f.search_requests, LIMIT).filter(F.col("error").isNull() & F.col("search_ocr"))
-    hits = textindex.search_images_ocr_scan(r, f.index)
+    hits = bitmaps.search_bitmaps(r, _postings(spark, sf_dir))
     pairs = se.post_pairs(hits, t)
     out = flt.apply_filters(pairs, filter_rows(r.filter(F.size("filters") > 0)), t)
     return out.select("request_id", "post_id", "upload_id")
@@ -108,14 +116,29 @@ _OCR_SIDE = search_sql("SELECT request_id, post_id, upload_id, side_rank FROM oc
 
 @register("search_ocr_page", _OCR_SIDE)
 def search_ocr_page(spark, sf_dir):
-    return _ocr_page(spark, sf_dir)
+    """Rarest term first over the table of single postings."""
+    path = scratch_table_dir(spark, f"postings-{uuid.uuid4().hex[:12]}")
+    textindex.write_postings(textindex.postings(_f(spark, sf_dir).index), path)
+    return _ocr_page(spark, sf_dir, textindex.read_postings(spark, path))
 
 
 @register("search_ocr", _OCR_SIDE)
 def search_ocr(spark, sf_dir):
-    path = scratch_table_dir(spark, f"postings-{uuid.uuid4().hex[:12]}")
-    textindex.write_postings(textindex.postings(_f(spark, sf_dir).index), path)
-    return _ocr_page(spark, sf_dir, textindex.read_postings(spark, path))
+    return _ocr_page(spark, sf_dir, _postings(spark, sf_dir))
+
+
+#: A word of an image that begins with the term fulfils it.
+_PREFIX_HITS = """
+  SELECT request_id, upload_id FROM (
+    SELECT DISTINCT q.request_id, q.lexeme, l.upload_id FROM qterms q JOIN img_lex l ON starts_with(l.lexeme, q.lexeme)) x
+  GROUP BY request_id, upload_id
+  HAVING count(*) = (SELECT n.n_terms FROM nterms n WHERE n.request_id = x.request_id)"""
+
+
+@register("search_prefix", search_sql(_PREFIX_HITS, parts=("ocr",)))
+def search_prefix(spark, sf_dir):
+    r = _prepared(spark, sf_dir).filter(F.col("error").isNull() & F.col("search_ocr"))
+    return bitmaps.search_bitmaps(r, _postings(spark, sf_dir), prefix=True)
 
 
 @register("knn_hybrid_stage", search_sql("SELECT request_id, upload_id, CAST(img_rank AS BIGINT) AS img_rank "
@@ -196,7 +219,7 @@ def _filter_hits(spark, sf_dir, kind):
     r = _prepared(spark, sf_dir).filter(F.col("error").isNull() & F.col("search_ocr"))
     filters = filter_rows(r).filter(F.col("kind") == kind)
     r = r.join(filters.select("request_id").distinct(), "request_id", "left_semi")
-    pairs = se.post_pairs(textindex.search_images_ocr_scan(r, f.index), t)
+    pairs = se.post_pairs(bitmaps.search_bitmaps(r, _postings(spark, sf_dir)), t)
     return flt.apply_filters(pairs, filters, t, kinds=[kind]).select("request_id", "post_id", "upload_id")
 
 
@@ -324,7 +347,7 @@ def _paged_sql() -> str:
 @register("pages_cumulative", _paged_sql())
 def pages_cumulative(spark, sf_dir):
     f = _f(spark, sf_dir)
-    return se.cumulative_pages(f.search_requests, f.tables(), CFG, f.request_embeddings, limit=LIMIT)
+    return se.cumulative_pages(f.search_requests, f.tables(), CFG, f.request_embeddings, _postings(spark, sf_dir), limit=LIMIT)
 
 
 #: The requests with filters, as text-to-image searches: the top-k is taken from the images that pass.
