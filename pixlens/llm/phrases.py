@@ -19,9 +19,10 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import dense_index
 from .common import ascii_lower, bitmap_of, bitmap_test, byte_slices, gathered, materialize
 
 TRIGGER = 12
@@ -259,8 +260,11 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     scored = (cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"])
               .select("lang", "phrase", "a", F.struct(score.alias("score"), "k", "l", "r").alias("low"))
               .groupBy("lang", "phrase", "a").agg(F.min("low").alias("low")).select("lang", "phrase", "a", "low.*"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # Ranks follow from a range sort of all languages together: no task holds a whole language.
+    placed = dense_index(scored, [F.col("lang"), F.desc("score"), F.desc("a"), F.col("phrase")], name="place")
+    first = placed.groupBy("lang").agg(F.min("place").alias("first"))
+    best = (placed.join(first, "lang").withColumn("rank", F.col("place") - F.col("first") + 1)
+            .filter(F.col("rank") <= top))
     total = chunks.groupBy("lang").agg(F.sum(F.col("core") * F.col("times")).alias("n"))
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n",
                                            F.col("score").cast("long").alias("score"))
