@@ -32,12 +32,9 @@ def lexemes(text: Column | str, cjk_bigrams: bool = False,
     t = F.lower(F.col(text) if isinstance(text, str) else text)
     if not cjk_bigrams:
         return F.regexp_extract_all(t, F.lit(WORD_PATTERN), 0)
-    # Non-Han word runs, then Han bigrams (overlapping, via a lookahead capture),
-    # then isolated single Han characters.
-    non_han = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}&&[^\p{IsHan}]]+"), 0)
-    bigrams = F.regexp_extract_all(t, F.lit(r"(?=(\p{IsHan}\p{IsHan}))"), 1)
-    singles = F.regexp_extract_all(t, F.lit(r"(?<!\p{IsHan})(\p{IsHan})(?!\p{IsHan})"), 1)
-    return F.concat(non_han, bigrams, singles)
+    runs = F.regexp_extract_all(t, F.lit(r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"), 0)
+    bigrams = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
+    return F.flatten(F.transform(runs, lambda x: F.when(x.rlike(HAN_RUN) & (F.length(x) > 1), bigrams(x)).otherwise(F.array(x))))
 
 
 def query_terms(term: Column, cjk_bigrams: bool = False,

@@ -1,11 +1,11 @@
 """Advanced search filters applied to a whole batch of requests (F11-F16, J8-J11, TX7, U3).
 
 Each filter kind resolves its argument to a key set with joins over small
-host tables (users, tags, categories), then meets the candidate rows with an
-equi-join on (request_id, key). A candidate survives when it passes every
-filter of its request (relational division by counting), so a batch with
-different filters per request is still a single plan, with no request x post
-product.
+host tables (users, tags, categories). A request carries its resolved filters
+as one array; a candidate meets its request's row and survives when it passes
+every filter of the array. A batch with different filters per request is a
+single plan: candidates are neither multiplied nor grouped, and there is no
+request x post product.
 
 ``cands`` are rows with at least request_id, post_id, topic_id, user_id,
 created_at and category_id (any extra column such as upload_id is kept).
@@ -114,9 +114,11 @@ class FilterKind:
     """How one filter kind decides a candidate.
 
     Either ``resolve(filters, tables) -> (request_id, filter_no, value)`` gives
-    the allowed values of candidate column ``probe`` (an equi-join on the values
-    as text), or ``check(arg) -> Column`` is a predicate on the candidate row
-    (NULL = pass). ``extend(cands, tables)`` adds candidate columns that the check
+    the allowed values (compared as text) of candidate column ``probe``, or
+    ``check(arg) -> Column`` is a predicate on the candidate row (NULL = pass).
+    ``prepare(arg) -> Column`` (text) turns the argument into what ``check`` and
+    ``mask`` read, once per filter; a filter whose prepared argument is NULL passes
+    everything. ``extend(cands, tables)`` adds candidate columns that the check
     needs; it runs only when the batch has filters of the kind. ``mask(posts, arg,
     keys) -> array of bool`` decides the posts of a block for the vector search with
     filters below its top-k (``prefilter``): ``posts`` are arrays of post attributes,
@@ -128,20 +130,21 @@ class FilterKind:
     check: Callable[[Column], Column] | None = None
     extend: Callable[[DataFrame, ForumTables], DataFrame] | None = None
     mask: Callable | None = None
+    prepare: Callable[[Column], Column] | None = None
 
 
 KINDS: dict[str, FilterKind] = {}
 
 
 def register_filter(kind: str, pattern: str | None = None, probe: str | None = None,
-                    resolve=None, check=None, extend=None, mask=None) -> None:
+                    resolve=None, check=None, extend=None, mask=None, prepare=None) -> None:
     """Register a filter kind (and its matcher pattern)."""
-    if mask is None and probe is not None:
+    if mask is None and probe in ("post_id", "topic_id", "user_id", "category_id"):
         def mask(posts, arg, keys):
             import numpy as np
 
             return np.isin(posts[probe], np.array([int(k) for k in keys], dtype=np.int64))
-    KINDS[kind] = FilterKind(probe, resolve, check, extend, mask)
+    KINDS[kind] = FilterKind(probe, resolve, check, extend, mask, prepare)
     if pattern is not None:
         register_pattern(kind, pattern)
 
@@ -187,11 +190,15 @@ def resolve_slugs(filters: DataFrame, t: ForumTables, closure: DataFrame | None
 
 
 register_filter("topic", probe="topic_id", resolve=resolve_topic)
+def _date_bound(arg: Column) -> Column:
+    """Microseconds of the date, as text; a word that is no date gives NULL."""
+    return F.unix_micros(word_to_date(arg).cast("timestamp")).cast("string")
+
+
 def _date_check(op: str):
     def check(arg: Column) -> Column:
-        bound = word_to_date(arg)
-        cmp = F.col("created_at") < bound if op == "<" else F.col("created_at") > bound
-        return F.when(bound.isNull(), F.lit(True)).otherwise(F.coalesce(cmp, F.lit(False)))
+        at, bound = F.unix_micros(F.col("created_at").cast("timestamp")), arg.cast("bigint")
+        return F.coalesce(at < bound if op == "<" else at > bound, F.lit(False))
     return check
 
 
@@ -209,16 +216,13 @@ def _tag_mask(posts, arg, keys):
     return np.fromiter((not asked.isdisjoint(x) for x in posts["tags"]), dtype=bool, count=len(posts["tags"]))
 
 
-register_filter("before", check=_date_check("<"), mask=_date_mask(False))
-register_filter("after", check=_date_check(">"), mask=_date_mask(True))
+register_filter("before", check=_date_check("<"), prepare=_date_bound, mask=_date_mask(False))
+register_filter("after", check=_date_check(">"), prepare=_date_bound, mask=_date_mask(True))
 register_filter("user", probe="user_id", resolve=resolve_users)
 register_filter("tags", check=any_tag, extend=with_topic_tags, mask=_tag_mask)
 register_filter("category", probe="category_id", resolve=resolve_categories)
-register_filter("category_slug", probe="category_id", resolve=resolve_slugs)
-
-
-def _slug_noop(arg: Column) -> Column:
-    return F.regexp_replace(arg, ":+$", "") == ""
+register_filter("category_slug", probe="category_id", resolve=resolve_slugs,
+                prepare=lambda arg: F.nullif(F.regexp_replace(arg, ":+$", ""), F.lit("")))
 
 
 # --------------------------------------------------------------------- apply
@@ -243,50 +247,55 @@ def resolve_filters(filters: DataFrame, t: ForumTables, closure: DataFrame | Non
     return allowed.distinct().withColumn("_ok", F.lit(True))
 
 
+def request_filters(filters: DataFrame, t: ForumTables, closure: DataFrame | None = None, kinds: list[str] | None = None,
+                    allowed: DataFrame | None = None) -> DataFrame:
+    """(request_id, filters): per request an array of (kind, arg, keys), without the filters that pass everything.
+
+    ``keys`` are the allowed values (as text) of a filter that resolves to values.
+    """
+    if allowed is None:
+        allowed = resolve_filters(filters, t, closure, kinds)
+    keys = allowed.groupBy("request_id", "filter_no").agg(F.collect_set("value").alias("keys"))
+    f = filters.select("request_id", "filter_no", "kind", "arg").join(keys, ["request_id", "filter_no"], "left")
+    ready = F.col("arg")
+    for kind, k in KINDS.items():
+        if k.prepare is not None:
+            ready = F.when(F.col("kind") == kind, k.prepare(F.col("arg"))).otherwise(ready)
+    f = f.withColumn("ready", ready).filter(F.col("ready").isNotNull())
+    one = F.struct("kind", F.col("ready").alias("arg"), F.array_sort(F.coalesce("keys", F.array().cast("array<string>"))).alias("keys"))
+    return f.groupBy("request_id").agg(F.array_sort(F.collect_list(one)).alias("filters"))
+
+
 def apply_filters(cands: DataFrame, filters: DataFrame, t: ForumTables,
                   closure: DataFrame | None = None, kinds: list[str] | None = None,
                   allowed: DataFrame | None = None) -> DataFrame:
     """TX7: keep the candidates that pass every filter of their request (AND).
 
-    One pass over the candidates: each candidate meets its request's few
-    filter rows (broadcast-size), probes the resolved key sets (``allowed``,
-    from ``resolve_filters``; resolved here when not given) with one equi-join
-    on (request_id, filter_no, value), and survives when every filter row
-    passed. Requests without filters keep all candidates. ``kinds`` (when
-    known) limits the resolvers to the kinds in the batch; an empty list skips
-    the filter stage.
+    One pass over the candidates: each meets the one row of its request (a table of
+    the size of the batch) and the filters in it are tested in place. Requests
+    without filters keep all candidates. ``allowed`` comes from ``resolve_filters``
+    (resolved here when not given). ``kinds`` (when known) limits the resolvers to
+    the kinds in the batch; an empty list skips the filter stage. A filter of an
+    unknown kind passes nothing.
     """
     if kinds is not None and not kinds:
         return cands
     cols = cands.columns
-    if allowed is None:
-        allowed = resolve_filters(filters, t, closure, kinds)
-
-    probe = F.lit(None).cast("string")
-    direct = F.lit(None).cast("boolean")
-    for kind, k in KINDS.items():
-        if kinds is not None and kind not in kinds:
-            continue
-        is_kind = F.col("kind") == kind
+    own = request_filters(filters, t, closure, kinds, allowed).withColumnRenamed("filters", "_filters")
+    used = {kind: k for kind, k in KINDS.items() if kinds is None or kind in kinds}
+    for k in used.values():
         if k.extend is not None:
             cands = k.extend(cands, t)
-        if k.probe is not None:
-            probe = F.when(is_kind, F.col(k.probe).cast("string")).otherwise(probe)
-        if k.check is not None:
-            c = k.check(F.col("arg"))
-            direct = F.when(is_kind, F.coalesce(c, F.lit(True))).otherwise(direct)
-    slug_noop = (F.col("kind") == "category_slug") & _slug_noop(F.col("arg"))
-    direct = F.when(slug_noop, F.lit(True)).otherwise(direct)
-    # An unknown kind (no probe, no check) passes nothing.
-    known = F.col("kind").isin(*KINDS.keys())
-
-    meta = filters.select("request_id", "filter_no", "kind", "arg")
-    x = cands.join(meta, "request_id", "left").withColumn("_probe", probe).withColumn("_direct", direct)
-    a = allowed.select(F.col("request_id").alias("_a_req"), F.col("filter_no").alias("_a_no"),
-                       F.col("value").alias("_a_val"), "_ok")
-    x = x.join(a, (F.col("request_id") == F.col("_a_req")) & (F.col("filter_no") == F.col("_a_no"))
-               & (F.col("_probe") == F.col("_a_val")), "left")
-    passed = (F.col("filter_no").isNull()
-              | (known & F.coalesce(F.col("_direct"), F.col("_ok").isNotNull())))
-    g = x.groupBy(*cols).agg(F.bool_and(passed).alias("_pass"))
-    return g.filter("_pass").select(*cols)
+
+    def passes(f: Column) -> Column:
+        ok = F.lit(False)
+        for kind, k in used.items():
+            if k.check is not None:
+                here = F.coalesce(k.check(f["arg"]), F.lit(True))
+            else:
+                here = F.coalesce(F.array_contains(f["keys"], F.col(k.probe).cast("string")), F.lit(False))
+            ok = F.when(f["kind"] == kind, here).otherwise(ok)
+        return ok
+
+    x = cands.join(own, "request_id", "left")
+    return x.filter(F.col("_filters").isNull() | F.forall("_filters", passes)).select(*cols)

@@ -2,7 +2,7 @@
 
 A request with filters ranks only the images that have a searchable post which passes every filter, so its
 page fills while matches are left. Images carry the attributes of their posts into the scorer's blocks
-(``image_posts``), requests carry their resolved filters (``request_filters``), and the filters are
+(``image_posts``), requests carry their resolved filters (``filters.request_filters``), and the filters are
 evaluated on the arrays of a block: no row per (request, image) exists outside of it.
 
 An image with more than ``POSTS_PER_ROW`` posts stands in several rows, one for each part of its posts.
@@ -35,23 +35,6 @@ def image_posts(pairs: DataFrame, t: ForumTables, with_tags: bool = True) -> Dat
             .agg(F.collect_list(one).alias("posts")).select("upload_id", "posts"))
 
 
-def request_filters(filters: DataFrame, t: ForumTables, allowed: DataFrame | None = None) -> DataFrame:
-    """(request_id, filters): per request an array of (kind, arg, keys).
-
-    ``keys`` are the allowed values of a filter that resolves to key values. A date that cannot be read and a
-    slug without a name pass everything and are left out.
-    """
-    allowed = flt.resolve_filters(filters, t) if allowed is None else allowed
-    keys = allowed.groupBy("request_id", "filter_no").agg(F.collect_list("value").alias("keys"))
-    f = filters.select("request_id", "filter_no", "kind", "arg").join(keys, ["request_id", "filter_no"], "left")
-    dated = F.col("kind").isin("before", "after")
-    bound = F.unix_micros(flt.word_to_date(F.col("arg")).cast("timestamp")).cast("string")
-    f = f.withColumn("arg", F.when(dated, bound).otherwise(F.col("arg"))).filter(
-        ~(dated & F.col("arg").isNull()) & ~((F.col("kind") == "category_slug") & flt._slug_noop(F.col("arg"))))
-    return f.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(
-        "kind", "arg", F.array_sort(F.coalesce("keys", F.array().cast("array<string>"))).alias("keys")))).alias("filters"))
-
-
 class Allowed:
     """The posts of one block of images, and which images pass a list of filters."""
 

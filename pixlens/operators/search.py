@@ -148,7 +148,7 @@ def embedding_side(reqs: DataFrame, t: ForumTables, query_vectors: DataFrame, cf
             bad = [k for k in kinds or [] if k not in flt.KINDS or flt.KINDS[k].mask is None]
             if bad:
                 raise ValueError(f"filter kinds without a mask cannot go below the top-k: {bad}")
-            q = q.join(pf.request_filters(asked, t, allowed), "request_id", "left")
+            q = q.join(flt.request_filters(asked, t, closure, kinds, allowed), "request_id", "left")
             shown = post_pairs(t.index.filter(F.col("embeddings").isNotNull()).select("upload_id"), t, cfg, strict_visibility)
             posts = pf.image_posts(shown, t, with_tags=kinds is None or "tags" in kinds)
         imgs = knn.search_images_embedding(q, t.index, cfg.embedding_dim, vindex=vindex, oversample=oversample,

@@ -15,6 +15,7 @@ from ..operators import search as se
 from ..sources.testforum import BASE_URL, TestForum
 from .analysis_queries import RUN, WATCHED
 from .catalog import register
+from .search_queries import _postings
 from .search_sql import LIMIT, TEXT_T, search_sql
 
 CFG = TEST_SETTINGS.with_(base_url=BASE_URL, text_similarity_threshold=TEXT_T)
@@ -147,7 +148,7 @@ def pick_thumbnail(spark, sf_dir):
 
 
 def _search_results(f):
-    return se.search(f.search_requests, f.tables(), CFG, f.request_embeddings, limit=LIMIT).results
+    return se.search(f.search_requests, f.tables(), CFG, f.request_embeddings, _postings(f.spark, f.sf_dir), limit=LIMIT).results
 
 
 _OPTIMIZED = """coalesce((SELECT string_agg(o.id || ':' || o.url || ':' || o.width || ':' || o.height, '|' ORDER BY o.id)
@@ -185,7 +186,7 @@ def hydrate_results(spark, sf_dir):
   FROM envelope e LEFT JOIN ({_HYDRATED}) h ON h.request_id = e.request_id"""))
 def search_response(spark, sf_dir):
     f = _f(spark, sf_dir)
-    out = se.search(f.search_requests, f.tables(), CFG, f.request_embeddings, limit=LIMIT)
+    out = se.search(f.search_requests, f.tables(), CFG, f.request_embeddings, _postings(f.spark, f.sf_dir), limit=LIMIT)
     r = rs.envelope(out.envelope, rs.hydrate(out.results, f.tables()))
     x = r.select("request_id", "term", "processed_term", "search_ocr", "search_embeddings", "search_by_image", "has_more",
                  "error", "n_results", F.explode_outer("grouped_results").alias("i"))

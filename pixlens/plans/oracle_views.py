@@ -116,7 +116,7 @@ _v("search_requests", """
     (24, 'GET', 'and after:1997 tags:vip', NULL, NULL, 'true', 'true', 0)
   ) t(request_id, method, term, image_vec_id, image_content_type, ocr, embed, page)
   UNION ALL
-  SELECT CAST(1000000 + conv_id * 100 + turn AS BIGINT), 'GET', text, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+  SELECT CAST(1000000 + conv_id * 1048576 + turn AS BIGINT), 'GET', text, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
          'true', CASE WHEN conv_id % 2 = 0 THEN 'true' ELSE 'false' END, CAST(0 AS BIGINT), CAST(11 AS BIGINT)
   FROM conversations WHERE role = 'user'""")
 _v("request_embeddings", """

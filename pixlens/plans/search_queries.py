@@ -243,7 +243,7 @@ def filter_after(spark, sf_dir):
 
 # A kind of the forum's own, on a predicate of the candidate.
 flt.register_filter("min_post", r"(?i)\Aminpost:(\d+)\z",
-                    check=lambda arg: F.col("post_id") >= F.expr("try_cast(arg AS BIGINT)"),
+                    check=lambda arg: F.coalesce(F.col("post_id") >= arg.try_cast("bigint"), F.lit(False)),
                     mask=lambda posts, arg, keys: posts["post_id"] >= int(arg))
 
 

@@ -236,7 +236,7 @@ class TestForum:
             F.lit(CURRENT_USER_ID).cast("long").alias("current_user_id"))
         conv = self.base("conversations").filter(F.col("role") == "user")
         derived = conv.select(
-            (F.lit(1_000_000) + F.col("conv_id") * 100 + F.col("turn")).cast("long").alias("request_id"),
+            (F.lit(1_000_000) + F.col("conv_id") * (1 << 20) + F.col("turn")).cast("long").alias("request_id"),
             F.lit("GET").alias("method"), F.col("text").alias("term"),
             F.lit(None).cast("string").alias("image_ref"), F.lit(None).cast("string").alias("image_content_type"),
             F.lit("true").alias("ocr"),

@@ -35,7 +35,7 @@ def test_store_ocr_lines_and_vector(spark):
 def test_chinese_bigrams(spark):
     df = spark.createDataFrame([("我爱北京 ok",)], "t string")
     got = df.select(lexemes(F.col("t"), cjk_bigrams=True).alias("l")).first().l
-    assert got == ["ok", "我爱", "爱北", "北京"]
+    assert got == ["我爱", "爱北", "北京", "ok"]
 
 
 def test_content_key_is_original_sha1(spark):
