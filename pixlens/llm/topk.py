@@ -18,7 +18,8 @@ Queries with equal vectors are solved once.
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do
 rows without id; vectors of different length are compared as if padded with zeros; repeated rows
 count once; a query without other rows returns nothing; an empty table gives an empty result.
-Components are expected below 2**40 in size (64-bit products).
+Scores are 64-bit: where the number of components times the product of the largest query and candidate
+component could pass 2**63 - 1, the search raises instead of giving wrong scores.
 """
 
 from __future__ import annotations
@@ -142,6 +143,18 @@ def _totals(width: int):
     return run
 
 
+def check_range(rows: DataFrame, queries: DataFrame, dim: int) -> None:
+    """Raise if a score of ``dim`` products may leave 64 bits."""
+    def largest(df):
+        size = F.transform("v", lambda x: F.abs(x.cast("double")))
+        return df.agg(F.max(F.array_max(size))).first()[0] or 0.0
+
+    a, b = largest(rows), largest(queries)
+    # 2**62 leaves room for the rounding of the bound and for sums over parts.
+    if a * b * max(dim, 1) >= 2.0 ** 62 or max(a, b) >= 2.0 ** 62:
+        raise ValueError(f"components up to {a:.3g} and {b:.3g} in {dim} dimensions: scores may pass 64 bits")
+
+
 def search(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
            vec_col: str = "embedding", scale: int = SCALE, parts: int = PARTS,
            rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
@@ -162,6 +175,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     # Both sizes are driver-side scalars; they only choose how many blocks there are.
     n_rows, dim = cls.agg(F.count("*"), F.max(F.size("v"))).first()
     n_queries, qdim = qcls.agg(F.count("*"), F.max(F.size("v"))).first()
+    check_range(cls, qcls, max(dim or 0, qdim or 0))
     cuts = _slices(parts, max(dim or 0, qdim or 0))
     width, n_parts = cuts[0][1] if cuts[0][1] > 0 else 1, len(cuts)
     row_blocks = max(1, -(-(n_rows or 0) // rows_per_block))

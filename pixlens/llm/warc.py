@@ -3,8 +3,9 @@
 Layout of one archive (the public WARC-Zstandard convention): a leading skippable frame with magic
 0x184D2A5D that holds the dictionary, then one Zstandard frame per WARC record. The dictionary is
 trained on records of the same archive: the writer buffers the first ``sample_bytes`` of records
-(a documented bound), trains, writes the frame, then compresses record by record. An archive with
-too few records for training has no dictionary and no leading frame.
+(a documented bound), trains, writes the frame, then compresses record by record. Where
+records are too few to train on, the dictionary is the end of the sample itself; only an archive whose
+records are all empty has none.
 
 Writing runs in one Spark task per archive. A task writes under a name of its own and moves the
 file to its final name; only archives listed in the manifest (a Parquet table that Spark commits)
@@ -111,16 +112,18 @@ def parse_record(data: bytes) -> dict:
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A Zstandard dictionary of the sample records, or empty when they are too few to train on."""
+    """A Zstandard dictionary of the sample records.
+
+    Where the training cannot make one, because the samples are few, small or all alike, the dictionary is
+    the end of the samples themselves (raw content, which Zstandard tells from a trained one by its start).
+    """
     import zstandard
 
     total = sum(map(len, samples))
-    if len(samples) < 16 or total < 8 * 1024:
-        return b""
     try:
-        return zstandard.train_dictionary(min(size, total // 8), samples, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(max(min(size, total // 8), 256), samples, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-max(min(size, total // 8), 256):]
 
 
 def cut_samples(records: list[bytes], total: int = SAMPLE_BYTES, piece: int = PIECE_BYTES) -> list[bytes]:

@@ -48,3 +48,15 @@ def test_few_rows_and_empty(spark):
     assert run(spark, rows, None) == brute(rows, lambda i: i % 100 == 0, 10)
     assert run(spark, [(100, [1.0])], None) == set()
     assert run(spark, [], None) == set()
+
+
+def test_components_whose_scores_pass_64_bits_raise(spark):
+    import pytest
+
+    big = [float(2 ** 21)] * 64
+    with pytest.raises(ValueError, match="64 bits"):
+        run(spark, [(100, big), (3, big)], None)
+    with pytest.raises(ValueError, match="64 bits"):
+        run(spark, [(100, [1.0]), (3, [1e30])], None)
+    edge = [float(2 ** 17)] * 64  # 2**27 a component, 2**60 a score
+    assert run(spark, [(100, edge), (3, edge)], None) == {(100, 1, 3, 2 ** 60)}
