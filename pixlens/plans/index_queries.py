@@ -210,7 +210,29 @@ def backfill(spark, sf_dir):
     return bf.backfill(f.tables(), CFG, f.answers)[0]
 
 
-@register("post_excerpt")
+_VOID = ", ".join(f"'{t}'" for t in rs.VOID_TAGS)
+#: One pass over the tokens of a page: nesting inside a dropped block, head, body, and the text so far.
+_EXCERPTS = f"""
+  SELECT post_id, list_reduce(tokens, lambda s, t: CASE
+    WHEN NOT regexp_matches(t, '^<(!|/?[a-zA-Z])') THEN struct_pack(skip := s.skip, head := s.head, body := s.body,
+      txt := CASE WHEN s.skip = 0 AND NOT s.head AND s.body THEN s.txt || replace(replace(replace(replace(replace(replace(replace(replace(
+        t, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&nbsp;', chr(160)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')
+        ELSE s.txt END)
+    WHEN regexp_matches(t, '^<!') THEN s
+    WHEN regexp_matches(t, '(?i)^</?head[ >]') THEN struct_pack(skip := s.skip, head := NOT starts_with(t, '</'), body := s.body, txt := s.txt)
+    WHEN regexp_matches(t, '(?i)^</?body[ >]') THEN struct_pack(skip := s.skip, head := s.head, body := NOT starts_with(t, '</'), txt := s.txt)
+    WHEN lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1)) IN ({_VOID}) OR ends_with(t, '/>') THEN s
+    ELSE struct_pack(skip := CASE WHEN starts_with(t, '</') THEN greatest(s.skip - 1, 0) WHEN s.skip > 0 THEN s.skip + 1
+           WHEN regexp_matches(t, 'class=["''][^"'']*(lightbox-wrapper|onebox)') THEN 1 ELSE 0 END,
+         head := s.head, body := s.body, txt := s.txt) END,
+    struct_pack(skip := 0, head := FALSE, body := NOT regexp_matches(cooked, '(?i)<body'), txt := '')).txt AS excerpt
+  FROM (SELECT post_id, cooked, regexp_extract_all(cooked, '(?s)<!--.*?-->|</?[a-zA-Z][^>]*>|<![^>]*>|[^<]+|<') AS tokens
+        FROM post_cooked WHERE post_id IN (SELECT post_id FROM results)) x"""
+
+
+@register("post_excerpt", search_sql(f"""
+  SELECT r.request_id, r.rank, r.post_id, CASE WHEN p.post_number > 1 THEN '#' || p.post_number || ' ' ELSE '' END || e.excerpt AS excerpt
+  FROM results r LEFT JOIN posts p ON p.id = r.post_id LEFT JOIN ({_EXCERPTS}) e ON e.post_id = r.post_id"""))
 def post_excerpt(spark, sf_dir):
     f = _f(spark, sf_dir)
     h = rs.hydrate(_search_results(f), f.tables()).select("request_id", "rank", "post_id", "post_number")

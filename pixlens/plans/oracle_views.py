@@ -129,7 +129,9 @@ _v("post_events", """
          CASE WHEN event_type IN ('view', 'click') THEN 'rebake' ELSE 'create' END AS kind
   FROM events""")
 _v("post_cooked", """
-  SELECT o.o_orderkey AS post_id, p.html AS cooked
+  SELECT o.o_orderkey AS post_id,
+         CASE o.o_orderkey % 3 WHEN 0 THEN replace(p.html, 'class="ad"', 'class="ad lightbox-wrapper"')
+              WHEN 1 THEN replace(p.html, '<article>', '<article class=''onebox''><img>') ELSE p.html END AS cooked
   FROM orders o JOIN pages p ON p.page_id = o.o_orderkey % (SELECT count(*) FROM pages)""")
 
 # Shared derived relations used by many oracles (the test settings applied).

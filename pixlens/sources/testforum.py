@@ -265,7 +265,10 @@ class TestForum:
         o = self.base("orders").select("o_orderkey")
         p = self.base("pages").select("page_id", "html")
         return o.join(p, p.page_id == o.o_orderkey % self.n("pages")).select(
-            F.col("o_orderkey").alias("post_id"), F.col("html").alias("cooked"))
+            F.col("o_orderkey").alias("post_id"),
+            F.when(F.col("o_orderkey") % 3 == 0, F.replace("html", F.lit('class="ad"'), F.lit('class="ad lightbox-wrapper"')))
+            .when(F.col("o_orderkey") % 3 == 1, F.replace("html", F.lit("<article>"), F.lit("<article class='onebox'><img>")))
+            .otherwise(F.col("html")).alias("cooked"))
 
     def tables(self) -> ForumTables:
         return ForumTables(
