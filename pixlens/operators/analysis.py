@@ -67,11 +67,14 @@ def image_info(uploads: DataFrame, cfg: Settings, files: DataFrame | None = None
 
 def analysis_requests(images: DataFrame, cfg: Settings, batch_size: int = BACKFILL_BATCH,
                       analyze_ocr: bool | None = None, analyze_embedding: bool | None = None) -> DataFrame:
-    """SRC5: one JSON payload per batch of ``batch_size`` images, in id order."""
+    """SRC5: one JSON payload per batch of ``batch_size`` images, in id order.
+
+    Only ids are numbered; urls or bytes join their number once.
+    """
     ocr = cfg.analyze_ocr_enabled if analyze_ocr is None else analyze_ocr
     emb = cfg.analyze_embedding_enabled if analyze_embedding is None else analyze_embedding
-    idx = dense_index(images.select("id", "sha1", "url"), "id")
-    b = idx.withColumn("batch_no", F.floor(F.col("idx") / batch_size).cast("long"))
+    idx = dense_index(images.select("id").distinct(), "id")
+    b = images.select("id", "sha1", "url").join(idx, "id").withColumn("batch_no", F.floor(F.col("idx") / batch_size).cast("long"))
     g = b.groupBy("batch_no").agg(F.array_sort(F.collect_list(F.struct("id", "sha1", "url"))).alias("images"),
                                   F.count("*").alias("n_images"))
     return g.select("batch_no", "n_images", F.to_json(F.struct(
