@@ -26,7 +26,7 @@ from pixlens.config import TEST_SETTINGS  # noqa: E402
 from pixlens.operators import analysis as an  # noqa: E402
 from pixlens.operators import eligibility as el  # noqa: E402
 from pixlens.operators import index_store as ix  # noqa: E402
-from pixlens.operators import cells, filters, knn, moderation, requests, results, search, textindex  # noqa: E402
+from pixlens.operators import bitmaps, cells, filters, knn, moderation, requests, results, search, textindex  # noqa: E402
 from pixlens.session import build_session, ship_package  # noqa: E402
 from pixlens.sources.testforum import BASE_URL, TestForum  # noqa: E402
 from pixlens.streaming import ingest  # noqa: E402
@@ -84,9 +84,9 @@ def main() -> None:
     f.answers.write.parquet(f"{scratch}/answers")
     answers = spark.read.parquet(f"{scratch}/answers")
     t = base.replace(**stored_tables)
-    # the inverted index (posting table partitioned by lexeme bucket) is part of the stored index
-    textindex.write_postings(textindex.postings(index), f"{scratch}/postings")
-    postings = textindex.read_postings(spark, f"{scratch}/postings")
+    # the inverted index (bitmaps partitioned by lexeme bucket) is part of the stored index
+    bitmaps.write_bitmaps(bitmaps.bitmap_postings(index), f"{scratch}/bitmaps")
+    postings = bitmaps.read_bitmaps(spark, f"{scratch}/bitmaps")
 
     def ocr_requests(n: int):
         docs = f.base("documents").filter(F.col("doc_id") < n)
@@ -139,7 +139,7 @@ def main() -> None:
 
     def filtered():
         r = search.prepare_requests(fixed15).filter(F.col("error").isNull() & F.col("search_ocr"))
-        pairs = search.post_pairs(textindex.search_images_ocr(r, postings), t)
+        pairs = search.post_pairs(bitmaps.search_bitmaps(r, postings), t)
         return filters.apply_filters(pairs, requests.filter_rows(r.filter(F.size("filters") > 0)), t)
 
     def response():

@@ -52,10 +52,10 @@ def dictionary(post: DataFrame) -> DataFrame:
     return post.select("lexeme").distinct().select(F.explode(stems).alias("stem"), "lexeme")
 
 
-def _terms(requests: DataFrame, term_col: str, prefix: bool, words: DataFrame | None, cjk_bigrams: bool, lexeme_filter) -> DataFrame:
-    """(request_id, n_terms, term, lexeme): the lexemes that fulfil each term; a term without any has none."""
-    t = requests.select("request_id", query_terms(F.col(term_col), cjk_bigrams, lexeme_filter).alias("terms"))
-    t = t.filter(F.size("terms") > 0).select("request_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+def _terms(asked: DataFrame, prefix: bool, words: DataFrame | None) -> DataFrame:
+    """(request_id, n_terms, term, lexeme) of (request_id, asked): the lexemes that fulfil each term; a term may have none."""
+    t = asked.select("request_id", F.split("asked", " ").alias("terms")).select(
+        "request_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     if not prefix:
         return t.withColumn("lexeme", F.col("term"))
     asked = t.select("term").distinct().withColumn("stem", F.substring("term", 1, STEM))
@@ -86,7 +86,7 @@ def search_bitmaps(requests: DataFrame, post: DataFrame, term_col: str = "proces
     own = requests.select("request_id", F.array_join(F.array_sort(query_terms(F.col(term_col), cjk_bigrams, lexeme_filter)), " ")
                           .alias("asked")).filter(F.col("asked") != "")
     distinct = own.select(F.col("asked").alias("request_id"), F.col("asked")).distinct()
-    terms = with_bucket(_terms(distinct, "asked", prefix, words, cjk_bigrams, None), n_buckets)
+    terms = with_bucket(_terms(distinct, prefix, words), n_buckets)
     keys = post.select("bucket", "lexeme", "range", "n")
     met = terms.join(keys, ["bucket", "lexeme"])
     # Ranges that hold every term; the terms of a request are few, whatever the number of their lexemes.
