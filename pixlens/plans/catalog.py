@@ -39,7 +39,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module (each registers on import)."""
     from . import (  # noqa: F401
-        analysis_queries, eligibility_queries, index_queries, search_queries, stream_queries,
+        analysis_queries, eligibility_queries, index_queries, lexicon_queries, search_queries, stream_queries,
         vector_text_queries,
     )
 
