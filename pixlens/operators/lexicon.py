@@ -1,7 +1,8 @@
 """Language-aware analysis of an index that already has its postings (U5, TX1, TX3).
 
-Texts are not read again: the distinct lexemes of the postings are analysed once each (``lexicon``), and the
-bitmaps of all forms of a stem are united range by range (``analysed_postings``). Queries get the same analysis.
+Texts are not read again: the key of each posting row is analysed where the row is, and the bitmaps of all forms
+of a stem are united range by range (``analysed_postings``), with one shuffle of bitmaps. Queries get the same
+analysis. ``lexicon`` is the dictionary of distinct lexemes and their stems.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ def lexicon(words: DataFrame, analyse: Callable[[Column], Column], by: tuple[str
     return distinct.select(*by, "lexeme", F.explode(F.array_distinct(analyse(F.array("lexeme")))).alias("stem"))
 
 
-def analysed_postings(post: DataFrame, words: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def analysed_postings(post: DataFrame, analyse: Callable[[Column], Column], n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Bitmap postings keyed by stem: (bucket, lexeme, range, n, bits, n_buckets) of bitmap postings keyed by lexeme.
 
     A stem whose forms a third of all images hold is as many rows as there are ranges of ids.
     """
-    forms = post.select("lexeme", "range", "bits").join(words.select("lexeme", "stem"), "lexeme")
+    forms = post.select("range", "bits", F.explode(F.array_distinct(analyse(F.array("lexeme")))).alias("stem"))
     united = forms.groupBy(F.col("stem").alias("lexeme"), "range").agg(F.bitmap_or_agg("bits").alias("bits"))
     return with_bucket(united, n_buckets).select("bucket", "lexeme", "range", F.bitmap_count("bits").alias("n"), "bits",
                                                  F.lit(n_buckets).cast("int").alias("n_buckets"))

@@ -83,9 +83,7 @@ def search_analysed(spark, sf_dir):
     text = F.concat("text", F.lit("\n"), _captions(F.col("text")))
     index = docs.select(F.col("doc_id").alias("upload_id"), lexemes(text, cjk_bigrams=True).alias("ocr_lexemes"))
     path = scratch_table_dir(spark, f"lexicon-{uuid.uuid4().hex[:12]}")
-    bitmaps.write_bitmaps(bitmaps.bitmap_postings(index), f"{path}/words")
-    words = bitmaps.read_bitmaps(spark, f"{path}/words")
-    bitmaps.write_bitmaps(lexicon.analysed_postings(words, lexicon.lexicon(words, stems.analysis("en"))), f"{path}/stems")
+    bitmaps.write_bitmaps(lexicon.analysed_postings(bitmaps.bitmap_postings(index), stems.analysis("en")), path)
     longest = F.array_max(F.transform(lexemes(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     form = F.when(F.endswith(longest, F.lit("s")), F.substring(longest, F.lit(1), F.length(longest) - 1)).otherwise(
         F.concat(longest, F.lit("s")))
@@ -93,4 +91,4 @@ def search_analysed(spark, sf_dir):
                                        F.substring(_captions(F.col("text")), 3, 3).alias("han"))
     requests = asked.select("id", F.posexplode(F.array("form", "han")).alias("no", "processed_term")).select(
         (F.col("id") + F.col("no")).alias("request_id"), "processed_term")
-    return lexicon.search_analysed(requests, bitmaps.read_bitmaps(spark, f"{path}/stems"), "en")
+    return lexicon.search_analysed(requests, bitmaps.read_bitmaps(spark, path), "en")

@@ -38,7 +38,7 @@ def postings(spark, texts):
     t = spark.createDataFrame(texts, "upload_id long, ocr_text string")
     index = t.withColumn("ocr_lexemes", lexemes("ocr_text", True))
     post = bitmaps.bitmap_postings(index)
-    return lexicon.analysed_postings(post, lexicon.lexicon(post, stems.analysis("en")))
+    return lexicon.analysed_postings(post, stems.analysis("en"))
 
 
 @pytest.mark.parametrize("term, want", [
@@ -61,3 +61,9 @@ def test_equal_to_postings_of_analysed_texts(spark):
     direct = bitmaps.bitmap_postings(t.withColumn("ocr_lexemes", lexemes("ocr_text", True, stems.analysis("en"))))
     rows = lambda p: sorted((r.bucket, r.lexeme, r.range, r.n, bytes(r.bits)) for r in p.collect())
     assert rows(postings(spark, TEXTS)) == rows(direct)
+
+
+def test_lexicon_has_a_row_per_distinct_word(spark):
+    words = spark.createDataFrame([("cats",), ("cat",), ("cats",), ("the",), (None,), ("",)], "lexeme string")
+    got = sorted((r.lexeme, r.stem) for r in lexicon.lexicon(words, stems.analysis("en")).collect())
+    assert got == [("", ""), ("cat", "cat"), ("cats", "cat")]
