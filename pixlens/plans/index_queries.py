@@ -235,5 +235,6 @@ _EXCERPTS = f"""
   FROM results r LEFT JOIN posts p ON p.id = r.post_id LEFT JOIN ({_EXCERPTS}) e ON e.post_id = r.post_id"""))
 def post_excerpt(spark, sf_dir):
     f = _f(spark, sf_dir)
-    h = rs.hydrate(_search_results(f), f.tables()).select("request_id", "rank", "post_id", "post_number")
+    results = materialize(_search_results(f), "excerpt-results")
+    h = rs.hydrate(results, f.tables()).select("request_id", "rank", "post_id", "post_number")
     return rs.post_excerpt(h, f.post_cooked).select("request_id", "rank", "post_id", "excerpt")
