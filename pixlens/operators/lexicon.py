@@ -1,7 +1,7 @@
 """Language-aware analysis of an index that already has its postings (U5, TX1, TX3).
 
-Texts are not read again: the key of each posting row is analysed where the row is, and the bitmaps of all forms
-of a stem are united range by range (``analysed_postings``), with one shuffle of bitmaps. Queries get the same
+Texts are not read again: the key of each posting row is analysed where the row is, and the ids of all forms
+of a stem are united range by range (``analysed_postings``), with one shuffle of ids. Queries get the same
 analysis. ``lexicon`` is the dictionary of distinct lexemes and their stems.
 """
 
@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stems import analysis
-from .bitmaps import search_bitmaps
-from .textindex import DEFAULT_BUCKETS, with_bucket
+from .bitmaps import build_postings, positions, search_bitmaps
+from .textindex import DEFAULT_BUCKETS
 
 
 def lexicon(words: DataFrame, analyse: Callable[[Column], Column], by: tuple[str, ...] = ()) -> DataFrame:
@@ -28,14 +28,12 @@ def lexicon(words: DataFrame, analyse: Callable[[Column], Column], by: tuple[str
 
 
 def analysed_postings(post: DataFrame, analyse: Callable[[Column], Column], n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Bitmap postings keyed by stem: (bucket, lexeme, range, n, bits, n_buckets) of bitmap postings keyed by lexeme.
+    """Bitmap postings keyed by stem (``lexeme``), of bitmap postings keyed by lexeme.
 
     A stem whose forms a third of all images hold is as many rows as there are ranges of ids.
     """
-    forms = post.select("range", "bits", F.explode(F.array_distinct(analyse(F.array("lexeme")))).alias("stem"))
-    united = forms.groupBy(F.col("stem").alias("lexeme"), "range").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return with_bucket(united, n_buckets).select("bucket", "lexeme", "range", F.bitmap_count("bits").alias("n"), "bits",
-                                                 F.lit(n_buckets).cast("int").alias("n_buckets"))
+    stems = F.explode(F.array_distinct(analyse(F.array("lexeme")))).alias("lexeme")
+    return build_postings(positions(post, stems).select("lexeme", "range", F.explode("at").alias("bit")), n_buckets)
 
 
 def search_analysed(requests: DataFrame, post: DataFrame, language: str, term_col: str = "processed_term",

@@ -70,3 +70,28 @@ def test_empty(spark):
     index, requests = frames(spark, {1: "a"}, {1: "a"})
     assert bitmaps.search_bitmaps(requests, bitmaps.bitmap_postings(index.limit(0))).collect() == []
     assert bitmaps.search_bitmaps(requests.limit(0), bitmaps.bitmap_postings(index)).collect() == []
+
+
+def test_rare_lexemes_take_no_bitmap(spark):
+    """A lexeme of one image is one number, not 4 KB; a frequent one is a bitmap, and both meet in a search."""
+    index = spark.range(0, 3000).select(F.col("id").alias("upload_id"), F.array(
+        F.lit("hot"), F.concat(F.lit("w"), F.col("id")), F.when(F.col("id") % 3 == 0, "third").otherwise("other")).alias("ocr_lexemes"))
+    post = bitmaps.bitmap_postings(index)
+    size = post.select(F.max(F.when(F.col("lexeme").startswith("w"), F.length("bits") + 4 * F.size("places"))),
+                       F.max(F.when(F.col("lexeme") == "hot", F.length("bits")))).first()
+    assert size[0] == 4 and size[1] == 4096
+    held = bitmaps.positions(post, "lexeme").groupBy("lexeme").agg(F.sum(F.size("at")).alias("n")).filter("n > 1").collect()
+    assert {r.lexeme: r.n for r in held} == {"hot": 3000, "third": 1000, "other": 2000}
+    requests = spark.createDataFrame([(1, "hot third"), (2, "w27 third hot"), (3, "w28 third hot"), (4, "other hot w2999")],
+                                     "request_id long, processed_term string")
+    got = [tuple(r) for r in bitmaps.search_bitmaps(requests, post).collect()]
+    assert sorted(got) == sorted([(1, i) for i in range(0, 3000, 3)] + [(2, 27), (4, 2999)])
+
+
+def test_words_with_one_beginning_are_united_once(spark):
+    """A prefix of very many lexemes is one posting list, whatever the number of requests that ask for it."""
+    index = spark.range(0, 2000).select(F.col("id").alias("upload_id"), F.array(
+        F.concat(F.lit("a"), F.col("id")), F.concat(F.lit("b"), F.col("id") % 7)).alias("ocr_lexemes"))
+    requests = spark.range(1, 30).select(F.col("id").alias("request_id"), F.concat(F.lit("a b"), F.col("id") % 7).alias("processed_term"))
+    got = {(r.request_id, r.upload_id) for r in bitmaps.search_bitmaps(requests, bitmaps.bitmap_postings(index), prefix=True).collect()}
+    assert got == {(r, u) for r in range(1, 30) for u in range(2000) if u % 7 == r % 7}
