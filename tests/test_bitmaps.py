@@ -95,3 +95,38 @@ def test_words_with_one_beginning_are_united_once(spark):
     requests = spark.range(1, 30).select(F.col("id").alias("request_id"), F.concat(F.lit("a b"), F.col("id") % 7).alias("processed_term"))
     got = {(r.request_id, r.upload_id) for r in bitmaps.search_bitmaps(requests, bitmaps.bitmap_postings(index), prefix=True).collect()}
     assert got == {(r, u) for r in range(1, 30) for u in range(2000) if u % 7 == r % 7}
+
+
+def kept_tables(monkeypatch, module):
+    """The tables a search writes, by name."""
+    held, write = {}, module.materialize
+
+    def keep(df, name):
+        held[name] = write(df, name)
+        return held[name]
+    monkeypatch.setattr(module, "materialize", keep)
+    return held
+
+
+def test_only_the_postings_of_asked_words_are_read_again(spark, monkeypatch):
+    """The stored postings are read once; the joins of the words read a table of the batch's words only."""
+    index = spark.range(0, 500).select(F.col("id").alias("upload_id"), F.array(
+        F.lit("hot"), F.concat(F.lit("w"), F.col("id"))).alias("ocr_lexemes"))
+    requests = spark.createDataFrame([(1, "hot w7"), (2, "w8"), (3, "W7 hot")], "request_id long, processed_term string")
+    for module, post, search in ((bitmaps, bitmaps.bitmap_postings(index), bitmaps.search_bitmaps),
+                                 (textindex, textindex.postings(index), textindex.search_images_ocr)):
+        held = kept_tables(monkeypatch, module)
+        assert sorted(tuple(r) for r in search(requests, post).collect()) == [(1, 7), (2, 8), (3, 7)]
+        assert {r.lexeme for r in held["search-postings"].select("lexeme").collect()} == {"hot", "w7", "w8"}
+
+
+def test_single_postings_meet_the_second_word_before_the_others(spark, monkeypatch):
+    """Candidates that lack the second rarest word do not meet the further words; equal sets of words are solved once."""
+    texts = {i: f"common often{'' if i % 2 else ' rare'}{' seldom' if i % 3 == 0 else ''}" for i in range(60)}
+    asked = {1: "common often rare seldom", 2: "seldom RARE often common", 3: "rare", 4: "rare nothing", 5: "common often rare"}
+    index, requests = frames(spark, texts, asked)
+    held = kept_tables(monkeypatch, textindex)
+    got = [tuple(r) for r in textindex.search_images_ocr(requests, textindex.postings(index)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(texts, asked)
+    assert held["search-asks"].count() == 4
+    assert held["search-second"].filter("n_terms = 4").count() == 10
