@@ -74,3 +74,27 @@ def test_rerank_plan_has_partial_topk_and_no_cartesian(spark):
 def test_zero_vector_has_no_similarity(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     assert df.select(V.cosine_similarity("a", "b").alias("c")).first().c is None
+
+
+def test_lsh_equals_brute_force_and_no_pairs_leave_the_blocks(spark):
+    """Ids that stand in several rows are near if any of their rows is; blocks of any size give the same."""
+    rng = np.random.default_rng(5)
+    x, qs = rng.standard_normal((130, DIM)).astype(np.float32), rng.standard_normal((6, DIM)).astype(np.float32)
+    ids, asked = [i % 120 for i in range(130)], [0, 1, 2, 3, 4, 4]
+    idx = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)] + [(500, None)], "upload_id long, embeddings array<float>")
+    q = spark.createDataFrame([(j, v.tolist()) for j, v in zip(asked, qs)], "request_id long, qvec array<float>").select(
+        "*", F.lit(-1.0).alias("threshold"), F.lit(4).alias("limit"), F.lit(0).alias("offset"))
+    bits, qbits = (x > 0).reshape(130, 1, DIM), (qs > 0).reshape(1, 6, DIM)
+    differ = bits != qbits
+    near = (differ[:, :, :60].reshape(130, 6, 5, 12).sum(axis=3) <= 3).any(axis=2)
+    pairs = {(j, i) for a, i in enumerate(ids) for b, j in enumerate(asked) if near[a, b]}
+    for blocks in ({}, {"queries_per_block": 2, "block_cells": DIM * 16}, {"bands": knn.band_table(knn.vector_index(idx, DIM), DIM)}):
+        got = knn.knn_lsh(q, idx, DIM, **blocks)
+        assert "CoGroups" in got._jdf.queryExecution().executedPlan().toString()
+        mine = {}
+        for r in got.collect():
+            assert (r.request_id, r.upload_id) in pairs
+            mine.setdefault(r.request_id, set()).add(r.upload_id)
+        for b, j in enumerate(asked[:4]):
+            ranked = sorted((int(differ[a, b].sum()), i) for a, i in enumerate(ids) if (j, i) in pairs)[:8]
+            assert mine.get(j, set()) <= {i for _, i in ranked} and len(mine.get(j, ())) == min(4, len({i for _, i in ranked}))
