@@ -3,9 +3,9 @@
 ``fit`` learns cells on a bounded sample (``SAMPLE_VALUES`` numbers, chosen by the hash of the id): spherical
 k-means, and the number of cells a request has to probe so that the sample's own nearest neighbours are
 found with the wanted recall. ``assign`` gives every indexed image its cell, ``write_cells`` stores the cells
-as a partitioned table. ``search`` sends each request to its nearest cells only; the images of a cell are
-cut into blocks of bounded size, so a cell may hold any share of the index, and are scored and reranked like
-in the exact search. On vectors without structure cells prune little, and ``fit`` then asks for many probes:
+as a partitioned table. ``search`` sends each request to the blocks of its nearest cells only; a block holds
+several small cells or a part of a large one, so a cell may hold any share of the index, and its images are scored
+and reranked like in the exact search. On vectors without structure cells prune little, and ``fit`` then asks for many probes:
 ``share_of_pairs`` tells which part of all (request, image) pairs is scored.
 """
 
@@ -131,31 +131,75 @@ def probed(queries: DataFrame, model: Cells, probes: int | None = None) -> DataF
     return queries.withColumn("cell", F.explode(cells("qvec")))
 
 
+def _blocks(images: DataFrame, rows: int) -> list[tuple[int, int, int]]:
+    """(cell, block, parts): small cells share a block of about ``rows`` images, a larger one is cut into blocks of its own.
+
+    The counts have one row per cell, at most ``MAX_CELLS``.
+    """
+    out, block, room = [], -1, 0
+    for cell, n in sorted(map(tuple, images.groupBy("cell").count().collect())):
+        if n > rows:
+            parts = -(-n // rows)
+            out.append((cell, block + 1, parts))
+            block, room = block + parts, 0
+            continue
+        if n > room:
+            block, room = block + 1, rows
+        out.append((cell, block, 1))
+        room -= n
+    return out
+
+
+def _probed_rows(shared, probes: int):
+    """For ``knn._block_top``: the rows of a block that lie in the cells that a request probes."""
+    def rows_of(images, requests):
+        cell, model = images["cell"].to_numpy(np.int64), shared.value
+        near = np.concatenate([model.nearest(_matrix(requests["qvec"].iloc[i:i + 1024]), probes) for i in range(0, len(requests), 1024)])
+
+        def rows(i):
+            seen = np.zeros(len(model.centres), dtype=bool)
+            seen[near[i]] = True
+            return np.flatnonzero(seen[cell])
+        return rows
+    return rows_of
+
+
 def search(queries: DataFrame, images: DataFrame, model: Cells, dim: int, oversample: float = 2, probes: int | None = None,
            queries_per_block: int = knn.QUERIES_PER_BLOCK, block_cells: int = knn.BLOCK_CELLS) -> DataFrame:
     """V4 over the probed cells: request_id, upload_id, rank, similarity.
 
-    ``queries``: request_id, qvec, threshold, limit, offset; ``images``: the assigned index. The tables of
-    counts below have one row per cell.
+    ``queries``: request_id, qvec, threshold, limit, offset; ``images``: the assigned index. Blocks hold whole
+    cells, as many as fit: a request goes once to each block that has any of its cells, looks at the images of its
+    cells only, and its best candidates of the block leave it. Neither the requests nor the candidates grow with the
+    number of cells probed.
     """
+    spark = images.sparkSession
     q = knn._with_k(queries, dim, oversample).filter(F.col("k") > 0)
-    asked = probed(q.select("request_id", "qvec", "qcode", F.col("k").cast("long").alias("k")), model, probes).drop("qvec")
-    held = images.groupBy("cell").agg(F.ceil(F.count("*") * dim / block_cells).cast("int").alias("ib"))
-    wanted = asked.groupBy("cell").agg(F.ceil(F.count("*") / queries_per_block).cast("int").alias("qb"))
-    blocks = F.broadcast(held.join(wanted, "cell"))  # at most MAX_CELLS rows
-
-    def part(key, n):
-        return F.pmod(F.xxhash64(key), F.col(n)).cast("int").alias(n)
-
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n)
-
-    left = images.join(blocks, "cell").select("cell", "upload_id", "code", part("upload_id", "ib"), every("qb"))
-    right = asked.join(blocks, "cell").select("cell", "request_id", "qcode", "k", part("request_id", "qb"), every("ib"))
-    of = ["cell", "ib", "qb"]
-    cands = left.groupBy(*of).cogroup(right.groupBy(*of)).applyInPandas(knn._block_top(dim), knn.CANDS_DDL)
-    deepest = q.agg(F.max("k")).first()[0] or 0
-    return knn.rerank(knn.select_candidates(cands, deepest), images, q)
+    asked = q.filter(F.col("qvec").isNotNull()).select("request_id", "qvec", "qcode", F.col("k").cast("long").alias("k"))
+    n_queries, deepest = asked.agg(F.count("*"), F.max("k")).first()
+    places = _blocks(images, max(1, block_cells // dim))
+    n_blocks = max((b + parts for _, b, parts in places), default=1)
+    qb = knn.block_counts(spark, n_blocks, n_queries, 1, queries_per_block, 1)[1]
+    shared, n = spark.sparkContext.broadcast(model), probes or model.probes
+    of_cell = [(0, 0)] * len(model.centres)
+    for cell, block, parts in places:
+        of_cell[cell] = (block, parts)
+    at = spark.sparkContext.broadcast(of_cell)
+
+    @F.pandas_udf("array<int>")
+    def blocks(vec: pd.Series) -> pd.Series:
+        near = shared.value.nearest(_matrix(vec), n) if len(vec) else []
+        return pd.Series([np.array(sorted({b + j for c in row for b, parts in [at.value[c]] for j in range(parts)}), dtype=np.int32)
+                          for row in near], dtype=object)
+
+    table = F.broadcast(spark.createDataFrame(places or [(0, 0, 1)], "cell int, block int, parts int"))
+    left = images.join(table, "cell").select(
+        "cell", "upload_id", "code", (F.col("block") + F.pmod(F.xxhash64("upload_id"), F.col("parts"))).cast("int").alias("ib"),
+        knn.every_block(qb).alias("qb"))
+    right = asked.select("*", knn.block_of("request_id", qb).alias("qb"), F.explode(blocks("qvec")).alias("ib"))
+    cands = left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInPandas(
+        knn._block_top(dim, rows_of=_probed_rows(shared, n)), knn.CANDS_DDL)
+    return knn.rerank(knn.select_candidates(cands, deepest or 0), images, q)
 
 
 def share_of_pairs(queries: DataFrame, images: DataFrame, model: Cells, probes: int | None = None) -> float:

@@ -69,3 +69,10 @@ def test_hot_cell_zero_vectors_and_empty_index(spark):
     none = vindex.limit(0)
     model = cells.fit(none, 8)
     assert cells.search(asked, cells.assign(none, model), model, 8).collect() == []
+
+
+def test_small_cells_share_a_block_and_large_ones_are_cut(spark):
+    """A request goes once to a block, however many of its cells are there."""
+    sizes = {0: 3, 1: 4, 2: 25, 3: 2, 4: 8}
+    images = spark.createDataFrame([(c,) for c, n in sizes.items() for _ in range(n)], "cell int")
+    assert cells._blocks(images, 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (4, 4, 1)]
