@@ -53,6 +53,7 @@ def decide(changes: DataFrame, t: ForumTables, cfg: Settings) -> DataFrame:
     """(upload_id, needed, stale) for every touched upload, by the operators of the full runs."""
     uploads = materialize(touched_uploads(changes, t), "periodic-uploads")
     own = restricted(t, uploads)
+    own = own.replace(post_uploads=materialize(own.post_uploads, "periodic-links"))  # both decisions read them
     needed = el.uploads_needing_analysis(own, cfg).select(F.col("id").alias("upload_id"), F.lit(True).alias("needed"))
     stale = el.stale_index_rows(own, cfg).select("upload_id", F.lit(True).alias("stale"))
     return (uploads.join(needed, "upload_id", "left").join(stale, "upload_id", "left")
