@@ -1,4 +1,7 @@
-"""Postings of long texts: the work of a row grows with its words, not with their square."""
+"""Postings of long texts, and the search over single postings.
+
+The work of a row grows with its words, not with their square.
+"""
 
 from __future__ import annotations
 
@@ -24,3 +27,10 @@ def test_postings_of_words_that_are_null_or_in_several_rows(spark):
                                   "upload_id long, ocr_lexemes array<string>")
     got = sorted(((r.upload_id, r.lexeme, r.positions) for r in textindex.postings(index).collect()), key=str)
     assert got == sorted([(1, "b", [1, 3]), (1, None, [2, 4]), (2, "a", [1, 2]), (2, "c", [1]), (None, "d", [1, 2])], key=str)
+
+
+def test_texts_are_read_once_where_uploads_stand_in_one_row(spark):
+    index = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["a"])], "upload_id long, ocr_lexemes array<string>")
+    post = textindex.postings(index)
+    assert post._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    assert sorted((r.lexeme, r.upload_id, r.positions) for r in post.collect()) == [("a", 1, [2]), ("a", 2, [1]), ("b", 1, [1, 3])]
