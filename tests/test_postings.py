@@ -5,6 +5,7 @@ The work of a row grows with its words, not with their square.
 
 from __future__ import annotations
 
+import random
 import time
 
 from pixlens.operators import textindex
@@ -34,3 +35,19 @@ def test_texts_are_read_once_where_uploads_stand_in_one_row(spark):
     post = textindex.postings(index)
     assert post._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
     assert sorted((r.lexeme, r.upload_id, r.positions) for r in post.collect()) == [("a", 1, [2]), ("a", 2, [1]), ("b", 1, [1, 3])]
+
+
+def test_search_over_single_postings_meets_numbers(spark):
+    rnd = random.Random(5)
+    words = "abcdefgh"
+    texts = [(i, [rnd.choice(words) for _ in range(rnd.randint(0, 7))]) for i in range(60)] + [(None, ["a", "b"])]
+    asked = [(i, " ".join(rnd.choice(words + "z") for _ in range(rnd.randint(0, 5)))) for i in range(80)]
+    index = spark.createDataFrame(texts, "upload_id long, ocr_lexemes array<string>")
+    requests = spark.createDataFrame(asked, "request_id long, processed_term string")
+    found = textindex.search_images_ocr(requests, textindex.postings(index))
+    got = sorted(((r.request_id, r.upload_id) for r in found.collect()), key=str)
+    want = [(i, u) for i, term in asked for u, text in texts if term.split() and set(term.split()) <= set(text)
+            and (u is not None or len(set(term.split())) == 1)]  # a row without an id meets no second word
+    assert got == sorted(want, key=str)
+    # The words themselves are neither shuffled nor sorted once their numbers are known.
+    assert "lexeme" not in found._jdf.queryExecution().optimizedPlan().toString()
